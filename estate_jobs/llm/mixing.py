@@ -108,8 +108,8 @@ ordered AS (SELECT *, CAST(bound AS DOUBLE) / CAST(weight AS DOUBLE) AS b FROM w
 levels AS (SELECT *,
   CAST(sum(source_size) OVER () - coalesce(sum(bound) OVER (ORDER BY b, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
   / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY b, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level FROM ordered),
-free AS (SELECT level AS lambda FROM levels WHERE bound >= level * weight ORDER BY b, rank LIMIT 1),
-plan AS (SELECT source, source_size, CASE WHEN source_size = 0 OR lambda IS NULL THEN 0.0::DOUBLE ELSE least(CAST(bound AS DOUBLE), lambda * weight) END AS target FROM levels LEFT JOIN free ON true),
+free AS (SELECT level AS top FROM levels WHERE bound >= level * weight ORDER BY b, rank LIMIT 1),
+plan AS (SELECT source, source_size, CASE WHEN source_size = 0 OR top IS NULL THEN 0.0::DOUBLE ELSE least(CAST(bound AS DOUBLE), top * weight) END AS target FROM levels LEFT JOIN free ON true),
 rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM plan),
 parts AS (SELECT *, CAST(floor(rate) AS BIGINT) AS whole, rate - floor(rate) AS part FROM rated),
 docs AS (SELECT s.doc_id, s.size, s.coin, p.* FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source),

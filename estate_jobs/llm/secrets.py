@@ -145,12 +145,14 @@ def joined(kinds: tuple[str, ...]) -> Column:
 
 def redact(documents: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """documents with every kept match replaced by mark, rule by rule, and n_chars of the new text."""
-    out = to_search(documents, rules)
-    for r in rules:
+    def without(r: Rule) -> Column:
         found, counted = F.regexp_extract_all("text", F.lit(r.regex), F.lit(0)), F.regexp_extract_all("text", F.lit(r.regex), F.lit(r.group))
         rows = F.arrays_zip(F.split("text", r.regex, -1).alias("p"), found.alias("m"), counted.alias("g"))
-        text = F.array_join(F.transform(rows, lambda x, r=r: F.concat(x["p"], F.coalesce(F.when(F.length(x["g"]) >= r.least, F.lit(mark)).otherwise(x["m"]), F.lit("")))), "")
-        out = out.withColumn("text", F.when(F.array_contains("kinds", r.kind) & F.col("text").rlike(_quick(r)), text).otherwise(F.col("text")))
+        return F.array_join(F.transform(rows, lambda x: F.concat(x["p"], F.coalesce(F.when(F.length(x["g"]) >= r.least, F.lit(mark)).otherwise(x["m"]), F.lit("")))), "")
+
+    out = to_search(documents, rules)
+    for r in rules:
+        out = out.withColumn("text", F.when(F.array_contains("kinds", r.kind) & F.col("text").rlike(_quick(r)), without(r)).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(documents.columns)
 
 
