@@ -141,7 +141,7 @@ def learn(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS)
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     n = max(1, known.count())
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * n < train_docs * (1 << 20))
-    sample = documents.join(F.broadcast(chosen), "doc_id").select(F.col("text").cast("string"), "label")
+    sample = documents.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("text", "label")
     rows = sample.mapInArrow(_describe, "label double, x array<float>").toArrow()
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if rows.num_rows else np.zeros((0, len(FEATURES)), np.float32)
     y = rows.column("label").to_numpy()
@@ -154,7 +154,7 @@ def _score(trees: Trees):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for a, b in chunks(offsets):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(trees.probability(statistics(data, offsets[a : b + 1])))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(trees.probability(statistics(data, offsets[a : b + 1])).astype(np.float64))], ["doc_id", "score"])
 
     return run
 
