@@ -31,7 +31,7 @@ BUCKETS = 1 << 16
 #: A script belongs to a language that has at least this share of its letters in it.
 SCRIPT_SHARE = 0.01
 #: Bytes of text whose words go through Viterbi together.
-GROUP = 12 << 20
+GROUP = 4 << 20
 
 # First code point of each range and the script of its letters.
 SCRIPT_RANGES = [
