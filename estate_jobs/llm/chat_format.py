@@ -72,10 +72,10 @@ def best_paths(messages: DataFrame) -> DataFrame:
     parents = nodes.filter("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct()
     leaves = state.filter("up IS NULL").join(parents, ["tree", "id"], "left_anti")
     best = leaves.groupBy("tree", "root").agg(F.min_by("id", F.struct((-F.col("score")).alias("score"), "id")).alias("leaf"))
-    path = best.select("tree", "leaf", F.col("leaf").alias("id"), F.lit(0).alias("depth"))
+    path = durable(best.select("tree", "leaf", F.col("leaf").alias("id"), F.lit(0).alias("depth")))
     for k in reversed(range(len(jumps))):
         higher = path.join(jumps[k], ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), (F.col("depth") + (1 << k)).alias("depth"))
-        path = path.union(higher)
+        path = durable(path.union(higher))  # each level reads the one before twice
     return path
 
 
