@@ -68,7 +68,9 @@ def best_paths(messages: DataFrame) -> DataFrame:
     while (1 << len(jumps)) <= 2 * max(1, n) and not state.filter("up IS NOT NULL").isEmpty():
         jumps.append(state.filter("up IS NOT NULL").select("tree", "id", "up"))
         above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("root").alias("root2"))
-        state = durable(state.join(above, ["tree", "up"], "left").select("tree", "id", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), F.coalesce("root2", "root").alias("root")))
+        # messages that know their root stay as they are; the message above always exists
+        moved = state.filter("up IS NOT NULL").join(above, ["tree", "up"]).select("tree", "id", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), F.col("root2").alias("root"))
+        state = durable(state.filter("up IS NULL").select("tree", "id", "up", "score", "root").union(moved))
     parents = nodes.filter("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct()
     leaves = state.filter("up IS NULL").join(parents, ["tree", "id"], "left_anti")
     best = leaves.groupBy("tree", "root").agg(F.min_by("id", F.struct((-F.col("score")).alias("score"), "id")).alias("leaf"))
