@@ -32,11 +32,16 @@ def fold(rows: DataFrame) -> DataFrame:
             return F.coalesce(last(c, ~x.isin("UNKNOWN", "")), first(c))
         return F.max_by(c, "seq") if c == "last_seen_at" else first(c)
 
-    return rows.groupBy("id").agg(*(rule(c).alias(c) for c in rows.columns if c not in ("id", "seq", "is_active")), F.lit(1).alias("is_active"))
+    return rows.groupBy("id").agg(*(rule(c).alias(c) for c in rows.columns if c not in ("id", "seq", "is_active")), _active(rows))
+
+
+def _active(rows: DataFrame) -> Column:
+    """What is seen anew (seq over 0) is active; other rows keep their state."""
+    return (F.when(F.max("seq") > 0, 1).otherwise(F.max("is_active")) if "is_active" in rows.columns else F.lit(1)).alias("is_active")
 
 
 def merge_listings(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """existing (no seq) with the batch (seq, from 1) merged in."""
+    """existing (no seq) with the batch (seq, from 1) merged in. Listings that the batch lacks stay as they are."""
     return fold(existing.withColumn("seq", F.lit(0).cast("long")).unionByName(batch, allowMissingColumns=True))
 
 

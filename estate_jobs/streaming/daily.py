@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from estate_jobs.operators import merge
+from estate_jobs.operators import cashflow, deeds, location, merge, serve
 
 log = logging.getLogger(__name__)
 
@@ -22,7 +24,7 @@ def merge_stream(spark: SparkSession, landed: str, store: str, checkpoint: str,
     def step(batch: DataFrame, n: int) -> None:
         rows = merge.valid(batch)
         if n:
-            merged = merge.merge_listings(spark.read.parquet(f"{store}/v{n - 1}").drop("is_active"), rows)
+            merged = merge.merge_listings(spark.read.parquet(f"{store}/v{n - 1}"), rows)
         else:
             merged = merge.fold(rows)
         merged.write.mode("overwrite").parquet(f"{store}/v{n}")
@@ -36,7 +38,7 @@ def first_seen_stream(links: DataFrame, horizon: str | None = None) -> DataFrame
     return links.dropDuplicates(["link"]) if horizon is None else links.withWatermark("seen_at", horizon).dropDuplicatesWithinWatermark(["link"])
 
 
-def run_steps(steps: list[tuple[str, object]]) -> dict[str, str]:
+def run_steps(steps: list[tuple[str, Callable[[], None]]]) -> dict[str, str]:
     """Runs the steps of a day in turn; one that fails is logged and the next still runs."""
     out = {}
     for name, step in steps:
@@ -49,3 +51,63 @@ def run_steps(steps: list[tuple[str, object]]) -> dict[str, str]:
     return out
 
 
+def run_day(spark: SparkSession, rows: DataFrame, store: str, day: str, before: str | None, documents: DataFrame, key: str, places: DataFrame, sites: DataFrame, noise: DataFrame) -> dict[str, str]:
+    """New observations, deeds, cash flow, location, statistics: the outcome of each step.
+
+    Tables listings, scores, locations, rejections and stats of a day lie in {store}/{day}. All are made from those of
+    the day `before` and written anew, so a repeated day changes nothing. After a step that failed the others go on
+    with what its tables were. documents: `key` (a column of listings too) and raw.
+    """
+    none = spark.createDataFrame([], "listing_id string")
+    at: dict[str, DataFrame | None] = {t: spark.read.parquet(f"{store}/{before}/{t}") if before else None for t in ("listings", "scores", "locations")}
+
+    def put(table: str, df: DataFrame, part: str) -> None:
+        df.write.mode("overwrite").parquet(f"{store}/{day}/steps/{part}-{table}")
+        at[table] = spark.read.parquet(f"{store}/{day}/steps/{part}-{table}")
+
+    def listings() -> DataFrame:
+        if at["listings"] is None:
+            raise ValueError("no listings yet")
+        return at["listings"]
+
+    def observe() -> None:
+        new = merge.valid(rows)
+        for c in ("lv_status", "classification"):
+            new = new if c in new.columns else new.withColumn(c, F.lit("PENDING"))
+        put("listings", merge.fold(new) if at["listings"] is None else merge.merge_listings(at["listings"], new), "observe")
+
+    def check_deeds() -> None:
+        updated, rejected = merge.set_deed_status(listings(), deeds.judge(deeds.pending(listings()), documents, key))
+        rejected.withColumn("day", F.lit(day)).write.mode("overwrite").parquet(f"{store}/{day}/rejections")
+        put("listings", updated, "deeds")
+
+    def score() -> None:
+        old = none if at["scores"] is None else at["scores"]
+        put("new_scores", cashflow.run(listings(), old), "cashflow")
+        put("listings", merge.write_back(listings(), at["new_scores"]), "cashflow")
+        put("scores", merge.replace(old, at["new_scores"]), "cashflow")
+
+    def place() -> None:
+        old = none if at["locations"] is None else at["locations"]
+        put("locations", merge.replace(old, location.run(listings(), old, places, sites, noise)), "location")
+
+    def keep() -> None:
+        for table in ("listings", "scores", "locations"):
+            (none if at[table] is None else at[table]).write.mode("overwrite").parquet(f"{store}/{day}/{table}")
+
+    def summarise() -> None:
+        serve.stats(listings()).write.mode("overwrite").parquet(f"{store}/{day}/stats")
+
+    return run_steps([("observe", observe), ("deeds", check_deeds), ("cashflow", score), ("location", place), ("keep", keep), ("stats", summarise)])
+
+
+def daily_stream(spark: SparkSession, landed: str, store: str, checkpoint: str, documents: DataFrame, key: str, places: DataFrame, sites: DataFrame, noise: DataFrame, files: int = 100) -> StreamingQuery:
+    """run_day over what has landed since the last run, a day v0, v1, … for each batch. A batch whose observations weren't merged or kept fails, and so is run again."""
+
+    def step(batch: DataFrame, n: int) -> None:
+        done = run_day(spark, batch, store, f"v{n}", f"v{n - 1}" if n else None, documents, key, places, sites, noise)
+        if not done["observe"] == done["keep"] == "ok":
+            raise RuntimeError(f"batch {n}: {done}")
+
+    stream = spark.readStream.schema(spark.read.parquet(landed).schema).option("maxFilesPerTrigger", files).parquet(landed)
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

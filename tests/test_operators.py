@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from estate_jobs.functions.columns import haversine
 from estate_jobs.operators import cashflow, deeds, extract, location, merge
+from estate_jobs.sources import tables
 from estate_jobs.streaming import daily
 
 # price, size, district, rent, total_sro, surplus_sro, ratio_sro, saving, months, class
@@ -90,6 +91,83 @@ def test_stream_equals_batch(spark, tmp_path):
     assert daily.run_steps([("bad", lambda: 1 / 0), ("good", lambda: None)])["good"] == "ok"
 
 
+LISTING = "id string, seq long, source string, url string, title string, price_eur double, size_m2 double, district string, energy_class string, address_raw string, cadastral_number string, scraped_at string, last_seen_at string"
+
+
+def test_days_of_a_stream(spark, tmp_path):
+    obs = [(f"l{k % 4}", k + 1, "s", "u", f"t{k}", 46000.0 + k, 51.0, "Košice I", "A", "Ulica 1, Košice", f"c{k % 4}", f"{k}", f"{k}") for k in range(8)]
+    obs.append(("bad", 9, None, "u", "t", 1.0, 1.0, "", "", "", "c", "x", "x"))
+    rows = spark.createDataFrame(obs, LISTING)
+    documents = spark.createDataFrame([("c1", "konkurz"), ("c2", "konkurz, VÚB")], "cadastral_number string, raw string")
+    places = spark.createDataFrame([("transit_station", 48.7164, 21.2611)], "type string, lat double, lng double")
+    sites, noise = places.select("lat", "lng").filter("false"), places.select("lat", "lng").withColumn("db", F.lit(10.0))
+    rows.filter("seq IN (1, 2, 3)").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    side = (documents, "cadastral_number", places, sites, noise)
+    daily.daily_stream(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/cp", *side).awaitTermination()
+    rows.filter("seq > 3").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    daily.daily_stream(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/cp", *side).awaitTermination()
+    at = lambda table, day="v1": spark.read.parquet(f"{tmp_path}/store/{day}/{table}")
+    assert {r.id: (r.title, r.lv_status, r.classification) for r in at("listings").collect()} == {"l0": ("t4", "PASS", "GREEN"), "l1": ("t5", "REJECTED", "PENDING"), "l2": ("t6", "PASS", "GREEN"), "l3": ("t7", "PASS", "GREEN")}
+    assert {r.listing_id for r in at("scores").collect()} == {r.listing_id for r in at("locations").collect()} == {"l0", "l2", "l3"}
+    assert [r.listing_id for r in at("rejections", "v0").collect()] == ["l1"] and at("rejections").count() == 0
+    assert at("stats").first().asDict() == {"total": 4, "green": 3, "yellow": 0, "white": 0, "rejected": 1, "pending": 0}
+    done = daily.run_day(spark, rows, f"{tmp_path}/store", "v2", "v1", documents, "cadastral_number", places.drop("type"), sites, noise)
+    assert done["location"].startswith("failed") and done["stats"] == done["keep"] == "ok" and at("locations", "v2").count() == 3
+
+
+def test_merge_leaves_what_it_does_not_see(spark):
+    old = spark.createDataFrame([("a", "s", 1.0, 0), ("b", "s", 1.0, 0)], "id string, source string, price_eur double, is_active int")
+    new = spark.createDataFrame([("a", 1, "x", 0.0)], "id string, seq long, source string, price_eur double")
+    assert sorted((r.id, r.source, r.price_eur, r.is_active) for r in merge.merge_listings(old, new).collect()) == [("a", "s", 1.0, 1), ("b", "s", 1.0, 0)]
+
+
+def test_stored_tables(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"l{k}", "personal" if k % 2 else "sro", f"a{k}\nb") for k in range(6)], "k long, listing_id string, structure string, draft_text string")
+    tables.write(rows, f"{tmp_path}/t")
+    assert sorted(tables.read(spark, f"{tmp_path}/t").collect()) == sorted(rows.collect())
+    for _ in range(2):
+        tables.append_log(rows.select("listing_id", "structure"), f"{tmp_path}/log", "listing_id", "structure")
+    logged = tables.read(spark, f"{tmp_path}/log")
+    assert (logged.count(), logged.select("id").distinct().count()) == (12, 6)
+    tables.write_drafts(rows, f"{tmp_path}/drafts")
+    assert sorted((r.structure, r.value) for r in spark.read.option("basePath", f"{tmp_path}/drafts").text(f"{tmp_path}/drafts").collect()) == sorted((r.structure, r.draft_text.replace("\n", "\\n")) for r in rows.collect())
+
+
+def test_relational_store(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(20).selectExpr("id AS k", "cast(id * 2 AS double) AS price").write.jdbc(url, "prices")
+    got = tables.read_jdbc(spark, url, "prices", "k", 0, 20, 3)
+    assert got.rdd.getNumPartitions() == 3 and sorted((int(r[0]), r[1]) for r in got.collect()) == [(k, k * 2.0) for k in range(20)]
+
+
+def test_first_seen_links_of_a_stream(spark, tmp_path):
+    links = spark.createDataFrame([(f"u{k % 5}", k) for k in range(20)], "link string, t long").withColumn("seen_at", F.timestamp_seconds(F.col("t")))
+    for k in range(2):
+        links.filter(f"t div 10 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for name, horizon in (("all", None), ("hour", "1 hour")):
+        stream = spark.readStream.schema(links.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        daily.first_seen_stream(stream, horizon).writeStream.option("checkpointLocation", f"{tmp_path}/cp-{name}").trigger(availableNow=True).start(f"{tmp_path}/{name}", format="parquet").awaitTermination()
+        got = spark.read.parquet(f"{tmp_path}/{name}")
+        assert sorted(r.link for r in got.collect()) == sorted(r.link for r in links.select("link").distinct().collect())
+
+
+def test_linked_data(spark):
+    page = lambda *objects: "".join(f'<script type="application/ld+json">{o}</script>' for o in objects)
+    cases = {
+        1: page('{"@type":["Apartment","Place"],"name":"A","image":{"url":"/i"},"offers":[{"price":"x","lowPrice":"90000"}],"address":"Ulica 1, Nitra","floorSize":{"value":"55.5"},"numberOfBedrooms":2}'),
+        2: page('[{"@type":"Apartment","name":"","offers":{"price":1000}},{"@type":"House","name":"B","offers":{"price":0,"highPrice":2000},"image":[{"url":"/j"}],"floorSize":60}]'),
+        3: page('{"@type":"Apartment","name":"broken', "", '{"@type":"BreadcrumbList","name":"N"}', '{"@type":"Apartment","address":{"streetAddress":"","addressLocality":"Trnava","postalCode":917}}'),
+        4: "",
+        5: None,
+    }
+    rows = spark.createDataFrame(list(cases.items()), "k int, html string").withColumn("ld", extract.linked_data(F.col("html")))
+    got = {r.k: tuple(r)[1:] for r in rows.select("k", *(c.alias(n) for n, c in extract.ld_fields(F.col("ld")).items())).collect()}
+    assert got[1] == ("A", "/i", "Ulica 1, Nitra", 90000.0, 55.5, 2.0)
+    assert got[2] == ("B", "/j", None, 2000.0, 60.0, None)
+    assert got[3] == (None, None, "Trnava, 917", None, None, None)
+    assert got[4] == got[5] == (None,) * 6
+
+
 def test_queries_run(spark):
     import __spark_entry__ as entry
 
