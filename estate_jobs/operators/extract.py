@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html.parser
 import urllib.parse
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -95,44 +95,51 @@ def _first(values: Column) -> Column:
 
 
 def _last(values: Column) -> Column:
-    return F.try_element_at(F.filter(values, _present), F.lit(-1))
+    return F.try_element_at(F.filter(values, F.isnotnull), F.lit(-1))
+
+
+#: The parts of a linked-data object that listings use; nested ones stay JSON texts.
+LD_OBJECT = "`@type` string, name string, image string, offers string, address string, floorSize string, numberOfRooms string, numberOfBedrooms string"
 
 
 def linked_data(html: Column) -> Column:
-    """The page's JSON-LD objects of known types, as JSON texts in page order."""
+    """The page's JSON-LD objects of known types, as structs of LD_OBJECT in page order. Each is parsed once."""
     scripts = F.regexp_extract_all(html, F.lit(r'(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))
     items = F.flatten(F.transform(scripts, lambda s: F.when(s.rlike(r"^\s*\["), F.coalesce(F.from_json(s, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(s))))
-    kind = lambda o: F.coalesce(F.get_json_object(o, "$['@type'][0]"), F.get_json_object(o, "$['@type']"))
-    return F.filter(items, lambda o: F.coalesce(kind(o).isin(*LD_TYPES), F.lit(False)))
+    objects = F.transform(items, lambda o: F.from_json(o, LD_OBJECT))
+    kind = lambda t: F.when(t.startswith("["), F.get_json_object(t, "$[0]")).otherwise(t)
+    return F.filter(objects, lambda o: F.coalesce(kind(o["@type"]).isin(*LD_TYPES), F.lit(False)))
 
 
 def _json(o: Column, *paths: str) -> Column:
     return F.coalesce(*(nz(F.get_json_object(o, p), "") for p in paths))
 
 
-def offer_price(o: Column) -> Column:
-    """The first of price, lowPrice, highPrice that is a number, of the first offer."""
-    number = lambda key: nz(F.coalesce(F.get_json_object(o, f"$.offers[0].{key}").try_cast("double"), F.get_json_object(o, f"$.offers.{key}").try_cast("double")), 0.0)
-    return F.coalesce(*map(number, ("price", "lowPrice", "highPrice")))
+def _amount(x: Column) -> Column:
+    return nz(x.try_cast("double"), 0.0)
+
 
+def _ld_image(x: Column) -> Column:
+    return F.when(x.startswith("{"), F.get_json_object(x, "$.url")).when(x.startswith("["), _json(x, "$[0].url", "$[0]")).otherwise(x)
 
-def joined_address(o: Column) -> Column:
-    parts = [nz(F.get_json_object(o, f"$.address.{k}"), "") for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode")]
-    whole = F.get_json_object(o, "$.address")
-    return F.when(whole.startswith("{"), F.concat_ws(", ", *parts)).otherwise(whole)
 
+def ld_fields(objects: Column) -> dict[str, Column]:
+    """Title, image and address of the first of linked_data's objects that has them; price, size and rooms of the last.
 
-def ld_fields(html: Column) -> dict[str, Column]:
-    """Title, image and address of the first object that has them; price, size and rooms of the last."""
-    objects = linked_data(html)
-    of = lambda f: F.transform(objects, lambda o: f(o).cast("string"))
+    The price is the first of price, lowPrice, highPrice of the first offer that is a number.
+    """
+    of = lambda f: F.transform(objects, f)
+    offers = F.transform(of(lambda o: F.when(o.offers.startswith("["), F.get_json_object(o.offers, "$[0]")).otherwise(o.offers)), lambda x: F.from_json(x, "price string, lowPrice string, highPrice string"))
+    keys = ("streetAddress", "addressLocality", "addressRegion", "postalCode")
+    places = F.transform(of(lambda o: o.address), lambda x: F.struct(x.alias("whole"), F.when(x.startswith("{"), F.from_json(x, ", ".join(f"{k} string" for k in keys))).alias("parts")))
+    addresses = F.transform(places, lambda p: F.when(p.parts.isNull(), p.whole).otherwise(F.concat_ws(", ", *(nz(p.parts[k], "") for k in keys))))
     return {
-        "ld_title": F.substring(_first(of(lambda o: F.get_json_object(o, "$.name"))), 1, 200),
-        "ld_image": _first(of(lambda o: _json(o, "$.image.url", "$.image[0].url", "$.image[0]", "$.image"))),
-        "ld_address": _first(of(joined_address)),
-        "ld_price": _last(of(offer_price)).try_cast("double"),
-        "ld_size": _last(of(lambda o: nz(F.coalesce(F.get_json_object(o, "$.floorSize.value"), F.get_json_object(o, "$.floorSize")).try_cast("double"), 0.0))).try_cast("double"),
-        "ld_rooms": _last(of(lambda o: F.coalesce(F.get_json_object(o, "$.numberOfRooms"), F.get_json_object(o, "$.numberOfBedrooms")).try_cast("double"))).try_cast("double"),
+        "ld_title": F.substring(_first(of(lambda o: o["name"])), 1, 200),
+        "ld_image": _first(of(lambda o: _ld_image(o.image))),
+        "ld_address": _first(addresses),
+        "ld_price": _last(F.transform(offers, lambda x: F.coalesce(*(_amount(x[k]) for k in ("price", "lowPrice", "highPrice"))))),
+        "ld_size": _last(of(lambda o: _amount(F.coalesce(F.get_json_object(o.floorSize, "$.value"), o.floorSize)))),
+        "ld_rooms": _last(of(lambda o: F.coalesce(o.numberOfRooms, o.numberOfBedrooms).try_cast("double"))),
     }
 
 
@@ -151,7 +158,7 @@ def title(html: Column, ld_title: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """Text without scripts, styles, comments and tags; white space in runs of one blank."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(?:script.*?</script>|style.*?</style>|!--.*?-->)", " "), r"(?s)<[^>]*>", " ")
     return F.trim(F.regexp_replace(bare, f"{S}+", " "))
 
 
@@ -168,11 +175,16 @@ def _number(x: Column) -> Column:
     return F.replace(x, F.lit(","), F.lit(".")).try_cast("double")
 
 
+def _if(x: Column, fits: Callable[[Column], Column]) -> Column:
+    """x where it fits, else null; x is worked out once."""
+    return F.get(F.filter(F.array(x), fits), F.lit(0))
+
+
 def size_from_text(text: Column, title: Column | None = None) -> Column:
     """Area after the first label, in order of priority, that has a plausible one; else the first plausible "N m²"."""
     def labelled(label: str) -> Column:
         v = _number(F.regexp_extract(text, "(?iu)" + label.replace("{s}", S) + r"[^0-9]{0,120}([0-9]{2,4}(?:[.,][0-9]+)?)" + S + r"*(?:m²|m2|m(?![0-9A-Za-z_]))", 1))
-        return F.when((v > 15) & (v < 500), v)
+        return _if(v, lambda x: (x > 15) & (x < 500))
 
     any_label = text.rlike("(?iu)plocha|výmera|rozloha")
     cascade = F.when(any_label, F.coalesce(*map(labelled, SIZE_LABELS)))
@@ -180,7 +192,7 @@ def size_from_text(text: Column, title: Column | None = None) -> Column:
     steps = [cascade, F.get(F.filter(numbers, lambda x: (x > 20) & (x < 300)), F.lit(0))]
     if title is not None:
         v = _number(F.regexp_extract(title, r"([0-9]{2,4}(?:[.,][0-9]+)?)" + S + "*(?:m²|m2)", 1))
-        steps.append(F.when((v > 15) & (v < 500), v))
+        steps.append(_if(v, lambda x: (x > 15) & (x < 500)))
     return F.coalesce(*steps, F.lit(0.0))
 
 
@@ -190,7 +202,7 @@ def simple_size(text: Column) -> Column:
 
 def energy_from_text(text: Column) -> Column:
     found = F.upper(F.regexp_extract(text, r"(?iu)energetick[aá][\s\x{00A0}]+(?:trieda|certifik[\p{L}]*)[^A-Z]{0,30}?(?<![0-9A-Za-z_])([A-G][01]?)(?![0-9A-Za-z_])", 1))
-    return F.when(found.isin(*ENERGY_CLASSES), found).otherwise("UNKNOWN")
+    return F.coalesce(_if(found, lambda x: x.isin(*ENERGY_CLASSES)), F.lit("UNKNOWN"))
 
 
 def district(address: Column) -> Column:
@@ -207,11 +219,13 @@ def image_url(src: Column, base: str) -> Column:
 
 def details(pages: DataFrame) -> DataFrame:
     """Listing rows of detail pages (url, html): those with a price or a size. html is dropped at once."""
-    df = pages.select("url", "html").withColumns(ld_fields(F.col("html"))).withColumn("text", visible_text(F.col("html")))
+    df = pages.select("url", "html").withColumn("ld", linked_data(F.col("html"))).withColumn("text", visible_text(F.col("html")))
+    df = df.withColumns(ld_fields(F.col("ld"))).drop("ld")
     df = df.withColumns({"title": title(F.col("html"), F.col("ld_title")), "image": F.coalesce(nz(F.col("ld_image"), ""), meta(F.col("html"), "og:image"), F.lit(""))}).drop("html")
     df = df.withColumns({"price_eur": F.coalesce("ld_price", price_from_text(F.col("text"))), "size_m2": F.coalesce("ld_size", size_from_text(F.col("text"), F.col("title"))), "energy_class": energy_from_text(F.col("text")), "address_raw": F.coalesce("ld_address", F.lit(""))})
-    rows = df.select(F.md5(F.col("url").cast("binary")).alias("id"), "url", "title", "price_eur", "size_m2", F.col("ld_rooms").alias("rooms"), "energy_class", "address_raw", district(F.col("address_raw")).alias("district"), F.col("image").alias("primary_image_url"))
-    return rows.filter("price_eur > 0 OR size_m2 > 0")
+    row = F.struct(F.md5(F.col("url").cast("binary")).alias("id"), "url", "title", "price_eur", "size_m2", F.col("ld_rooms").alias("rooms"), "energy_class", "address_raw", district(F.col("address_raw")).alias("district"), F.col("image").alias("primary_image_url"))
+    # A filter over plain columns would be pushed down with all it needs and read every page twice; one over a generator's output stays.
+    return df.select(F.inline(F.array(row))).filter("price_eur > 0 OR size_m2 > 0")
 
 
 # --- API bodies
