@@ -143,13 +143,13 @@ def viterbi(score: np.ndarray, first: np.ndarray, prior: np.ndarray, switch: flo
     order = np.argsort(-length, kind="stable")
     order = order[length[order] > 0]
     begin, length = first[:-1][order], length[order]
-    out = np.zeros(n_words, np.int8)
+    out = np.zeros(n_words, np.int16)
     if not len(order):
         return out
     steps = int(length[0])
     active = np.searchsorted(-length, -np.arange(steps), side="left")  # texts with more than t words
     base = np.append(0, np.cumsum(active))
-    back, langs = np.empty((n_words, n_langs), np.int8), np.arange(n_langs, dtype=np.int8)
+    back, langs = np.empty((n_words, n_langs), np.int16), np.arange(n_langs, dtype=np.int16)
     best = score[begin] + prior
     for t in range(1, steps):
         n = active[t]
@@ -159,7 +159,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, prior: np.ndarray, switch: flo
         stay = now >= jump
         back[base[t] : base[t] + n] = np.where(stay, langs, top[:, None])
         best[:n] = np.where(stay, now, jump) + score[begin[:n] + t]
-    state = best.argmax(1).astype(np.int8)
+    state = best.argmax(1).astype(np.int16)
     for t in range(steps - 1, 0, -1):
         n = active[t]
         out[begin[:n] + t] = state[:n]
@@ -187,7 +187,7 @@ def _labels(model: Model, switch: float, column: pa.Array) -> Iterator[tuple[int
             scores.append(s)
         row, start, end = (np.concatenate(p) for p in zip(*parts, strict=True))
         first = np.searchsorted(row, np.arange(b - a + 1))
-        label = viterbi(np.concatenate(scores), first, model.prior, switch) if n_langs else np.zeros(len(row), np.int8)
+        label = viterbi(np.concatenate(scores), first, model.prior, switch) if n_langs else np.zeros(len(row), np.int16)
         cover = np.bincount(row * max(1, n_langs) + label, end - start, (b - a) * max(1, n_langs)).reshape(b - a, -1)
         total = cover.sum(axis=1)
         lang = np.where((total > 0) & (n_langs > 0), cover.argmax(axis=1), n_langs)
