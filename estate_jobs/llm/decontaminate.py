@@ -195,3 +195,19 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, index_bytes: int
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP10_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS doc, doc_id, coalesce({_SQL_WORDS}, []) AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, w, least({SPAN}, len(w)) AS n FROM (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS said FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM items)),
+places AS (SELECT doc, n, k, array_to_string(w[k:k + n - 1], ' ') AS said FROM (
+  SELECT doc, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, (SELECT DISTINCT n FROM items))),
+hits AS (SELECT doc, k, n, item_id FROM places JOIN windows USING (n, said)),
+hit_words AS (SELECT doc, count(DISTINCT word) AS n_hit FROM (SELECT doc, unnest(range(k, k + n)) AS word FROM hits) GROUP BY doc),
+hit_items AS (SELECT doc, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS names FROM hits GROUP BY doc)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (doc) LEFT JOIN hit_items USING (doc)
+"""

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from estate_jobs.llm.chat_format import OP2_SQL, op2_chat_format
-from estate_jobs.llm.decontaminate import op10_decontamination
+from estate_jobs.llm.decontaminate import OP10_SQL, op10_decontamination
 from estate_jobs.llm.language_id import op1_language_id
 from estate_jobs.llm.lm_scoring import op8_lm_scoring
 from estate_jobs.llm.mixing import OP5_SQL, op5_mixing
 from estate_jobs.llm.near_duplicates import op7_near_duplicates
 from estate_jobs.llm.quality import op4_quality_classifier
-from estate_jobs.llm.secrets import op6_secret_scan
+from estate_jobs.llm.secrets import OP6_SQL, op6_secret_scan
 from estate_jobs.llm.spot_signatures import op3_spot_signatures
 from estate_jobs.llm.url_filter import op9_url_filter
 
@@ -19,4 +19,4 @@ QUERIES = {
 }
 
 #: The other operators have no form in SQL; tests/llm holds them against brute force, round trips or held-out rows.
-ORACLES = {"op2_chat_format": OP2_SQL, "op5_mixing": OP5_SQL}
+ORACLES = {"op2_chat_format": OP2_SQL, "op5_mixing": OP5_SQL, "op6_secret_scan": OP6_SQL, "op10_decontamination": OP10_SQL}

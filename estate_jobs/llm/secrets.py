@@ -40,29 +40,36 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
 )
 BASE = 3
+#: Runs of literals that classes may spread into; a class that gives more ends the run.
+MOST_RUNS = 64
 
 
 def trigram_sets(regex: str) -> list[frozenset[str]]:
     """Sets of lower-case trigrams, one of which is complete in every text that the regex matches; [] if there is none.
 
     Literal runs give their trigrams, what follows in sequence is added to every set, alternatives give several sets.
+    A small class of literals within a run (gh[pousr]_) is an alternative for each of them.
     """
     parse = re._parser  # the parse tree of the standard library
 
     def of(items) -> list[frozenset[str]]:
-        sets, run = [frozenset()], ""
+        sets, runs = [frozenset()], [""]
 
         def close() -> None:
-            nonlocal sets, run
-            sets, run = [s | {run[k : k + 3] for k in range(len(run) - 2)} for s in sets], ""
+            nonlocal sets, runs
+            sets = list(dict.fromkeys(s | {run[k : k + 3] for k in range(len(run) - 2)} for s in sets for run in runs))
+            runs = [""]
 
         for op, arg in items:
             name = str(op)
             if name == "LITERAL":
-                run += chr(arg).lower()
+                runs = [run + chr(arg).lower() for run in runs]
+                continue
+            if name == "IN" and len(runs) * len(arg) <= MOST_RUNS and all(str(kind) == "LITERAL" for kind, _ in arg):
+                runs = list(dict.fromkeys(run + chr(c).lower() for run in runs for _, c in arg))
                 continue
             if name == "MAX_REPEAT" and arg[0] >= 1 and len(arg[2]) == 1 and str(arg[2][0][0]) == "LITERAL":
-                run += chr(arg[2][0][1]).lower() * min(arg[0], 3)
+                runs = [run + chr(arg[2][0][1]).lower() * min(arg[0], 3) for run in runs]
             close()
             if name == "SUBPATTERN":
                 sets = [s | t for s in sets for t in of(arg[3])]
@@ -161,3 +168,29 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = tuple(r.kind for r in RULES)
     count = lambda k: F.size(k).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, kinds[:BASE]), F.sha2(joined(kinds[:BASE]), 256).alias("base_sha256"), joined(kinds).alias("spans"))
+
+
+def _sql_regex(regex: str) -> str:
+    """The regex for SQL's engine, in which (?i:) would fold letters beyond ASCII too."""
+    folded = re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", regex)
+    return folded.replace("'", "''")
+
+
+_SQL_SPANS = " UNION ALL ".join(
+    f"SELECT doc, {n} AS n, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(text, '{_sql_regex(r.regex)}') AS p,"
+    f" regexp_extract_all(text, '{_sql_regex(r.regex)}') AS m, regexp_extract_all(text, '{_sql_regex(r.regex)}', {r.group}) AS g FROM docs"
+    for n, r in enumerate(RULES)
+)
+_SQL_JOINED = "string_agg(kind || ':' || begins || ':' || ends, ',' ORDER BY begins, n)"
+OP6_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({_SQL_SPANS}),
+each AS (SELECT doc, n, kind, least, k, length(p[k]) AS gap, length(m[k]) AS size, length(g[k]) AS counted FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM found)),
+placed AS (SELECT *, CAST(sum(gap + size) OVER (PARTITION BY doc, n ORDER BY k) AS BIGINT) AS ends FROM each),
+spans AS (SELECT doc, n, kind, ends - size AS begins, ends FROM placed WHERE counted >= least),
+sums AS (SELECT doc, count(*) FILTER (WHERE n = 0) AS n_assign, count(*) FILTER (WHERE n = 1) AS n_access, count(*) FILTER (WHERE n = 2) AS n_hex,
+  {_SQL_JOINED} FILTER (WHERE n < {BASE}) AS base, {_SQL_JOINED} AS spans FROM spans GROUP BY doc)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN sums USING (doc)
+"""
