@@ -30,12 +30,22 @@ class Rule(NamedTuple):
     least: int
 
 
+#: A private key: its header; header lines such as Proc-Type; the base64 body to the END line or, where that is missing,
+#: to the end of the lines of 20 characters or more and the line right after them. What separates lines may be written
+#: as \\n, as in JSON. Counts are bounded: nested ones may come to 1000 in SQL's engine, and Java recurs for each group.
+_HEAD = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_FIELD = r"[ \t\r\n\\nr]*[A-Z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)?:[^\r\n\\]*"
+_CLOSED = r"[A-Za-z0-9+/= \t\r\n\\]*-----END [A-Z ]*PRIVATE KEY-----"
+_LINE = r"(?:[ \t\r\n\\]+[A-Za-z0-9+/=]{20,})"
+_OPEN = f"{_LINE}{{1,49}}{_LINE}{{0,49}}{_LINE}{{0,49}}" + r"(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/=]+)?"
+PEM = f"{_HEAD}(?:(?:{_FIELD}){{0,4}}(?:{_CLOSED}|{_OPEN}))?"
+
 # The base rules, then those that the method adds.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("pem", PEM, 0, 1),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
 )
@@ -151,14 +161,17 @@ def joined(kinds: tuple[str, ...]) -> Column:
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """documents with every kept match replaced by mark, rule by rule, and n_chars of the new text."""
+    """documents with every kept match replaced by mark, rule by rule, and n_chars of the new text.
+
+    Keys go first: the mark of another rule within a key's header or body would hide the rest of it.
+    """
     def without(r: Rule) -> Column:
         found, counted = F.regexp_extract_all("text", F.lit(r.regex), F.lit(0)), F.regexp_extract_all("text", F.lit(r.regex), F.lit(r.group))
         rows = F.arrays_zip(F.split("text", r.regex, -1).alias("p"), found.alias("m"), counted.alias("g"))
         return F.array_join(F.transform(rows, lambda x: F.concat(x["p"], F.coalesce(F.when(F.length(x["g"]) >= r.least, F.lit(mark)).otherwise(x["m"]), F.lit("")))), "")
 
     out = to_search(documents, rules)
-    for r in rules:
+    for r in sorted(rules, key=lambda r: r.kind != "pem"):
         out = out.withColumn("text", F.when(F.array_contains("kinds", r.kind) & F.col("text").rlike(_quick(r)), without(r)).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(documents.columns)
 

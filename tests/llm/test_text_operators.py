@@ -190,6 +190,32 @@ def test_secrets(spark, docs_of):
     assert secrets.find_secrets(docs.filter("false")).count() == 0
 
 
+def test_private_keys_go_whole(spark, docs_of):
+    body = [("Ab1+/Cd2" * 8)[k:] + "Zz9" * k for k in range(3)]
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B2C3D\n\n"
+    texts = {
+        "closed": "\n".join(["a", head, *body, "qrs=", foot, "b"]),
+        "fields": f"a\n{head}\n{fields}" + "\n".join([*body, foot, "b"]),
+        "json": 'a "key": "' + "\\n".join([head, *body, foot]) + '", b',
+        "one line": " ".join(["a", head, *body, "qrs=", foot, "b"]),
+        "open": "\r\n".join(["a", head, *body, "qrs="]) + "\r\n\r\nb",
+        "indented": "\n    ".join(["a", head, *body * 33, "qrs="]) + "\n\nb",
+        "assigned": f"a secret: {head}\n" + "\n".join([*body, foot, "b"]),
+        "hex": "\n".join(["a", head, "0123456789abcdef" * 4, *body, foot, "b"]),
+        "words": f"a {head} and what follows, b",
+        "many": "\n".join(["a", head, *body * 20000, foot, "b"]),
+    }
+    rows = docs_of([(k, t, None, None) for k, t in enumerate(texts.values())])
+    got = dict(zip(texts, (r.text for r in secrets.redact(rows).orderBy("doc_id").collect()), strict=True))
+    for name, text in got.items():
+        assert text.startswith("a") and text.endswith("b") and "[SECRET]" in text, name
+        assert not re.search("Ab1|Zz9|Cd2|qrs|0A1B|BEGIN|PRIVATE|END", text), name
+    assert got["words"] == "a [SECRET] and what follows, b" and got["closed"] == "a\n[SECRET]\nb" and got["open"] == "a\n[SECRET]\r\n\r\nb".replace("a\n", "a\r\n")
+    found = secrets.find_secrets(rows).select("doc_id", secrets.joined(tuple(r.kind for r in secrets.RULES)).alias("spans")).collect()
+    assert {r.doc_id: r.spans for r in found} == {k: brute_spans(t) for k, t in enumerate(texts.values())}
+
+
 def test_secret_query(spark):
     texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     assert all(r.spans == brute_spans(texts[r.doc_id]) for r in secrets.op6_secret_scan(spark, SF).collect())
