@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estate_jobs.llm.common import table
@@ -145,14 +145,14 @@ def _prints(key: str, lengths: tuple[int, ...]):
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hit words of (document, item) pairs."""
+    """Hit words of (text, item) pairs."""
     for batch in batches:
-        ids, items, out = batch.column("doc_id").to_pylist(), batch.column("item_id").to_pylist(), []
+        keys, items, out = batch.column("key").to_pylist(), batch.column("item_id").to_pylist(), []
         for k, (text, item) in enumerate(zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist(), strict=True)):
             w = words(*buffers(pa.array([text], pa.string())))
             found = {j for i, n, _ in Index([("", item)]).hits(w) for j in range(i, i + n)}
-            out += [(ids[k], items[k], j) for j in found]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.string(), pa.int64()), strict=True)], ["doc_id", "item_id", "word"])
+            out += [(keys[k], items[k], j) for j in found]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.binary(), pa.string(), pa.int64()), strict=True)], ["key", "item_id", "word"])
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -165,31 +165,50 @@ def _index(items: DataFrame, index_bytes: int) -> Index | None:
     return Index([(r.item_id, r.text) for r in items.collect()]) if size <= index_bytes else None
 
 
+def _key(text: Column) -> Column:
+    """What a text's hits are joined back by: rows of equal texts have equal hits, whatever their ids; null for a null text."""
+    return F.unhex(F.sha2(text.cast("string").cast("binary"), 256))
+
+
+def _joined(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """key, items, n_hit of the texts (key, text) that hold a window, by shuffled fingerprints."""
+    size = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
+    lengths = tuple(r.n for r in items.select(size.alias("n")).filter(f"n between 1 and {SPAN - 1}").distinct().collect())
+    items = items.distinct()
+    pairs = texts.mapInArrow(_prints("key", lengths), "key binary, print long").join(items.mapInArrow(_prints("item_id", lengths), "item_id string, print long"), "print").select("key", "item_id").distinct()
+    found = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(texts, "key").select("key", "text", "item_id", "item_text").mapInArrow(_verify, "key binary, item_id string, word long")
+    return found.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.countDistinct("word").alias("n_hit"))
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, n_words, _, _ in _found(Index([]), batch.column("text")):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(n_words)], ["doc_id", "key", "n_words"])
+
+
 def keep(documents: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """The rows of documents in which no window of an item occurs."""
-    if (index := _index(_items(benchmark), index_bytes)) is not None:
+    items = _items(benchmark)
+    if (index := _index(items, index_bytes)) is not None:
         return documents.mapInArrow(_keep(index), documents.schema)
-    hit = find_benchmark(documents, benchmark, index_bytes).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id"))
-    return documents.join(hit, F.col("doc_id") == F.col("hit_id"), "left_anti")
+    texts = documents.select(_key(F.col("text")).alias("key"), F.col("text").cast("string")).filter("key IS NOT NULL")
+    hit = _joined(texts, items).select(F.col("key").alias("hit_key"))
+    return documents.join(hit, _key(documents["text"]) == hit["hit_key"], "left_anti")
 
 
 def find_benchmark(documents: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids of the benchmark items that occur, sorted as strings) of every document.
 
     A benchmark of at most index_bytes is indexed in each task, so documents need no shuffle; a larger one is joined
-    by fingerprint, for which doc_id must be a key (rows with a null doc_id then find nothing).
+    by fingerprint. Either way every row is judged by its own text, also where doc_id is null or repeated.
     """
     docs, items = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _items(benchmark)
     if (index := _index(items, index_bytes)) is not None:
         return docs.mapInArrow(_scan(index), SCHEMA)
-    size = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
-    lengths = tuple(r.n for r in items.select(size.alias("n")).filter(f"n between 1 and {SPAN - 1}").distinct().collect())
-    items = items.distinct()
-    pairs = docs.mapInArrow(_prints("doc_id", lengths), "doc_id long, print long").join(items.mapInArrow(_prints("item_id", lengths), "item_id string, print long"), "print").select("doc_id", "item_id").distinct()
-    found = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id").select("doc_id", "text", "item_id", "item_text").mapInArrow(_verify, "doc_id long, item_id string, word long")
-    far = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.countDistinct("word").alias("n_hit"))
-    counts = docs.mapInArrow(_scan(Index([])), SCHEMA).select("doc_id", "n_words")
-    return counts.join(far, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    keyed = docs.withColumn("key", _key(F.col("text")))
+    far = _joined(keyed.select("key", "text").filter("key IS NOT NULL"), items)
+    counts = keyed.mapInArrow(_sizes, "doc_id long, key binary, n_words long")
+    return counts.join(far, "key", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

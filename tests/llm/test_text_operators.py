@@ -354,6 +354,17 @@ def test_benchmark_hits(spark, docs_of, make, index_bytes):
     assert all(r.n_hit == 0 for r in decontaminate.find_benchmark(table_, bench.filter("false"), index_bytes).collect())
 
 
+def test_benchmark_hits_of_null_and_repeated_ids(spark, docs_of, make):
+    items = [(k, make("en", 14 + k, k)) for k in range(3)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(None, "x " + items[0][1]), (None, "clean"), (1, items[1][1]), (1, "clean too"), (1, items[2][1] + " y"), (2, items[0][1]), (2, items[0][1]), (None, None), (3, None)]
+    table_ = docs_of([(i, t, None, None) for i, t in docs])
+    for index_bytes in (1 << 20, 0):
+        found = decontaminate.find_benchmark(table_, bench, index_bytes).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found) == brute_hits(docs, items)
+        assert Counter((r.doc_id, r.text) for r in decontaminate.keep(table_, bench, index_bytes).collect()) == Counter([(None, "clean"), (1, "clean too"), (None, None), (3, None)])
+
+
 def test_benchmark_query(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
