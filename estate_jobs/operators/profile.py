@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +17,8 @@ PATTERNS = {
 }
 # Labelled URL patterns and parts of URLs that are denied.
 MINED = {"api": r'["\'`]((?:https?://[^"\'`\s]{0,30})?/api/[^"\'`\s]{5,120})["\'`]', "fetch": r'fetch\(["\'`]([^"\'`\s)]{10,120})["\'`]', "graphql": r'["\'`]([^"\'`\s]*graphql[^"\'`\s]*)["\'`]', "links": r'href="(https?://[^"\s]{5,200})"', "paths": r'href="(/[^"\s]{5,200})"'}
+#: Page numbers of a site that are ordered together.
+RANGE = 1 << 14
 DENIED = r"\.(css|js|png|jpg|svg|woff)|google|facebook|analytics"
 
 
@@ -82,14 +88,39 @@ def pagination(pages: DataFrame, words: str = "page|next|strana|dalsia") -> Data
     return pages.select("page_id", F.explode(both).alias("x")).select("page_id", "x.href", "x.label").filter(F.lower("href").rlike(words) | F.lower("label").rlike(words)).distinct()
 
 
+def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of places, up to the end of the shorter one, where two texts have different characters."""
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for batch in batches:
+        n = []
+        for x, y in zip(batch.column("html"), batch.column("before_html"), strict=True):
+            a, b = codes(x.as_py()), codes(y.as_py())
+            m = min(len(a), len(b))
+            n.append(int(np.count_nonzero(a[:m] != b[:m])))
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("before"), pa.array(n, pa.int64())], ["digest", "before", "n"])
+
+
 def repeats(pages: DataFrame) -> DataFrame:
-    """page_id, same, differing: each page of a site (site, page_no) against the one before; only unequal ones are compared by character."""
-    order = W.partitionBy("site").orderBy("page_no")
-    df = pages.withColumn("before", F.lag("html").over(order)).filter("before IS NOT NULL")
-    same = F.md5(F.col("html").cast("binary")) == F.md5(F.col("before").cast("binary"))
-    n = F.least(F.length("html"), F.length("before"))
-    marks = F.zip_with(F.split(F.substring("html", 1, 1 << 30), ""), F.split(F.substring("before", 1, 1 << 30), ""), lambda a, b: (a != b).cast("int"))
-    return df.select("page_id", same.alias("same"), F.when(same, 0).otherwise(F.aggregate(F.slice(marks, F.lit(1), n), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))).cast("long").alias("differing"))
+    """page_id, same, differing: each page of a site (site, page_no) against the one before; only unequal ones are compared by character.
+
+    Only digests are ordered, in ranges of page_no; the last page of a range is carried to the site's next one. The
+    html is joined back by digest for the unequal pairs, each pair of contents once.
+    """
+    whole = pages.select("page_id", "site", "page_no", "html", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+    keyed = whole.select("page_id", "site", "page_no", "digest", F.floor(F.col("page_no") / RANGE).alias("part"))
+    own = F.struct("page_no", "page_id", "digest")
+    lasts = keyed.groupBy("site", "part").agg(F.max(own).alias("last"))
+    carried = lasts.select(F.col("site").alias("at_site"), F.col("part").alias("at_part"), F.lag("last").over(W.partitionBy("site").orderBy("part")).alias("carried"))
+    lagged = keyed.withColumn("previous", F.lag(own).over(W.partitionBy("site", "part").orderBy("page_no", "page_id", "digest")))
+    paired = lagged.join(carried, F.col("site").eqNullSafe(F.col("at_site")) & F.col("part").eqNullSafe(F.col("at_part")), "left")
+    before = F.when(F.col("previous").isNotNull(), F.col("previous.digest")).otherwise(F.col("carried.digest"))
+    paired = paired.select("page_id", "digest", before.alias("before")).filter("before IS NOT NULL")
+    unequal = paired.filter("digest <> before").select("digest", "before").distinct()
+    contents = whole.filter("digest IS NOT NULL").select("digest", "html").dropDuplicates(["digest"])
+    texts = unequal.join(contents, "digest").join(contents.select(F.col("digest").alias("before"), F.col("html").alias("before_html")), "before")
+    counted = texts.select("digest", "before", "html", "before_html").mapInArrow(_differing, "digest string, before string, n long")
+    same = F.col("digest") == F.col("before")
+    return paired.join(counted, ["digest", "before"], "left").select("page_id", same.alias("same"), F.when(same, 0).otherwise(F.col("n")).cast("long").alias("differing"))
 
 
 def body_shapes(bodies: DataFrame) -> DataFrame:

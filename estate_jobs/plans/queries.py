@@ -421,7 +421,7 @@ def p9_pagination(t: Tables) -> DataFrame:
 
 @query
 def p10_repeats(t: Tables) -> DataFrame:
-    pages = t.table("pages").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("site"), F.col("page_id").alias("page_no"), F.substring("html", 1, 400).alias("html"))
+    pages = t.table("pages").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("site"), F.col("page_id").alias("page_no"), "html")
     return profile.repeats(pages)
 
 

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from estate_jobs.functions.columns import haversine
-from estate_jobs.operators import cashflow, deeds, extract, location, merge
+from estate_jobs.operators import cashflow, deeds, extract, location, merge, profile
 from estate_jobs.sources import tables
 from estate_jobs.streaming import daily
 
@@ -168,6 +168,34 @@ def test_linked_data(spark):
     assert got[4] == got[5] == (None,) * 6
 
 
+def test_repeats_compare_whole_pages(spark, monkeypatch):
+    monkeypatch.setattr(profile, "RANGE", 4)
+    head = "é𝄞" * 300
+    html = {1: head + "body", 2: head + "boxy and more", 3: head + "boxy and more", 5: None, 6: "a", 40: head + "b", 41: head + "c", 90: "x", 91: head + "d"}
+    sites = {k: None if k > 80 else "s" for k in html}
+    rows = spark.createDataFrame([(k, sites[k], k, t) for k, t in html.items()], "page_id long, site string, page_no long, html string")
+    want, ids = {}, list(html)
+    for a, b in zip(ids, ids[1:], strict=False):
+        if sites[a] == sites[b] and html[a] is not None:
+            want[b] = (None, None) if html[b] is None else (html[a] == html[b], sum(x != y for x, y in zip(html[a], html[b], strict=False)))
+    assert {r.page_id: (r.same, r.differing) for r in profile.repeats(rows).collect()} == want and want[2] == (False, 1)
+    assert profile.repeats(rows.filter("false")).count() == 0
+
+
+def test_repeats_query_on_whole_pages(spark):
+    import __spark_entry__ as entry
+
+    rows = sorted(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect())
+    last, want = {}, {}
+    for r in rows:
+        site = (r.url.split("/") + [""] * 3)[2]
+        if site in last:
+            want[r.page_id] = (last[site] == r.html, sum(x != y for x, y in zip(last[site], r.html, strict=False)))
+        last[site] = r.html
+    got = entry.queries()["p10_repeats"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.page_id: (r.same, r.differing) for r in got} == want and len(got) == len(want) > 0
+
+
 def test_queries_run(spark):
     import __spark_entry__ as entry
 
