@@ -72,11 +72,13 @@ def score(transit: Column, amenities: Column, construction: Column, noise: Colum
 
 
 def run(listings: DataFrame, scores: DataFrame, places: DataFrame, sites: DataFrame, noise: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """New location scores. Listings bring lat and lng, or an address that names a city; others are skipped."""
+    """New location scores. A listing brings both lat and lng, or else an address that names a city; others are skipped."""
     todo = unscored(listings, scores)
-    if "lat" not in todo.columns:
-        lat, lng = geocode(F.col("address_raw"))
-        todo = todo.withColumn("lat", lat).withColumn("lng", lng)
+    lat, lng = geocode(F.col("address_raw"))
+    if "lat" in todo.columns and "lng" in todo.columns:
+        own = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+        lat, lng = F.when(own, F.col("lat")).otherwise(lat), F.when(own, F.col("lng")).otherwise(lng)
+    todo = todo.withColumns({"lat": lat, "lng": lng})
     todo = todo.filter("lat IS NOT NULL AND lng IS NOT NULL").select("id", "lat", "lng", "district", "energy_class")
     around = surroundings(todo, places, p).join(hazards(todo, sites, noise, p), "id")
     points, tier = score(F.col("nearest_transit_m"), F.col("amenity_count"), F.col("construction_risk"), F.col("noise_flag"), F.col("energy_class"), p)

@@ -196,6 +196,16 @@ def test_repeats_query_on_whole_pages(spark):
     assert {r.page_id: (r.same, r.differing) for r in got} == want and len(got) == len(want) > 0
 
 
+def test_location_of_listings_without_coordinates(spark):
+    rows = [("own", 48.5, 18.5, "Ulica 1, Košice"), ("none", None, None, "Ulica 1, Košice"), ("half", 48.5, None, "Ulica 1, Košice"), ("nowhere", None, None, "Ulica 1"), ("no address", 48.5, 18.5, None)]
+    listings = spark.createDataFrame([(*r, "PASS", 1, "Košice I", "A") for r in rows], "id string, lat double, lng double, address_raw string, lv_status string, is_active int, district string, energy_class string")
+    places = spark.createDataFrame([("transit_station", 48.5, 18.5)], "type string, lat double, lng double")
+    sites = places.select("lat", "lng").filter("false")
+    run = lambda df: {r.listing_id: (r.lat, r.lng) for r in location.run(df, spark.createDataFrame([], "listing_id string"), places, sites, sites.withColumn("db", F.lit(1.0))).collect()}
+    city = run(listings.drop("lat", "lng"))["none"]
+    assert run(listings) == {"own": (48.5, 18.5), "none": city, "half": city, "no address": (48.5, 18.5)}
+
+
 def test_queries_run(spark):
     import __spark_entry__ as entry
 
