@@ -6,6 +6,7 @@ import html.parser
 import urllib.parse
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -263,43 +264,89 @@ def api_listings(bodies: DataFrame, base: str) -> DataFrame:
 
 # --- cards: the one place where a page's structure needs a parser
 
+class _Node(NamedTuple):
+    tag: str
+    attrs: dict[str, str]
+    #: Place of the parent in the page's nodes, and first piece of text.
+    parent: int
+    begin: int
+
+
 class _Cards(html.parser.HTMLParser):
-    """Cards of one page: div.inzeratyflex with parts inzeratynadpis, inzeratycena, inzeratylok."""
+    """Cards of one page: div.inzeratyflex with parts inzeratynadpis, inzeratycena, inzeratylok.
+
+    On a page without such a div each link to a listing is taken once, with the nearest card-like element around it.
+    What is still open at the end of the page ends there.
+    """
 
-    PARTS = {"inzeratynadpis": "link_text", "inzeratycena": "price_text", "inzeratylok": "loc_text"}
-    VOID = {"img", "br", "hr", "input", "meta", "link"}
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+    LEVELS = 6
 
     def __init__(self) -> None:
         super().__init__()
-        self.cards, self.stack, self.card = [], [], None
+        self.nodes, self.ends, self.stack, self.pieces = [_Node("", {}, -1, 0)], {}, [0], []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = {k: v or "" for k, v in attrs}
-        classes = a.get("class", "").split()
-        if self.card is None and tag == "div" and "inzeratyflex" in classes:
-            self.card, self.stack = {"href": "", "link_text": "", "card_text": "", "price_text": "", "loc_text": "", "img": ""}, []
-        if self.card is not None:
-            if tag == "a" and "/inzerat/" in a.get("href", "") and not self.card["href"]:
-                self.card["href"] = a["href"]
-            if tag == "img" and not self.card["img"]:
-                self.card["img"] = a.get("src", "")
-            if tag not in self.VOID:
-                self.stack.append((tag, next((self.PARTS[c] for c in classes if c in self.PARTS), "")))
+        self.nodes.append(_Node(tag, {k: v or "" for k, v in attrs}, self.stack[-1], len(self.pieces)))
+        k = len(self.nodes) - 1
+        if tag in self.VOID:
+            self.ends[k] = (len(self.pieces), k + 1)
+        else:
+            self.stack.append(k)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.card is not None and any(t == tag for t, _ in self.stack):
-            while self.stack.pop()[0] != tag:
-                pass
-            if not self.stack:
-                self.cards.append({k: " ".join(v.split()) for k, v in self.card.items()})
-                self.card = None
+        if any(self.nodes[k].tag == tag for k in self.stack):
+            while True:
+                k = self.stack.pop()
+                self.ends[k] = (len(self.pieces), len(self.nodes))
+                if self.nodes[k].tag == tag:
+                    break
 
     def handle_data(self, data: str) -> None:
-        if self.card is not None:
-            self.card["card_text"] += f" {data}"
-            for _, part in self.stack:
-                if part:
-                    self.card[part] += f" {data}"
+        self.pieces.append(data)
+
+    def _end(self, k: int) -> tuple[int, int]:
+        """Ends (exclusive) of a node's pieces of text and of the nodes within it."""
+        return self.ends.get(k, (len(self.pieces), len(self.nodes)))
+
+    def _text(self, k: int | None) -> str:
+        return "" if k is None else " ".join(" ".join(self.pieces[self.nodes[k].begin : self._end(k)[0]]).split())
+
+    def _first(self, k: int, fits: Callable[[_Node, str], bool]) -> int | None:
+        """First node within node k that fits (the node and its classes)."""
+        return next((j for j in range(k + 1, self._end(k)[1]) if fits(self.nodes[j], self.nodes[j].attrs.get("class", ""))), None)
+
+    def _card(self, k: int, link: int, title: int | None, price: int | None, place: int | None) -> dict[str, str]:
+        img = self._first(k, lambda n, _: n.tag == "img" and bool(n.attrs.get("src")))
+        return {"href": self.nodes[link].attrs["href"], "link_text": self._text(title), "card_text": self._text(k), "price_text": self._text(price), "loc_text": self._text(place), "img": "" if img is None else self.nodes[img].attrs["src"]}
+
+    def _around(self, link: int) -> int | None:
+        """As in the reference: where no element is card-like within six levels, the next one, if there is one."""
+        k = self.nodes[link].parent
+        for _ in range(self.LEVELS):
+            if k < 0:
+                return None
+            name = self.nodes[k].attrs.get("class", "")
+            if "inzeratyflex" in name or "inzerat" in name and self.nodes[k].tag == "div":
+                break
+            k = self.nodes[k].parent
+        return k if k >= 0 else None
+
+    def cards(self) -> list[dict[str, str]]:
+        is_link = lambda n, _="": n.tag == "a" and "/inzerat/" in n.attrs.get("href", "")
+        part = lambda name: lambda _, classes: name in classes.split()
+        found = [k for k, n in enumerate(self.nodes) if n.tag == "div" and "inzeratyflex" in n.attrs.get("class", "").split()]
+        if found:
+            linked = [(k, self._first(k, is_link)) for k in found]
+            return [self._card(k, link, *(self._first(k, part(p)) for p in ("inzeratynadpis", "inzeratycena", "inzeratylok"))) for k, link in linked if link is not None]
+        links = {}
+        for j, n in enumerate(self.nodes):
+            if is_link(n):
+                links.setdefault(n.attrs["href"], j)
+        priced = lambda _, classes: "cena" in classes
+        placed = lambda n, classes: n.tag == "div" and "inzeratylok" in classes.split() or "lokalita" in classes or "mesto" in classes
+        around = [(j, self._around(j)) for j in links.values()]
+        return [self._card(k, j, j, self._first(k, priced), self._first(k, placed)) for j, k in around if k is not None]
 
 
 def _parse_cards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,12 +355,13 @@ def _parse_cards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page_id, text in zip(pdf["page_id"], pdf["html"], strict=True):
             parser = _Cards()
             parser.feed(text or "")
-            rows += [{"page_id": page_id, **c} for c in parser.cards if c["href"]]
+            parser.close()
+            rows += [{"page_id": page_id, **c} for c in parser.cards()]
         yield pd.DataFrame(rows, columns=["page_id", "href", "link_text", "card_text", "price_text", "loc_text", "img"])
 
 
 def cards(pages: DataFrame, base: str) -> DataFrame:
-    """Listing rows of pages (page_id, html) of cards, one for each card with a listing link."""
+    """Listing rows of pages (page_id, html): one for each card with a listing link; on a page without cards, one for each listing link."""
     found = pages.select("page_id", "html").mapInPandas(_parse_cards, "page_id long, href string, link_text string, card_text string, price_text string, loc_text string, img string")
     url = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.lit(base), F.col("href")))
     own = digits_price(F.col("price_text"))

@@ -206,6 +206,21 @@ def test_location_of_listings_without_coordinates(spark):
     assert run(listings) == {"own": (48.5, 18.5), "none": city, "half": city, "no address": (48.5, 18.5)}
 
 
+def test_cards_of_odd_pages(spark):
+    pages = {
+        1: '<div class="inzerat x"><h2><a href="/inzerat/1/">Byt <b>A</b></a></h2><a href="/inzerat/1/">again</a><img><img src="/1.jpg"><span class="cena-eur">90 000 €</span><p class="lokalita">Nitra</p> 50 m2</div><p><a href="/inzerat/2/">Byt B</a></p><a href="/other">x</a>',
+        2: '<section><div class="inzeratyflex"><div class="inzeratynadpis"><a href="/inzerat/3/">Byt C</a></div><div class="inzeratycena">70 000 €</div> 40 m2',
+        3: '<div class="inzeratyflex"><div class="inzeratynadpis"><a href="/inzerat/4/">Byt D</a></div></div><a href="/inzerat/5/">stray</a>',
+        4: "<i>" * 7 + '<a href="/inzerat/6/">deep</a>',
+        5: None,
+    }
+    rows = spark.createDataFrame(list(pages.items()), "page_id long, html string")
+    got = {r.url: (r.page_id, r.title, r.price_eur, r.size_m2, r.address_raw, r.primary_image_url) for r in extract.cards(rows, "b:").collect()}
+    assert got["b:/inzerat/1/"] == (1, "Byt A", 90000.0, 50.0, "Nitra", "b:/1.jpg")
+    assert got["b:/inzerat/3/"] == (2, "Byt C", 70000.0, 40.0, "", "")
+    assert set(got) == {f"b:/inzerat/{k}/" for k in (1, 3, 4, 6)}
+
+
 def test_queries_run(spark):
     import __spark_entry__ as entry
 
