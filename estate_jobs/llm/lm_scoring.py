@@ -1,31 +1,38 @@
 """Masked pseudo-likelihood scores of documents.
 
 Every word is predicted from the two words on either side of it by a small window network trained in numpy, and the
-log-probabilities are summed. Words are hashed into 2^18 slots whose counts over all documents are gathered first;
-the 127 most frequent slots are classes of their own, the others share 128 classes, and a word's probability is its
-class's (from the network) times its slot's share of the class. The network trains on every word once: in each round
-a partition runs Adam over its share of the words, the partitions' weights are averaged, and the next round starts
-from the average.
+log-probabilities are summed. All distinct words and their counts lie in a table that grows with the corpus. The most
+frequent words are classes of the network, the others share classes by hash, and a word's probability is its class's
+(from the network) times its own share of the class; the number of classes follows that of distinct words. Shares of
+the HOT most frequent words are held by each task, those of the others are joined back by word. The network trains on
+every word once: in each round a partition runs Adam over its share of the words, the partitions' weights are
+averaged, and the next round starts from the average.
+
+Words are told apart by 64-bit hashes within a chunk and among the hot words, by their characters elsewhere.
 
 Edge cases: a null, empty or wordless text has 0 words, log_prob 0 and a null score; words beyond the ends of the
-text are a padding class; unseen words have a small probability; repeated rows score alike; empty tables give none.
+text are a padding class; unseen words count as half an occurrence; repeated rows score alike; empty tables give none.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estate_jobs.llm.common import table
-from estate_jobs.llm.tokens import buffers, chunks, words
+from estate_jobs.llm.common import shared_folder, table
+from estate_jobs.llm.tokens import LOWER, Words, buffers, chunks, words
 
-SLOTS, FREQUENT, SHARED = 1 << 18, 127, 128
+#: Classes up to 2^18 distinct words: own ones of the most frequent words, and shared ones. Beyond, four times the cube root.
+FREQUENT, SHARED = 127, 128
 CLASSES = FREQUENT + SHARED
-PAD = CLASSES
+#: Most frequent words whose counts each task holds; those of the others are shuffled.
+HOT = 1 << 17
 WINDOW = (-2, -1, 1, 2)
 #: Rounds of training; each takes every ROUNDS-th word as a target, another set each time, until all had their turn.
 WIDTH, ROUNDS, SEED = 16, 2, 7
@@ -33,53 +40,124 @@ WIDTH, ROUNDS, SEED = 16, 2, 7
 BATCH, RATE, PART = 2048, 0.01, 1024
 
 
-def _slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    w = words(data, offsets)
-    return (w.hash & np.uint64(SLOTS - 1)).astype(np.int64), w.row
+def _kept(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/lm-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _said(w: Words, at: np.ndarray) -> pa.Array:
+    """The lower-cased words at some places."""
+    low = LOWER[w.raw].tobytes() if len(at) else b""
+    return pa.array([low[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)], pa.binary())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(SLOTS, np.int64)
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         for a, b in chunks(offsets):
-            n += np.bincount(_slots(data, offsets[a : b + 1])[0], minlength=SLOTS)
-    at = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
+            w = words(data, offsets[a : b + 1])
+            value, at, n = np.unique(w.hash, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([_said(w, at), pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "hash", "n"])
 
 
-class Vocabulary:
-    """Class of each slot and log-probability of the slot within its class."""
+def _bucket(hashes: np.ndarray, shared: int) -> np.ndarray:
+    return (hashes & np.uint64(0x7FFFFFFF)).astype(np.int64) % shared
+
+
+class Index:
+    """What tasks hold of the vocabulary: the class of any word, and log-shares within it as far as they are known."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, size: int, totals: np.ndarray, kinds: np.ndarray) -> None:
+        """Hot words, the most frequent first; number of distinct words; occurrences and distinct words of each bucket."""
+        self.own = frequent_of(size)
+        self.classes = classes_of(size)
+        self.shared = self.classes - self.own
+        top = hashes[: self.own]
+        order = np.argsort(top)
+        self.top, self.rank = top[order], order.astype(np.int16)
+        of = _bucket(top, self.shared)
+        totals, kinds = totals - np.bincount(of, counts[: self.own], self.shared), kinds - np.bincount(of, minlength=self.shared)
+        #: Occurrences of each shared class, half a one added for each of its words and for one unseen.
+        self.log_total = np.log(totals + 0.5 * (kinds + 1))
+        rest, n = hashes[self.own :], counts[self.own :]
+        order = np.argsort(rest)
+        self.hot, self.log_n = rest[order], np.log(n[order] + 0.5)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = (self.own + _bucket(hashes, self.shared)).astype(np.int16)
+        at, there = _find(self.top, hashes)
+        out[there] = self.rank[at[there]]
+        return out
 
-    def __init__(self, counts: np.ndarray) -> None:
-        top = np.argsort(-counts, kind="stable")[:FREQUENT]
-        self.of = (FREQUENT + np.arange(SLOTS) % SHARED).astype(np.int16)
-        self.of[top] = np.arange(len(top))
-        smooth = counts + 0.5
-        self.log_share = np.log(smooth / np.bincount(self.of, smooth, CLASSES)[self.of]).astype(np.float32)
+    def log_share(self, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-share of each word within its class, of those that aren't hot only its divisor; the places of these."""
+        out, others = np.zeros(len(hashes)), np.flatnonzero(classes >= self.own)
+        out[others] = -self.log_total[classes[others] - self.own]
+        at, there = _find(self.hot, hashes[others])
+        out[others[there]] += self.log_n[at[there]]
+        return out, others[~there]
 
 
-def start(seed: int = SEED) -> np.ndarray:
+def _find(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in known (sorted) of each hash, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return at, known[at] == hashes
+
+
+def classes_of(size: int) -> int:
+    """Number of classes for so many distinct words."""
+    return max(CLASSES, round(4 * size ** (1 / 3)))
+
+
+def frequent_of(size: int) -> int:
+    """Number of them that are a word each."""
+    return classes_of(size) * FREQUENT // CLASSES
+
+
+class Vocabulary:
+    """The table of all words (word, hash, n), what tasks hold of it, and the words that they don't (None if they hold all)."""
+
+    def __init__(self, texts: DataFrame, hot: int = HOT) -> None:
+        counted = texts.mapInArrow(_count, "word binary, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n"))
+        self.words = _kept(counted)
+        size = self.words.count()
+        hot = max(hot, frequent_of(size))
+        first = self.words.orderBy(F.desc("n"), "word").limit(hot).select("hash", "n").toArrow()
+        shared = classes_of(size) - frequent_of(size)
+        bucket = (F.col("hash").bitwiseAND(F.lit(0x7FFFFFFF)) % shared).alias("bucket")
+        got = self.words.groupBy(bucket).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).toArrow()
+        totals, kinds = np.zeros(shared), np.zeros(shared)
+        totals[got.column("bucket").to_numpy()], kinds[got.column("bucket").to_numpy()] = got.column("total").to_numpy(), got.column("kinds").to_numpy()
+        self.index = Index(first.column("hash").to_numpy().astype(np.int64).view(np.uint64), first.column("n").to_numpy().astype(np.float64), size, totals, kinds)
+        self.others = self.words.select("word", "n") if size > hot else None
+
+
+def start(seed: int = SEED, classes: int = CLASSES) -> np.ndarray:
     """All weights in one array: embeddings of the four places, output matrix, output bias."""
     rng = np.random.default_rng(seed)
-    n = len(WINDOW) * (CLASSES + 1) * WIDTH + WIDTH * CLASSES
-    return np.concatenate([rng.normal(0, 0.3, n), np.zeros(CLASSES)]).astype(np.float32)
+    n = len(WINDOW) * (classes + 1) * WIDTH + WIDTH * classes
+    return np.concatenate([rng.normal(0, 0.3, n), np.zeros(classes)]).astype(np.float32)
 
 
 def unpack(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(WINDOW) * (CLASSES + 1) * WIDTH
-    m = n + WIDTH * CLASSES
-    return weights[:n].reshape(len(WINDOW), CLASSES + 1, WIDTH), weights[n:m].reshape(WIDTH, CLASSES), weights[m:]
+    classes = (len(weights) - len(WINDOW) * WIDTH) // (len(WINDOW) * WIDTH + WIDTH + 1)
+    n = len(WINDOW) * (classes + 1) * WIDTH
+    m = n + WIDTH * classes
+    return weights[:n].reshape(len(WINDOW), classes + 1, WIDTH), weights[n:m].reshape(WIDTH, classes), weights[m:]
 
 
-def context(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Classes of the words around each word, PAD outside its row."""
-    out = np.full((len(classes), len(WINDOW)), PAD, np.int16)
+def context(classes: np.ndarray, rows: np.ndarray, pad: int) -> np.ndarray:
+    """Classes of the words around each word, pad outside its row."""
+    out = np.full((len(classes), len(WINDOW)), pad, np.int16)
     for k, d in enumerate(WINDOW):
         a, b = max(0, -d), len(classes) - max(0, d)
         if b > a:
             inside = rows[a:b] == rows[a + d : b + d]
-            out[a:b, k] = np.where(inside, classes[a + d : b + d], PAD)
+            out[a:b, k] = np.where(inside, classes[a + d : b + d], pad)
     return out
 
 
@@ -118,7 +196,7 @@ def gradient(weights: np.ndarray, ctx: np.ndarray, target: np.ndarray) -> np.nda
     return g
 
 
-def _train(weights: np.ndarray, vocabulary: Vocabulary, turn: int, rounds: int):
+def _train(weights: np.ndarray, index: Index, turn: int, rounds: int):
     """One pass over a partition; its weights, times the number of targets it saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +204,9 @@ def _train(weights: np.ndarray, vocabulary: Vocabulary, turn: int, rounds: int):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for a, b in chunks(offsets):
-                slot, row = _slots(data, offsets[a : b + 1])
-                classes = vocabulary.of[slot]
-                ctx = context(classes, row)
+                said = words(data, offsets[a : b + 1])
+                classes, row = index.of(said.hash), said.row
+                ctx = context(classes, row, index.classes)
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 chosen = np.flatnonzero((place + row + turn) % rounds == 0)
                 seen += len(chosen)
@@ -145,15 +223,13 @@ def _train(weights: np.ndarray, vocabulary: Vocabulary, turn: int, rounds: int):
     return run
 
 
-def train(documents: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> tuple[Vocabulary, np.ndarray]:
-    """Vocabulary and network of the documents. What the driver gets is bounded: 2^18 counts and the weights."""
+def train(documents: DataFrame, rounds: int = ROUNDS, seed: int = SEED, hot: int = HOT) -> tuple[Vocabulary, np.ndarray]:
+    """Vocabulary and network of the documents. What the driver gets is bounded: counts of the hot words and the weights."""
     texts = documents.select(F.col("text").cast("string"))
-    got = texts.mapInArrow(_count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS)
-    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    vocabulary, weights = Vocabulary(counts), start(seed)
+    vocabulary = Vocabulary(texts, hot)
+    weights = start(seed, vocabulary.index.classes)
     for turn in range(rounds):
-        total = texts.mapInArrow(_train(weights, vocabulary, turn, rounds), "slot int, weight double, n long")
+        total = texts.mapInArrow(_train(weights, vocabulary.index, turn, rounds), "slot int, weight double, n long")
         got = total.groupBy("slot").agg((F.sum("weight") / F.sum("n")).alias("weight")).toArrow()
         if got.num_rows:
             weights = weights.copy()
@@ -161,19 +237,30 @@ def train(documents: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> tuple
     return vocabulary, weights
 
 
-def _score(weights: np.ndarray, vocabulary: Vocabulary):
+def _score(weights: np.ndarray, index: Index, known: bool):
+    """known: words that aren't hot are unseen ones; else they are listed, to be joined."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_id = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for a, b in chunks(offsets):
-                slot, row = _slots(data, offsets[a : b + 1])
-                classes = vocabulary.of[slot]
-                ctx, log_p = context(classes, row), vocabulary.log_share[slot].astype(np.float64)
+                said = words(data, offsets[a : b + 1])
+                classes, row = index.of(said.hash), said.row
+                ctx = context(classes, row, index.classes)
+                log_p, others = index.log_share(said.hash, classes)
                 for k in range(0, len(row), PART):
                     part = slice(k, k + PART)
                     log_p[part] += log_probability(weights, ctx[part], classes[part])
+                if known:
+                    log_p[others] += np.log(0.5)
+                    others = others[:0]
                 n = np.bincount(row, minlength=b - a)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(np.bincount(row, log_p, b - a).astype(np.float64))], ["doc_id", "n_words", "log_prob"])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[others], minlength=b - a))]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), _said(said, others))
+                ids = pa.array(np.arange(row_id, row_id + b - a))
+                row_id += b - a
+                yield pa.RecordBatch.from_arrays([ids, batch.column("doc_id").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(np.bincount(row, log_p, b - a).astype(np.float64)), listed], ["row_id", "doc_id", "n_words", "log_prob", "others"])
 
     return run
 
@@ -181,7 +268,13 @@ def _score(weights: np.ndarray, vocabulary: Vocabulary):
 def score(documents: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) -> DataFrame:
     """doc_id, n_words, log_prob (sum), score (mean log-probability of a word) of every document."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = docs.mapInArrow(_score(weights, vocabulary), "doc_id long, n_words long, log_prob double")
+    found = docs.mapInArrow(_score(weights, vocabulary.index, vocabulary.others is None), "row_id long, doc_id long, n_words long, log_prob double, others array<binary>")
+    if vocabulary.others is not None:
+        found = _kept(found)
+        each = found.select("row_id", F.explode("others").alias("word")).join(vocabulary.others, "word", "left")
+        sums = each.groupBy("row_id").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"))
+        found = found.drop("others").join(sums, "row_id", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("rest", F.lit(0.0)))
+    found = found.select("doc_id", "n_words", "log_prob")
     return found.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 

@@ -5,10 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from estate_jobs.llm import chat_format, decontaminate, language_id, lm_scoring, mixing, near_duplicates, quality, secrets, spot_signatures, url_filter
+from estate_jobs.llm import chat_format, decontaminate, language_id, lm_scoring, mixing, near_duplicates, quality, secrets, spot_signatures, tokens, url_filter
 from estate_jobs.llm.common import held_out, table
 from tests.conftest import SF
 
@@ -279,6 +280,31 @@ def test_lm_scores(spark, docs_of, make):
     assert lm_scoring.score(docs.filter("false"), *empty).count() == 0
 
 
+def test_lm_counts_each_word(spark, docs_of):
+    names = [f"w{k}" for k in range(4000)]
+    data, offsets = tokens.buffers(pa.array(names))
+    slot = dict(zip(names, (tokens.words(data, offsets).hash & np.uint64((1 << 18) - 1)).tolist(), strict=True))
+    seen, pair = {}, None
+    for name in names:
+        pair = pair or (slot[name] in seen and (seen[slot[name]], name))
+        seen[slot[name]] = name
+    often, once = pair
+    text = " ".join(f"x{k}" for k in range(300))
+    docs = docs_of([(k, text, None, None) for k in range(60)] + [(100, f"{often} " * 50, None, None), (101, once, None, None)])
+    probe = docs_of([(1, often, None, None), (2, once, None, None), (3, text + " never", None, None), (None, often, None, None), (1, f"{once} {once}", None, None), (4, None, None, None)])
+    got = []
+    for hot in (lm_scoring.HOT, 0):
+        vocabulary, weights = lm_scoring.train(docs, hot=hot)
+        assert (vocabulary.others is None) == (hot > 0) and vocabulary.words.count() == 302
+        rows = lm_scoring.score(probe, vocabulary, weights).collect()
+        got.append(sorted((r.doc_id or 0, r.n_words, round(r.log_prob, 4)) for r in rows))
+        by = {(r.doc_id, r.n_words): r.log_prob for r in rows}
+        assert by[1, 1] - by[2, 1] == pytest.approx(np.log(50.5) - np.log(1.5), abs=1e-5) and by[None, 1] == by[1, 1]
+    assert got[0] == got[1] and len(got[0]) == 6
+    assert lm_scoring.classes_of(1 << 17) == lm_scoring.CLASSES and lm_scoring.classes_of(10**8) > 1800
+    assert lm_scoring.unpack(lm_scoring.start(classes=400))[1].shape[1] == 400
+
+
 def test_lm_gradient():
     rng = np.random.default_rng(3)
     w = lm_scoring.start().astype(np.float64)
