@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the cluster's spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The checkpoint folder: the cluster's spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -38,3 +42,11 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most `rows` rows, else df as it is (a shuffle join follows)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """name, with as many underscores after it as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

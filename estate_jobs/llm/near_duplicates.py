@@ -1,6 +1,6 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Texts become sets of hashed 5-word shingles. Texts with equal sets form a class, stood for by its least doc_id.
+Texts become sets of hashed 5-word shingles. Texts with equal sets form a class, stood for by its first row.
 Class representatives that share an LSH bucket (5 of 160 MinHash values) are candidates. Their MinHash values are
 compared 32 at a time; with a uniform prior on the similarity, a pair goes as soon as the posterior probability that
 it reaches the threshold is below the tolerance. Pairs that stay are compared exactly.
@@ -10,20 +10,23 @@ what leaves a task is a count for each text and a spanning forest, never the pai
 rows in proportion to n. Connected components of the exact links are the groups.
 
 Edge cases: a text of 1 to 4 words is one shingle; a text without words (null, empty, marks only) has no shingle and
-no link; rows with a null doc_id have no link and a null class; repeated doc_ids are separate rows of the id, and a
-class or group counts each row; an empty table gives no rows.
+no link and is a class of its own; rows are told apart by id and text, so repeated doc_ids and null ones are documents
+like others, and a group is named by the least id in it; repeated rows are copies of each other; ties of ids are broken
+by a hash of the text; a very long text is described alone and compared in a block of its own; extra columns, whatever
+their names, are not read and are kept by keep_first; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estate_jobs.llm.common import durable, table
+from estate_jobs.llm.common import durable, small_enough, table
 from estate_jobs.llm.tokens import buffers, chunks, grams, mix, whole, words
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -31,6 +34,8 @@ BANDS, ROWS = 32, 5
 HASHES, STEP = BANDS * ROWS, 32
 #: Texts and bytes that a block holds at most, about.
 BLOCK_TEXTS, BLOCK_BYTES = 256, 8 << 20
+#: What tells a row from all that aren't its repeats.
+ROW = ("doc_id", "text_a", "text_b")
 _A = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) + np.uint64(1 << 20)) >> np.uint64(32)).astype(np.uint32)
 
@@ -84,8 +89,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.zeros(b - a, np.int64)
             size[full] = n
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(size), pa.array(np.diff(offsets[a : b + 1])), pa.array(sig.tolist(), pa.binary())],
-                ["doc_id", "key_a", "key_b", "n_shingles", "n_bytes", "sig"],
+                [*(batch.column(c).slice(a, b - a) for c in ROW), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(size), pa.array(np.diff(offsets[a : b + 1])), pa.array(sig.tolist(), pa.binary())],
+                [*ROW, "key_a", "key_b", "n_shingles", "n_bytes", "sig"],
             )
 
 
@@ -289,32 +294,57 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _keys(text: Column) -> list[Column]:
+    """Two hashes of a text, 128 bits together; with the doc_id they tell a row from all that aren't its repeats."""
+    return [F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit(1), text).alias("text_b")]
+
+
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, class_id, copy_id, n_links, n_text_links of every document.
 
     class_id: least doc_id of the group of documents joined by links, directly or through others; copy_id: least
-    doc_id of the documents with the same shingles; n_links: other documents of similarity `threshold` or more, its
-    copies included; n_text_links: those with other shingles, copies counted once.
+    doc_id of the documents with the same shingles (both null where no document of them has an id); n_links: other
+    documents of similarity `threshold` or more, its copies included; n_text_links: those with other shingles, copies
+    counted once.
+    """
+    rows = _grouped(documents, threshold, tolerance)
+    return rows.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n_shingles") > 0, F.col("copy.doc_id")).otherwise(F.col("doc_id")).alias("copy_id"), "n_links", "n_text_links")
+
+
+def keep_first(documents: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """The rows of documents less all but the first of each group of near duplicates; texts without words stay.
+
+    First is the row with the least doc_id (null ids last), of equal ids the one with the least hash of its text. Rows
+    are told apart by id and text, so ids that repeat or are null lose nothing. Of a first row that repeats, id and
+    text, one is left, that with the least hash of its columns.
     """
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return _near_duplicates(docs, threshold, tolerance)
-    # ids that repeat: work by a key of id and text, then name each group by its least id
-    keyed = docs.filter("doc_id IS NOT NULL").withColumn("row_key", F.xxhash64("doc_id", "text"))
-    found = durable(_near_duplicates(keyed.groupBy(F.col("row_key").alias("doc_id")).agg(F.max("text").alias("text")), threshold, tolerance))
-    rows = durable(keyed.select("doc_id", "row_key")).join(found.withColumnRenamed("doc_id", "row_key"), "row_key").withColumnsRenamed({"class_id": "grp", "copy_id": "copies"})
-    names = rows.groupBy("grp").agg(F.min("doc_id").alias("class_id"))
-    same = rows.groupBy("copies").agg(F.min("doc_id").alias("copy_id"))
-    columns = ["doc_id", "class_id", "copy_id", "n_links", "n_text_links"]
-    lone = docs.filter("doc_id IS NULL").selectExpr("doc_id", "doc_id AS class_id", "doc_id AS copy_id", "0L AS n_links", "0L AS n_text_links")
-    return rows.join(names, "grp").join(same, "copies").select(columns).union(lone)
-
-
-def _near_duplicates(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    rows = durable(_grouped(documents, threshold, tolerance).filter("n_shingles > 0").select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_a", "text_b").alias("own"), "first"))
+    text = documents["text"].cast("string")
+    key = [documents["doc_id"].cast("long"), *_keys(text)]
+
+    def those(kind: str, some: DataFrame) -> DataFrame:
+        """documents whose row key is (left_semi) or isn't (left_anti) in some."""
+        right = small_enough(some.select("own.doc_id", "own.text_a", "own.text_b").distinct())
+        return documents.join(right, reduce(Column.__and__, (a.eqNullSafe(right[b]) for a, b in zip(key, right.columns, strict=True))), kind)
+
+    kept = those("left_anti", rows.filter("own <> first"))
+    again = durable(rows.filter("own = first").groupBy("own").count().filter("count > 1"))
+    if again.isEmpty():
+        return kept
+    hashed = F.xxhash64(*(c for c, kind in documents.dtypes if not kind.startswith("map")))
+    one = those("left_semi", again).groupBy(*(c.alias(f"key_{k}") for k, c in enumerate(key))).agg(F.min_by(F.struct("*"), hashed).alias("row"))
+    return those("left_anti", rows.filter("own <> first").select("own").union(again.select("own"))).union(one.select("row.*"))
+
+
+def _grouped(documents: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """doc_id, text_a, text_b, n_shingles, first, copy (keys of the group's and of the class's first row), n_links, n_text_links."""
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *_keys(F.col("text").cast("string")))
     least = least_matches(threshold, tolerance)
-    described = durable(docs.mapInArrow(_describe, "doc_id long, key_a long, key_b long, n_shingles long, n_bytes long, sig binary"))
-    full = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = durable(full.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.min("sig").alias("sig")))
+    described = durable(docs.mapInArrow(_describe, "doc_id long, text_a long, text_b long, key_a long, key_b long, n_shingles long, n_bytes long, sig binary"))
+    # a class's id is its number in the table, written once; its copy is the key of its first row, null ids last
+    copy = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_a", "text_b")
+    found = described.filter("n_shingles > 0").groupBy("key_a", "key_b", "n_shingles").agg(F.min(copy).alias("copy"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.min("sig").alias("sig"))
+    classes = durable(found.withColumn("id", F.monotonically_increasing_id()))
 
     bands = classes.select("id", "sig").mapInArrow(_bands, "bucket long, id long")
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK_TEXTS).alias("n_blocks"))
@@ -324,29 +354,21 @@ def _near_duplicates(docs: DataFrame, threshold: float, tolerance: float) -> Dat
 
     grouped = candidates.withColumnRenamed("root", "grp").join(classes.select("id", "copies", "n_bytes"), "id")
     sizes = grouped.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).alias("n_blocks"))
-    blocks = in_blocks(grouped, "grp", sizes).join(docs.withColumnRenamed("doc_id", "id"), "id")
+    wanted = small_enough(candidates.select("id").join(classes.select("id", "copy"), "id").selectExpr("id", "copy.doc_id AS copy_id", "copy.text_a AS copy_a", "copy.text_b AS copy_b"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("text_a") == F.col("copy_a")) & (F.col("text_b") == F.col("copy_b"))).groupBy("id").agg(F.min("text").alias("text"))
+    blocks = in_blocks(grouped, "grp", sizes).join(texts, "id")
     spread = blocks.repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two")
     links = durable(spread.mapInArrow(_links(threshold, least), "kind string, id long, other long, docs long"))
 
     count = links.filter("kind = 'n'").groupBy("id").agg(F.sum("other").alias("n_text_links"), F.sum("docs").alias("docs"))
     roots = components(links.filter("kind = 'e'").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    known = classes.select("key_a", "key_b", "n_shingles", "id", "copies").join(count, "id", "left").join(roots, "id", "left")
-    out = described.select("doc_id", "key_a", "key_b", "n_shingles").join(known, ["key_a", "key_b", "n_shingles"], "left")
-    own = F.col("doc_id").isNotNull() & F.col("id").isNotNull()
+    firsts = roots.join(classes.select("id", "copy"), "id").groupBy("root").agg(F.min("copy").alias("first"))
+    known = classes.select("key_a", "key_b", "n_shingles", "id", "copies", "copy").join(count, "id", "left").join(roots.join(firsts, "root").select("id", "first"), "id", "left")
+    out = described.select("doc_id", "text_a", "text_b", "key_a", "key_b", "n_shingles").join(known, ["key_a", "key_b", "n_shingles"], "left")
     return out.select(
-        "doc_id",
-        F.when(own, F.coalesce("root", "id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(own, F.col("id")).otherwise(F.col("doc_id")).alias("copy_id"),
-        F.when(own, F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("n_links"),
-        F.when(own, F.coalesce("n_text_links", F.lit(0))).otherwise(0).alias("n_text_links"),
-    )
-
-
-def one_row_each(documents: DataFrame) -> DataFrame:
-    """One row of each doc_id, the least by text; rows with a null doc_id stay."""
-    rows = documents.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in documents.columns if c not in ("doc_id", "text")))).alias("row"))
-    one = rows.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in documents.columns))
-    return one.union(documents.filter("doc_id IS NULL"))
+        "doc_id", "text_a", "text_b", "n_shingles", F.coalesce("first", "copy").alias("first"), "copy",
+        F.when(F.col("n_shingles") > 0, F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"),
+    )
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
