@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from estate_jobs.llm import decontaminate, language_id, mixing, near_duplicates, secrets
 from estate_jobs.llm.common import held_out, shared_folder, table
@@ -18,11 +17,6 @@ from estate_jobs.llm.common import held_out, shared_folder, table
 MAIN_SHARE = 0.5
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in kept (unique ids)."""
-    return docs.join(kept.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
-
-
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one language: rejected are those without letters and those that no language covers half of."""
     model = language_id.learn(docs.filter(~held_out()))
@@ -30,12 +24,8 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates; of its rows that repeat, one."""
-    found = near_duplicates.near_duplicates(docs)
-    first = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id").distinct()
-    kept = _only(docs, first)
-    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    return kept if again else near_duplicates.one_row_each(kept)
+    """The first row of each group of near duplicates, that with the least doc_id; rows are told apart by id and text."""
+    return near_duplicates.keep_first(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
