@@ -6,7 +6,9 @@ share a kept hash. Kept hashes of documents are joined with those of the items,
 
 Edge cases: a null or empty text has no words, hence no hit; an item without words never occurs; an item of 1 to 9
 words is one window of that length and is looked up by its whole length; repeated items all count, a null item_id as
-''; repeated document rows give a row each; an empty table on either side gives no rows or no hits.
+''; every row is judged by its own text, so repeated and null doc_ids do no harm and repeated rows give a row each;
+a very long text is searched alone; equal fingerprints of neighbouring windows keep the last one; extra columns are
+not read and are kept by keep, whatever their names; an empty table on either side gives no rows or no hits.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estate_jobs.llm.common import table
-from estate_jobs.llm.tokens import Words, buffers, chunks, grams, whole, words
+from estate_jobs.llm.common import durable, small_enough, table
+from estate_jobs.llm.tokens import Words, buffers, chunks, grams, mix, whole, words
 
 SPAN, GRAM = 10, 5
 #: Benchmark bytes that each task may hold as an index; a larger benchmark is joined by shuffling fingerprints.
-INDEX_BYTES = 16 << 20
+INDEX_BYTES = 8 << 20
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>"
 
 
@@ -44,49 +46,69 @@ def kept(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Fingerprints and windows of some benchmark items."""
+    """Fingerprints and windows of some benchmark items in flat arrays: about six times the bytes of their texts."""
 
     def __init__(self, items: list[tuple[str, str | None]]) -> None:
         data, offsets = buffers(pa.array([t for _, t in items], pa.string()))
         w = words(data, offsets)
-        self.windows: dict[tuple[bytes, ...], list[str]] = {}
-        self.short: dict[int, np.ndarray] = {}
-        first = np.searchsorted(w.row, np.arange(len(items) + 1))
-        short: dict[int, list[np.ndarray]] = {}
-        for k, (name, _) in enumerate(items):
-            a, b = int(first[k]), int(first[k + 1])
-            n = min(SPAN, b - a)
-            text = w.text(a, b)
-            for i in range(b - a - n + 1 if n else 0):
-                self.windows.setdefault(tuple(text[i : i + n]), []).append(name)
-            if 0 < n < SPAN:
-                short.setdefault(n, []).append(grams(w.hash[a:b], n))
-        self.short = {n: np.unique(np.concatenate(x)) for n, x in short.items()}
+        self.names, self.item = [name for name, _ in items], w.row.astype(np.int32)
+        #: All words, a blank after each, and where each begins.
+        self.said = b"".join(x + b" " for x in w.text(0, len(w.hash)))
+        self.at = np.append(0, np.cumsum(w.end - w.start + 1))
         self.prints = np.unique(kept(w.hash, w.row)[1])
-        self.spans = np.unique(grams(w.hash, SPAN)[whole(w.row, SPAN)])
+        #: By length: hashes of the windows, sorted, and the word that each begins with.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, places in windows(w).items():
+            value = grams(w.hash, n)[places]
+            order = np.argsort(value, kind="stable")
+            self.windows[n] = value[order], places[order].astype(np.int32)
 
     def hits(self, w: Words) -> Iterator[tuple[int, int, list[str]]]:
         """(first word, number of words, items) of each window that occurs."""
-        at, value = kept(w.hash, w.row)
-        at = at[_among(value, self.prints)]
-        if len(at):  # extend: the windows of 10 words around a shared 5-word hash
-            inside = whole(w.row, SPAN)
-            starts = np.unique((at[:, None] - np.arange(SPAN - GRAM + 1)).ravel())
-            starts = starts[(starts >= 0) & (starts < len(inside))]
-            starts = starts[inside[starts]]
-            gram = np.zeros(len(starts), np.uint64)
-            if len(starts):
-                gram = grams(w.hash[starts[:, None] + np.arange(SPAN)].ravel(), SPAN)[::SPAN]
-            yield from self._same(w, starts[_among(gram, self.spans)], SPAN)
-        for n, known in self.short.items():
-            yield from self._same(w, np.flatnonzero(_among(grams(w.hash, n), known) & whole(w.row, n)), n)
-
-    def _same(self, w: Words, starts: np.ndarray, n: int) -> Iterator[tuple[int, int, list[str]]]:
-        for i in starts.tolist():
-            if names := self.windows.get(tuple(w.text(i, i + n))):
+        for n in self.windows:
+            if n == SPAN:
+                at, value = kept(w.hash, w.row)
+                starts = around(w.row, at[_among(value, self.prints)])
+                value = hashes_at(w.hash, starts)
+            else:
+                starts = np.flatnonzero(whole(w.row, n))
+                value = grams(w.hash, n)[starts]
+            yield from self._same(w, starts, value, n)
+
+    def _same(self, w: Words, starts: np.ndarray, value: np.ndarray, n: int) -> Iterator[tuple[int, int, list[str]]]:
+        known, places = self.windows[n]
+        first, last = np.searchsorted(known, value, "left"), np.searchsorted(known, value, "right")
+        for k in np.flatnonzero(last > first).tolist():
+            i = int(starts[k])
+            said = b"".join(x + b" " for x in w.text(i, i + n))
+            names = [self.names[self.item[p]] for p in places[first[k] : last[k]].tolist() if self.said[self.at[p] : self.at[p + n]] == said]
+            if names:
                 yield i, n, names
 
 
+def windows(w: Words) -> dict[int, np.ndarray]:
+    """First words of the windows by their length: SPAN words, or a whole row of fewer."""
+    size = np.bincount(w.row, minlength=int(w.row[-1]) + 1 if len(w.row) else 0)
+    out = {SPAN: np.flatnonzero(whole(w.row, SPAN))}
+    for n in range(1, SPAN):
+        there = whole(w.row, n)
+        out[n] = np.flatnonzero(there & (size[w.row[: len(there)]] == n))
+    return {n: places for n, places in out.items() if len(places)}
+
+
+def around(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """First words of the windows of SPAN words that hold a 5-word run which begins at one of `at`: the hits, extended."""
+    inside = whole(rows, SPAN)
+    starts = np.unique((at[:, None] - np.arange(SPAN - GRAM + 1)).ravel())
+    starts = starts[(starts >= 0) & (starts < len(inside))]
+    return starts[inside[starts]]
+
+
+def hashes_at(hashes: np.ndarray, starts: np.ndarray, n: int = SPAN) -> np.ndarray:
+    """Hashes of the n words from each start."""
+    return grams(hashes[starts[:, None] + np.arange(n)].ravel(), n)[::n] if len(starts) else np.zeros(0, np.uint64)
+
+
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(values), bool)
@@ -144,15 +166,39 @@ def _prints(key: str, lengths: tuple[int, ...]):
     return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hit words of (text, item) pairs."""
+def _span_rows(names: list[str], owners: pa.Array, w: Words, starts: np.ndarray, n: int) -> pa.RecordBatch:
+    """A row for each window: its owner, first word, length and two hashes, 128 bits together."""
+    a, b = hashes_at(w.hash, starts, n), hashes_at(mix(w.hash + np.uint64(SPAN)), starts, n)
+    return pa.RecordBatch.from_arrays([owners.take(pa.array(w.row[starts])), pa.array(starts - np.searchsorted(w.row, w.row[starts])), pa.array(np.full(len(starts), n, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of items."""
     for batch in batches:
-        keys, items, out = batch.column("key").to_pylist(), batch.column("item_id").to_pylist(), []
-        for k, (text, item) in enumerate(zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist(), strict=True)):
-            w = words(*buffers(pa.array([text], pa.string())))
-            found = {j for i, n, _ in Index([("", item)]).hits(w) for j in range(i, i + n)}
-            out += [(keys[k], items[k], j) for j in found]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.binary(), pa.string(), pa.int64()), strict=True)], ["key", "item_id", "word"])
+        data, offsets = buffers(batch.column("text"))
+        for a, b in chunks(offsets):
+            w = words(data, offsets[a : b + 1])
+            for n, places in windows(w).items():
+                yield _span_rows(["item_id", "start", "n", "span_a", "span_b"], batch.column("item_id").slice(a, b - a), w, places, n)
+
+
+def _places(lengths: tuple[int, ...]):
+    """The windows of texts around their shared fingerprints (column prints), and their runs of the lengths of short items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for k in range(len(batch)):
+                w = words(data, offsets[k : k + 2])
+                shared = np.sort(np.asarray(batch.column("prints")[k].values, np.int64).view(np.uint64))
+                at, value = kept(w.hash, w.row)
+                names, owner = ["key", "start", "n", "span_a", "span_b"], batch.column("key").slice(k, 1)
+                yield _span_rows(names, owner, w, around(w.row, at[_among(value, shared)]), SPAN)
+                for n in lengths:
+                    value = grams(w.hash, n)
+                    yield _span_rows(names, owner, w, np.flatnonzero(_among(value, shared)), n)
+
+    return run
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -171,13 +217,23 @@ def _key(text: Column) -> Column:
 
 
 def _joined(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """key, items, n_hit of the texts (key, text) that hold a window, by shuffled fingerprints."""
+    """key, items, n_hit of the texts (key, text) that hold a window, by shuffled fingerprints.
+
+    Fingerprints find the texts that may hold a window and where; only the windows there, as hashes, meet those of the
+    items, so neither text is ever sent to the other.
+    """
     size = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
     lengths = tuple(r.n for r in items.select(size.alias("n")).filter(f"n between 1 and {SPAN - 1}").distinct().collect())
     items = items.distinct()
-    pairs = texts.mapInArrow(_prints("key", lengths), "key binary, print long").join(items.mapInArrow(_prints("item_id", lengths), "item_id string, print long"), "print").select("key", "item_id").distinct()
-    found = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(texts, "key").select("key", "text", "item_id", "item_text").mapInArrow(_verify, "key binary, item_id string, word long")
-    return found.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.countDistinct("word").alias("n_hit"))
+    prints = items.mapInArrow(_prints("item_id", lengths), "item_id string, print long").select("print").distinct()
+    shared = durable(texts.mapInArrow(_prints("key", lengths), "key binary, print long").join(small_enough(prints), "print", "left_semi").groupBy("key").agg(F.collect_set("print").alias("prints")))
+    some = texts.join(small_enough(shared.select("key")), "key", "left_semi").join(shared, "key").select("key", "text", "prints")
+    places = some.mapInArrow(_places(lengths), "key binary, start long, n int, span_a long, span_b long").distinct()
+    spans = items.mapInArrow(_windows, "item_id string, start long, n int, span_a long, span_b long").select("item_id", "n", "span_a", "span_b").distinct()
+    hits = durable(places.join(spans, ["n", "span_a", "span_b"]).select("key", "start", "n", "item_id"))
+    names = hits.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    hit = hits.select("key", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("word"))
+    return names.join(hit.groupBy("key").agg(F.countDistinct("word").alias("n_hit")), "key")
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +248,7 @@ def keep(documents: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BY
     if (index := _index(items, index_bytes)) is not None:
         return documents.mapInArrow(_keep(index), documents.schema)
     texts = documents.select(_key(F.col("text")).alias("key"), F.col("text").cast("string")).filter("key IS NOT NULL")
-    hit = _joined(texts, items).select(F.col("key").alias("hit_key"))
+    hit = small_enough(_joined(texts, items).select(F.col("key").alias("hit_key")))
     return documents.join(hit, _key(documents["text"]) == hit["hit_key"], "left_anti")
 
 
