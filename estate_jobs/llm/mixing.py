@@ -5,9 +5,12 @@ times plus once more by a coin whose probability is the fraction. The coin is a
 one of 32 offsets; of these each source takes the one that brings its words nearest to the target, so a source of few
 documents comes near it too.
 
-Edge cases: a null text has size 0 and is emitted like its source's others, taking 0 words; null sources are one source,
-last in order; a source without words has target 0 and rate 0; repeated rows share a coin; a null doc_id counts as ''
-for the coin; an empty table gives no rows.
+Edge cases: a null or empty text has size 0 and is emitted like its source's others, taking 0 words; a very long text
+is one document like others, so a source of few long ones may miss its target by one of them; null sources are one
+source, last in order; a source without words has target 0 and rate 0; repeated rows share a coin; a null doc_id counts
+as '' for the coin; of offsets that come equally near the least is taken; other columns of documents, whatever their
+names, are kept, but one named like an added column (copy; source_size, target, copies) gives way to it; an empty table
+gives no rows. Sources are ranked in one task, which sees a narrow row for each source.
 """
 
 from __future__ import annotations
@@ -70,8 +73,20 @@ def plan(sized: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
 
 def copies(documents: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
     """documents with source_size, target and copies."""
-    rated = _by_source(documents.withColumn("coin", coin(F.col("doc_id"), seed)), plan)
-    return rated.withColumn("copies", F.col("whole").cast("int") + F.when(_turned(F.col("k")) < F.col("part"), 1).otherwise(0)).drop("coin", "whole", "part", "k")
+    added = ("source_size", "target", "copies")
+    return _rated(documents, plan, seed).select(*_own(documents, added), *added)
+
+
+def _rated(documents: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """row (the columns of documents), source_size, target and copies."""
+    keyed = documents.select(F.col("source").cast("string"), coin(F.col("doc_id"), seed).alias("coin"), F.struct("*").alias("row"))
+    hit = F.when(_turned(F.col("k")) < F.col("part"), 1).otherwise(0)
+    return _by_source(keyed, plan).select("row", "source_size", "target", (F.col("whole").cast("int") + hit).alias("copies"))
+
+
+def _own(documents: DataFrame, added: tuple[str, ...]) -> list[Column]:
+    """The columns of documents within row, less those that added ones replace."""
+    return [F.col("row")[c].alias(c) for c in documents.columns if c.lower() not in added]
 
 
 def _by_source(docs: DataFrame, plan: DataFrame) -> DataFrame:
@@ -87,8 +102,8 @@ def sizes(documents: DataFrame) -> DataFrame:
 
 def mix(documents: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: the columns of documents and `copy` (from 1), a row for each time that a document is taken."""
-    counted = copies(documents, plan(sizes(documents), most, seed), seed).filter("copies > 0")
-    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*documents.columns, "copy")
+    taken = _rated(documents, plan(sizes(documents), most, seed), seed).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*_own(documents, ("copy",)), "copy")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
