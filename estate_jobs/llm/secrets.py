@@ -3,11 +3,14 @@
 Each rule's regex is turned into a Boolean query of trigrams that every match must hold (any of some sets, all of a
 set's trigrams). The index has a posting (trigram, document) for the trigrams that the queries ask for; postings are
 intersected by counting the trigrams of a set that meet in a document. Documents that some set is complete in are
-candidates, and only they are searched with the regex; a rule without mandatory trigrams (hex) searches all.
-
-Edge cases: a null or empty text has no span; documents that share a doc_id are candidates together and are searched
-each for itself; rows with a null doc_id aren't in the index and are searched by every rule; an empty table gives no
-rows.
+candidates, and only they are searched with the regex; a rule without mandatory trigrams (hex) searches all. Candidates
+are few and narrow: up to MOST_CANDIDATES, counted first, they are broadcast and no text is shuffled; more are joined.
+
+Edge cases: a null or empty text has no span; a very long text is searched whole, by native expressions; documents that
+share a doc_id are candidates together and are searched each for itself; rows with a null doc_id aren't in the index and
+are searched by every rule; matches of different rules may overlap, equal starts follow in the order of the rules;
+repeated rows give a row each; extra columns, whatever their names, are not read and are kept by redact; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estate_jobs.llm.common import table
+from estate_jobs.llm.common import durable, free_name, small_enough, table
 
 
 class Rule(NamedTuple):
@@ -52,6 +55,8 @@ RULES = (
 BASE = 3
 #: Runs of literals that classes may spread into; a class that gives more ends the run.
 MOST_RUNS = 64
+#: Candidates (an id and some kinds each, about 100 bytes) that may be broadcast.
+MOST_CANDIDATES = 500_000
 
 
 def trigram_sets(regex: str) -> list[frozenset[str]]:
@@ -135,14 +140,14 @@ def _quick(rule: Rule) -> str:
     return rule.regex.removesuffix("+") + f"{{{rule.least},}}" if rule.group == 0 and rule.regex.startswith("[") else rule.regex
 
 
-def to_search(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """documents with `kinds`, the rules that may match; texts are shuffled once, to meet their candidates."""
+def to_search(documents: DataFrame, rules: tuple[Rule, ...] = RULES, kinds: str = "kinds") -> DataFrame:
+    """documents with a column `kinds` (of that name), the rules that may match."""
     free = [r.kind for r in rules if not trigram_sets(r.regex)]
-    found = candidates(documents, rules).withColumnsRenamed({"doc_id": "candidate_id", "kinds": "candidate_kinds"})
-    joined = documents.join(found, documents["doc_id"] == found["candidate_id"], "left").drop("candidate_id")
-    every = F.when(F.col("doc_id").isNull(), F.array(*(F.lit(r.kind) for r in rules)))
-    indexed = F.coalesce("candidate_kinds", F.array().cast("array<string>"))
-    return joined.withColumn("kinds", F.coalesce(every, F.array_union(indexed, F.array(*map(F.lit, free)).cast("array<string>")))).drop("candidate_kinds")
+    found = small_enough(durable(candidates(documents, rules)), MOST_CANDIDATES).select(F.col("doc_id").alias(free_name("candidate_id", documents)), F.col("kinds").alias(kinds))
+    every = F.when(documents["doc_id"].isNull(), F.array(*(F.lit(r.kind) for r in rules)))
+    indexed = F.coalesce(found[kinds], F.array().cast("array<string>"))
+    both = F.coalesce(every, F.array_union(indexed, F.array(*map(F.lit, free)).cast("array<string>")))
+    return documents.join(found, documents["doc_id"] == found[found.columns[0]], "left").select(*(documents[c] for c in documents.columns), both.alias(kinds))
 
 
 def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -170,9 +175,10 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...]
         rows = F.arrays_zip(F.split("text", r.regex, -1).alias("p"), found.alias("m"), counted.alias("g"))
         return F.array_join(F.transform(rows, lambda x: F.concat(x["p"], F.coalesce(F.when(F.length(x["g"]) >= r.least, F.lit(mark)).otherwise(x["m"]), F.lit("")))), "")
 
-    out = to_search(documents, rules)
+    kinds = free_name("kinds", documents)
+    out = to_search(documents, rules, kinds)
     for r in sorted(rules, key=lambda r: r.kind != "pem"):
-        out = out.withColumn("text", F.when(F.array_contains("kinds", r.kind) & F.col("text").rlike(_quick(r)), without(r)).otherwise(F.col("text")))
+        out = out.withColumn("text", F.when(F.array_contains(kinds, r.kind) & F.col("text").rlike(_quick(r)), without(r)).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(documents.columns)
 
 
