@@ -1,6 +1,7 @@
 """Brute force, round trips and edge cases of the operators."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -62,14 +63,65 @@ def test_chat_round_trip(spark):
     assert out[9].formatted.count("<s>") == 2 and out[None].formatted == "<s>\nx</s>\n"
 
 
+TREE = "tree long, id string, parent string, score double"
+
+
 def test_best_paths_of_trees(spark):
-    rows = [(1, "r", None, 0.0), (1, "a", "r", 1.0), (1, "b", "r", 5.0), (1, "c", "a", 9.0), (1, "d", "b", None), (2, "x", "gone", 1.0), (3, "p", "q", 1.0), (3, "q", "p", 1.0), (4, "k", None, 0.0), (4, "m", "k", 2.0), (4, "l", "k", 2.0)]
-    found = chat_format.best_paths(spark.createDataFrame(rows, "tree long, id string, parent string, score double")).collect()
-    paths = {t: [r.id for r in sorted((r for r in found if r.tree == t), key=lambda r: -r.depth)] for t in (1, 2, 3, 4)}
-    assert paths == {1: ["r", "a", "c"], 2: ["x"], 3: [], 4: ["k", "l"]}
+    rows = [(1, "r", None, 0.0), (1, "a", "r", 1.0), (1, "b", "r", 5.0), (1, "c", "a", 9.0), (1, "d", "b", None), (2, "x", "gone", 1.0), (3, "p", "q", 1.0), (3, "q", "p", 1.0), (3, "s", "q", 1.0), (4, "k", None, 0.0), (4, "m", "k", 2.0), (4, "l", "k", 2.0)]
+    found = chat_format.paths(spark.createDataFrame(rows, TREE)).collect()
+    best = {t: [r.id for r in sorted((r for r in found if r.tree == t), key=lambda r: -r.depth)] for t in (1, 2, 3, 4)}
+    assert best == {1: ["r", "a", "c"], 2: ["x"], 3: [], 4: ["k", "l"]}
     long = spark.range(100).selectExpr("0L AS tree", "id", "nullif(id - 1, -1) AS parent", "1.0D AS score")
-    assert chat_format.best_paths(long).count() == 100
-
+    assert chat_format.paths(long).count() == 100
+    assert chat_format.paths(long.filter("false"), None).count() == 0
+
+
+def brute_paths(rows):
+    """(tree, ids from the root, rank, score) of all root-to-leaf paths of rows (tree, id, parent, score)."""
+    least = {}
+    for t, i, p, x in sorted(rows, key=lambda r: (r[2] is not None, r[2] or "", r[3] or 0.0)):
+        least.setdefault((t, i), (p if any((t, p) == r[:2] for r in rows) else None, x or 0.0))
+    out = {}
+    for (t, i), _ in least.items():
+        if any((t, i) == (u, p) for (u, _), (p, _) in least.items()):
+            continue
+        path, at = [], i
+        while at is not None and at not in path:
+            path.append(at)
+            at = least[t, at][0]
+        if at is None:
+            out.setdefault((t, path[-1]), []).append((-sum(least[t, k][1] for k in path), i, path[::-1]))
+    return {(t, tuple(path), rank, -x) for (t, _), found in out.items() for rank, (x, _, path) in enumerate(sorted(found), 1)}
+
+
+def test_all_branches_are_listed_and_ranked(spark):
+    r = random.Random(4)
+    rows = []
+    for t in (1, 2, None):
+        for k in range(40):
+            parent = None if k == 0 or r.random() < 0.05 else f"m{r.randrange(k):02}" if r.random() < 0.9 else "gone"
+            rows.append((t, f"m{k:02}", parent, r.choice([None, 0.0, 0.5, 1.0, 2.0])))
+    rows += [rows[5], (1, "m07", "m30", 1.0), (1, "m08", "m08", 1.0), (2, "y", "z", 0.0), (2, "z", "y", 0.0), (2, "below", "z", 0.0)]
+    df = spark.createDataFrame(rows, TREE)
+    want = brute_paths(rows)
+    for most in (None, 2):
+        got = {}
+        for x in chat_format.paths(df, most).collect():
+            got.setdefault((x.tree, x.leaf, x["rank"], x.score), []).append((-x.depth, x.id))
+        assert {(t, tuple(i for _, i in sorted(ids)), rank, score) for (t, _, rank, score), ids in got.items()} == {w for w in want if most is None or w[2] <= most}
+    said = df.select("*", F.lit("user").alias("role"), F.concat("id", F.lit(",")).alias("text"))
+    for x in chat_format.format_trees(said, None).collect():
+        ids = re.findall(r"m\d\d|y|z|below", x.formatted)
+        assert (x.tree, tuple(ids), x["rank"], x.score) in want
+    assert chat_format.format_trees(said, None).count() == len(want)
+
+
+def test_chat_edges(spark):
+    rows = [(1, 0, None, None, 7), (1, 1, "assistant", "<s>" * 100000, 7), (None, 0, "assistant", "a", 7)]
+    turns = spark.createDataFrame(rows, TURNS + ", score long").withColumnRenamed("score", "rank").withColumn("tree", F.lit(3))
+    out = {r.tree: r for r in chat_format.format_trees(chat_format.chains(turns)).collect()}
+    assert out[1].formatted == "<s>\n</s>\n<s>assistant\n" + "<\\s>" * 100000 + "</s>\n" and out[1].loss[0].length == 400000 and len(out) == 2
+    assert chat_format.format_trees(chat_format.chains(turns.filter("false"))).count() == 0
 
 
 def test_spot_signatures(spark, docs_of, make):
@@ -164,8 +216,15 @@ def test_mix(spark, docs_of):
     for s in ("a", None, "b"):
         own = [r for r in taken if r.source == s]
         assert abs(sum(r["size"] * r.copies for r in own) - own[0].target) <= max(12, 0.05 * own[0].target)
-    assert mixing.mix(docs.drop("copies")).count() == sum(r.copies for r in taken)
-    assert mixing.mix(docs.drop("copies").filter("false")).count() == 0
+    odd = docs
+    for c in ("coin", "target", "whole", "k", "source_size", "row", "plan_source", "part", "copy"):
+        odd = odd.withColumn(c, F.lit("own"))
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and mixed.count() == sum(r.copies for r in taken)
+    assert mixed.filter("copies = 'clash' AND target = 'own' AND whole = 'own' AND k = 'own' AND row = 'own' AND copy >= 1").count() == mixed.count()
+    assert mixing.mix(docs.filter("false")).count() == 0 and mixing.copies(odd, plan).filter("k = 'own' AND target >= 0 AND copies >= 0").count() == 302
+    long = docs_of([(1, "w " * 300000, None, "a"), (2, "w", None, "b"), (3, None, None, None)])
+    assert {(r.doc_id, r.size) for r in mixing.sizes(long).collect()} == {(1, 300000), (2, 1), (3, 0)} and mixing.mix(long).filter("doc_id = 2").count() == 3
 
 
 def brute_spans(t):
@@ -185,8 +244,15 @@ def test_secrets(spark, docs_of):
     found = secrets.find_secrets(docs).select("doc_id", secrets.joined(kinds).alias("spans")).collect()
     want = Counter([(k, brute_spans(t or "")) for k, t in enumerate(texts)] + [(None, brute_spans(texts[0])), (3, brute_spans(texts[0]))])
     assert Counter((r.doc_id, r.spans) for r in found) == want
-    clean = secrets.redact(docs.drop("kinds"))
-    assert clean.columns == docs.columns[:-1] and clean.count() == docs.count()
+    odd = docs.withColumn("candidate_kinds", F.lit(2)).withColumn("candidate_id", F.lit(3)).withColumn("kinds_", F.lit("z"))
+    clean = secrets.redact(odd)
+    assert clean.columns == odd.columns and clean.count() == docs.count() and clean.filter("kinds = 1 AND candidate_kinds = 2 AND kinds_ = 'z'").count() == docs.count()
+    most = secrets.MOST_CANDIDATES
+    try:
+        secrets.MOST_CANDIDATES = 0
+        assert Counter((r.doc_id, r.spans) for r in secrets.find_secrets(docs).select("doc_id", secrets.joined(kinds).alias("spans")).collect()) == want
+    finally:
+        secrets.MOST_CANDIDATES = most
     assert all(brute_spans(r.text) == "" and r.n_chars == len(r.text) for r in clean.filter("text IS NOT NULL").collect())
     assert secrets.find_secrets(docs.filter("false")).count() == 0
 
@@ -287,56 +353,106 @@ def test_components(spark):
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 200: 100, 300: 100}
 
 
-def test_lm_scores(spark, docs_of, make):
-    docs = docs_of([(k, make("en", 300, k), None, None) for k in range(40)])
+def test_lm_scores(spark, docs_of):
+    r, cycle = random.Random(1), [f"w{k}" for k in range(60)]
+    docs = docs_of([(k, " ".join(cycle[(k + j) % 60] for j in range(3000)) + f" odd{k}", None, None) for k in range(60)])
     vocabulary, weights = lm_scoring.train(docs)
-    words = make("en", 300, 99).split()
-    odd = docs_of([(1, " ".join(words), None, None), (2, " ".join(f"q{k}z" for k in range(300)), None, None), (3, None, None, None), (4, "--", None, None), (1, " ".join(words), None, None)])
+    said = [cycle[j % 60] for j in range(300)]
+    odd = docs_of([(1, " ".join(said), None, None), (2, " ".join(r.sample(said, 300)), None, None), (5, " ".join(f"q{k}z" for k in range(300)), None, None), (3, None, None, None), (4, "--", None, None), (1, " ".join(said), None, None), (None, "w1 " * 300000, None, None)]).withColumn("log_prob", F.lit("x"))
     by = {r.doc_id: r for r in lm_scoring.score(odd, vocabulary, weights).collect()}
-    assert by[1].score > by[2].score and by[1].n_words == 300 and (by[3].n_words, by[3].log_prob, by[4].score) == (0, 0.0, None)
-    untrained = {r.doc_id: r for r in lm_scoring.score(odd, vocabulary, lm_scoring.start()).collect()}
-    assert by[1].score > untrained[1].score
+    assert by[1].score > by[2].score + 0.5 > by[5].score and by[1].n_words == 300 and (by[3].n_words, by[3].log_prob, by[4].score) == (0, 0.0, None) and by[None].n_words == 300000
+    shares = {r.doc_id: r for r in lm_scoring.score(odd, vocabulary, lm_scoring.start(7, vocabulary.index.shape, vocabulary.index)).collect()}
+    assert by[1].score > shares[1].score + 0.5 and shares[1].score == pytest.approx(np.log(1 / 60), abs=0.5)
     empty = lm_scoring.train(docs.filter("false"))
     assert lm_scoring.score(docs.filter("false"), *empty).count() == 0
 
 
-def test_lm_counts_each_word(spark, docs_of):
-    names = [f"w{k}" for k in range(4000)]
-    data, offsets = tokens.buffers(pa.array(names))
-    slot = dict(zip(names, (tokens.words(data, offsets).hash & np.uint64((1 << 18) - 1)).tolist(), strict=True))
-    seen, pair = {}, None
-    for name in names:
-        pair = pair or (slot[name] in seen and (seen[slot[name]], name))
-        seen[slot[name]] = name
-    often, once = pair
-    text = " ".join(f"x{k}" for k in range(300))
-    docs = docs_of([(k, text, None, None) for k in range(60)] + [(100, f"{often} " * 50, None, None), (101, once, None, None)])
-    probe = docs_of([(1, often, None, None), (2, once, None, None), (3, text + " never", None, None), (None, often, None, None), (1, f"{once} {once}", None, None), (4, None, None, None)])
-    got = []
+def brute_log_prob(texts, text, weights, shape, hot):
+    """The sum of the words' log-probabilities, from counts by word and one word at a time."""
+    count = Counter(w for t in texts for w in lowered(t))
+    names = list({*count, *lowered(text)})
+    hashes = dict(zip(names, tokens.words(*tokens.buffers(pa.array(names))).hash.tolist(), strict=True))
+    held, size = [], lambda w: int(np.floor(np.log2(count[w]) * 16))
+    for b in sorted({size(w) for w in count}, reverse=True):
+        more = [w for w in count if size(w) == b]
+        if len(held) + len(more) > max(hot, shape.single):
+            break
+        held += more
+    top = sorted(held, key=lambda w: (-count[w], hashes[w]))[: shape.single]
+    cls = lambda w: top.index(w) if w in top else shape.single + (hashes[w] & 0x7FFFFFFF) % shape.groups
+    shared = {}
+    for w in count:
+        if w not in top:
+            shared.setdefault(cls(w), []).append(count[w])
+    net, total, said = lm_scoring.view(weights.astype(np.float64), shape), 0.0, lowered(text)
+    for k, w in enumerate(said):
+        near = [cls(said[k + d]) if 0 <= k + d < len(said) else shape.pad for d in lm_scoring.WINDOW]
+        h = np.tanh(sum(net.embed[j][c] for j, c in enumerate(near)))
+        p = np.exp(h @ net.first + net.first_bias)
+        p /= p.sum()
+        c = cls(w)
+        if c < shape.single:
+            q = np.exp(h @ net.second[c % shape.groups] + net.second_bias[c % shape.groups])
+            total += np.log(p[c % shape.groups]) + np.log(q[c // shape.groups] / q.sum())
+        else:
+            others = shared.get(c, [])
+            total += np.log(p[c - shape.single + shape.groups]) + np.log((count[w] + 0.5) / (sum(others) + 0.5 * (len(others) + 1)))
+    return total
+
+
+def test_lm_scores_against_plain_sums(spark, docs_of, make):
+    texts = [make("en", 120, k) + f" rare{k} rare{k % 5}" for k in range(30)] + [" ".join(f"x{k}" for k in range(2500))]
+    docs = docs_of([(k, t, None, None) for k, t in enumerate(texts)])
+    probe = [texts[0], "the never seen x7 rare3", make("de", 40, 1), "one"]
     for hot in (lm_scoring.HOT, 0):
         vocabulary, weights = lm_scoring.train(docs, hot=hot)
-        assert (vocabulary.others is None) == (hot > 0) and vocabulary.words.count() == 302
-        rows = lm_scoring.score(probe, vocabulary, weights).collect()
-        got.append(sorted((r.doc_id or 0, r.n_words, round(r.log_prob, 4)) for r in rows))
-        by = {(r.doc_id, r.n_words): r.log_prob for r in rows}
-        assert by[1, 1] - by[2, 1] == pytest.approx(np.log(50.5) - np.log(1.5), abs=1e-5) and by[None, 1] == by[1, 1]
-    assert got[0] == got[1] and len(got[0]) == 6
-    assert lm_scoring.classes_of(1 << 17) == lm_scoring.CLASSES and lm_scoring.classes_of(10**8) > 1800
-    assert lm_scoring.unpack(lm_scoring.start(classes=400))[1].shape[1] == 400
+        shape = vocabulary.index.shape
+        assert (vocabulary.others is None) == (hot > 0) and shape.groups == lm_scoring.GROUPS
+        got = {r.doc_id: r.log_prob for r in lm_scoring.score(docs_of([(k, t, None, None) for k, t in enumerate(probe)]), vocabulary, weights).collect()}
+        assert [got[k] for k in range(4)] == pytest.approx([brute_log_prob(texts, t, weights, shape, hot) for t in probe], rel=1e-4)
+
+
+def test_lm_training_ignores_the_layout(spark, docs_of, make, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD", 800)
+    rows = [(k % 50 or None, make("en", 80, k % 60), None, None) for k in range(90)]
+    one, many = docs_of(rows).coalesce(1), docs_of(rows[::-1]).repartition(7)
+    a, b = (lm_scoring.train(d)[1] for d in (one, many))
+    assert np.allclose(a, b, atol=1e-6) and not np.allclose(a, lm_scoring.start(7, lm_scoring.Shape(lm_scoring.GROUPS)), atol=1e-2)
+
+
+def test_lm_repeated_rows_are_spread(spark, docs_of, make, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "REPEATS", 5)
+    docs = docs_of([(1, make("en", 80, 1), None, None)] * 20 + [(2, make("en", 80, 2), None, None)])
+    assert lm_scoring._dealt(docs).select("salt").distinct().count() > 1
+    vocabulary, weights = lm_scoring.train(docs)
+    assert vocabulary.total == 21 * 80 and np.isfinite(weights).all()
+
+
+def test_lm_counts_grow_with_the_corpus(spark, docs_of):
+    docs = docs_of([(k, " ".join(f"w{k}x{j}" for j in range(200)), None, None) for k in range(40)])
+    assert lm_scoring.train(docs)[0].words.count() == 8000
+    assert lm_scoring.shape_of(1 << 17) == lm_scoring.Shape(64) and lm_scoring.shape_of(10**9) == lm_scoring.Shape(1000)
 
 
 def test_lm_gradient():
-    rng = np.random.default_rng(3)
-    w = lm_scoring.start().astype(np.float64)
-    ctx, y = rng.integers(0, lm_scoring.CLASSES + 1, (6, 4)), rng.integers(0, lm_scoring.CLASSES, 6)
-    loss = lambda v: -lm_scoring.log_probability(v, ctx, y).mean()
-    g = lm_scoring.gradient(w, ctx, y)
-    for k in rng.choice(np.flatnonzero(np.abs(g) > 1e-3), 8):
+    rng, shape = np.random.default_rng(3), lm_scoring.Shape(6)
+    w = lm_scoring.start(1, shape).astype(np.float64)
+    ctx, y = rng.integers(0, shape.pad + 1, (40, 4)), rng.integers(0, shape.pad, 40)
+    loss = lambda v: -lm_scoring.log_probability(v, shape, ctx, y).mean()
+    g = lm_scoring.gradient(w, shape, ctx, y)
+    for k in rng.choice(np.flatnonzero(np.abs(g) > 1e-4), 20):
         d = np.zeros_like(w)
         d[k] = 1e-5
         assert g[k] == pytest.approx((loss(w + d) - loss(w - d)) / 2e-5, rel=1e-3)
 
 
+def test_lm_query(spark):
+    docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    rows = lm_scoring.op8_lm_scoring(spark, SF).collect()
+    assert {r.doc_id: r.n_words for r in rows} == {i: len(lowered(t)) for i, t in docs.items()}
+    assert all(r.score is None if r.n_words == 0 else r.score == pytest.approx(r.log_prob / r.n_words) and r.score < 0 for r in rows)
+
+
 def brute_rule(url):
     if url is None or "://" not in url:
         return "", "", None
@@ -367,6 +483,65 @@ def test_url_model_on_ruled_urls(spark):
     assert np.mean(allowed) > np.mean(blocked)
 
 
+def test_url_models_are_backed_off_counts(spark):
+    seen = [("http://net/es/é1", "block", 3), ("http://net/es/22", "block", 1), ("http://a.com/x", "allow", 2), ("http://b.com/", "allow", 1), ("", "allow", 5)]
+    judged = spark.createDataFrame([(u, v, k) for u, v, n in seen for k in range(n)], "url string, verdict string, extra long")
+    model, cut = url_filter.learn(judged)
+    left = {u for u, _, _ in seen if u and u not in {r.url for r in judged.filter(F.pmod(F.xxhash64("url", F.lit("calibrate")), F.lit(url_filter.SEED_SHARE)) == 0).collect()}}
+    counts = {"allow": [Counter(), Counter()], "block": [Counter(), Counter()]}
+    padded = lambda u: [None] * url_filter.ORDER + list(u.encode())
+    for u, v, n in seen:
+        for p in range(url_filter.ORDER, len(padded(u)) if u in left else 0):
+            for k in range(url_filter.ORDER + 1):
+                past = tuple(padded(u)[p - k : p])
+                counts[v][0][past] += n
+                counts[v][1][past, padded(u)[p]] += n
+
+    def brute(u):
+        total = 0.0
+        for p in range(url_filter.ORDER, len(padded(u))):
+            for v, sign in (("allow", 1), ("block", -1)):
+                prob = 1 / 256
+                for k in range(url_filter.ORDER + 1):
+                    past = tuple(padded(u)[p - k : p])
+                    prob = (counts[v][1][past, padded(u)[p]] + url_filter.WEIGHT * prob) / (counts[v][0][past] + url_filter.WEIGHT)
+                total += sign * np.log(prob)
+        return total / max(1, len(u.encode()))
+
+    probe = ["http://net/es/é3", "http://a.com/é", "q", "", "http://net/"]
+    assert model.differences(*tokens.buffers(pa.array(probe))) == pytest.approx([brute(u) for u in probe], abs=1e-5)
+
+
+def test_url_threshold_is_the_best_cut():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        d, allowed, often = rng.integers(0, 6, 12).astype(float), rng.random(12) < 0.5, rng.integers(1, 4, 12)
+        if allowed.all() or not allowed.any():
+            continue
+        cost = lambda c: often[allowed & (d < c)].sum() / often[allowed].sum() + often[~allowed & (d >= c)].sum() / often[~allowed].sum()
+        assert cost(url_filter.threshold(d, allowed, often)) == pytest.approx(min(cost(c) for c in np.arange(-0.5, 7)))
+
+
+def test_a_repeated_url_is_one_of_the_sample(spark, monkeypatch):
+    urls = spark.range(30000).selectExpr("if(id < 29000, 'http://x.net/es/same', concat('http://h', id, '.com/', id)) AS url", "if(id < 29000, 'block', 'allow') AS verdict")
+    sizes = []
+    whole = url_filter.threshold
+    monkeypatch.setattr(url_filter, "threshold", lambda d, a, n: sizes.append(len(d)) or whole(d, a, n))
+    model, _ = url_filter.learn(urls, train_urls=100)
+    assert sizes[0] < 60 and 29000 in (model.seen[1, 0].max(), 29000)
+    difference = lambda u: model.differences(*tokens.buffers(pa.array([u])))[0]
+    assert difference("http://h5.com/7") > 0
+
+
+def test_url_query(spark):
+    pages = table(spark, SF, "pages").select("page_id", "url").collect()
+    out = url_filter.op9_url_filter(spark, SF).collect()
+    verdicts = {r: v for v, r in url_filter.RULES}
+    assert sorted(r.page_id for r in out) == sorted(r.page_id for r in pages)
+    url = {r.page_id: r.url for r in pages}
+    assert all((r.host, r.path, r.rule) == brute_rule(url[r.page_id]) and r.verdict == verdicts.get(r.rule, r.verdict) for r in out)
+
+
 def brute_hits(docs, items):
     windows = {}
     for name, t in items:
