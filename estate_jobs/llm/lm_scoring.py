@@ -1,23 +1,31 @@
 """Masked pseudo-likelihood scores of documents.
 
-Every word is predicted from the two words on either side of it by a small window network trained in numpy, and the
-log-probabilities are summed. All distinct words and their counts lie in a table that grows with the corpus. The most
-frequent words are classes of the network, the others share classes by hash, and a word's probability is its class's
-(from the network) times its own share of the class; the number of classes follows that of distinct words. Shares of
-the HOT most frequent words are held by each task, those of the others are joined back by word. The network trains on
-every word once: in each round a partition runs Adam over its share of the words, the partitions' weights are
-averaged, and the next round starts from the average.
-
-Words are told apart by 64-bit hashes within a chunk and among the hot words, by their characters elsewhere.
-
-Edge cases: a null, empty or wordless text has 0 words, log_prob 0 and a null score; words beyond the ends of the
-text are a padding class; unseen words count as half an occurrence; repeated rows score alike; empty tables give none.
+Every word is predicted from the two words on either side of it by a window network trained in numpy, and the
+log-probabilities are summed. The output is a two-level softmax: first a group, then, in a group of single words, the
+word. The most frequent words are single; the others share groups by hash, and there a word's probability is its own
+share of the group's occurrences. Counts of all distinct words lie in a table that grows with the corpus; tasks hold
+those of the most frequent ones, the others' are joined back. The number of groups, hence of single words, follows that
+of distinct words.
+
+The network trains on every word of every document once. Documents are dealt by a hash of id and text to rounds and,
+within a round, to shards; a shard is gone through in the order of the hash by one run of Adam, the shards' weights are
+averaged by words seen, and the next round starts from the average. Rounds and shards depend on the rows alone, not on
+files, partitions or machines, so reruns agree (but for the last bits of sums). Only rows that repeat, id and text,
+over REPEATS times are spread over shards by where they lie.
+
+Words are told apart by 64-bit hashes: of a billion distinct words two collide with a probability of 3 %.
+
+Edge cases: a null, empty or wordless text has 0 words, log_prob 0 and a null score; a very long text is one document of
+one shard, read in one piece; words beyond the ends of a text are a padding class; unseen words count as half an
+occurrence; ties of counts are ordered by hash; null and repeated ids are documents like others, repeated rows score
+alike; extra columns are not read; empty tables give none.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +33,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estate_jobs.llm.common import shared_folder, table
-from estate_jobs.llm.tokens import LOWER, Words, buffers, chunks, words
+from estate_jobs.llm.common import durable, shared_folder, small_enough, table
+from estate_jobs.llm.tokens import buffers, chunks, words
 
-#: Classes up to 2^18 distinct words: own ones of the most frequent words, and shared ones. Beyond, four times the cube root.
-FREQUENT, SHARED = 127, 128
-CLASSES = FREQUENT + SHARED
-#: Most frequent words whose counts each task holds; those of the others are shuffled.
-HOT = 1 << 17
+#: Groups of single words, as many of shared words: 64 up to 2^18 distinct words, the cube root of their number beyond.
+GROUPS = 64
+#: Single words of a group.
+MEMBERS = 32
+#: Most frequent words whose counts each task holds, at most; those of the others are joined.
+HOT = 1 << 19
 WINDOW = (-2, -1, 1, 2)
-#: Rounds of training; each takes every ROUNDS-th word as a target, another set each time, until all had their turn.
-WIDTH, ROUNDS, SEED = 16, 2, 7
-#: Words that training and scoring hold at once: their logits stay in the processor's cache.
-BATCH, RATE, PART = 2048, 0.01, 1024
+#: Width of the hidden layer; rounds of training; words of a shard, about, and number of shards, at most.
+WIDTH, ROUNDS, SEED, SHARD, MOST_SHARDS = 32, 2, 7, 1 << 20, 20_000
+#: Words of a training step, learning rate, words that are scored at once.
+BATCH, RATE, PART = 4096, 0.01, 2048
+#: Rows of one id and text that a shard takes; weights that travel in one row.
+REPEATS, BLOCK = 10_000, 4096
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -47,112 +58,143 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _said(w: Words, at: np.ndarray) -> pa.Array:
-    """The lower-cased words at some places."""
-    low = LOWER[w.raw].tobytes() if len(at) else b""
-    return pa.array([low[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)], pa.binary())
+class Shape(NamedTuple):
+    """Classes of the network: groups * MEMBERS single words, then `groups` shared groups, then padding."""
+
+    groups: int
+
+    @property
+    def single(self) -> int:
+        return self.groups * MEMBERS
+
+    @property
+    def pad(self) -> int:
+        return self.single + self.groups
+
+
+def shape_of(size: int) -> Shape:
+    """Shape for so many distinct words."""
+    return Shape(max(GROUPS, round(size ** (1 / 3))))
+
+
+# --- counts
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         for a, b in chunks(offsets):
-            w = words(data, offsets[a : b + 1])
-            value, at, n = np.unique(w.hash, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([_said(w, at), pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "hash", "n"])
+            value, n = np.unique(words(data, offsets[a : b + 1]).hash, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
 
 
-def _bucket(hashes: np.ndarray, shared: int) -> np.ndarray:
-    return (hashes & np.uint64(0x7FFFFFFF)).astype(np.int64) % shared
+def _find(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in known (sorted) of each hash, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return at, known[at] == hashes
+
+
+def _bucket(hashes: np.ndarray, groups: int) -> np.ndarray:
+    return (hashes & np.uint64(0x7FFFFFFF)).astype(np.int64) % groups
 
 
 class Index:
     """What tasks hold of the vocabulary: the class of any word, and log-shares within it as far as they are known."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, size: int, totals: np.ndarray, kinds: np.ndarray) -> None:
-        """Hot words, the most frequent first; number of distinct words; occurrences and distinct words of each bucket."""
-        self.own = frequent_of(size)
-        self.classes = classes_of(size)
-        self.shared = self.classes - self.own
-        top = hashes[: self.own]
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, shape: Shape, totals: np.ndarray, kinds: np.ndarray) -> None:
+        """Hot words; shape; occurrences and distinct words of each bucket, single words included."""
+        order = np.lexsort((hashes, -counts))
+        hashes, counts = hashes[order], counts[order]
+        self.shape = shape
+        top, self.n_top = hashes[: shape.single], counts[: shape.single]
         order = np.argsort(top)
-        self.top, self.rank = top[order], order.astype(np.int16)
-        of = _bucket(top, self.shared)
-        totals, kinds = totals - np.bincount(of, counts[: self.own], self.shared), kinds - np.bincount(of, minlength=self.shared)
-        #: Occurrences of each shared class, half a one added for each of its words and for one unseen.
+        self.top, self.rank = top[order], order.astype(np.int32)
+        of = _bucket(top, shape.groups)
+        totals, kinds = totals - np.bincount(of, counts[: shape.single], shape.groups), kinds - np.bincount(of, minlength=shape.groups)
+        #: Occurrences of each shared group, half a one added for each of its words and for one unseen.
         self.log_total = np.log(totals + 0.5 * (kinds + 1))
-        rest, n = hashes[self.own :], counts[self.own :]
+        rest, n = hashes[shape.single :], counts[shape.single :]
         order = np.argsort(rest)
         self.hot, self.log_n = rest[order], np.log(n[order] + 0.5)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        out = (self.own + _bucket(hashes, self.shared)).astype(np.int16)
+        out = (self.shape.single + _bucket(hashes, self.shape.groups)).astype(np.int32)
         at, there = _find(self.top, hashes)
         out[there] = self.rank[at[there]]
         return out
 
     def log_share(self, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-share of each word within its class, of those that aren't hot only its divisor; the places of these."""
-        out, others = np.zeros(len(hashes)), np.flatnonzero(classes >= self.own)
-        out[others] = -self.log_total[classes[others] - self.own]
+        out, others = np.zeros(len(hashes)), np.flatnonzero(classes >= self.shape.single)
+        out[others] = -self.log_total[classes[others] - self.shape.single]
         at, there = _find(self.hot, hashes[others])
         out[others[there]] += self.log_n[at[there]]
         return out, others[~there]
 
 
-def _find(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place in known (sorted) of each hash, and whether it is there."""
-    if not len(known):
-        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return at, known[at] == hashes
-
+class Vocabulary:
+    """The table of all words (hash, n), what tasks hold of it, and the words that they don't (None if they hold all)."""
 
-def classes_of(size: int) -> int:
-    """Number of classes for so many distinct words."""
-    return max(CLASSES, round(4 * size ** (1 / 3)))
+    def __init__(self, texts: DataFrame, hot: int = HOT) -> None:
+        self.words = _kept(texts.mapInArrow(_count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+        # counts fall into some hundred classes of size; the hot words are those of the highest ones
+        size = F.floor(F.log2("n") * 16).cast("int")
+        bins = sorted(((r.size, r.kinds, r.total) for r in self.words.groupBy(size.alias("size")).agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).collect()), reverse=True)
+        self.size, self.total = sum(b[1] for b in bins), sum(b[2] for b in bins)
+        shape, held, least = shape_of(self.size), 0, 1 << 30
+        for bin_, kinds, _ in bins:
+            if held + kinds > max(hot, shape.single):
+                break
+            held, least = held + kinds, bin_
+        first = self.words.filter(size >= least).toArrow()
+        bucket = (F.col("hash").bitwiseAND(F.lit(0x7FFFFFFF)) % shape.groups).alias("bucket")
+        got = self.words.groupBy(bucket).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).toArrow()
+        totals, kinds = np.zeros(shape.groups), np.zeros(shape.groups)
+        totals[got.column("bucket").to_numpy()], kinds[got.column("bucket").to_numpy()] = got.column("total").to_numpy(), got.column("kinds").to_numpy()
+        self.index = Index(first.column("hash").to_numpy().astype(np.int64).view(np.uint64), first.column("n").to_numpy().astype(np.float64), shape, totals, kinds)
+        self.others = self.words.filter(size < least) if held < self.size else None
 
 
-def frequent_of(size: int) -> int:
-    """Number of them that are a word each."""
-    return classes_of(size) * FREQUENT // CLASSES
+# --- the network
 
 
-class Vocabulary:
-    """The table of all words (word, hash, n), what tasks hold of it, and the words that they don't (None if they hold all)."""
+class Net(NamedTuple):
+    """Views of one array of weights."""
 
-    def __init__(self, texts: DataFrame, hot: int = HOT) -> None:
-        counted = texts.mapInArrow(_count, "word binary, hash long, n long").groupBy("word", "hash").agg(F.sum("n").alias("n"))
-        self.words = _kept(counted)
-        size = self.words.count()
-        hot = max(hot, frequent_of(size))
-        first = self.words.orderBy(F.desc("n"), "word").limit(hot).select("hash", "n").toArrow()
-        shared = classes_of(size) - frequent_of(size)
-        bucket = (F.col("hash").bitwiseAND(F.lit(0x7FFFFFFF)) % shared).alias("bucket")
-        got = self.words.groupBy(bucket).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).toArrow()
-        totals, kinds = np.zeros(shared), np.zeros(shared)
-        totals[got.column("bucket").to_numpy()], kinds[got.column("bucket").to_numpy()] = got.column("total").to_numpy(), got.column("kinds").to_numpy()
-        self.index = Index(first.column("hash").to_numpy().astype(np.int64).view(np.uint64), first.column("n").to_numpy().astype(np.float64), size, totals, kinds)
-        self.others = self.words.select("word", "n") if size > hot else None
+    embed: np.ndarray  # (place, class, width)
+    first: np.ndarray  # (width, group)
+    first_bias: np.ndarray
+    second: np.ndarray  # (group, width, member)
+    second_bias: np.ndarray
 
 
-def start(seed: int = SEED, classes: int = CLASSES) -> np.ndarray:
-    """All weights in one array: embeddings of the four places, output matrix, output bias."""
-    rng = np.random.default_rng(seed)
-    n = len(WINDOW) * (classes + 1) * WIDTH + WIDTH * classes
-    return np.concatenate([rng.normal(0, 0.3, n), np.zeros(classes)]).astype(np.float32)
+def view(weights: np.ndarray, shape: Shape) -> Net:
+    sizes = [(len(WINDOW), shape.pad + 1, WIDTH), (WIDTH, 2 * shape.groups), (2 * shape.groups,), (shape.groups, WIDTH, MEMBERS), (shape.groups, MEMBERS)]
+    ends = np.cumsum([np.prod(s) for s in sizes])
+    return Net(*(part.reshape(s) for part, s in zip(np.split(weights, ends[:-1]), sizes, strict=True)))
 
 
-def unpack(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    classes = (len(weights) - len(WINDOW) * WIDTH) // (len(WINDOW) * WIDTH + WIDTH + 1)
-    n = len(WINDOW) * (classes + 1) * WIDTH
-    m = n + WIDTH * classes
-    return weights[:n].reshape(len(WINDOW), classes + 1, WIDTH), weights[n:m].reshape(WIDTH, classes), weights[m:]
+def start(seed: int, shape: Shape, index: Index | None = None) -> np.ndarray:
+    """Small random weights; with an index the biases make a network that gives each word its share of all words."""
+    rng = np.random.default_rng(seed)
+    n = len(WINDOW) * (shape.pad + 1) * WIDTH + 2 * shape.groups * (WIDTH + 1) + shape.single * (WIDTH + 1)
+    weights = rng.normal(0, 0.1, n).astype(np.float32)
+    net = view(weights, shape)
+    net.first_bias[:], net.second_bias[:] = 0, 0
+    if index is not None:
+        count = np.full(shape.single, 1e-3)
+        count[: len(index.n_top)] = index.n_top
+        count = count.reshape(MEMBERS, shape.groups).T  # word r is member r // groups of group r % groups
+        net.second_bias[:] = np.log(count)
+        net.first_bias[:] = np.log(np.append(count.sum(axis=1), np.exp(index.log_total)))
+    return weights
 
 
 def context(classes: np.ndarray, rows: np.ndarray, pad: int) -> np.ndarray:
     """Classes of the words around each word, pad outside its row."""
-    out = np.full((len(classes), len(WINDOW)), pad, np.int16)
+    out = np.full((len(classes), len(WINDOW)), pad, np.int32)
     for k, d in enumerate(WINDOW):
         a, b = max(0, -d), len(classes) - max(0, d)
         if b > a:
@@ -161,82 +203,148 @@ def context(classes: np.ndarray, rows: np.ndarray, pad: int) -> np.ndarray:
     return out
 
 
-def forward(weights: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden layer and logits of all classes, the greatest of each word being 0."""
-    embed, out, bias = unpack(weights)
-    hidden = np.tanh(sum(embed[k][ctx[:, k]] for k in range(len(WINDOW))))
-    logits = hidden @ out
-    logits += bias
-    logits -= logits.max(axis=1, keepdims=True)
-    return hidden, logits
-
-
-def log_probability(weights: np.ndarray, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-probability of each target class."""
-    logits = forward(weights, ctx)[1]
-    own = logits[np.arange(len(target)), target]
-    return own - np.log(np.exp(logits, out=logits).sum(axis=1))
-
-
-def gradient(weights: np.ndarray, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    hidden, d = forward(weights, ctx)
-    out = unpack(weights)[1]
-    np.exp(d, out=d)
-    d /= d.sum(axis=1, keepdims=True) * len(target)
-    d[np.arange(len(target)), target] -= 1 / len(target)
-    back = (d @ out.T) * (1 - hidden**2)
-    g = np.zeros_like(weights)
-    g_embed, g_out, g_bias = unpack(g)
-    g_out[:], g_bias[:] = hidden.T @ d, d.sum(axis=0)
+def targets(classes: np.ndarray, shape: Shape) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Output group of each class; for each group of single words that occurs its number, the places and the members."""
+    single = classes < shape.single
+    group = np.where(single, classes % shape.groups, classes - shape.single + shape.groups)
+    at = np.flatnonzero(single)
+    at = at[np.argsort(group[at], kind="stable")]
+    edges = np.append(np.flatnonzero(np.diff(group[at], prepend=-1)), len(at)) if len(at) else []
+    return group, [(int(group[at[a]]), at[a:b], classes[at[a:b]] // shape.groups) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def hidden(net: Net, ctx: np.ndarray) -> np.ndarray:
+    return np.tanh(sum(net.embed[k][ctx[:, k]] for k in range(len(WINDOW))))
+
+
+def softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities (in place of the logits) and the logarithm of each row's sum."""
+    top = logits.max(axis=1, keepdims=True)
+    logits -= top
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1, keepdims=True)
+    logits /= total
+    return logits, (np.log(total) + top)[:, 0]
+
+
+def log_probability(weights: np.ndarray, shape: Shape, ctx: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Log-probability of each word's class."""
+    net = view(weights, shape)
+    h = hidden(net, ctx)
+    group, singles = targets(classes, shape)
+    logits = h @ net.first + net.first_bias
+    own = logits[np.arange(len(group)), group]
+    out = own - softmax(logits)[1]
+    for g, at, member in singles:
+        logits = h[at] @ net.second[g] + net.second_bias[g]
+        own = logits[np.arange(len(at)), member]
+        out[at] += own - softmax(logits)[1]
+    return out
+
+
+def gradient(weights: np.ndarray, shape: Shape, ctx: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Gradient of the mean of -log_probability."""
+    net, out = view(weights, shape), np.zeros_like(weights)
+    g_net, h, scale = view(out, shape), hidden(net, ctx), 1 / len(classes)
+    group, singles = targets(classes, shape)
+    d = softmax(h @ net.first + net.first_bias)[0]
+    d[np.arange(len(group)), group] -= 1
+    g_net.first[:], g_net.first_bias[:] = h.T @ d, d.sum(axis=0)
+    back = d @ net.first.T
+    for g, at, member in singles:
+        part = h[at]
+        d = softmax(part @ net.second[g] + net.second_bias[g])[0]
+        d[np.arange(len(at)), member] -= 1
+        g_net.second[g], g_net.second_bias[g] = part.T @ d, d.sum(axis=0)
+        back[at] += d @ net.second[g].T
+    back *= 1 - h**2
     for k in range(len(WINDOW)):
         order = np.argsort(ctx[:, k], kind="stable")
         used = ctx[order, k]
         first = np.flatnonzero(np.diff(used, prepend=-1))
-        g_embed[k][used[first]] = np.add.reduceat(back[order], first, axis=0)
-    return g
+        g_net.embed[k][used[first]] = np.add.reduceat(back[order], first, axis=0)
+    out *= scale
+    return out
 
 
-def _train(weights: np.ndarray, index: Index, turn: int, rounds: int):
-    """One pass over a partition; its weights, times the number of targets it saw."""
+def _train(weights: np.ndarray, index: Index):
+    """One run over a shard; its weights in blocks, and how many words it saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, m, v, seen, step = weights.copy(), np.zeros_like(weights), np.zeros_like(weights), 0, 0
+        w, m, v, seen, step, tmp = weights.copy(), np.zeros_like(weights), np.zeros_like(weights), 0, 0, np.empty_like(weights)
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for a, b in chunks(offsets):
                 said = words(data, offsets[a : b + 1])
-                classes, row = index.of(said.hash), said.row
-                ctx = context(classes, row, index.classes)
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                chosen = np.flatnonzero((place + row + turn) % rounds == 0)
-                seen += len(chosen)
-                for k in range(0, len(chosen), BATCH):
-                    part = chosen[k : k + BATCH]
-                    g = gradient(w, ctx[part], classes[part].astype(np.int64))
+                classes = index.of(said.hash)
+                ctx = context(classes, said.row, index.shape.pad)
+                seen += len(classes)
+                for k in range(0, len(classes), BATCH):
+                    g = gradient(w, index.shape, ctx[k : k + BATCH], classes[k : k + BATCH])
                     step += 1
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                    m *= 0.9
+                    m += np.multiply(g, 0.1, out=tmp)
+                    v *= 0.99
+                    g *= g
+                    v += np.multiply(g, 0.01, out=g)
+                    np.sqrt(v, out=g)
+                    g /= np.float32(np.sqrt(1 - 0.99**step))
+                    g += np.float32(1e-8)
+                    np.divide(m, g, out=g)
+                    w -= np.multiply(g, np.float32(RATE / (1 - 0.9**step)), out=g)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w.astype(np.float64) * seen), pa.array(np.full(len(w), seen, np.int64))], ["slot", "weight", "n"])
+            shard, parts = TaskContext.get().partitionId(), [w[k : k + BLOCK].tobytes() for k in range(0, len(w), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), shard, np.int32)), pa.array(np.full(len(parts), seen, np.int64)), pa.array(parts, pa.binary())], ["block", "shard", "n", "weights"])
 
     return run
 
 
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean weights of each block, by words seen; the rows of a block follow each other."""
+    block, total, n = None, np.zeros(0), 0
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["block", "weights"])
+
+    for batch in batches:
+        for b, seen, raw in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist(), batch.column("weights").to_pylist(), strict=True):
+            if b != block:
+                if block is not None:
+                    yield done()
+                block, total, n = b, 0.0, 0
+            total, n = total + np.frombuffer(raw, np.float32).astype(np.float64) * seen, n + seen
+    if block is not None:
+        yield done()
+
+
+def _dealt(documents: DataFrame) -> DataFrame:
+    """text, key, salt of every document: the hash that it is dealt by, and a number for those of a row that repeats very often."""
+    keyed = documents.select(F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("key"))
+    often = durable(keyed.groupBy("key").count().filter(F.col("count") > REPEATS).select("key", F.lit(1).alias("often")))
+    if often.isEmpty():
+        return keyed.withColumn("salt", F.lit(0))
+    return keyed.join(small_enough(often), "key", "left").select("text", "key", F.when(F.col("often") == 1, F.monotonically_increasing_id() % 1024).otherwise(0).alias("salt"))
+
+
 def train(documents: DataFrame, rounds: int = ROUNDS, seed: int = SEED, hot: int = HOT) -> tuple[Vocabulary, np.ndarray]:
     """Vocabulary and network of the documents. What the driver gets is bounded: counts of the hot words and the weights."""
-    texts = documents.select(F.col("text").cast("string"))
-    vocabulary = Vocabulary(texts, hot)
-    weights = start(seed, vocabulary.index.classes)
+    vocabulary = Vocabulary(documents.select(F.col("text").cast("string")), hot)
+    weights, dealt = start(seed, vocabulary.index.shape, vocabulary.index), _dealt(documents)
+    shards = int(np.clip(round(vocabulary.total / rounds / SHARD), 1, MOST_SHARDS))
     for turn in range(rounds):
-        total = texts.mapInArrow(_train(weights, vocabulary.index, turn, rounds), "slot int, weight double, n long")
-        got = total.groupBy("slot").agg((F.sum("weight") / F.sum("n")).alias("weight")).toArrow()
+        mine = dealt.filter(F.pmod(F.shiftright("key", 40), F.lit(rounds)) == turn)
+        shuffled = mine.repartition(shards, "key", "salt").sortWithinPartitions("key").select("text")
+        rows = shuffled.mapInArrow(_train(weights, vocabulary.index), "block int, shard int, n long, weights binary")
+        got = rows.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_average, "block int, weights binary").toArrow()
         if got.num_rows:
-            weights = weights.copy()
-            weights[got.column("slot").to_numpy()] = got.column("weight").to_numpy()
+            parts = dict(zip(got.column("block").to_pylist(), got.column("weights").to_pylist(), strict=True))
+            weights = np.frombuffer(b"".join(parts[k] for k in range(len(parts))), np.float32)
     return vocabulary, weights
 
 
+# --- scores
+
+
 def _score(weights: np.ndarray, index: Index, known: bool):
     """known: words that aren't hot are unseen ones; else they are listed, to be joined."""
 
@@ -247,17 +355,17 @@ def _score(weights: np.ndarray, index: Index, known: bool):
             for a, b in chunks(offsets):
                 said = words(data, offsets[a : b + 1])
                 classes, row = index.of(said.hash), said.row
-                ctx = context(classes, row, index.classes)
+                ctx = context(classes, row, index.shape.pad)
                 log_p, others = index.log_share(said.hash, classes)
                 for k in range(0, len(row), PART):
                     part = slice(k, k + PART)
-                    log_p[part] += log_probability(weights, ctx[part], classes[part])
+                    log_p[part] += log_probability(weights, index.shape, ctx[part], classes[part])
                 if known:
                     log_p[others] += np.log(0.5)
                     others = others[:0]
                 n = np.bincount(row, minlength=b - a)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[others], minlength=b - a))]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends), _said(said, others))
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(said.hash[others].view(np.int64)))
                 ids = pa.array(np.arange(row_id, row_id + b - a))
                 row_id += b - a
                 yield pa.RecordBatch.from_arrays([ids, batch.column("doc_id").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(np.bincount(row, log_p, b - a).astype(np.float64)), listed], ["row_id", "doc_id", "n_words", "log_prob", "others"])
@@ -268,10 +376,10 @@ def _score(weights: np.ndarray, index: Index, known: bool):
 def score(documents: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) -> DataFrame:
     """doc_id, n_words, log_prob (sum), score (mean log-probability of a word) of every document."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = docs.mapInArrow(_score(weights, vocabulary.index, vocabulary.others is None), "row_id long, doc_id long, n_words long, log_prob double, others array<binary>")
+    found = docs.mapInArrow(_score(weights, vocabulary.index, vocabulary.others is None), "row_id long, doc_id long, n_words long, log_prob double, others array<long>")
     if vocabulary.others is not None:
         found = _kept(found)
-        each = found.select("row_id", F.explode("others").alias("word")).join(vocabulary.others, "word", "left")
+        each = found.select("row_id", F.explode("others").alias("hash")).join(vocabulary.others, "hash", "left")
         sums = each.groupBy("row_id").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"))
         found = found.drop("others").join(sums, "row_id", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("rest", F.lit(0.0)))
     found = found.select("doc_id", "n_words", "log_prob")
