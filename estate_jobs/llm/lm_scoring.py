@@ -36,17 +36,17 @@ from pyspark.sql import functions as F
 from estate_jobs.llm.common import durable, shared_folder, small_enough, table
 from estate_jobs.llm.tokens import buffers, chunks, words
 
-#: Groups of single words, as many of shared words: 64 up to 2^18 distinct words, the cube root of their number beyond.
-GROUPS = 64
+#: Groups of single words: 32 up to 2^18 distinct words, half the cube root of their number beyond; half as many of shared words.
+GROUPS = 32
 #: Single words of a group.
-MEMBERS = 32
+MEMBERS = 64
 #: Most frequent words whose counts each task holds, at most; those of the others are joined.
 HOT = 1 << 19
 WINDOW = (-2, -1, 1, 2)
 #: Width of the hidden layer; rounds of training; words of a shard, about, and number of shards, at most.
-WIDTH, ROUNDS, SEED, SHARD, MOST_SHARDS = 32, 2, 7, 1 << 20, 20_000
+WIDTH, ROUNDS, SEED, SHARD, MOST_SHARDS = 24, 2, 7, 1 << 20, 20_000
 #: Words of a training step, learning rate, words that are scored at once.
-BATCH, RATE, PART = 4096, 0.01, 2048
+BATCH, RATE, PART = 8192, 0.01, 8192
 #: Rows of one id and text that a shard takes; weights that travel in one row.
 REPEATS, BLOCK = 10_000, 4096
 
@@ -59,7 +59,7 @@ def _kept(df: DataFrame) -> DataFrame:
 
 
 class Shape(NamedTuple):
-    """Classes of the network: groups * MEMBERS single words, then `groups` shared groups, then padding."""
+    """Classes of the network: groups * MEMBERS single words, then half as many shared groups, then padding."""
 
     groups: int
 
@@ -67,14 +67,18 @@ class Shape(NamedTuple):
     def single(self) -> int:
         return self.groups * MEMBERS
 
+    @property
+    def shared(self) -> int:
+        return self.groups // 2
+
     @property
     def pad(self) -> int:
-        return self.single + self.groups
+        return self.single + self.shared
 
 
 def shape_of(size: int) -> Shape:
     """Shape for so many distinct words."""
-    return Shape(max(GROUPS, round(size ** (1 / 3))))
+    return Shape(max(GROUPS, round(size ** (1 / 3) / 2)))
 
 
 # --- counts
@@ -111,8 +115,8 @@ class Index:
         top, self.n_top = hashes[: shape.single], counts[: shape.single]
         order = np.argsort(top)
         self.top, self.rank = top[order], order.astype(np.int32)
-        of = _bucket(top, shape.groups)
-        totals, kinds = totals - np.bincount(of, counts[: shape.single], shape.groups), kinds - np.bincount(of, minlength=shape.groups)
+        of = _bucket(top, shape.shared)
+        totals, kinds = totals - np.bincount(of, counts[: shape.single], shape.shared), kinds - np.bincount(of, minlength=shape.shared)
         #: Occurrences of each shared group, half a one added for each of its words and for one unseen.
         self.log_total = np.log(totals + 0.5 * (kinds + 1))
         rest, n = hashes[shape.single :], counts[shape.single :]
@@ -120,7 +124,7 @@ class Index:
         self.hot, self.log_n = rest[order], np.log(n[order] + 0.5)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        out = (self.shape.single + _bucket(hashes, self.shape.groups)).astype(np.int32)
+        out = (self.shape.single + _bucket(hashes, self.shape.shared)).astype(np.int32)
         at, there = _find(self.top, hashes)
         out[there] = self.rank[at[there]]
         return out
@@ -149,9 +153,9 @@ class Vocabulary:
                 break
             held, least = held + kinds, bin_
         first = self.words.filter(size >= least).toArrow()
-        bucket = (F.col("hash").bitwiseAND(F.lit(0x7FFFFFFF)) % shape.groups).alias("bucket")
+        bucket = (F.col("hash").bitwiseAND(F.lit(0x7FFFFFFF)) % shape.shared).alias("bucket")
         got = self.words.groupBy(bucket).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).toArrow()
-        totals, kinds = np.zeros(shape.groups), np.zeros(shape.groups)
+        totals, kinds = np.zeros(shape.shared), np.zeros(shape.shared)
         totals[got.column("bucket").to_numpy()], kinds[got.column("bucket").to_numpy()] = got.column("total").to_numpy(), got.column("kinds").to_numpy()
         self.index = Index(first.column("hash").to_numpy().astype(np.int64).view(np.uint64), first.column("n").to_numpy().astype(np.float64), shape, totals, kinds)
         self.others = self.words.filter(size < least) if held < self.size else None
@@ -161,40 +165,38 @@ class Vocabulary:
 
 
 class Net(NamedTuple):
-    """Views of one array of weights."""
+    """Views of one array of weights. Output matrices have a last row for the bias."""
 
     embed: np.ndarray  # (place, class, width)
-    first: np.ndarray  # (width, group)
-    first_bias: np.ndarray
-    second: np.ndarray  # (group, width, member)
-    second_bias: np.ndarray
+    first: np.ndarray  # (width + 1, group)
+    second: np.ndarray  # (group, width + 1, member)
 
 
 def view(weights: np.ndarray, shape: Shape) -> Net:
-    sizes = [(len(WINDOW), shape.pad + 1, WIDTH), (WIDTH, 2 * shape.groups), (2 * shape.groups,), (shape.groups, WIDTH, MEMBERS), (shape.groups, MEMBERS)]
+    sizes = [(len(WINDOW), shape.pad + 1, WIDTH), (WIDTH + 1, shape.groups + shape.shared), (shape.groups, WIDTH + 1, MEMBERS)]
     ends = np.cumsum([np.prod(s) for s in sizes])
-    return Net(*(part.reshape(s) for part, s in zip(np.split(weights, ends[:-1]), sizes, strict=True)))
+    return Net(*(part.reshape(s) for part, s in zip(np.split(weights[: ends[-1]], ends[:-1]), sizes, strict=True)))
 
 
 def start(seed: int, shape: Shape, index: Index | None = None) -> np.ndarray:
     """Small random weights; with an index the biases make a network that gives each word its share of all words."""
-    rng = np.random.default_rng(seed)
-    n = len(WINDOW) * (shape.pad + 1) * WIDTH + 2 * shape.groups * (WIDTH + 1) + shape.single * (WIDTH + 1)
-    weights = rng.normal(0, 0.1, n).astype(np.float32)
+    n = len(WINDOW) * (shape.pad + 1) * WIDTH + (WIDTH + 1) * (shape.groups + shape.shared) + shape.single * (WIDTH + 1)
+    weights = np.random.default_rng(seed).normal(0, 0.1, n).astype(np.float32)
     net = view(weights, shape)
-    net.first_bias[:], net.second_bias[:] = 0, 0
+    net.first[-1], net.second[:, -1] = 0, 0
     if index is not None:
         count = np.full(shape.single, 1e-3)
         count[: len(index.n_top)] = index.n_top
         count = count.reshape(MEMBERS, shape.groups).T  # word r is member r // groups of group r % groups
-        net.second_bias[:] = np.log(count)
-        net.first_bias[:] = np.log(np.append(count.sum(axis=1), np.exp(index.log_total)))
+        net.second[:, -1] = np.log(count / count.sum(axis=1, keepdims=True))
+        total = np.append(count.sum(axis=1), np.exp(index.log_total))
+        net.first[-1] = np.log(total / total.sum())
     return weights
 
 
 def context(classes: np.ndarray, rows: np.ndarray, pad: int) -> np.ndarray:
-    """Classes of the words around each word, pad outside its row."""
-    out = np.full((len(classes), len(WINDOW)), pad, np.int32)
+    """Classes of the words around each word, pad outside its row; of 16 bits where they fit, which sort faster."""
+    out = np.full((len(classes), len(WINDOW)), pad, np.int16 if pad < 1 << 15 else np.int32)
     for k, d in enumerate(WINDOW):
         a, b = max(0, -d), len(classes) - max(0, d)
         if b > a:
@@ -203,67 +205,81 @@ def context(classes: np.ndarray, rows: np.ndarray, pad: int) -> np.ndarray:
     return out
 
 
-def targets(classes: np.ndarray, shape: Shape) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Output group of each class; for each group of single words that occurs its number, the places and the members."""
+class Targets(NamedTuple):
+    """What a batch predicts: each word's group; of the single words, by group, the places, members and ends of the groups."""
+
+    group: np.ndarray
+    place: np.ndarray
+    member: np.ndarray
+    parts: list[tuple[int, int, int]]  # group, first, last (exclusive)
+
+
+def targets(classes: np.ndarray, shape: Shape) -> Targets:
     single = classes < shape.single
-    group = np.where(single, classes % shape.groups, classes - shape.single + shape.groups)
-    at = np.flatnonzero(single)
-    at = at[np.argsort(group[at], kind="stable")]
-    edges = np.append(np.flatnonzero(np.diff(group[at], prepend=-1)), len(at)) if len(at) else []
-    return group, [(int(group[at[a]]), at[a:b], classes[at[a:b]] // shape.groups) for a, b in zip(edges, edges[1:], strict=False)]
+    group = np.where(single, classes % shape.groups, classes - shape.single + shape.groups).astype(np.int16)
+    place = np.flatnonzero(single)
+    place = place[np.argsort(group[place], kind="stable")]
+    of = group[place]
+    edges = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)).tolist() if len(of) else []
+    return Targets(group, place, classes[place] // shape.groups, [(int(of[a]), a, b) for a, b in zip(edges, edges[1:], strict=False)])
 
 
 def hidden(net: Net, ctx: np.ndarray) -> np.ndarray:
-    return np.tanh(sum(net.embed[k][ctx[:, k]] for k in range(len(WINDOW))))
+    """Hidden layer of each word and a last column of ones."""
+    out = np.empty((len(ctx), WIDTH + 1), net.embed.dtype)
+    total = net.embed[0][ctx[:, 0]]
+    for k in range(1, len(WINDOW)):
+        total += net.embed[k][ctx[:, k]]
+    np.tanh(total, out=out[:, :WIDTH])
+    out[:, WIDTH] = 1
+    return out
+
 
+def logits(net: Net, h: np.ndarray, t: Targets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of all groups; hidden rows of the single words and logits of the members of their groups."""
+    part, inner = h[t.place], np.empty((len(t.place), MEMBERS), h.dtype)
+    for g, a, b in t.parts:
+        np.matmul(part[a:b], net.second[g], out=inner[a:b])
+    return h @ net.first, part, inner
 
-def softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities (in place of the logits) and the logarithm of each row's sum."""
-    top = logits.max(axis=1, keepdims=True)
-    logits -= top
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
-    logits /= total
-    return logits, (np.log(total) + top)[:, 0]
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    """exp in place and the sums of rows. The hidden layer is within -1 and 1, so logits stay far from overflow."""
+    np.exp(np.minimum(x, 80, out=x), out=x)
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def log_probability(weights: np.ndarray, shape: Shape, ctx: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Log-probability of each word's class."""
-    net = view(weights, shape)
-    h = hidden(net, ctx)
-    group, singles = targets(classes, shape)
-    logits = h @ net.first + net.first_bias
-    own = logits[np.arange(len(group)), group]
-    out = own - softmax(logits)[1]
-    for g, at, member in singles:
-        logits = h[at] @ net.second[g] + net.second_bias[g]
-        own = logits[np.arange(len(at)), member]
-        out[at] += own - softmax(logits)[1]
+    net, t = view(weights, shape), targets(classes, shape)
+    outer, _, inner = logits(net, hidden(net, ctx), t)
+    out = outer[np.arange(len(outer)), t.group]
+    own = inner[np.arange(len(inner)), t.member]
+    out -= np.log(_exp(outer))
+    out[t.place] += own - np.log(_exp(inner))
     return out
 
 
 def gradient(weights: np.ndarray, shape: Shape, ctx: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Gradient of the mean of -log_probability."""
-    net, out = view(weights, shape), np.zeros_like(weights)
-    g_net, h, scale = view(out, shape), hidden(net, ctx), 1 / len(classes)
-    group, singles = targets(classes, shape)
-    d = softmax(h @ net.first + net.first_bias)[0]
-    d[np.arange(len(group)), group] -= 1
-    g_net.first[:], g_net.first_bias[:] = h.T @ d, d.sum(axis=0)
-    back = d @ net.first.T
-    for g, at, member in singles:
-        part = h[at]
-        d = softmax(part @ net.second[g] + net.second_bias[g])[0]
-        d[np.arange(len(at)), member] -= 1
-        g_net.second[g], g_net.second_bias[g] = part.T @ d, d.sum(axis=0)
-        back[at] += d @ net.second[g].T
-    back *= 1 - h**2
+    net, t, out = view(weights, shape), targets(classes, shape), np.zeros_like(weights)
+    g_net, h = view(out, shape), hidden(net, ctx)
+    outer, part, inner = logits(net, h, t)
+    for x, own in ((outer, t.group), (inner, t.member)):
+        x *= (1 / (_exp(x) * len(classes)))[:, None].astype(x.dtype)
+        x[np.arange(len(x)), own] -= 1 / len(classes)
+    np.matmul(h.T, outer, out=g_net.first)
+    back, inner_back = outer @ net.first[:-1].T, np.empty((len(part), WIDTH), h.dtype)
+    for g, a, b in t.parts:
+        np.matmul(part[a:b].T, inner[a:b], out=g_net.second[g])
+        np.matmul(inner[a:b], net.second[g, :-1].T, out=inner_back[a:b])
+    back[t.place] += inner_back
+    back *= 1 - h[:, :WIDTH] ** 2
     for k in range(len(WINDOW)):
         order = np.argsort(ctx[:, k], kind="stable")
         used = ctx[order, k]
         first = np.flatnonzero(np.diff(used, prepend=-1))
         g_net.embed[k][used[first]] = np.add.reduceat(back[order], first, axis=0)
-    out *= scale
     return out
 
 

@@ -379,7 +379,7 @@ def brute_log_prob(texts, text, weights, shape, hot):
             break
         held += more
     top = sorted(held, key=lambda w: (-count[w], hashes[w]))[: shape.single]
-    cls = lambda w: top.index(w) if w in top else shape.single + (hashes[w] & 0x7FFFFFFF) % shape.groups
+    cls = lambda w: top.index(w) if w in top else shape.single + (hashes[w] & 0x7FFFFFFF) % shape.shared
     shared = {}
     for w in count:
         if w not in top:
@@ -387,12 +387,12 @@ def brute_log_prob(texts, text, weights, shape, hot):
     net, total, said = lm_scoring.view(weights.astype(np.float64), shape), 0.0, lowered(text)
     for k, w in enumerate(said):
         near = [cls(said[k + d]) if 0 <= k + d < len(said) else shape.pad for d in lm_scoring.WINDOW]
-        h = np.tanh(sum(net.embed[j][c] for j, c in enumerate(near)))
-        p = np.exp(h @ net.first + net.first_bias)
+        h = np.append(np.tanh(sum(net.embed[j][c] for j, c in enumerate(near))), 1)
+        p = np.exp(h @ net.first)
         p /= p.sum()
         c = cls(w)
         if c < shape.single:
-            q = np.exp(h @ net.second[c % shape.groups] + net.second_bias[c % shape.groups])
+            q = np.exp(h @ net.second[c % shape.groups])
             total += np.log(p[c % shape.groups]) + np.log(q[c // shape.groups] / q.sum())
         else:
             others = shared.get(c, [])
@@ -431,7 +431,7 @@ def test_lm_repeated_rows_are_spread(spark, docs_of, make, monkeypatch):
 def test_lm_counts_grow_with_the_corpus(spark, docs_of):
     docs = docs_of([(k, " ".join(f"w{k}x{j}" for j in range(200)), None, None) for k in range(40)])
     assert lm_scoring.train(docs)[0].words.count() == 8000
-    assert lm_scoring.shape_of(1 << 17) == lm_scoring.Shape(64) and lm_scoring.shape_of(10**9) == lm_scoring.Shape(1000)
+    assert lm_scoring.shape_of(1 << 17) == lm_scoring.Shape(32) and lm_scoring.shape_of(10**9) == lm_scoring.Shape(500)
 
 
 def test_lm_gradient():
