@@ -23,6 +23,9 @@ CITIES = (
 )
 # Labels before a size, in order of priority.
 SIZE_LABELS = ("úžitkov[áa]{s}+plocha", "podlahov[áa]{s}+plocha", "celkov[áa]{s}+plocha", "obytn[áa]{s}+plocha", "plocha{s}+bytu", "plocha{s}+úžitkov[áa]", "výmera", "rozloha", "plocha")
+# The labels that sites with titles in meta tags are read by, all but one of these.
+META_FIRST_LABELS = tuple(x for x in SIZE_LABELS if x != "plocha{s}+úžitkov[áa]")
+# Energy classes that are known, and types of linked data that are listings.
 ENERGY_CLASSES = ("A0", "A1", "A", "B", "C", "D", "E", "F", "G")
 LD_TYPES = ("Product", "Apartment", "House", "Residence", "RealEstateListing", "SingleFamilyResidence", "Accommodation", "Place")
 

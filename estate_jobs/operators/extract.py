@@ -5,17 +5,15 @@ from __future__ import annotations
 import html.parser
 import urllib.parse
 from collections.abc import Callable, Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estate_jobs.functions.columns import S, nz
-from estate_jobs.functions.params import ENERGY_CLASSES, EXCLUDED, LD_TYPES, SIZE_LABELS
+from estate_jobs.functions.params import ENERGY_CLASSES, EXCLUDED, LD_TYPES, META_FIRST_LABELS, SIZE_LABELS
 
 DETAIL = r"-r\d{6,8}\.html"
 ITEM_LISTS = ("items", "results", "adverts", "data", "listings", "offers", "advertisements")
@@ -44,13 +42,26 @@ def resolve(base: Column, link: Column) -> Column:
 
 
 def hrefs(pages: DataFrame) -> DataFrame:
-    """page_id, url, base, href, position: a row for each distinct link of a page that leads somewhere."""
-    base = F.coalesce(nz(F.regexp_extract("html", r'<base[^>]+href="([^"]+)"', 1), ""), F.col("url"))
+    """page_id, url, base, href, position: a row for each distinct link of a page that leads somewhere.
+
+    Links are relative to the page's <base href>, itself relative to its site, else to the root of the site.
+    """
+    root = F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.lit("/"))
+    own = nz(F.regexp_extract("html", r'<base[^>]+href="([^"]+)"', 1), "")
+    base = F.when(own.isNull(), root).otherwise(resolve(root, own))
     links = F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1)))
     some = F.filter(links, lambda x: ~x.rlike("^(#|javascript:|mailto:|$)"))
     return pages.select("page_id", "url", base.alias("base"), F.posexplode(some).alias("position", "href"))
 
 
+def dom_links(pages: DataFrame, fits: str = "/detail/") -> DataFrame:
+    """page_id, url, text, position: the anchors of a page whose link has `fits`, resolved, with their texts (at most 200 characters)."""
+    anchor = F.lit(r'(?s)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>')
+    both = F.arrays_zip(F.regexp_extract_all("html", anchor, F.lit(1)).alias("href"), F.regexp_extract_all("html", anchor, F.lit(2)).alias("inner"))
+    found = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(both).alias("position", "a")).filter(F.contains("a.href", F.lit(fits)))
+    return found.select("page_id", resolve(F.col("page_url"), F.col("a.href")).alias("url"), F.substring(visible_text(F.col("a.inner")), 1, 200).alias("text"), "position")
+
+
 def not_excluded(path: Column) -> Column:
     return ~F.lower(path).rlike("|".join(EXCLUDED))
 
@@ -95,6 +106,10 @@ def _first(values: Column) -> Column:
     return F.get(F.filter(values, _present), F.lit(0))
 
 
+def _first_of(values: Column) -> Column:
+    return F.get(F.filter(values, F.isnotnull), F.lit(0))
+
+
 def _last(values: Column) -> Column:
     return F.try_element_at(F.filter(values, F.isnotnull), F.lit(-1))
 
@@ -124,23 +139,32 @@ def _ld_image(x: Column) -> Column:
     return F.when(x.startswith("{"), F.get_json_object(x, "$.url")).when(x.startswith("["), _json(x, "$[0].url", "$[0]")).otherwise(x)
 
 
-def ld_fields(objects: Column) -> dict[str, Column]:
-    """Title, image and address of the first of linked_data's objects that has them; price, size and rooms of the last.
+def ld_fields(objects: Column, first_price: bool = False) -> dict[str, Column]:
+    """Title and image of the first of linked_data's objects that has them; size and rooms of the last.
 
-    The price is the first of price, lowPrice, highPrice of the first offer that is a number.
+    The sites differ in the rest. The price is the first of price, lowPrice, highPrice of an object's first offer that
+    is a number, of the last object that has one; with first_price it is price, or lowPrice where that is missing, of
+    the first object. The address is the first object's, with the postal code; with first_price the last one's, without.
     """
     of = lambda f: F.transform(objects, f)
     offers = F.transform(of(lambda o: F.when(o.offers.startswith("["), F.get_json_object(o.offers, "$[0]")).otherwise(o.offers)), lambda x: F.from_json(x, "price string, lowPrice string, highPrice string"))
-    keys = ("streetAddress", "addressLocality", "addressRegion", "postalCode")
+    keys = ("streetAddress", "addressLocality", "addressRegion", "postalCode")[: 3 if first_price else 4]
     places = F.transform(of(lambda o: o.address), lambda x: F.struct(x.alias("whole"), F.when(x.startswith("{"), F.from_json(x, ", ".join(f"{k} string" for k in keys))).alias("parts")))
     addresses = F.transform(places, lambda p: F.when(p.parts.isNull(), p.whole).otherwise(F.concat_ws(", ", *(nz(p.parts[k], "") for k in keys))))
+    some = lambda x: nz(x, "", "0", "0.0")  # noqa: E731  what counts as missing, so that the next one is taken
+    if first_price:
+        price = _first_of(F.transform(offers, lambda x: _amount(F.coalesce(some(x["price"]), some(x["lowPrice"])))))
+        address = _last(F.transform(addresses, lambda a: nz(a, "")))
+    else:
+        price = _last(F.transform(offers, lambda x: F.coalesce(*(_amount(x[k]) for k in ("price", "lowPrice", "highPrice")))))
+        address = _first(addresses)
     return {
         "ld_title": F.substring(_first(of(lambda o: o["name"])), 1, 200),
         "ld_image": _first(of(lambda o: _ld_image(o.image))),
-        "ld_address": _first(addresses),
-        "ld_price": _last(F.transform(offers, lambda x: F.coalesce(*(_amount(x[k]) for k in ("price", "lowPrice", "highPrice"))))),
-        "ld_size": _last(of(lambda o: _amount(F.coalesce(F.get_json_object(o.floorSize, "$.value"), o.floorSize)))),
-        "ld_rooms": _last(of(lambda o: F.coalesce(o.numberOfRooms, o.numberOfBedrooms).try_cast("double"))),
+        "ld_address": address,
+        "ld_price": price,
+        "ld_size": _last(of(lambda o: _amount(F.when(o.floorSize.startswith("{"), F.get_json_object(o.floorSize, "$.value"))))),
+        "ld_rooms": _last(of(lambda o: _amount(F.coalesce(some(o.numberOfRooms), o.numberOfBedrooms).try_cast("double").cast("int")))),
     }
 
 
@@ -181,14 +205,14 @@ def _if(x: Column, fits: Callable[[Column], Column]) -> Column:
     return F.get(F.filter(F.array(x), fits), F.lit(0))
 
 
-def size_from_text(text: Column, title: Column | None = None) -> Column:
-    """Area after the first label, in order of priority, that has a plausible one; else the first plausible "N m²"."""
+def size_from_text(text: Column, title: Column | None = None, labels: tuple[str, ...] = SIZE_LABELS) -> Column:
+    """Area after the first label, in order of priority, that has a plausible one; else the first plausible "N m²", else the title's."""
     def labelled(label: str) -> Column:
         v = _number(F.regexp_extract(text, "(?iu)" + label.replace("{s}", S) + r"[^0-9]{0,120}([0-9]{2,4}(?:[.,][0-9]+)?)" + S + r"*(?:m²|m2|m(?![0-9A-Za-z_]))", 1))
         return _if(v, lambda x: (x > 15) & (x < 500))
 
     any_label = text.rlike("(?iu)plocha|výmera|rozloha")
-    cascade = F.when(any_label, F.coalesce(*map(labelled, SIZE_LABELS)))
+    cascade = F.when(any_label, F.coalesce(*map(labelled, labels)))
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]{2,4}(?:[.,][0-9]+)?)" + S + "*(?:m²|m2)"), F.lit(1)), _number)
     steps = [cascade, F.get(F.filter(numbers, lambda x: (x > 20) & (x < 300)), F.lit(0))]
     if title is not None:
@@ -218,13 +242,24 @@ def image_url(src: Column, base: str) -> Column:
     return F.when(src.startswith("//"), F.concat(F.lit("https:"), src)).when(src.startswith("/"), F.concat(F.lit(base), src)).otherwise(src)
 
 
-def details(pages: DataFrame) -> DataFrame:
-    """Listing rows of detail pages (url, html): those with a price or a size. html is dropped at once."""
-    df = pages.select("url", "html").withColumn("ld", linked_data(F.col("html"))).withColumn("text", visible_text(F.col("html")))
-    df = df.withColumns(ld_fields(F.col("ld"))).drop("ld")
-    df = df.withColumns({"title": title(F.col("html"), F.col("ld_title")), "image": F.coalesce(nz(F.col("ld_image"), ""), meta(F.col("html"), "og:image"), F.lit(""))}).drop("html")
-    df = df.withColumns({"price_eur": F.coalesce("ld_price", price_from_text(F.col("text"))), "size_m2": F.coalesce("ld_size", size_from_text(F.col("text"), F.col("title"))), "energy_class": energy_from_text(F.col("text")), "address_raw": F.coalesce("ld_address", F.lit(""))})
-    row = F.struct(F.md5(F.col("url").cast("binary")).alias("id"), "url", "title", "price_eur", "size_m2", F.col("ld_rooms").alias("rooms"), "energy_class", "address_raw", district(F.col("address_raw")).alias("district"), F.col("image").alias("primary_image_url"))
+def details(pages: DataFrame, meta_first: bool = False) -> DataFrame:
+    """Listing rows of detail pages (url, html): those with a price or a size. html is dropped at once.
+
+    meta_first: for sites whose og:title, then <title>, precede the linked data, whose image is the og:image alone, that
+    have no rooms, and whose linked data is read with first_price.
+    """
+    html, text = F.col("html"), F.col("text")
+    df = pages.select("url", "html").withColumn("ld", linked_data(html)).withColumn("text", visible_text(html))
+    df = df.withColumns(ld_fields(F.col("ld"), meta_first)).drop("ld")
+    if meta_first:
+        names = {"title": F.substring(F.coalesce(nz(F.trim(meta(html, "og:title")), ""), nz(page_title(html), ""), "ld_title", F.lit("")), 1, 200), "image": F.coalesce(meta(html, "og:image"), F.lit(""))}
+    else:
+        names = {"title": title(html, F.col("ld_title")), "image": F.coalesce(nz(F.col("ld_image"), ""), meta(html, "og:image"), F.lit(""))}
+    df = df.withColumns(names).drop("html")
+    size = size_from_text(text, labels=META_FIRST_LABELS) if meta_first else size_from_text(text, F.col("title"))
+    df = df.withColumns({"price_eur": F.coalesce("ld_price", price_from_text(text)), "size_m2": F.coalesce("ld_size", size), "energy_class": energy_from_text(text), "address_raw": F.coalesce("ld_address", F.lit(""))})
+    rooms = F.lit(None).cast("double") if meta_first else F.col("ld_rooms")
+    row = F.struct(F.md5(F.col("url").cast("binary")).alias("id"), "url", "title", "price_eur", "size_m2", rooms.alias("rooms"), "energy_class", "address_raw", district(F.col("address_raw")).alias("district"), F.col("image").alias("primary_image_url"))
     # A filter over plain columns would be pushed down with all it needs and read every page twice; one over a generator's output stays.
     return df.select(F.inline(F.array(row))).filter("price_eur > 0 OR size_m2 > 0")
 
@@ -248,9 +283,9 @@ def api_listings(bodies: DataFrame, base: str) -> DataFrame:
     o = F.col("item")
     number = lambda *paths: F.coalesce(*(nz(F.get_json_object(o, p).try_cast("double"), 0.0) for p in paths), F.lit(0.0))
     text = lambda *paths: _json(o, *paths)
-    link = F.coalesce(text("$.url", "$.seoUrl", "$.link"), F.concat(F.lit("/detail/"), text("$.id", "$.advertId")))
+    link = F.coalesce(text("$.url", "$.seoUrl", "$.link"), F.concat(F.lit("/nehnutelnost/"), nz(text("$.id", "$.advertId"), "0"), F.lit("/")))
     url = F.when(link.startswith("http"), link).otherwise(F.concat(F.lit(base), F.when(link.startswith("/"), "").otherwise("/"), link))
-    sizes = [f"{p}.{k}" for p in ("$", "$.parameters") for k in ("usableArea", "floorArea", "area", "size")]
+    sizes = [f"{p}.{k}" for k in ("usableArea", "floorArea", "area", "size") for p in ("$", "$.parameters")]
     address = text("$.location.fullAddress", "$.location.address", "$.location.city", "$.address.fullAddress", "$.address.address", "$.address.city")
     plain = F.coalesce(*(F.when(~v.startswith("{"), v) for v in (text("$.location"), text("$.address"))))
     energy = F.upper(text("$.energyRating", "$.energyClass"))
@@ -371,18 +406,23 @@ def cards(pages: DataFrame, base: str) -> DataFrame:
 
 # --- enrichment
 
-def overlay(listings: DataFrame, details: DataFrame) -> DataFrame:
-    """listings with what details (same ids) know: title only where it is blank, the rest wherever it is present."""
+def overlay(listings: DataFrame, details: DataFrame, unpriced: bool = False) -> DataFrame:
+    """listings with what details (same ids) know: title only where it is blank, the rest wherever it is present.
+
+    unpriced: only listings without a price take anything.
+    """
     new = details.select("id", *(F.col(c).alias(f"new_{c}") for c in details.columns if c != "id"))
-    missing = {"price_eur": 0.0, "size_m2": 0.0, "energy_class": "UNKNOWN"}
+    missing = {"price_eur": 0.0, "size_m2": 0.0, "energy_class": "UNKNOWN", "rooms": 0}
 
     def rule(c: str) -> Column:
         if f"new_{c}" not in new.columns:
             return F.col(c)
         fresh = F.col(f"new_{c}")
         if c == "title":
-            return F.coalesce(nz(F.col(c), ""), fresh)
-        return F.coalesce(nz(fresh, missing[c]) if c in missing else fresh if c == "rooms" else nz(fresh, ""), F.col(c))
+            merged = F.coalesce(nz(F.col(c), ""), F.substring(fresh, 1, 200))
+        else:
+            merged = F.coalesce(nz(fresh, missing[c]) if c in missing else nz(fresh, ""), F.col(c))
+        return F.when(F.coalesce("price_eur", F.lit(0.0)) == 0, merged).otherwise(F.col(c)) if unpriced else merged
 
     return listings.join(new, "id", "left").select(*(rule(c).alias(c) for c in listings.columns))
 
@@ -395,12 +435,3 @@ def backlog(listings: DataFrame, source: str, n: int = 200) -> DataFrame:
 def gains(before: DataFrame, after: DataFrame) -> DataFrame:
     both = before.select("id", F.col("price_eur").alias("p0"), F.col("size_m2").alias("s0")).join(after.select("id", "price_eur", "size_m2"), "id")
     return both.agg(F.count_if((F.col("p0") <= 0) & (F.col("price_eur") > 0)).alias("gained_price"), F.count_if((F.col("s0") <= 0) & (F.col("size_m2") > 0)).alias("gained_size"))
-
-
-def all_of(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def first_seen(links: DataFrame) -> DataFrame:
-    """page_id, link: each link once, on its first page."""
-    return links.withColumn("n", F.row_number().over(W.partitionBy("link").orderBy("page_id"))).filter("n = 1").drop("n")
