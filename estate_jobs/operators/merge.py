@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from estate_jobs.sources.tables import durable
+
 FIXED = ("source", "url", "url_hash", "description", "scraped_at", "classification", "lv_status")
 TEXTS = ("title", "address_raw", "district", "city", "primary_image_url", "image_urls")
 AMOUNTS = ("price_eur", "size_m2")
@@ -71,9 +73,22 @@ def set_deed_status(listings: DataFrame, verdicts: DataFrame) -> tuple[DataFrame
     return updated, verdicts.filter("status = 'REJECTED'").select(F.col("id").alias("listing_id"), "reason", "detail", "module")
 
 
-def insert_or_ignore(existing: DataFrame, seed: DataFrame, key: str = "id", unique: tuple[str, ...] = ("district", "size_band")) -> DataFrame:
-    """existing and the seed rows whose id and unique columns it lacks; of equal seed rows the one with the least id."""
-    columns = [c for c in seed.columns if c not in unique]
-    first = seed.groupBy(*unique).agg(F.min_by(F.struct(*columns), key).alias("row")).select(*unique, "row.*").select(seed.columns)
-    new = first.join(existing.select(key), key, "left_anti").join(existing.select(*unique), list(unique), "left_anti")
-    return existing.unionByName(new)
+def insert_or_ignore(existing: DataFrame, seed: DataFrame, key: str = "id", unique: tuple[str, ...] = ("district", "size_band"), order: str = "id") -> DataFrame:
+    """existing and the seed rows that, taken one by one in `order`, share neither key nor unique columns with a row that is there.
+
+    In each round the rows that come first both by key and by unique columns go in, and those that they rule out go;
+    it takes as many rounds as the longest chain of rows that rule each other out. Nulls are never equal, as in SQL.
+    """
+    left = seed.join(existing.select(key), key, "left_anti").join(existing.select(*unique), list(unique), "left_anti")
+    row = F.struct(F.col(order), F.xxhash64(*seed.columns))
+    left = durable(left.groupBy(key, *unique).agg(F.min_by(F.struct(*seed.columns), row).alias("kept"), F.min(row).alias("seed_row")).select("kept.*", "seed_row"))
+    taken = left.filter("false")
+    while not left.isEmpty():
+        by_key = left.groupBy(key).agg(F.min("seed_row").alias("first_by_key"))
+        by_unique = left.groupBy(*unique).agg(F.min("seed_row").alias("first_by_unique"))
+        known = left.join(by_key, key, "left").join(by_unique, list(unique), "left")
+        first = (F.coalesce("first_by_key", "seed_row") == F.col("seed_row")) & (F.coalesce("first_by_unique", "seed_row") == F.col("seed_row"))
+        new = durable(known.filter(first).select(*left.columns).dropDuplicates(["seed_row"]))
+        taken = taken.union(new)
+        left = durable(left.join(new.select("seed_row"), "seed_row", "left_anti").join(new.select(key), key, "left_anti").join(new.select(*unique), list(unique), "left_anti").select(*left.columns))
+    return existing.unionByName(taken.select(*seed.columns))

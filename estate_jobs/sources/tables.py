@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import tempfile
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the cluster's spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int) -> DataFrame:
@@ -15,23 +26,26 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
-def write(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def raw_pages(pages: DataFrame) -> DataFrame:
     """Pages that were fetched well. A table without a status holds such pages only."""
     kept = pages.filter("status = 200") if "status" in pages.columns else pages
     return kept.select("page_id", "url", "html")
 
 
-def log_id(*parts: str):
+def log_id(*parts: str) -> Column:
     """The same id for the same row, so that a repeated write can be told."""
     return F.sha2(F.concat_ws("|", *(F.col(p).cast("string") for p in parts)), 256)
 
 
 def append_log(rows: DataFrame, path: str, *key: str) -> None:
-    rows.withColumn("id", log_id(*key)).write.mode("append").parquet(path)
+    """Appends the rows whose log_id the log doesn't hold yet, each once: a repeated append adds nothing."""
+    new = rows.withColumn("id", log_id(*key)).dropDuplicates(["id"])
+    try:
+        new = new.join(rows.sparkSession.read.parquet(path).select("id"), "id", "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    new.write.mode("append").parquet(path)
 
 
 def write_drafts(drafts: DataFrame, path: str) -> None:
