@@ -9,8 +9,10 @@ from estate_jobs.functions.columns import haversine, rnd, zone
 from estate_jobs.functions.params import CITIES, DEFAULTS, Params
 
 AMENITIES = ("grocery_or_supermarket", "pharmacy", "school")
-#: A cell of the grid is over 2 km on each side between 47.5 and 49.7 degrees north.
+#: Degrees of the grid that noise readings stand for.
 CELL_LAT, CELL_LNG = 0.02, 0.03
+#: Metres of a degree of latitude on the sphere of `haversine`; 0.1 % less, to be on the safe side.
+DEGREE = 111_080.0
 
 
 def unscored(listings: DataFrame, scores: DataFrame) -> DataFrame:
@@ -24,44 +26,79 @@ def geocode(address: Column) -> tuple[Column, Column]:
     return at(1), at(2)
 
 
-def _cell(lat: Column, lng: Column) -> tuple[Column, Column]:
-    return F.floor(lat / CELL_LAT).cast("long"), F.floor(lng / CELL_LNG).cast("long")
+def located(listings: DataFrame) -> DataFrame:
+    """listings with lat and lng: their own where both are there, else those of the city that the address names; others go."""
+    lat, lng = geocode(F.col("address_raw"))
+    if "lat" in listings.columns and "lng" in listings.columns:
+        own = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+        lat, lng = F.when(own, F.col("lat")).otherwise(lat), F.when(own, F.col("lng")).otherwise(lng)
+    return listings.withColumns({"lat": lat, "lng": lng}).filter("lat IS NOT NULL AND lng IS NOT NULL")
+
+
+def _row(lat: Column, radius: float) -> Column:
+    return F.floor(lat / (radius / DEGREE)).cast("long")
+
+
+def _column(row: Column, lng: Column, radius: float) -> Column:
+    """Cell of a longitude in a row of cells: at the latitudes of the row and its neighbours `radius` spans less than one cell."""
+    high = F.least((F.abs(row) + 2) * (radius / DEGREE), F.lit(89.0))
+    return F.floor(lng / (radius / DEGREE) * F.cos(F.radians(high))).cast("long")
 
 
 def within(points: DataFrame, places: DataFrame, radius: float) -> DataFrame:
-    """points (lat, lng, others) and places (place_lat, place_lng, others) at most `radius` metres (<= 2000) apart, with distance.
+    """points (lat, lng, others) and places (place_lat, place_lng, others) at most `radius` metres apart, with distance.
 
-    Each place is sent to the nine cells around it, so the join is an equi-join by cell; AQE splits crowded cells.
+    Cells are as large as the radius asks for at their latitude, up to 88 degrees; pairs across the 180th meridian
+    aren't found. Each place is sent to the nine cells around it, so the join is an equi-join by cell; AQE splits
+    crowded ones.
     """
-    y, x = _cell(F.col("lat"), F.col("lng"))
-    py, px = _cell(F.col("place_lat"), F.col("place_lng"))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    sent = places.withColumn("cy", F.explode(F.transform(near, lambda d: py + d))).withColumn("cx", F.explode(F.transform(near, lambda d: px + d)))
-    joined = points.withColumn("cy", y).withColumn("cx", x).join(sent, ["cy", "cx"]).drop("cy", "cx")
+    rows = places.withColumn("cy", F.explode(F.transform(near, lambda d: _row(F.col("place_lat"), radius) + d)))
+    sent = rows.withColumn("cx", F.explode(F.transform(near, lambda d: _column(F.col("cy"), F.col("place_lng"), radius) + d)))
+    joined = points.withColumn("cy", _row(F.col("lat"), radius)).withColumn("cx", _column(F.col("cy"), F.col("lng"), radius)).join(sent, ["cy", "cx"]).drop("cy", "cx")
     return joined.withColumn("distance", haversine(F.col("lat"), F.col("lng"), F.col("place_lat"), F.col("place_lng"))).filter(F.col("distance") <= radius)
 
 
+def _place(df: DataFrame, kind: Column) -> DataFrame:
+    return df.select(kind.alias("type"), F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng"))
+
+
+def _measured(points: DataFrame, places: DataFrame, p: Params) -> DataFrame:
+    """lat, lng of each distinct spot with places around it, transit, a count for each amenity, risk. places: type, place_lat, place_lng; type site: construction."""
+    near = within(points.select("lat", "lng").distinct(), places, max(p.transit_search, p.amenity_radius, p.construction_radius))
+    counts = [F.count_if((F.col("type") == t) & (F.col("distance") <= p.amenity_radius)).alias(t) for t in AMENITIES]
+    transit = F.min(F.when((F.col("type") == "transit_station") & (F.col("distance") <= p.transit_search), F.col("distance"))).alias("transit")
+    risk = F.max(F.when((F.col("type") == "site") & (F.col("distance") <= p.construction_radius), 1).otherwise(0)).alias("risk")
+    return near.groupBy("lat", "lng").agg(transit, *counts, risk)
+
+
+def _with_surroundings(joined: DataFrame, p: Params) -> DataFrame:
+    zero = {t: F.coalesce(t, F.lit(0)) for t in AMENITIES}
+    return joined.withColumns(zero).withColumn("nearest_transit_m", rnd(F.coalesce("transit", F.lit(p.no_transit)), 1)).withColumn("amenity_count", sum((F.col(t) for t in AMENITIES[1:]), F.col(AMENITIES[0]))).drop("transit")
+
+
 def surroundings(points: DataFrame, places: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """id, lat, lng, nearest_transit_m, a count for each amenity, amenity_count. points: id, lat, lng; one row an id.
 
     Listings at the same coordinates are looked up once.
     """
-    spots = points.select("lat", "lng").distinct()
-    near = within(spots, places.select("type", F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng")), p.transit_search)
-    counts = [F.count_if((F.col("type") == t) & (F.col("distance") <= p.amenity_radius)).alias(t) for t in AMENITIES]
-    found = near.groupBy("lat", "lng").agg(F.min(F.when(F.col("type") == "transit_station", F.col("distance"))).alias("transit"), *counts)
-    joined = points.join(found, ["lat", "lng"], "left").select(points.columns + ["transit", *AMENITIES])
-    zero = {t: F.coalesce(t, F.lit(0)) for t in AMENITIES}
-    return joined.withColumns(zero).withColumn("nearest_transit_m", rnd(F.coalesce("transit", F.lit(p.no_transit)), 1)).withColumn("amenity_count", sum((F.col(t) for t in AMENITIES[1:]), F.col(AMENITIES[0]))).drop("transit")
+    found = _measured(points, _place(places, F.col("type")), p).drop("risk")
+    return _with_surroundings(points.join(found, ["lat", "lng"], "left").select(*points.columns, "transit", *AMENITIES), p)
+
+
+def _with_noise(points: DataFrame, noise: DataFrame, p: Params) -> DataFrame:
+    """points with noise_flag: 1 where a reading in its cell of the grid is over the limit."""
+    cell = lambda c, size: F.floor(F.col(c) / size).cast("long")
+    loud = noise.filter(F.col("db") > p.noise_limit).select(cell("lat", CELL_LAT).alias("cy"), cell("lng", CELL_LNG).alias("cx")).distinct().withColumn("loud", F.lit(1))
+    joined = points.withColumn("cy", cell("lat", CELL_LAT)).withColumn("cx", cell("lng", CELL_LNG)).join(loud, ["cy", "cx"], "left")
+    return joined.select(*points.columns, F.coalesce("loud", F.lit(0)).alias("noise_flag"))
 
 
 def hazards(points: DataFrame, sites: DataFrame, noise: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """id, construction_risk, noise_flag. sites: lat, lng; noise: lat, lng, db, a reading for its cell of the grid."""
-    risky = within(points.select("id", "lat", "lng"), sites.select(F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng")), p.construction_radius).select("id").distinct().withColumn("risk", F.lit(1))
-    y, x = _cell(F.col("lat"), F.col("lng"))
-    loud = noise.filter(F.col("db") > p.noise_limit).select(y.alias("cy"), x.alias("cx")).distinct().withColumn("loud", F.lit(1))
-    joined = points.select("id", y.alias("cy"), x.alias("cx")).join(loud, ["cy", "cx"], "left").join(risky, "id", "left")
-    return joined.select("id", F.coalesce("risk", F.lit(0)).alias("construction_risk"), F.coalesce("loud", F.lit(0)).alias("noise_flag"))
+    found = _measured(points, _place(sites, F.lit("site")), p).select("lat", "lng", "risk")
+    joined = _with_noise(points, noise, p).join(found, ["lat", "lng"], "left")
+    return joined.select("id", F.coalesce("risk", F.lit(0)).alias("construction_risk"), "noise_flag")
 
 
 def score(transit: Column, amenities: Column, construction: Column, noise: Column, energy: Column, p: Params = DEFAULTS) -> tuple[Column, Column]:
@@ -72,14 +109,11 @@ def score(transit: Column, amenities: Column, construction: Column, noise: Colum
 
 
 def run(listings: DataFrame, scores: DataFrame, places: DataFrame, sites: DataFrame, noise: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """New location scores. A listing brings both lat and lng, or else an address that names a city; others are skipped."""
-    todo = unscored(listings, scores)
-    lat, lng = geocode(F.col("address_raw"))
-    if "lat" in todo.columns and "lng" in todo.columns:
-        own = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-        lat, lng = F.when(own, F.col("lat")).otherwise(lat), F.when(own, F.col("lng")).otherwise(lng)
-    todo = todo.withColumns({"lat": lat, "lng": lng})
-    todo = todo.filter("lat IS NOT NULL AND lng IS NOT NULL").select("id", "lat", "lng", "district", "energy_class")
-    around = surroundings(todo, places, p).join(hazards(todo, sites, noise, p), "id")
+    """New location scores of the listings that can be located. One range join serves all kinds of places, by distinct coordinates."""
+    todo = located(unscored(listings, scores)).select("id", "lat", "lng", "district", "energy_class")
+    found = _measured(todo, _place(places, F.col("type")).union(_place(sites, F.lit("site"))), p)
+    spots = _with_noise(todo.select("lat", "lng").distinct(), noise, p).join(found, ["lat", "lng"], "left")
+    around = _with_surroundings(spots.withColumn("construction_risk", F.coalesce("risk", F.lit(0))), p)
+    df = todo.join(around, ["lat", "lng"])
     points, tier = score(F.col("nearest_transit_m"), F.col("amenity_count"), F.col("construction_risk"), F.col("noise_flag"), F.col("energy_class"), p)
-    return around.select(F.col("id").alias("listing_id"), "lat", "lng", "nearest_transit_m", *AMENITIES, "amenity_count", "construction_risk", "noise_flag", zone(F.col("district")).alias("industrial_zone"), points.cast("int").alias("location_score"), tier.alias("location_tier"), points.cast("int").alias("walkability_score"), F.lit(0).alias("flood_zone"))
+    return df.select(F.col("id").alias("listing_id"), "lat", "lng", "nearest_transit_m", *AMENITIES, "amenity_count", "construction_risk", "noise_flag", zone(F.col("district")).alias("industrial_zone"), points.cast("int").alias("location_score"), tier.alias("location_tier"), points.cast("int").alias("walkability_score"), F.lit(0).alias("flood_zone"))
