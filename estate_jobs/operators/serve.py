@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,12 +13,13 @@ def _without(df: DataFrame, key: str, *drop: str) -> DataFrame:
     return df.withColumnRenamed("listing_id", key).drop(*drop)
 
 
-def active_feed(listings: DataFrame, scores: DataFrame, locations: DataFrame) -> DataFrame:
-    """Active listings that aren't rejected, with their scores, best company surplus first, none last."""
+def active_feed(listings: DataFrame, scores: DataFrame, locations: DataFrame, ordered: bool = True) -> DataFrame:
+    """Active listings that aren't rejected, with their scores; ordered: best company surplus first, none last."""
     live = listings.filter("is_active = 1 AND lv_status <> 'REJECTED'")
     scored = _without(scores.withColumnRenamed("classification", "cf_class"), "id")
     placed = _without(locations, "id", "lat", "lng")
-    return live.join(scored, "id", "left").join(placed, "id", "left").orderBy(F.col("surplus_sro").desc_nulls_last(), "id")
+    feed = live.join(scored, "id", "left").join(placed, "id", "left")
+    return feed.orderBy(F.col("surplus_sro").desc_nulls_last(), "id") if ordered else feed
 
 
 def rejected_feed(listings: DataFrame, log: DataFrame) -> DataFrame:
@@ -60,13 +63,15 @@ def class_sizes(feed: DataFrame) -> DataFrame:
     return feed.groupBy(feed_class().alias("cls")).agg(F.count("*").alias("n"))
 
 
-COSTS = (("Mortgage", "mortgage_monthly"), ("HOA", "hoa_monthly"), ("Property Tax", "property_tax_monthly"), ("Vacancy 5%", "vacancy_cost"), ("Maintenance", "maintenance_monthly"), ("Income Tax", "income_tax_{s}"), ("Health Levy", "health_levy_{s}"))
+# Labels of cost lines and the columns that they show, {s} for the structure.
+COSTS = (("Mortgage", "mortgage_monthly"), ("HOA", "hoa_monthly"), ("Property Tax", "property_tax_monthly"), ("Vacancy 5%", "vacancy_cost"), ("Maintenance", "maintenance_monthly"), ("Income Tax", "income_tax_{s}"), ("Health Levy", "health_levy_{s}"), ("TOTAL COSTS", "total_{s}"), ("NET SURPLUS", "surplus_{s}"))
 
 
-def cost_lines(scores: DataFrame, structure: str = "sro") -> DataFrame:
-    """listing_id, label, value: a row for each cost that is known, under one structure (sro or personal)."""
-    wide = scores.select("listing_id", *(F.col(c.format(s=structure)).alias(label) for label, c in COSTS))
-    return wide.unpivot("listing_id", [label for label, _ in COSTS], "label", "value").filter("value IS NOT NULL")
+def cost_lines(scores: DataFrame, structure: Column) -> DataFrame:
+    """listing_id, label, value: a row for each cost that is known, the total unless it is 0, and the surplus, under each row's structure (sro or personal)."""
+    under = lambda c: F.when(structure == "sro", F.col(c.format(s="sro"))).otherwise(F.col(c.format(s="personal")))
+    wide = scores.select("listing_id", *(under(c).alias(label) for label, c in COSTS))
+    return wide.unpivot("listing_id", [label for label, _ in COSTS], "label", "value").filter("value IS NOT NULL AND NOT (label = 'TOTAL COSTS' AND value = 0)")
 
 
 def location_checklist(feed: DataFrame) -> DataFrame:
@@ -78,15 +83,50 @@ def location_checklist(feed: DataFrame) -> DataFrame:
     return feed.select("id", *(c.alias(k) for k, c in ok.items())).unpivot("id", list(ok), "label", "ok")
 
 
-def contract_drafts(listings: DataFrame, deals: DataFrame) -> DataFrame:
+_RULE = "━" * 58
+# The sections of a draft. Names in braces are filled in for each deal.
+DRAFT = (
+    "╔" + "═" * 58 + "╗", "║         KÚPNA ZMLUVA — DRAFT / NÁVRH ZMLUVY             ║", "╚" + "═" * 58 + "╝", "",
+    "Vygenerované:  {generated}", "Stav:          DRAFT — vyžaduje notariálne vyhotovenie", "", _RULE, "",
+    "§ 1. PREDMET ZMLUVY", "", "Nehnuteľnosť: {title}", "Adresa:       {address_raw}", "Okres:        {district}", "Výmera:       {size} m²", "Energetická trieda: {energy}", "",
+    "Katastrálne územie: {area}", "Číslo parcely:      {parcel}", "List vlastníctva:   [Overiť na Katastri pred podpisom]", "LV Status:          {lv} (stav k dátumu generovania)", "", _RULE, "",
+    "§ 2. ZMLUVNÉ STRANY", "", "KUPUJÚCI (Buyer):", "  Meno / Spoločnosť: {buyer}", "  IČO:               {buyer_id}", "  Forma vlastníctva: {ownership}", "",
+    "PREDÁVAJÚCI (Seller):", "  [Doplniť notárom — overiť totožnosť a vlastníctvo]", "", _RULE, "",
+    "§ 3. KÚPNA CENA", "", "Dohodnutá cena:    €{agreed}", "Záloha (depozit):  €{deposit}", "Zostatok:          €{rest}", "", "Platobný mechanizmus:", "  {payment_text}", "", _RULE, "",
+    "§ 4. PODMIENKY", "", "1. Zmluva nadobúda platnosť podpisom oboch strán pred notárom.", "2. Prevod vlastníctva nastáva zápisom do katastra nehnuteľností.", "3. Predávajúci zaručuje, že nehnuteľnosť je bez právnych vád.",
+    "4. Kupujúci vyhlasuje, že je oboznámený so stavom nehnuteľnosti.", "5. {condition}", "", _RULE, "",
+    "§ 5. NOTÁR", "", "Notár:   {notary}", "Dátum:   [Doplniť]", "Miesto:  [Doplniť]", "", _RULE, "",
+    "FINANČNÁ ANALÝZA (pre interné účely):", "", "s.r.o. surplus/mo:  €{surplus}", "Ročná úspora s.r.o.: €{saving}", "Net Yield:           {net_yield}%", "LV overenie:        {lv} — OVERIŤ 48H PRED PODPISOM", "", _RULE, "",
+    "⚠️  PRÁVNE UPOZORNENIE", "", "Tento dokument je počítačom generovaný NÁVRH bez právnej záväznosti.", "Nemá žiadnu právnu platnosť bez vyhotovenia a overenia licencovaným", "slovenským notárom. Vždy overte LV bezprostredne pred podpisom.", "Finálny prevod vyžaduje zápis na Katastri nehnuteľností SR.",
+)
+# Payment, with and without escrow: short, in section 3, in section 4.
+ESCROW = ("Notárska úschova", "✅ Notárska úschova — odporúčané", "Finančné plnenie cez Notársku úschovu dle § 56a Notárskeho poriadku.")
+DIRECT = ("Priamy prevod", "⚠️ Priamy prevod — neodporúčané", "Finančné plnenie na účet predávajúceho po podpise zmluvy.")
+
+
+def contract_drafts(listings: DataFrame, deals: DataFrame, scores: DataFrame, generated: str) -> DataFrame:
     """listing_id, remainder, payment, buyer_id, structure, draft_text of the deals with a buyer.
 
-    deals: listing_id, buyer, ico, agreed, deposit, escrow, notary, structure.
+    deals: listing_id, buyer, ico, agreed, deposit, escrow, notary, structure (sro or personal); generated: the time
+    that the drafts bear. What a listing or its score lacks gets a placeholder.
     """
-    money = lambda c: F.format_number(F.round(c.cast("decimal(28,10)"), 2), 2)
-    df = deals.filter("trim(buyer) <> ''").join(listings.withColumnRenamed("id", "listing_id"), "listing_id")
-    df = df.withColumn("remainder", F.round((F.col("agreed") - F.col("deposit")).cast("decimal(28,10)"), 2).cast("double"))
-    payment = F.when(F.col("escrow"), "Notárska úschova").otherwise("Priamy prevod")
+    cents = lambda c: F.round(c.cast("decimal(28,10)"), 2)
+    grouped = lambda c, n: F.format_number(F.round(c.cast("decimal(28,10)"), n), n)
+    known = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other)) if c in listings.columns else F.lit(other)
+    by = F.when(F.col("escrow"), 0).otherwise(1)
+    pay = lambda k: F.when(by == 0, ESCROW[k]).otherwise(DIRECT[k])
+    money = scores.select("listing_id", "surplus_sro", "annual_sro_saving", "net_rental_yield")
+    df = deals.filter("trim(buyer) <> ''").join(listings.withColumnRenamed("id", "listing_id"), "listing_id").join(money, "listing_id", "left")
+    df = df.withColumn("remainder", cents(F.col("agreed") - F.col("deposit")).cast("double"))
     buyer_id = F.coalesce(F.nullif("ico", F.lit("")), F.lit("N/A — fyzická osoba"))
-    lines = F.concat_ws("\n", F.lit("NÁVRH KÚPNEJ ZMLUVY"), F.concat(F.lit("Nehnuteľnosť: "), F.coalesce("address_raw", F.lit("[Doplniť]"))), F.concat(F.lit("Výmera: "), F.coalesce(F.col("size_m2").cast("string"), F.lit("?")), F.lit(" m²")), F.concat(F.lit("Kupujúci: "), F.col("buyer"), F.lit(", IČO: "), buyer_id), F.concat(F.lit("Dohodnutá cena: €"), money(F.col("agreed"))), F.concat(F.lit("Záloha: €"), money(F.col("deposit"))), F.concat(F.lit("Zostatok: €"), money(F.col("remainder"))), F.concat(F.lit("Platba: "), payment), F.concat(F.lit("Notár: "), F.coalesce(F.nullif("notary", F.lit("")), F.lit("[Prideliť notára]"))), F.lit("Návrh bez právnej záväznosti."))
-    return df.select("listing_id", "remainder", payment.alias("payment"), buyer_id.alias("buyer_id"), "structure", lines.alias("draft_text"))
+    fill = {
+        "generated": F.lit(generated), "title": known("title", "—"), "address_raw": known("address_raw", "—"), "district": known("district", "—"), "size": known("size_m2", "?"), "energy": known("energy_class", "—"),
+        "area": known("cadastral_area", "[Doplniť]"), "parcel": known("cadastral_number", "[Doplniť]"), "lv": known("lv_status", "PENDING"), "buyer": F.col("buyer"), "buyer_id": buyer_id,
+        "ownership": F.when(F.col("structure") == "sro", "s.r.o.").otherwise("Personal"), "agreed": grouped(F.col("agreed"), 2), "deposit": grouped(F.col("deposit"), 2), "rest": grouped(F.col("remainder"), 2),
+        "payment_text": pay(1), "condition": pay(2), "notary": F.coalesce(F.nullif("notary", F.lit("")), F.lit("[Prideliť notára]")),
+        "surplus": F.coalesce(grouped(F.col("surplus_sro"), 0), F.lit("—")), "saving": F.coalesce(grouped(F.col("annual_sro_saving"), 0), F.lit("—")), "net_yield": F.format_string("%.2f", cents(F.coalesce("net_rental_yield", F.lit(0.0)) * 100).cast("double")),
+    }
+    # the text is cut at the names: fixed parts and values in turn
+    parts = re.split(r"\{(\w+)\}", "\n".join(DRAFT))
+    text = F.concat(*(fill[x] if k % 2 else F.lit(x) for k, x in enumerate(parts)))
+    return df.select("listing_id", "remainder", pay(0).alias("payment"), buyer_id.alias("buyer_id"), "structure", text.alias("draft_text"))
