@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -14,20 +14,52 @@ from estate_jobs.operators import cashflow, deeds, location, merge, serve
 log = logging.getLogger(__name__)
 
 
-def merge_stream(spark: SparkSession, landed: str, store: str, checkpoint: str, files: int = 100) -> StreamingQuery:
-    """Merges landed observations into the listings at `store`, a version for each batch.
+#: Parts that a store of listings is cut into by a hash of the id. A batch rewrites those that it touches; take some
+#: thousands where the store has billions of rows.
+BUCKETS = 64
 
-    A batch reads the version before its own and writes its own anew, so a repeated batch changes nothing.
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _paths(spark: SparkSession, store: str, n: int, buckets: list[int] | None = None) -> list[str]:
+    """Where version n of a store keeps some buckets (None: all). There is a row for each bucket, not for each listing."""
+    at = spark.read.parquet(f"{store}/versions/{n}")
+    return [f"{store}/rows/v={r.v}/bucket={r.bucket}" for r in at.collect() if buckets is None or r.bucket in buckets]
+
+
+def read_store(spark: SparkSession, store: str, n: int) -> DataFrame:
+    """The listings of version n."""
+    return spark.read.parquet(*_paths(spark, store, n))
+
+
+def merge_into_store(spark: SparkSession, rows: DataFrame, store: str, n: int, buckets: int = BUCKETS) -> None:
+    """Version n of a store: rows (with seq) merged into version n - 1.
+
+    Only the buckets that rows touch are read and written; the versions table says which version holds each bucket's
+    rows. Version n is made from n - 1 alone, so a repeated call changes nothing.
     """
+    keyed = rows.withColumn("bucket", _bucket(buckets))
+    touched = sorted(r.bucket for r in keyed.select("bucket").distinct().collect())
+    old = {r.bucket: r.v for r in spark.read.parquet(f"{store}/versions/{n - 1}").collect()} if n else {}
+    known = [b for b in touched if b in old]
+    if known:
+        before = spark.read.parquet(*(f"{store}/rows/v={old[b]}/bucket={b}" for b in known))
+        merged = merge.merge_listings(before, rows)
+    else:
+        merged = merge.fold(rows)
+    if touched:
+        merged.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/rows/v={n}")
+    spark.createDataFrame(sorted((old | dict.fromkeys(touched, n)).items()), "bucket int, v int").coalesce(1).write.mode("overwrite").parquet(f"{store}/versions/{n}")
+
+
+def merge_stream(spark: SparkSession, landed: str, store: str, checkpoint: str, files: int = 100, buckets: int = BUCKETS) -> StreamingQuery:
+    """Merges landed observations into the listings at `store`, a version for each batch."""
     schema = spark.read.parquet(landed).schema
 
     def step(batch: DataFrame, n: int) -> None:
-        rows = merge.valid(batch)
-        if n:
-            merged = merge.merge_listings(spark.read.parquet(f"{store}/v{n - 1}"), rows)
-        else:
-            merged = merge.fold(rows)
-        merged.write.mode("overwrite").parquet(f"{store}/v{n}")
+        merge_into_store(spark, merge.valid(batch), store, n, buckets)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landed)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -55,48 +87,54 @@ def run_day(spark: SparkSession, rows: DataFrame, store: str, day: str, before:
     """New observations, deeds, cash flow, location, statistics: the outcome of each step.
 
     Tables listings, scores, locations, rejections and stats of a day lie in {store}/{day}. All are made from those of
-    the day `before` and written anew, so a repeated day changes nothing. After a step that failed the others go on
-    with what its tables were. documents: `key` (a column of listings too) and raw.
+    the day `before` and written anew, so a repeated day changes nothing. Steps write only what they find (merged
+    listings, verdicts, new scores, new places), the whole tables are written once, by `keep`. After a step that failed
+    the others go on without what it would have found. documents: `key` (a column of listings too) and raw.
     """
     none = spark.createDataFrame([], "listing_id string")
-    at: dict[str, DataFrame | None] = {t: spark.read.parquet(f"{store}/{before}/{t}") if before else None for t in ("listings", "scores", "locations")}
+    old: dict[str, DataFrame | None] = {t: spark.read.parquet(f"{store}/{before}/{t}") if before else None for t in ("listings", "scores", "locations")}
+    found: dict[str, DataFrame] = {}
 
-    def put(table: str, df: DataFrame, part: str) -> None:
-        df.write.mode("overwrite").parquet(f"{store}/{day}/steps/{part}-{table}")
-        at[table] = spark.read.parquet(f"{store}/{day}/steps/{part}-{table}")
+    def put(part: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{store}/{day}/found/{part}")
+        found[part] = spark.read.parquet(f"{store}/{day}/found/{part}")
 
     def listings() -> DataFrame:
-        if at["listings"] is None:
+        """Today's listings, with the verdicts and classes that are there by now."""
+        df = found.get("observed", old["listings"])
+        if df is None:
             raise ValueError("no listings yet")
-        return at["listings"]
+        if "verdicts" in found:
+            df = merge.set_deed_status(df, found["verdicts"])[0]
+        return merge.write_back(df, found["scores"]) if "scores" in found else df
+
+    def all_of(table: str) -> DataFrame:
+        before_today = none if old[table] is None else old[table]
+        return merge.replace(before_today, found[table]) if table in found else before_today
 
     def observe() -> None:
         new = merge.valid(rows)
         for c in ("lv_status", "classification"):
             new = new if c in new.columns else new.withColumn(c, F.lit("PENDING"))
-        put("listings", merge.fold(new) if at["listings"] is None else merge.merge_listings(at["listings"], new), "observe")
+        put("observed", merge.fold(new) if old["listings"] is None else merge.merge_listings(old["listings"], new))
 
     def check_deeds() -> None:
-        updated, rejected = merge.set_deed_status(listings(), deeds.judge(deeds.pending(listings()), documents, key))
+        put("verdicts", deeds.judge(deeds.pending(listings()), documents, key))
+        rejected = found["verdicts"].filter("status = 'REJECTED'").select(F.col("id").alias("listing_id"), "reason", "detail", "module")
         rejected.withColumn("day", F.lit(day)).write.mode("overwrite").parquet(f"{store}/{day}/rejections")
-        put("listings", updated, "deeds")
 
     def score() -> None:
-        old = none if at["scores"] is None else at["scores"]
-        put("new_scores", cashflow.run(listings(), old), "cashflow")
-        put("listings", merge.write_back(listings(), at["new_scores"]), "cashflow")
-        put("scores", merge.replace(old, at["new_scores"]), "cashflow")
+        put("scores", cashflow.run(listings(), all_of("scores")))
 
     def place() -> None:
-        old = none if at["locations"] is None else at["locations"]
-        put("locations", merge.replace(old, location.run(listings(), old, places, sites, noise)), "location")
+        put("locations", location.run(listings(), all_of("locations"), places, sites, noise))
 
     def keep() -> None:
-        for table in ("listings", "scores", "locations"):
-            (none if at[table] is None else at[table]).write.mode("overwrite").parquet(f"{store}/{day}/{table}")
+        for table, df in (("listings", listings()), ("scores", all_of("scores")), ("locations", all_of("locations"))):
+            df.write.mode("overwrite").parquet(f"{store}/{day}/{table}")
 
     def summarise() -> None:
-        serve.stats(listings()).write.mode("overwrite").parquet(f"{store}/{day}/stats")
+        serve.stats(spark.read.parquet(f"{store}/{day}/listings")).write.mode("overwrite").parquet(f"{store}/{day}/stats")
 
     return run_steps([("observe", observe), ("deeds", check_deeds), ("cashflow", score), ("location", place), ("keep", keep), ("stats", summarise)])
 
