@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from estate_jobs.functions.params import CITIES, DEED_BANKS, DEED_FLAGS, EXCLUDED, INDUSTRIAL_ZONES, RENT_PER_M2, SIZE_LABELS
-from estate_jobs.operators.profile import DENIED, MINED, PATTERNS
+from estate_jobs.operators.profile import DENIED, LISTING_KEYS, MINED, PATTERNS, SCRIPTS_DENIED, SCRIPTS_KEPT
+from estate_jobs.operators.serve import DRAFT
 from estate_jobs.plans import adapters as A
 
 S = r"[\s\x{00A0}\x{202F}\x{2009}]"
@@ -63,6 +66,7 @@ def scored(where: str = READY, columns: str = SCORE_COLUMNS, terms: str = _TERMS
 #: Listings that have a score already, in queries that need some.
 HAS_SCORE = "okey % 4 = 0"
 
+_CITY = lambda k: "CASE " + " ".join(f"WHEN contains(lower(address_raw), '{c[0]}') THEN {c[k]}::DOUBLE" for c in CITIES) + " END"
 HAV = "6371000.0::DOUBLE * 2 * atan2(sqrt(h), sqrt(1 - h))"
 
 
@@ -71,7 +75,7 @@ def _h(a: str, b: str) -> str:
 
 
 AROUND = f"""
-l AS ({A.LISTINGS}), p AS ({A.PLACES}), pts AS (SELECT id, lat, lng, district, energy_class FROM l WHERE lv_status = 'PASS' AND is_active = 1),
+l AS ({A.LISTINGS}), p AS ({A.PLACES}), pts AS (SELECT * FROM (SELECT id, CASE WHEN lat IS NULL THEN {_CITY(1)} ELSE lat END AS lat, CASE WHEN lat IS NULL THEN {_CITY(2)} ELSE lng END AS lng, district, energy_class FROM l WHERE lv_status = 'PASS' AND is_active = 1) WHERE lat IS NOT NULL),
 near AS (SELECT id, type, {HAV} AS distance FROM (SELECT pts.id, p.type, {_h("pts", "p")} AS h FROM pts JOIN p ON abs(pts.lat - p.lat) < 0.02::DOUBLE AND abs(pts.lng - p.lng) < 0.03::DOUBLE) WHERE {HAV} <= 2000),
 found AS (SELECT id, min(CASE WHEN type = 'transit_station' THEN distance END) AS transit, count(*) FILTER (type = 'grocery_or_supermarket' AND distance <= 800) AS grocery_or_supermarket, count(*) FILTER (type = 'pharmacy' AND distance <= 800) AS pharmacy, count(*) FILTER (type = 'school' AND distance <= 800) AS school FROM near GROUP BY id),
 around AS (SELECT pts.*, {rnd("coalesce(transit, 9999.0::DOUBLE)", 1)} AS nearest_transit_m, coalesce(grocery_or_supermarket, 0) AS grocery_or_supermarket, coalesce(pharmacy, 0) AS pharmacy, coalesce(school, 0) AS school, coalesce(grocery_or_supermarket, 0) + coalesce(pharmacy, 0) + coalesce(school, 0) AS amenity_count FROM pts LEFT JOIN found USING (id)),
@@ -102,29 +106,70 @@ def _labelled(label: str) -> str:
 
 SIZE = f"coalesce({', '.join(map(_labelled, SIZE_LABELS))}, list_extract(list_filter(list_transform(regexp_extract_all(text, '([0-9]{{2,4}}(?:[.,][0-9]+)?){S}*(?:m²|m2)', 1), lambda x: try_cast(replace(x, ',', '.') AS DOUBLE)), lambda x: x > 20 AND x < 300), 1), 0)"
 ENERGY = "regexp_extract(text, 'Energetická trieda (A0|A1|A|B|C|D|E|F|G)\\b', 1)"
-DETAILS = f"""WITH p AS ({A.DETAIL_PAGES}), t AS (SELECT page_id, url, html, {TEXT} AS text, regexp_extract(html, '(?s)<script type="application/ld.json">(.*?)</script>', 1) AS ld FROM p),
-f AS (SELECT *, coalesce(nullif(json_extract_string(nullif(ld, ''), '$.name'), ''), nullif(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\\s*\\|[^|]*$', ''), ''), '') AS title,
- nullif(try_cast(json_extract_string(nullif(ld, ''), '$.offers.price') AS DOUBLE), 0) AS ld_price, concat_ws(', ', nullif(json_extract_string(nullif(ld, ''), '$.address.streetAddress'), ''), nullif(json_extract_string(nullif(ld, ''), '$.address.addressLocality'), '')) AS address,
- try_cast(json_extract_string(nullif(ld, ''), '$.numberOfRooms') AS DOUBLE) AS rooms FROM t),
-d AS (SELECT page_id, md5(url) AS id, url, title, coalesce(ld_price, {PRICE}) AS price_eur, CAST({SIZE} AS DOUBLE) AS size_m2, rooms, CASE WHEN {ENERGY} = '' THEN 'UNKNOWN' ELSE {ENERGY} END AS energy_class, address AS address_raw, trim(split_part(address, ',', -1)) AS district,
- CASE WHEN ld <> '' THEN '/a.jpg' ELSE regexp_extract(html, '<meta property="og:image" content="([^"]*)"', 1) END AS primary_image_url, text FROM f)"""
+def _json_number(o: str, *paths: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(try_cast(json_extract_string({o}, '{p}') AS DOUBLE), 0)" for p in paths) + ", NULL)"
+
+
+_PRICES = [f"$.offers{k}.{p}" for k in ("", "[0]") for p in ("price", "lowPrice", "highPrice")]
+_FIRST_PRICE = lambda o: f"CASE WHEN coalesce(json_extract_string({o}, '$.offers.price'), json_extract_string({o}, '$.offers[0].price'), '') NOT IN ('', '0') THEN {_json_number(o, '$.offers.price', '$.offers[0].price')} ELSE {_json_number(o, '$.offers.lowPrice', '$.offers[0].lowPrice')} END"
+_ADDRESS = lambda o, *keys: f"CASE WHEN json_type({o}, '$.address') = 'OBJECT' THEN concat_ws(', ', {', '.join(f_part(o, k) for k in keys)}) ELSE json_extract_string({o}, '$.address') END"
+_ROOMS = lambda o: f"nullif(CAST(CAST(try_cast(coalesce(nullif(nullif(json_extract_string({o}, '$.numberOfRooms'), ''), '0'), json_extract_string({o}, '$.numberOfBedrooms')) AS DOUBLE) AS INT) AS DOUBLE), 0)"
+
+
+def f_part(o: str, key: str) -> str:
+    return f"nullif(json_extract_string({o}, '$.address.{key}'), '')"
+
+
+#: a and b: the page's first object and the one of its second script.
+DETAILS = f"""WITH p AS ({A.DETAIL_PAGES}), t AS (SELECT page_id, url, html, {TEXT} AS text, nullif(regexp_extract(html, '(?s)<script type="application/ld.json">(\\{{.*?)</script>', 1), '') AS a, json_extract(nullif(regexp_extract(html, '(?s)<script type="application/ld.json">(\\[.*?)</script>', 1), ''), '$[0]') AS b,
+ regexp_extract(html, '<meta property="og:title" content="([^"]*)"', 1) AS og, regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\\s*\\|[^|]*$', '') AS head, regexp_extract(html, '<meta property="og:image" content="([^"]*)"', 1) AS image FROM p),
+ u AS (SELECT *, nullif(coalesce(json_extract_string(a, '$.name'), json_extract_string(b, '$.name')), '') AS name, coalesce({_json_number("b", "$.floorSize.value")}, {_json_number("a", "$.floorSize.value")}) AS ld_size FROM t),
+ d AS (SELECT page_id, md5(url) AS id, url, coalesce(name, nullif(og, ''), head) AS title, coalesce({_json_number("b", *_PRICES)}, {_json_number("a", *_PRICES)}, {PRICE}) AS price_eur, coalesce(ld_size, CAST({SIZE} AS DOUBLE)) AS size_m2, coalesce({_ROOMS("b")}, {_ROOMS("a")}) AS rooms, CASE WHEN {ENERGY} = '' THEN 'UNKNOWN' ELSE {ENERGY} END AS energy_class,
+  coalesce(nullif({_ADDRESS("a", "streetAddress", "addressLocality", "addressRegion", "postalCode")}, ''), {_ADDRESS("b", "streetAddress")}, '') AS address_raw, CASE WHEN a IS NOT NULL THEN '/a.jpg' ELSE image END AS primary_image_url, text FROM u),
+ m AS (SELECT page_id, md5(url) AS id, url, coalesce(nullif(og, ''), nullif(head, ''), name, '') AS title, coalesce({_FIRST_PRICE("a")}, {_FIRST_PRICE("b")}, {PRICE}) AS price_eur, coalesce(ld_size, CAST({SIZE} AS DOUBLE)) AS size_m2, CASE WHEN {ENERGY} = '' THEN 'UNKNOWN' ELSE {ENERGY} END AS energy_class,
+  coalesce({_ADDRESS("b", "streetAddress")}, nullif({_ADDRESS("a", "streetAddress", "addressLocality", "addressRegion")}, ''), '') AS address_raw, image AS primary_image_url FROM u)"""
+
+ITEMS = f"""WITH b AS (SELECT body_id, url, content_type, CASE WHEN json_valid(body) THEN body ELSE '{{}}' END AS body, body AS raw FROM ({A.BODIES})),
+ n AS (SELECT *, list_concat(list_concat(json_extract(body, '$[*]'), json_extract(body, '$.items[*]')), json_extract(body, '$.data.results[*]')) AS items FROM b)"""
+_I = lambda *paths: "coalesce(" + ", ".join(f"nullif(json_extract_string(i, '{p}'), '')" for p in paths) + ", NULL)"
+
+#: Texts of drafts; a name in braces is a column of the deals below.
+_SAID = {
+    "generated": "'2026-01-31 06:00'", "title": "title", "address_raw": "address_raw", "district": "district", "size": "CAST(size_m2 AS VARCHAR)", "energy": "energy_class", "area": "'[Doplniť]'", "parcel": "'[Doplniť]'", "lv": "lv_status", "buyer": "buyer",
+    "buyer_id": "buyer_id", "ownership": "CASE WHEN structure = 'sro' THEN 's.r.o.' ELSE 'Personal' END", "agreed": "cents(agreed)", "deposit": "cents(deposit)", "rest": "cents(remainder)",
+    "payment_text": "CASE WHEN escrow THEN '✅ Notárska úschova — odporúčané' ELSE '⚠️ Priamy prevod — neodporúčané' END", "condition": "CASE WHEN escrow THEN 'Finančné plnenie cez Notársku úschovu dle § 56a Notárskeho poriadku.' ELSE 'Finančné plnenie na účet predávajúceho po podpise zmluvy.' END",
+    "notary": "'[Prideliť notára]'", "surplus": "coalesce(whole(surplus_sro), '—')", "saving": "coalesce(whole(annual_sro_saving), '—')", "net_yield": f"printf('%.2f', {rnd('coalesce(net_rental_yield, 0) * 100', 2)})",
+}
+
+
+def _draft() -> str:
+    text = "'" + "\n".join(DRAFT).replace("'", "''") + "'"
+    for name, value in _SAID.items():
+        value = re.sub(r"cents\((\w+)\)", lambda m: f"format('{{:,.2f}}', {rnd(m[1], 2)})", value)
+        value = re.sub(r"whole\((\w+)\)", lambda m: f"format('{{:,}}', CAST(round(CAST({m[1]} AS DECIMAL(28,10)), 0) AS BIGINT))", value)
+        text = text.replace("{" + name + "}", f"' || {value} || '")
+    return text
+
 
 PREFIXES = "SELECT array_to_string(list_slice(string_split(regexp_replace(href, '^https?://[^/]+', ''), '/'), 1, 3), '/') AS prefix FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"#]{4,300})\"', 1)) AS href FROM pages) WHERE NOT contains(href, 'javascript')"
-_CITY = lambda k: "CASE " + " ".join(f"WHEN contains(lower(address_raw), '{c[0]}') THEN {c[k]}::DOUBLE" for c in CITIES) + " END"
 _Q = lambda r: r.replace("'", "''")
-_COSTS = {"Mortgage": "mortgage_monthly", "HOA": "hoa_monthly", "Property Tax": "property_tax_monthly", "Vacancy 5%": "vacancy_cost", "Maintenance": "maintenance_monthly", "Income Tax": "income_tax_sro", "Health Levy": "health_levy_sro"}
+_COSTS = {"Mortgage": "mortgage_monthly", "HOA": "hoa_monthly", "Property Tax": "property_tax_monthly", "Vacancy 5%": "vacancy_cost", "Maintenance": "maintenance_monthly", "Income Tax": "income_tax_{s}", "Health Levy": "health_levy_{s}", "TOTAL COSTS": "total_{s}", "NET SURPLUS": "surplus_{s}"}
 _CHECKS = {"Transit": "coalesce(nearest_transit_m, 9999) <= 560", "Amenities": "coalesce(amenity_count, 0) >= 3", "Walkability": "walkability_score IS NOT NULL", "Industrial": "coalesce(is_industrial = 1, false)", "Construction": "coalesce(construction_risk, 0) = 0", "Noise": "coalesce(noise_flag, 0) = 0", "Energy Class": "energy_class IS NOT NULL", "LV Status": "coalesce(lv_status IN ('PASS','CLEAN'), false)"}
 _FOLD = """id, min_by(source, seq) AS source, max(last_seen_at) AS last_seen_at, coalesce(max_by(price_eur, seq) FILTER (price_eur > 0), min_by(price_eur, seq)) AS price_eur, coalesce(max_by(title, seq) FILTER (title <> ''), min_by(title, seq)) AS title,
  max_by(rooms, seq) FILTER (rooms IS NOT NULL) AS rooms, coalesce(max_by(energy_class, seq) FILTER (energy_class NOT IN ('UNKNOWN','')), min_by(energy_class, seq)) AS energy_class, 1 AS is_active"""
 
+CHUNKS = rf"""WITH c AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, html, array_to_string(list_transform(regexp_extract_all(html, 'push\(\[1,"((?:[^"\\]|\\.)*)"\]\)', 1), lambda x: replace(replace(x, chr(92) || '"', '"'), chr(92) || 'u0022', '"')), chr(10)) AS said FROM ({A.CHUNK_PAGES})), u AS (SELECT page_id, root, html, list_concat(regexp_extract_all(said, '(https?://[^/"\s]+/detail/[A-Za-z0-9_-]+/[A-Za-z0-9_-]+)', 1), list_transform(regexp_extract_all(said, '(?:^|["\s])(/detail/[A-Za-z0-9_-]+/[A-Za-z0-9_-]+)', 1), lambda x: root || x)) AS links FROM c), k AS (SELECT page_id, unnest(links) AS url, unnest(range(len(links))) AS n FROM u), firsts AS (SELECT page_id, url, min(n) AS n FROM k GROUP BY ALL), chunk AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS position FROM firsts)"""
+
 SQL = {
     "s1_raw_pages": "SELECT page_id, url, html FROM pages",
     "s2_listing_bodies": f"SELECT body_id, url FROM ({A.BODIES}) WHERE contains(content_type, 'json') AND regexp_matches(lower(url), 'advert|listing|search|inzerat|offer|estate')",
-    "x1_detail_links": rf"WITH h AS ({HREFS}), f AS (SELECT page_id, CASE WHEN regexp_matches(href, '^https?://') THEN href ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || href END AS link FROM h WHERE NOT regexp_matches(href, '^(#|javascript:|mailto:|$)')) SELECT DISTINCT page_id, regexp_replace(link, '[?#].*$', '') AS link FROM f WHERE contains(regexp_extract(link, '^https?://([^/?#]+)', 1), 'example') AND regexp_matches(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1), '^/[A-Za-z]{{4,}}') AND NOT regexp_matches(lower(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1)), '{'|'.join(EXCLUDED)}')",
-    "x4_link_priority": f"WITH h AS (SELECT page_id, href, row_number() OVER () AS r FROM ({HREFS}) WHERE href <> ''), b AS (SELECT page_id, href AS url, 'link' AS text, 0 AS pr FROM h UNION ALL SELECT page_id, href, '', 1 FROM h), ok AS (SELECT * FROM b WHERE page_id % 10 <> 0), best AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pr, page_id) AS n FROM ok) SELECT page_id, url, text FROM best WHERE n = 1",
-    "x11_api_items": f"SELECT okey AS body_id, CAST(CASE WHEN okey % 4 = 3 THEN 0 ELSE 1 END AS BIGINT) AS n_items FROM ({A.LISTINGS})",
-    "x12_api_listings": f"SELECT md5('https://reality.example/detail/' || CAST(okey AS VARCHAR)) AS id, 'https://reality.example/detail/' || CAST(okey AS VARCHAR) AS url, title, CAST(floor(price_eur) AS DOUBLE) AS price_eur, CAST(CAST(size_m2 AS INT) AS DOUBLE) AS size_m2, trim(district) AS address_raw, energy_class, '' AS primary_image_url FROM ({A.LISTINGS}) WHERE okey % 4 <> 3 AND okey % 11 <> 0",
-    "x19_detail_rows": f"{DETAILS} SELECT * EXCLUDE (page_id, text) FROM d WHERE price_eur > 0 OR size_m2 > 0",
+    "x1_detail_links": rf"WITH h AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract(html, '<base href=\"([^\"]+)\"', 1) AS b, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS href FROM ({A.LINK_PAGES})), r AS (SELECT *, CASE WHEN b = '' THEN root || '/' WHEN b LIKE 'http%' THEN b ELSE root || b END AS base FROM h), f AS (SELECT page_id, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN href LIKE '/%' THEN regexp_extract(base, '^(https?://[^/?#]+)', 1) || href ELSE base || href END AS link FROM r WHERE NOT regexp_matches(href, '^(#|javascript:|mailto:|$)')) SELECT DISTINCT page_id, regexp_replace(link, '[?#].*$', '') AS link FROM f WHERE contains(regexp_extract(link, '^https?://([^/?#]+)', 1), 'example') AND regexp_matches(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1), '^/[A-Za-z]{{4,}}') AND NOT regexp_matches(lower(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1)), '{'|'.join(EXCLUDED)}')",
+    "x3_chunk_urls": CHUNKS + " SELECT page_id, url, md5(url) AS uid, CAST(position AS INT) AS position FROM chunk",
+    "x4_link_priority": CHUNKS + f""", dom AS (SELECT page_id, CASE WHEN href LIKE '/%' THEN root || href ELSE href END AS url, trim(regexp_replace(inner_html, '<[^>]*>', '', 'g')) AS text FROM (SELECT page_id, root, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS inner_html FROM c) WHERE contains(href, '/detail/')), api AS (SELECT body_id AS page_id FROM ({ITEMS} SELECT * FROM n) WHERE len(items) > 0), both_kinds AS (SELECT page_id, url, text, 0 AS pr FROM dom UNION ALL SELECT page_id, url, '', 1 FROM chunk), best AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pr, page_id) AS n FROM both_kinds WHERE page_id NOT IN (SELECT page_id FROM api)) SELECT page_id, url, text FROM best WHERE n = 1""",
+    "x11_api_items": f"{ITEMS} SELECT body_id, CAST(len(items) AS BIGINT) AS n_items FROM n",
+    "x12_api_listings": f"{ITEMS}, e AS (SELECT unnest(items) AS i FROM n WHERE contains(content_type, 'json') AND regexp_matches(lower(url), 'advert|listing|search|inzerat|offer|estate')), f AS (SELECT i, coalesce({_I('$.url', '$.seoUrl', '$.link')}, '/nehnutelnost/' || {_I('$.id', '$.advertId')} || '/') AS link FROM e), g AS (SELECT i, CASE WHEN link LIKE 'http%' THEN link WHEN link LIKE '/%' THEN 'https://reality.example' || link ELSE 'https://reality.example/' || link END AS url FROM f WHERE link IS NOT NULL) SELECT md5(url) AS id, url, substr(coalesce({_I('$.title', '$.name', '$.heading')}, ''), 1, 200) AS title, coalesce({_json_number('i', '$.price.value', '$.price.amount', '$.price', '$.priceInfo.value', '$.priceInfo.amount')}, 0) AS price_eur, coalesce({_json_number('i', '$.usableArea', '$.parameters.usableArea', '$.floorArea', '$.parameters.floorArea', '$.area', '$.parameters.area')}, 0) AS size_m2, coalesce({_I('$.location.city', '$.address.fullAddress')}, CASE WHEN json_type(i, '$.location') = 'VARCHAR' THEN json_extract_string(i, '$.location') END, '') AS address_raw, CASE WHEN upper({_I('$.energyRating', '$.energyClass')}) IN ('A0','A1','A','B','C','D','E','F','G') THEN upper({_I('$.energyRating', '$.energyClass')}) ELSE 'UNKNOWN' END AS energy_class, coalesce({_I('$.images[0].url', '$.photos[0]')}, '') AS primary_image_url FROM g",
+    "x19_detail_rows": f"{DETAILS} SELECT * EXCLUDE (page_id, text), trim(split_part(address_raw, ',', -1)) AS district FROM d WHERE price_eur > 0 OR size_m2 > 0",
+    "x19_meta_first_rows": f"{DETAILS} SELECT * EXCLUDE (page_id), trim(split_part(address_raw, ',', -1)) AS district FROM m WHERE price_eur > 0 OR size_m2 > 0",
     "x8_page_titles": r"SELECT page_id, substr(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s*\|[^|]*$', ''), 1, 200) AS title FROM pages",
     "x9_visible_text": f"SELECT page_id, md5({TEXT}) AS text_md5 FROM pages",
     "x10_text_prices": f"{DETAILS} SELECT page_id, {PRICE} AS price_eur FROM d",
@@ -132,20 +177,26 @@ SQL = {
     "x14_energy": f"{DETAILS} SELECT page_id, energy_class FROM d",
     "x15_districts": f"SELECT id, trim(split_part(address_raw, ',', -1)) AS district, split_part(trim(trim(split_part(address_raw, ',', -1))), ' ', 1) AS city FROM ({A.LISTINGS})",
     "x16_listing_ids": "SELECT page_id, md5(url) AS id FROM pages",
-    "x17_cards": f"SELECT okey AS page_id, md5('https://bazar.example/inzerat/' || CAST(okey AS VARCHAR) || '/') AS id, 'https://bazar.example/inzerat/' || CAST(okey AS VARCHAR) || '/' AS url, title, coalesce(CAST(nullif(floor(price_eur), 0) AS DOUBLE), try_cast(regexp_replace(regexp_extract('m2 ' || CAST(CAST(floor(price_eur) AS BIGINT) AS VARCHAR) || ' €', '([0-9][0-9\\s]{{3,}})\\s*(?:€|EUR)', 1), '\\s', '', 'g') AS DOUBLE), 0) AS price_eur, CAST(CAST(size_m2 AS INT) AS DOUBLE) AS size_m2, trim('Ulica, ' || trim(district)) AS address_raw, trim(district) AS district, 'https://bazar.example/i/' || CAST(okey AS VARCHAR) || '.jpg' AS primary_image_url FROM ({A.LISTINGS})",
-    "x20_overlay": f"WITH l AS ({A.LISTINGS}) SELECT id, CASE WHEN okey % 2 = 0 THEN title ELSE 'nový ' || title END AS title, CASE WHEN okey % 17 = 0 AND okey % 34 = 0 THEN 1000.0::DOUBLE ELSE price_eur END AS price_eur, size_m2, CASE WHEN okey % 2 = 0 THEN 'B' ELSE energy_class END AS energy_class FROM (SELECT * REPLACE (CASE WHEN okey % 2 = 0 THEN title ELSE title END AS title) FROM l)",
+    "x17_cards": rf"""WITH p AS ({A.CARD_PAGES}), c AS (SELECT page_id, unnest(CASE WHEN contains(html, '<div class="inzeratyflex">') THEN string_split(html, '<div class="inzeratyflex">')[2:] ELSE [html] END) AS c FROM p), t AS (SELECT page_id, c, regexp_extract(c, 'href="([^"]*/inzerat/[^"]*)"', 1) AS href, trim(regexp_replace(regexp_replace(c, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS said, regexp_extract(c, '<a [^>]*>([^<]*)</a>', 1) AS title, regexp_replace(regexp_extract(c, 'class="(?:inzeratycena|cena)">(?:<b>)?([^<]*)<', 1), '[^0-9]', '', 'g') AS own, regexp_extract(c, 'class="(?:inzeratylok|lokalita)">([^<]*)<', 1) AS place, regexp_extract(c, '<img src="([^"]*)"', 1) AS img FROM c),
+      u AS (SELECT *, CASE WHEN href LIKE 'http%' THEN href ELSE 'https://bazar.example' || href END AS url FROM t)
+      SELECT page_id, md5(url) AS id, url, title, coalesce(nullif(try_cast(own AS DOUBLE), 0), try_cast(regexp_replace(regexp_extract(said, '([0-9][0-9\s]{{3,}})\s*(?:€|EUR)', 1), '\s', '', 'g') AS DOUBLE), 0) AS price_eur, coalesce(try_cast(replace(regexp_extract(said, '([0-9]+(?:[.,][0-9]+)?)\s*m', 1), ',', '.') AS DOUBLE), 0) AS size_m2, trim(place) AS address_raw, trim(split_part(place, ',', -1)) AS district, CASE WHEN img LIKE '//%' THEN 'https:' || img WHEN img LIKE '/%' THEN 'https://bazar.example' || img ELSE img END AS primary_image_url FROM u""",
+    "x20_overlay": f"SELECT id, CASE WHEN price_eur = 0 AND okey % 2 = 1 THEN 'nový ' || title WHEN okey % 2 = 1 THEN '' ELSE title END AS title, CASE WHEN price_eur = 0 AND okey % 34 = 0 THEN 1000.0::DOUBLE ELSE price_eur END AS price_eur, CASE WHEN price_eur = 0 AND okey % 3 = 0 THEN 44.0::DOUBLE ELSE size_m2 END AS size_m2, CAST(CASE WHEN price_eur = 0 AND okey % 4 <> 0 THEN okey % 4 ELSE 3 END AS INT) AS rooms, CASE WHEN price_eur = 0 AND okey % 2 = 0 THEN 'B' ELSE energy_class END AS energy_class, CASE WHEN price_eur = 0 AND okey % 5 = 0 THEN 'Nová 1, Martin' ELSE address_raw END AS address_raw, CASE WHEN price_eur = 0 AND okey % 5 = 0 THEN 'Martin' ELSE district END AS district FROM ({A.LISTINGS})",
     "x21_backlog": f"SELECT id, scraped_at FROM ({A.LISTINGS}) WHERE source = 'src1' AND is_active = 1 AND (price_eur = 0 OR size_m2 = 0) ORDER BY scraped_at DESC, id LIMIT 200",
     "x22_gains": f"SELECT count(*) FILTER (price_eur <= 0 AND okey % 2 = 0) AS gained_price, count(*) FILTER (size_m2 <= 0 AND okey % 3 = 0) AS gained_size FROM ({A.LISTINGS})",
     "x23_unseen_links": f"WITH h AS (SELECT DISTINCT page_id, href AS link FROM ({HREFS})) SELECT page_id, link FROM h WHERE link NOT IN (SELECT link FROM h WHERE page_id % 5 = 0)",
     "m1_merge": f"SELECT {_FOLD} FROM ({A.OBSERVATIONS}) GROUP BY id",
-    "m2_score_replace": f"WITH old AS ({scored(HAS_SCORE + ' AND ' + READY, 'id AS listing_id, cls AS classification')}), new AS ({scored('okey % 6 = 0 AND ' + READY, 'id AS listing_id, cls AS classification')}), l AS ({A.LISTINGS}) SELECT l.id, coalesce(n.classification, l.classification) AS classification, coalesce(n.classification, o.classification) AS stored_class FROM l LEFT JOIN new n ON n.listing_id = l.id LEFT JOIN old o ON o.listing_id = l.id",
+    "m2_score_replace": f"WITH s AS ({scored(READY, 'id AS listing_id, cls AS classification')}), l AS ({A.LISTINGS}) SELECT l.id, coalesce(s.classification, l.classification) AS classification, coalesce(s.classification, CASE WHEN {HAS_SCORE} THEN 'OLD' END) AS stored_class FROM l LEFT JOIN s ON s.listing_id = l.id",
     "m4_deed_status": f"{JUDGED} WHERE l.lv_status = 'PENDING' AND l.is_active = 1) SELECT l.id, coalesce(status, lv_status) AS lv_status, CASE WHEN status = 'REJECTED' THEN reason END AS logged FROM l LEFT JOIN judged USING (id)",
-    "m5_insert_or_ignore": "WITH e AS (SELECT 'r' || CAST(n_nationkey AS VARCHAR) AS id, n_name AS district, 'small' AS size_band, 1 AS origin FROM nation), s AS (SELECT 'r' || CAST(n_nationkey + 20 AS VARCHAR) AS id, n_name AS district, CASE WHEN n_nationkey % 2 = 0 THEN 'small' ELSE 'large' END AS size_band, 2 AS origin FROM nation) SELECT * FROM e UNION ALL SELECT * FROM s WHERE id NOT IN (SELECT id FROM e) AND (district, size_band) NOT IN (SELECT (district, size_band) FROM e)",
+    "m5_insert_or_ignore": f"""WITH s AS ({A.SEEDS}), e AS MATERIALIZED (SELECT 's' || CAST(min(okey) AS VARCHAR) AS id, trim(district) AS district, 'small' AS size_band, -min(okey) AS seq FROM ({A.LISTINGS}) WHERE size_m2 < 60 GROUP BY trim(district)),
+      f AS MATERIALIZED (SELECT id, district, size_band, min(seq) AS seq FROM s GROUP BY ALL),
+      g AS MATERIALIZED (SELECT list_reduce(list_prepend((SELECT {{'ids': list(id), 'pairs': list(district || '|' || size_band), 'taken': []::BIGINT[]}} FROM e), list({{'ids': [id], 'pairs': [district || '|' || size_band], 'taken': [seq]}} ORDER BY seq)),
+       lambda a, x: CASE WHEN list_contains(a.ids, x.ids[1]) OR list_contains(a.pairs, x.pairs[1]) THEN a ELSE {{'ids': list_append(a.ids, x.ids[1]), 'pairs': list_append(a.pairs, x.pairs[1]), 'taken': list_append(a.taken, x.taken[1])}} END).taken AS taken FROM f)
+      SELECT id, district, size_band, seq FROM e UNION ALL SELECT id, district, size_band, seq FROM f WHERE seq IN (SELECT unnest(taken) FROM g)""",
     "m6_valid_rows": f"SELECT sum(CASE WHEN seq % 9 = 0 THEN 0 ELSE 1 END)::BIGINT AS valid, sum(CASE WHEN seq % 9 = 0 THEN 1 ELSE 0 END)::BIGINT AS quarantined FROM ({A.OBSERVATIONS})",
     "l1_pending": f"SELECT id FROM ({A.LISTINGS}) WHERE lv_status = 'PENDING' AND is_active = 1",
     "l2_verdicts": f"WITH {DEED} SELECT doc_id, CASE WHEN flag IS NULL THEN 'PASS' ELSE 'REJECT' END AS verdict, flag, 'LV encumbrance detected: ''' || flag || '''' AS detail FROM deeds",
     "l3_debt_filter": f"{JUDGED} WHERE l.lv_status = 'PENDING' AND l.is_active = 1) SELECT count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'REJECTED') AS rejected FROM judged",
-    "l4_reverify": f"{JUDGED} WHERE l.okey % 10 = 0) SELECT id, status, reason FROM judged UNION ALL SELECT 'missing-' || CAST(n_nationkey AS VARCHAR), 'ERROR', '' FROM nation",
+    "l4_reverify": f"{JUDGED}) SELECT id, status, reason FROM judged UNION ALL SELECT 'missing-' || CAST(n_nationkey AS VARCHAR), 'ERROR', '' FROM nation",
     "c1_unscored": f"SELECT id FROM ({A.LISTINGS}) WHERE {READY} AND NOT ({HAS_SCORE})",
     "c2_rent_estimate": f"WITH l AS ({A.LISTINGS}), todo AS (SELECT * FROM l), {RENT} SELECT id, estimate AS rent_estimate, {ZONE} AS zone FROM rented",
     "c4_mortgage": f"SELECT id, {rnd(annuity('price_eur * 0.8::DOUBLE', '0.034::DOUBLE', '25'), 2)} AS mortgage, {HOA} AS hoa, {rnd(TAX_P, 2)} AS tax_personal, {rnd('greatest(gain * 0.21::DOUBLE, 0.0::DOUBLE)', 2)} AS tax_company FROM (SELECT *, price_eur - 20000 AS gain FROM ({A.LISTINGS}))",
@@ -167,20 +218,23 @@ SQL = {
     "q7_affordable": f"SELECT id, price_eur, size_m2 FROM ({A.LISTINGS}) WHERE coalesce(price_eur, 0) <= 300000 AND coalesce(size_m2, 0) >= 25",
     "q8_class_buckets": f"{FEED}, r AS (SELECT id, coalesce(cf_class, classification, 'PENDING') AS cls, surplus_sro, row_number() OVER (PARTITION BY coalesce(cf_class, classification, 'PENDING') ORDER BY coalesce(surplus_sro, 0) DESC, id) AS rn FROM feed) SELECT id, cls, surplus_sro, CAST(rn AS INT) AS rn FROM r WHERE rn <= 25",
     "q8_class_sizes": f"{FEED} SELECT coalesce(cf_class, classification, 'PENDING') AS cls, count(*) AS n FROM feed GROUP BY 1",
-    "q9_cost_lines": f"WITH s AS ({scored()}) " + " UNION ALL ".join(f"SELECT listing_id, '{k}' AS label, {c} AS value FROM s WHERE {c} IS NOT NULL" for k, c in _COSTS.items()),
+    "q9_cost_lines": f"WITH s AS ({scored()}) " + " UNION ALL ".join(f"SELECT listing_id, '{k}' AS label, {v} AS value FROM s WHERE {v} IS NOT NULL" + (f" AND {v} <> 0" if k == "TOTAL COSTS" else "") for k, v in ((k, f"CASE WHEN optimal_structure = 'SRO' THEN {c.format(s='sro')} ELSE {c.format(s='personal')} END") for k, c in _COSTS.items())),
     "q9_checklist": f"{FEED} " + " UNION ALL ".join(f"SELECT id, '{k}' AS label, {c} AS ok FROM feed" for k, c in _CHECKS.items()),
-    "q10_contract_drafts": f"SELECT listing_id, {rnd('agreed - deposit', 2)} AS remainder, CASE WHEN escrow THEN 'Notárska úschova' ELSE 'Priamy prevod' END AS payment, coalesce(nullif(ico, ''), 'N/A — fyzická osoba') AS buyer_id, structure FROM ({A.DEALS}) WHERE trim(buyer) <> ''",
+    "q10_contract_drafts": f"WITH sc AS ({scored()}), j AS (SELECT d.*, l.* EXCLUDE (id), sc.surplus_sro, sc.annual_sro_saving, sc.net_rental_yield, {rnd('agreed - deposit', 2)} AS remainder, coalesce(nullif(ico, ''), 'N/A — fyzická osoba') AS buyer_id FROM ({A.DEALS}) d JOIN ({A.LISTINGS}) l ON l.id = d.listing_id LEFT JOIN sc ON sc.listing_id = d.listing_id WHERE trim(buyer) <> '') SELECT listing_id, remainder, CASE WHEN escrow THEN 'Notárska úschova' ELSE 'Priamy prevod' END AS payment, buyer_id, structure, {_draft()} AS draft_text FROM j",
     "p1_path_prefixes": f"SELECT prefix, count(*) AS n FROM ({PREFIXES}) GROUP BY 1 ORDER BY n DESC, prefix LIMIT 20",
-    "p2_candidates": "SELECT DISTINCT href FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"#?]{4,200})\"', 1)) AS href FROM pages) WHERE regexp_matches(href, '/[0-9]{6,}') OR regexp_matches(lower(href), 'detail|inzerat|advert') OR (contains(lower(href), '/byt') AND length(href) > 30)",
-    "p3_pattern_counts": " UNION ALL ".join(f"SELECT page_id, '{k}' AS pattern, CAST(len(regexp_extract_all(html, '{r}')) AS BIGINT) AS n FROM pages" for k, r in PATTERNS.items()),
+    "p2_candidates": f"SELECT DISTINCT href FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"#?]{{4,200}})\"', 1)) AS href FROM ({A.SITE_PAGES})) WHERE regexp_matches(href, '/[0-9]{{6,}}') OR regexp_matches(lower(href), 'detail|inzerat|advert') OR (contains(lower(href), '/byt') AND length(href) > 30)",
+    "p3_pattern_counts": " UNION ALL ".join(f"SELECT page_id, '{_Q(k)}' AS pattern, CAST(len(regexp_extract_all(html, '{_Q(r)}')) AS BIGINT) AS n FROM ({A.SITE_PAGES})" for k, r in PATTERNS.items()),
     "p4_health": "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS pages, count(*) FILTER (regexp_matches(lower(html), 'loading|skeleton')) AS loading, count(*) FILTER (regexp_matches(lower(html), 'captcha|cloudflare|incapsula')) AS blocked, count(*) FILTER (regexp_matches(lower(html), 'inzerat|advert|detail|article')) AS listing FROM pages GROUP BY 1",
-    "p5_mined_urls": "WITH u AS (" + " UNION ".join(f"SELECT '{k}' AS label, unnest(regexp_extract_all(html, '{_Q(r)}', 1)) AS url FROM pages" for k, r in MINED.items()) + f"), f AS (SELECT DISTINCT label, url FROM u WHERE length(url) > 5 AND length(url) < 200 AND NOT regexp_matches(lower(url), '{DENIED}')), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY url) AS rn FROM f) SELECT label, url, CAST(rn AS INT) AS rn FROM r WHERE rn <= 30",
-    "p6_scripts": "SELECT page_id, CAST(1 AS BIGINT) AS n, '/static/app.js' AS scripts FROM pages",
-    "p7_numeric_ids": "SELECT DISTINCT unnest(regexp_extract_all(html, '(?:utm|page|id)[=:]\"?([0-9]{1,12})', 1)) AS numeric_id FROM pages",
+    "p5_mined_urls": "WITH u AS (" + " UNION ".join(f"SELECT '{k}' AS label, unnest(regexp_extract_all(html, '{_Q(r)}', 1)) AS url FROM ({A.SITE_PAGES})" for k, r in MINED.items()) + f"), f AS (SELECT DISTINCT label, url FROM u WHERE length(url) > 5 AND length(url) < 200 AND NOT regexp_matches(lower(url), '{DENIED}')), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY url) AS rn FROM f) SELECT label, url, CAST(rn AS INT) AS rn FROM r WHERE rn <= 30",
+    "p6_scripts": f"""WITH s AS (SELECT page_id, list_concat(regexp_extract_all(html, '<script[^>]+src="([^"]+\\.js[^"]*)"', 1), regexp_extract_all(html, '/_next/static/[^\\s"'']+\\.js')) AS all_found FROM ({A.SITE_PAGES})), u AS (SELECT page_id, unnest(all_found) AS src, unnest(range(len(all_found))) AS k FROM s), f AS (SELECT page_id, src, min(k) AS k FROM u WHERE regexp_matches(src, '{"|".join(SCRIPTS_KEPT)}') AND NOT regexp_matches(src, '{"|".join(SCRIPTS_DENIED)}') GROUP BY ALL) SELECT page_id, coalesce(n, 0) AS n, coalesce(scripts, '') AS scripts FROM pages LEFT JOIN (SELECT page_id, count(*) AS n, string_agg(src, ',' ORDER BY k) AS scripts FROM f GROUP BY page_id) USING (page_id)""",
+    "p7_numeric_ids": f"SELECT DISTINCT unnest(regexp_extract_all(html, '(?:advertId|listingId|id)[=:]\"?([0-9]{{6,12}})', 1)) AS numeric_id FROM ({A.SITE_PAGES})",
     "p8_snippets": "SELECT page_id, array_to_string(list_slice(regexp_extract_all(html, '(?s)(.{0,10}<h1>.{0,10})', 1), 1, 3), '¦') AS snippets, array_to_string(list_slice(regexp_extract_all(html, 'class=\"([^\"]+)\"', 1), 1, 3), '¦') AS classes FROM pages",
     "p9_pagination": "WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]{1,199})\"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]{1,199})\"[^>]*>([^<]*)</a>', 2)) AS label FROM pages) SELECT DISTINCT * FROM a WHERE regexp_matches(lower(href), 'in|th') OR regexp_matches(lower(label), 'in|th')",
-    "p10_repeats": "WITH p AS (SELECT page_id, split_part(url, '/', 3) AS site, substr(html, 1, 400) AS html, lag(substr(html, 1, 400)) OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) AS prev FROM pages) SELECT page_id, html = prev AS same, CAST((SELECT count(*) FROM (SELECT unnest(range(1, least(length(html), length(prev)) + 1)) AS k) WHERE substr(html, k, 1) <> substr(prev, k, 1)) AS BIGINT) AS differing FROM p WHERE prev IS NOT NULL",
-    "p11_body_shapes": f"SELECT body_id, CASE WHEN body_id % 4 = 2 THEN 'array' ELSE 'object' END AS shape, CAST(CASE WHEN body_id % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS n, CASE body_id % 4 WHEN 0 THEN 'items' WHEN 1 THEN 'data' WHEN 2 THEN 'id,title,price,parameters,location,energyClass' ELSE 'total,items' END AS keys FROM ({A.BODIES})",
-    "p12_state_blobs": f"SELECT okey AS page_id, 'props,url,price' AS keys, CAST(1 AS BIGINT) AS n_urls, CAST(1 AS BIGINT) AS n_prices FROM ({A.LISTINGS})",
+    "p10_repeats": "WITH p AS (SELECT page_id, split_part(url, '/', 3) AS site, html, lag(html) OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) AS prev FROM pages) SELECT page_id, html = prev AS same, CAST(CASE WHEN html = prev THEN 0 ELSE (SELECT count(*) FROM (SELECT unnest(string_split(html, '')) AS x, unnest(range(1, length(html) + 1)) AS k) a JOIN (SELECT unnest(string_split(prev, '')) AS y, unnest(range(1, length(prev) + 1)) AS k) b USING (k) WHERE x <> y) END AS BIGINT) AS differing FROM p WHERE prev IS NOT NULL",
+    "p11_body_shapes": f"""{ITEMS}, k AS (SELECT body_id, raw, body, json_type(body) AS kind, json_valid(raw) AS ok, list_filter(json_keys(body), lambda x: regexp_matches(lower(x), '{"|".join(LISTING_KEYS)}')) AS likes, json_keys(body) AS keys, json_extract(body, '$[0]') AS first_item FROM n), m AS (SELECT *, CASE WHEN len(likes) > 0 THEN likes[-1] END AS listing_key FROM k)
+      SELECT body_id, CASE WHEN trim(raw) = '' THEN '(empty)' WHEN NOT ok THEN '(non-JSON)' WHEN kind = 'ARRAY' THEN 'array' ELSE 'object' END AS shape, CAST(CASE WHEN kind = 'ARRAY' THEN json_array_length(body) ELSE 0 END AS BIGINT) AS n,
+       CASE WHEN NOT ok THEN '' WHEN kind = 'ARRAY' THEN array_to_string(json_keys(first_item)[:5], ',') WHEN listing_key IS NOT NULL THEN array_to_string(keys[:6], ',') ELSE array_to_string(keys[:8], ',') END AS keys, listing_key,
+       CASE WHEN json_type(body, '$.' || listing_key) = 'ARRAY' THEN CAST(json_array_length(body, '$.' || listing_key) AS BIGINT) END AS listing_size FROM m""",
+    "p12_state_blobs": f"""SELECT page_id, array_to_string(json_keys(blob), ',') AS keys, CAST(len(regexp_extract_all(blob, '"url":"[^"]*"')) AS BIGINT) AS n_urls, CAST(len(regexp_extract_all(blob, '"price":[0-9.]+')) AS BIGINT) AS n_prices FROM (SELECT okey AS page_id, '{{"props":{{}},"url":"' || url || '","price":' || CAST(CAST(floor(price_eur) AS BIGINT) AS VARCHAR) || CASE WHEN okey % 2 = 0 THEN ',"more":[{{"url":"/x","price":1.5}}]' ELSE '' END || '}}' AS blob FROM ({A.LISTINGS}) WHERE okey % 7 <> 0)""",
     "class_counts": f"WITH s AS ({scored()}) SELECT classification, count(*) AS n FROM s GROUP BY 1",
 }

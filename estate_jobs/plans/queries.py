@@ -26,7 +26,7 @@ def _scored_ids(t: Tables) -> DataFrame:
 
 
 def _ready(t: Tables) -> DataFrame:
-    return cashflow.unscored(t.listings, t.listings.filter("false").select(F.col("id").alias("listing_id")))
+    return cashflow.unscored(t.listings, _no_scores(t))
 
 
 def _scores(t: Tables) -> DataFrame:
@@ -34,16 +34,18 @@ def _scores(t: Tables) -> DataFrame:
 
 
 def _no_scores(t: Tables) -> DataFrame:
-    return t.listings.filter("false").select(F.col("id").alias("listing_id"))
+    return t.spark.createDataFrame([], "listing_id string")
 
 
 def _locations(t: Tables) -> DataFrame:
     sites = t.sites
-    return location.run(t.listings, _no_scores(t), t.places, sites, sites)
+    return location.run(t.stored("listings"), _no_scores(t), t.places, sites, sites)
 
 
-def _feed(t: Tables) -> DataFrame:
-    return serve.active_feed(t.listings, _scores(t), _locations(t))
+def _feed(t: Tables, ordered: bool = False) -> DataFrame:
+    """The feed over one stored table of listings, which it reads three times."""
+    listings = t.stored("listings")
+    return serve.active_feed(listings, cashflow.score(cashflow.unscored(listings, _no_scores(t))), _locations(t), ordered)
 
 
 FEED = ("id", "source", "title", "price_eur", "size_m2", "energy_class", "lv_status", "classification", "cf_class", "surplus_sro", "ratio_sro", "is_industrial", "nearest_transit_m", "amenity_count", "construction_risk", "noise_flag", "location_tier", "walkability_score")
@@ -76,20 +78,19 @@ def s2_listing_bodies(t: Tables) -> DataFrame:
 
 @query
 def x1_detail_links(t: Tables) -> DataFrame:
-    return extract.detail_links(t.table("pages"), "example", "^/[A-Za-z]{4,}")
+    return extract.detail_links(t.link_pages, "example", "^/[A-Za-z]{4,}")
 
 
 @query
 def x3_chunk_urls(t: Tables) -> DataFrame:
-    pages = t.listings.select(F.col("okey").alias("page_id"), "url", F.concat(F.lit('<script>self.__next_f.push([1,"x \\"/detail/'), "id", F.lit('/byt-a\\" \\u0022https://r.example/detail/'), "id", F.lit('/b\\u0022"])</script>')).alias("html"))
-    return extract.chunk_urls(pages)
+    return extract.chunk_urls(t.chunk_pages)
 
 
 @query
 def x4_link_priority(t: Tables) -> DataFrame:
-    links = extract.hrefs(t.table("pages")).select("page_id", F.col("href").alias("url"), "position", F.lit("link").alias("text"))
-    api = t.table("pages").filter("page_id % 10 = 0").select("page_id")
-    return extract.by_priority(links, links, api)
+    pages = t.chunk_pages
+    api = t.bodies.filter(F.size(extract.item_list(F.col("body"))) > 0).select(F.col("body_id").alias("page_id"))
+    return extract.by_priority(extract.dom_links(pages), extract.chunk_urls(pages), api)
 
 
 @query
@@ -152,11 +153,18 @@ def x19_detail_rows(t: Tables) -> DataFrame:
     return extract.details(t.detail_pages)
 
 
+@query
+def x19_meta_first_rows(t: Tables) -> DataFrame:
+    return extract.details(t.detail_pages, meta_first=True).drop("rooms")
+
+
 @query
 def x20_overlay(t: Tables) -> DataFrame:
-    old = t.listings.select("okey", "id", F.when(F.col("okey") % 2 == 0, F.col("title")).otherwise("").alias("title"), "price_eur", "size_m2", "energy_class")
-    new = t.listings.filter("true").select("id", F.concat(F.lit("nový "), "title").alias("title"), F.when((F.col("okey") % 34) == 0, 1000.0).otherwise(0.0).alias("price_eur"), F.lit(0.0).alias("size_m2"), F.when(F.col("okey") % 2 == 0, "B").otherwise("UNKNOWN").alias("energy_class"))
-    return extract.overlay(old, new).drop("okey")
+    """Details of every listing, laid over those without a price: prices, sizes and rooms that are there or not."""
+    k = F.col("okey")
+    old = t.listings.select("id", F.when(k % 2 == 0, F.col("title")).otherwise("").alias("title"), "price_eur", "size_m2", F.lit(3).alias("rooms"), "energy_class", "address_raw", "district")
+    new = t.listings.select("id", F.concat(F.lit("nový "), "title").alias("title"), F.when(k % 34 == 0, 1000.0).otherwise(0.0).alias("price_eur"), F.when(k % 3 == 0, 44.0).otherwise(0.0).alias("size_m2"), (k % 4).cast("int").alias("rooms"), F.when(k % 2 == 0, "B").otherwise("UNKNOWN").alias("energy_class"), F.when(k % 5 == 0, "Nová 1, Martin").otherwise("").alias("address_raw"), F.when(k % 5 == 0, "Martin").otherwise("").alias("district"))
+    return extract.overlay(old, new, unpriced=True)
 
 
 @query
@@ -185,10 +193,12 @@ def m1_merge(t: Tables) -> DataFrame:
 
 @query
 def m2_score_replace(t: Tables) -> DataFrame:
-    pick = lambda where: cashflow.score(_ready(t).filter(where)).select("listing_id", "classification")
-    new = pick("okey % 6 = 0")
-    stored = merge.replace(pick(HAS_SCORE), new).select(F.col("listing_id").alias("id"), F.col("classification").alias("stored_class"))
-    return merge.write_back(t.listings, new).join(stored, "id", "left").select("id", "classification", "stored_class")
+    """New scores of all ready listings over older ones of some."""
+    listings = t.stored("listings")
+    new = cashflow.score(cashflow.unscored(listings, _no_scores(t))).select("listing_id", "classification")
+    old = listings.filter(HAS_SCORE).select(F.col("id").alias("listing_id"), F.lit("OLD").alias("classification"))
+    stored = merge.replace(old, new).select(F.col("listing_id").alias("id"), F.col("classification").alias("stored_class"))
+    return merge.write_back(listings, new).join(stored, "id", "left").select("id", "classification", "stored_class")
 
 
 @query
@@ -200,10 +210,9 @@ def m4_deed_status(t: Tables) -> DataFrame:
 
 @query
 def m5_insert_or_ignore(t: Tables) -> DataFrame:
-    nation = t.table("nation")
-    existing = nation.select(F.concat(F.lit("r"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("district"), F.lit("small").alias("size_band"), F.lit(1).alias("origin"))
-    seed = nation.select(F.concat(F.lit("r"), (F.col("n_nationkey") + 20).cast("string")).alias("id"), F.col("n_name").alias("district"), F.when(F.col("n_nationkey") % 2 == 0, "small").otherwise("large").alias("size_band"), F.lit(2).alias("origin"))
-    return merge.insert_or_ignore(existing, seed)
+    """What is there: a row for each district with small flats; the seed: rows that share ids and districts."""
+    existing = t.listings.filter("size_m2 < 60").groupBy(F.trim("district").alias("district")).agg(F.min("okey").alias("seq")).select(F.concat(F.lit("s"), F.col("seq").cast("string")).alias("id"), "district", F.lit("small").alias("size_band"), (-F.col("seq")).alias("seq"))
+    return merge.insert_or_ignore(existing, t.seeds, order="seq")
 
 
 @query
@@ -232,7 +241,7 @@ def l3_debt_filter(t: Tables) -> DataFrame:
 
 @query
 def l4_reverify(t: Tables) -> DataFrame:
-    ids = t.listings.filter("okey % 10 = 0").select("id").union(t.table("nation").select(F.concat(F.lit("missing-"), F.col("n_nationkey").cast("string"))))
+    ids = t.listings.select("id").union(t.table("nation").select(F.concat(F.lit("missing-"), F.col("n_nationkey").cast("string"))))
     return deeds.reverify(ids, _deeds_of(t, t.listings), t.deeds, "doc_id").select("id", "status", "reason")
 
 
@@ -289,7 +298,7 @@ def g3_haversine(t: Tables) -> DataFrame:
 
 
 def _points(t: Tables) -> DataFrame:
-    return location.unscored(t.listings, _no_scores(t)).select("id", "lat", "lng")
+    return location.located(location.unscored(t.listings, _no_scores(t))).select("id", "lat", "lng")
 
 
 @query
@@ -311,7 +320,7 @@ def g8_location_run(t: Tables) -> DataFrame:
 
 @query
 def q1_active_feed(t: Tables) -> DataFrame:
-    return _feed(t).select(*FEED)
+    return _feed(t, ordered=True).select(*FEED)
 
 
 @query
@@ -359,7 +368,7 @@ def q8_class_sizes(t: Tables) -> DataFrame:
 
 @query
 def q9_cost_lines(t: Tables) -> DataFrame:
-    return serve.cost_lines(_scores(t))
+    return serve.cost_lines(_scores(t), F.lower("optimal_structure"))
 
 
 @query
@@ -369,7 +378,7 @@ def q9_checklist(t: Tables) -> DataFrame:
 
 @query
 def q10_contract_drafts(t: Tables) -> DataFrame:
-    return serve.contract_drafts(t.listings, t.deals).drop("draft_text")
+    return serve.contract_drafts(t.listings, t.deals, _scores(t), "2026-01-31 06:00")
 
 
 # --- profiles
@@ -381,12 +390,12 @@ def p1_path_prefixes(t: Tables) -> DataFrame:
 
 @query
 def p2_candidates(t: Tables) -> DataFrame:
-    return profile.candidates(t.table("pages"))
+    return profile.candidates(t.site_pages)
 
 
 @query
 def p3_pattern_counts(t: Tables) -> DataFrame:
-    return profile.pattern_counts(t.table("pages"))
+    return profile.pattern_counts(t.site_pages)
 
 
 @query
@@ -396,17 +405,17 @@ def p4_health(t: Tables) -> DataFrame:
 
 @query
 def p5_mined_urls(t: Tables) -> DataFrame:
-    return profile.mined_urls(t.table("pages"))
+    return profile.mined_urls(t.site_pages)
 
 
 @query
 def p6_scripts(t: Tables) -> DataFrame:
-    return profile.scripts(t.table("pages"), ("/static/app.js",)).select("page_id", F.size("scripts").cast("long").alias("n"), F.array_join("scripts", ",").alias("scripts"))
+    return profile.scripts(t.site_pages).select("page_id", F.size("scripts").cast("long").alias("n"), F.array_join("scripts", ",").alias("scripts"))
 
 
 @query
 def p7_numeric_ids(t: Tables) -> DataFrame:
-    return profile.numeric_ids(t.table("pages"), "utm|page|id", 1)
+    return profile.numeric_ids(t.site_pages)
 
 
 @query
@@ -432,11 +441,11 @@ def p11_body_shapes(t: Tables) -> DataFrame:
 
 @query
 def p12_state_blobs(t: Tables) -> DataFrame:
-    blob = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{},"url":"'), "url", F.lit('","price":'), F.floor("price_eur").cast("string"), F.lit("}</script>"))
-    return profile.state_blobs(t.listings.select(F.col("okey").alias("page_id"), blob.alias("html")))
+    """State of listings in pages of which every seventh has none, every second a list more."""
+    more = F.when(F.col("okey") % 2 == 0, ',"more":[{"url":"/x","price":1.5}]').otherwise("")
+    blob = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{},"url":"'), "url", F.lit('","price":'), F.floor("price_eur").cast("string"), more, F.lit("}</script>"))
+    return profile.state_blobs(t.listings.select(F.col("okey").alias("page_id"), F.when(F.col("okey") % 7 == 0, "<p>no state</p>").otherwise(blob).alias("html")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_counts(Tables(spark, sf_dir))
-
-

@@ -1,5 +1,8 @@
 """Fixed cases, boundaries and equalities of the property-screening operators."""
 
+import math
+
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,8 +10,11 @@ from pyspark.sql import functions as F
 
 from estate_jobs.functions.columns import haversine
 from estate_jobs.operators import cashflow, deeds, extract, location, merge, profile
+from estate_jobs.plans.oracle import SQL
+from estate_jobs.plans.queries import QUERIES
 from estate_jobs.sources import tables
 from estate_jobs.streaming import daily
+from tests.conftest import SF
 
 # price, size, district, rent, total_sro, surplus_sro, ratio_sro, saving, months, class
 GOLDEN = [
@@ -87,7 +93,7 @@ def test_stream_equals_batch(spark, tmp_path):
         df.filter(f"seq div 2 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     daily.merge_stream(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/cp").awaitTermination()
     key = lambda d: sorted((r.id, r.title is not None, r.price_eur > 0) for r in d.collect())
-    assert key(spark.read.parquet(f"{tmp_path}/store/v0")) == key(merge.fold(df))
+    assert key(daily.read_store(spark, f"{tmp_path}/store", 0)) == key(merge.fold(df))
     assert daily.run_steps([("bad", lambda: 1 / 0), ("good", lambda: None)])["good"] == "ok"
 
 
@@ -123,12 +129,10 @@ def test_merge_leaves_what_it_does_not_see(spark):
 
 def test_stored_tables(spark, tmp_path):
     rows = spark.createDataFrame([(k, f"l{k}", "personal" if k % 2 else "sro", f"a{k}\nb") for k in range(6)], "k long, listing_id string, structure string, draft_text string")
-    tables.write(rows, f"{tmp_path}/t")
-    assert sorted(tables.read(spark, f"{tmp_path}/t").collect()) == sorted(rows.collect())
-    for _ in range(2):
-        tables.append_log(rows.select("listing_id", "structure"), f"{tmp_path}/log", "listing_id", "structure")
-    logged = tables.read(spark, f"{tmp_path}/log")
-    assert (logged.count(), logged.select("id").distinct().count()) == (12, 6)
+    for some in (rows.filter("k < 4"), rows.filter("k < 4"), rows.union(rows)):
+        tables.append_log(some.select("listing_id", "structure"), f"{tmp_path}/log", "listing_id", "structure")
+    logged = spark.read.parquet(f"{tmp_path}/log")
+    assert (logged.count(), logged.select("id").distinct().count()) == (6, 6)
     tables.write_drafts(rows, f"{tmp_path}/drafts")
     assert sorted((r.structure, r.value) for r in spark.read.option("basePath", f"{tmp_path}/drafts").text(f"{tmp_path}/drafts").collect()) == sorted((r.structure, r.draft_text.replace("\n", "\\n")) for r in rows.collect())
 
@@ -163,7 +167,7 @@ def test_linked_data(spark):
     rows = spark.createDataFrame(list(cases.items()), "k int, html string").withColumn("ld", extract.linked_data(F.col("html")))
     got = {r.k: tuple(r)[1:] for r in rows.select("k", *(c.alias(n) for n, c in extract.ld_fields(F.col("ld")).items())).collect()}
     assert got[1] == ("A", "/i", "Ulica 1, Nitra", 90000.0, 55.5, 2.0)
-    assert got[2] == ("B", "/j", None, 2000.0, 60.0, None)
+    assert got[2] == ("B", "/j", None, 2000.0, None, None)
     assert got[3] == (None, None, "Trnava, 917", None, None, None)
     assert got[4] == got[5] == (None,) * 6
 
@@ -221,11 +225,143 @@ def test_cards_of_odd_pages(spark):
     assert set(got) == {f"b:/inzerat/{k}/" for k in (1, 3, 4, 6)}
 
 
-def test_queries_run(spark):
+def test_linked_data_of_both_orders(spark):
+    page = '<meta property="og:title" content=" Meta ">' + "".join(f'<script type="application/ld+json">{o}</script>' for o in (
+        '{"@type":"Apartment","name":"A","offers":{"price":0,"lowPrice":"1000"},"address":{"streetAddress":"S 1","addressLocality":"Nitra","postalCode":"94901"},"floorSize":{"value":50},"numberOfRooms":0,"numberOfBedrooms":"2.0"}',
+        '{"@type":"House","name":"B","offers":{"price":2000},"address":"Iná, Martin","floorSize":{"value":"0"},"numberOfRooms":0}',
+        '{"@type":"House","offers":{"price":"na","lowPrice":3000},"floorSize":77}',
+    )) + "<title>T | R</title>"
+    rows = spark.createDataFrame([("u", page)], "url string, html string")
+    one = extract.details(rows).first()
+    assert (one.title, one.price_eur, one.size_m2, one.rooms, one.address_raw, one.district) == ("A", 3000.0, 50.0, 2.0, "S 1, Nitra, 94901", "94901")
+    two = extract.details(rows, meta_first=True).first()
+    assert (two.title, two.price_eur, two.size_m2, two.rooms, two.address_raw, two.district) == ("Meta", 1000.0, 50.0, None, "Iná, Martin", "Martin")
+
+
+def test_base_of_links(spark):
+    html = '<a href="a-r123456.html?x#y"><a href="/b-r123456.html"><a href="http://other.sk/c-r123456.html"><a href="#d"><a href="garaz-r123456.html">'
+    pages = spark.createDataFrame([(1, "https://h.sk/x/y", html), (2, "https://h.sk/x/y", '<base href="/sub/">' + html), (3, "https://h.sk/x/y", '<base href="https://www.h.sk/b/c">' + html), (4, "https://h.sk", None)], "page_id long, url string, html string")
+    got = {}
+    for r in extract.detail_links(pages, "h.sk").collect():
+        got.setdefault(r.page_id, set()).add(r.link)
+    assert got == {1: {"https://h.sk/a-r123456.html", "https://h.sk/b-r123456.html"}, 2: {"https://h.sk/sub/a-r123456.html", "https://h.sk/b-r123456.html"}, 3: {"https://www.h.sk/b/a-r123456.html", "https://www.h.sk/b-r123456.html"}}
+
+
+def test_overlay_of_unpriced_rows(spark):
+    cols = "id string, title string, price_eur double, rooms int, address_raw string"
+    old = spark.createDataFrame([("a", "", 0.0, 1, "x"), ("b", "", 5.0, 1, "x"), ("c", "t", 0.0, 1, "x"), ("d", "t", 0.0, 1, "x")], cols)
+    new = spark.createDataFrame([("a", "n" * 300, 7.0, 0, ""), ("b", "n", 7.0, 2, "y"), ("c", "n", 0.0, 2, "y")], cols)
+    got = {r.id: tuple(r)[1:] for r in extract.overlay(old, new, unpriced=True).collect()}
+    assert got == {"a": ("n" * 200, 7.0, 1, "x"), "b": ("", 5.0, 1, "x"), "c": ("t", 0.0, 2, "y"), "d": ("t", 0.0, 1, "x")}
+    assert {r.id: r.price_eur for r in extract.overlay(old, new).collect()}["b"] == 7.0
+
+
+SEED = st.tuples(st.sampled_from("abc"), st.sampled_from("xyz"), st.sampled_from(["s", "l"]))
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(SEED, max_size=3), st.lists(SEED, min_size=1, max_size=12))
+def test_insert_or_ignore_is_one_by_one(spark, there, seed):
+    there = list({r[0]: r for r in {r[1:]: r for r in there}.values()}.values())
+    cols, state = "id string, district string, size_band string, seq int", [(*r, -1) for r in there]
+    for k, r in enumerate(seed):
+        if all(r[0] != x[0] and r[1:] != x[1:3] for x in state):
+            state.append((*r, k))
+    got = merge.insert_or_ignore(spark.createDataFrame([(*r, -1) for r in there], cols), spark.createDataFrame([(*r, k) for k, r in enumerate(seed)], cols), order="seq")
+    assert sorted(map(tuple, got.collect())) == sorted(state)
+
+
+@pytest.mark.parametrize(("lat", "radius"), [(-33.0, 300.0), (0.0, 2000.0), (48.5, 9000.0), (69.0, 2000.0), (85.0, 800.0)])
+def test_grid_join_at_any_latitude_and_radius(spark, lat, radius):
+    step = radius / 111_000 / 3
+    points = spark.range(80).select("id", (F.lit(lat) + (F.col("id") * 37 % 80 - 40) * step / 8).alias("lat"), ((F.col("id") * 17 % 80 - 40) * step / 3).alias("lng"))
+    places = spark.range(50).select(F.col("id").alias("place"), (F.lit(lat) + (F.col("id") * 7 % 50 - 25) * step / 6).alias("place_lat"), ((F.col("id") * 11 % 50 - 25) * step / 2).alias("place_lng"))
+    brute = points.crossJoin(places).filter(haversine(F.col("lat"), F.col("lng"), F.col("place_lat"), F.col("place_lng")) <= radius).count()
+    assert location.within(points, places, radius).count() == brute > 0
+
+
+def test_store_rewrites_touched_buckets(spark, tmp_path):
+    obs = lambda *ids: spark.createDataFrame([(i, k, "s", f"t{i}{k}", 1.0, None, "B", f"{k}") for k, i in enumerate(ids, 1)], OBS)
+    store = f"{tmp_path}/store"
+    daily.merge_into_store(spark, obs(*"abcdefgh"), store, 0, 4)
+    for _ in range(2):
+        daily.merge_into_store(spark, obs("a", "z"), store, 1, 4)
+        got = {r.id: r.title for r in daily.read_store(spark, store, 1).collect()}
+        assert got == {i: f"t{i}{k}" for k, i in enumerate("abcdefgh", 1)} | {"a": "ta1", "z": "tz2"}
+        assert 1 <= sum("/v=1/" in p for p in daily._paths(spark, store, 1)) <= 2
+    daily.merge_into_store(spark, obs("a").filter("false"), store, 2, 4)
+    assert daily.read_store(spark, store, 2).count() == 9
+
+
+def test_cost_lines_and_drafts(spark):
+    from estate_jobs.operators import serve
+
+    scores = cashflow.score(spark.createDataFrame([("p", 185000.0, 52.0, "Bratislava II"), ("q", 46000.0, 51.0, "Košice I")], "id string, price_eur double, size_m2 double, district string"))
+    lines = {(r.listing_id, r.label): r.value for r in serve.cost_lines(scores, F.when(F.col("listing_id") == "p", "personal").otherwise("sro")).collect()}
+    assert lines["q", "TOTAL COSTS"] == 350.64 and lines["q", "NET SURPLUS"] == 117.74 and ("p", "NET SURPLUS") in lines and len(lines) == 18
+    listings = spark.createDataFrame([("q", "Byt", 51.0, None)], "id string, title string, size_m2 double, address_raw string")
+    deal = "listing_id string, buyer string, ico string, agreed double, deposit double, escrow boolean, notary string, structure string"
+    deals = spark.createDataFrame([("q", "Eva", "", 1234567.5, 2000.0, False, None, "sro"), ("q", " ", "", 1.0, 0.0, True, "", "sro")], deal)
+    draft = serve.contract_drafts(listings, deals, scores, "now").first()
+    for text in ("Adresa:       —", "Katastrálne územie: [Doplniť]", "€1,234,567.50", "Zostatok:          €1,232,567.50", "⚠️ Priamy prevod", "Finančné plnenie na účet", "[Prideliť notára]", "s.r.o. surplus/mo:  €118", "Forma vlastníctva: s.r.o.", "Vygenerované:  now", "LV Status:          PENDING"):
+        assert text in draft.draft_text
+    assert "{" not in draft.draft_text
+
+
+def test_odd_bodies_and_scripts(spark):
+    bodies = {1: "", 2: "no", 3: "[]", 4: "[1]", 5: '{"a":1,"b":{},"Items":[1,2],"c":0,"d":0,"e":0,"f":0,"offers":{}}', 6: '[{"a":1,"b":2,"c":3,"d":4,"e":5,"f":6}]', 7: '{"results":[]}', 8: None}
+    got = {r.body_id: tuple(r)[1:] for r in profile.body_shapes(spark.createDataFrame(list(bodies.items()), "body_id int, body string")).collect()}
+    assert got[1][0] == "(empty)" and got[2][0] == got[8][0] == "(non-JSON)" and got[3] == ("array", 0, "", None, None) and got[4][:2] == ("array", 1)
+    assert got[5] == ("object", 0, "a,b,Items,c,d,e", "offers", None) and got[6] == ("array", 1, "a,b,c,d,e", None, None) and got[7] == ("object", 0, "results", "results", 0)
+    pages = spark.createDataFrame([(1, '<script src="/static/a.js?v"></script><script src="https://gtag/app.js"></script><script src="/other.js"></script>"/_next/static/x.js" "/_next/static/x.js"'), (2, None)], "page_id int, html string")
+    assert {r.page_id: r.scripts for r in profile.scripts(pages).collect()} == {1: ["/static/a.js?v", "/_next/static/x.js"], 2: None}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext, conf = Context(), spark.conf
+
+    class Frame:
+        sparkSession = Session()
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.durable(Frame())
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    return con
+
+
+def plain(v):
+    return None if isinstance(v, float) and math.isnan(v) else round(v, 6) if isinstance(v, float) else tuple(map(plain, v)) if isinstance(v, list | tuple) else v
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_its_sql(spark, duck, name):
+    df = QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    cursor = duck.execute(SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == columns
+    order = lambda row: tuple((x is None, str(x)) for x in row)
+    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=order)
+    assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=order) and got
+
+
+def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    known = entry.queries()
-    assert set(entry.oracle_sql()) <= set(known)
-    for name in ("x3_chunk_urls", "m1_merge", "p5_mined_urls"):
-        assert known[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(SQL) == set(QUERIES)
