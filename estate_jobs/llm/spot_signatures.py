@@ -9,9 +9,17 @@ compared by Jaccard only if their sizes leave room for the least likeness that i
 The edited texts need each document's successor. Ids are cut into ranges whose ends are sent to the range above as
 well, so a window in each range finds it, and texts are shuffled once.
 
+Near copies: sets of likeness `least` or more are linked, and each document gets the class of all that are linked to it,
+directly or through others. A set whose partners could share too few of its signatures is dropped at once: those in
+no other text don't count. Of the rest, sets that share one of their rarest signatures and are in the same partition by
+size, or in neighbouring ones, are compared: first each with the set of its cell that has the fewest signatures of its
+own, in a group of near copies the text that the others were made from; then, where a signature still holds more than
+one class, those of different classes. So a large group of near copies is compared with its centre, not in all pairs.
+
 Edge cases: a null text is empty; the one signature of an empty text is that of no characters, so empty texts are
-alike; rows with equal ids follow by text, null ids come last in descending order; one document succeeds itself; an
-empty table gives no rows.
+alike; a very long text is read whole by native expressions; rows with equal ids follow by text, null ids come last in
+descending order; repeated rows have the same signatures, hence the same class; a class is named by the least id in it,
+null if it has none; one document succeeds itself; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from estate_jobs.llm.common import table
+from estate_jobs.llm.common import durable, small_enough, table
+from estate_jobs.llm.near_duplicates import components
 
 # Anchors, common words of English, German, French and Spanish.
 ANCHORS = (
@@ -34,6 +43,8 @@ ANCHORS = (
 EVERY = 16
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
+#: Signatures (32 bits each) that may be broadcast.
+MOST_SIGNATURES = 2_000_000
 
 
 def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -73,23 +84,58 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when((small > 0) & (small >= least * large), shared / (F.size(a) + F.size(b) - shared)).otherwise(0.0)
 
 
-def near_pairs(documents: DataFrame, least: float = 0.8) -> DataFrame:
-    """a, b, likeness (a < b) of documents whose fingerprints are at least so alike, exact copies once.
+def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """prints (doc_id, sigs and others) with class_id, the least doc_id of its class.
 
-    Signature sets are collapsed to one document each. The rarest signatures of a set, as many as a partner of that
-    likeness can't miss all of, meet in an index by length class; the rest is compared. Sets are joined to pairs by id.
+    prints is read several times; pass a durable table.
     """
-    sets = documents.select(F.col("doc_id").alias("id"), signatures(F.coalesce("text", F.lit(""))).alias("sigs")).groupBy("sigs").agg(F.min("id").alias("id"))
-    one = sets.select("id", "sigs", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
-    often = one.groupBy("sig").agg(F.count("*").alias("df"))
-    ranked = one.select("id", "n", "sig").join(often, "sig").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("order"))
-    prefix = ranked.select("id", "n", F.explode(F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("s")).select("id", "n", "s.sig", "s.df").filter("df > 1").withColumn("cls", length_class(F.col("n"), least))
-    left = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "sig", "cls")
-    right = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig", F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1)).alias("cls"))
-    fits = (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
-    pairs = left.join(right, ["sig", "cls"]).filter(fits).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sigs").alias("sb")), "b")
-    return both.select("a", "b", likeness(F.col("sa"), F.col("sb"), least).alias("likeness")).filter(F.col("likeness") >= least - 1e-9)
+    keyed = prints.select("doc_id", "sigs", F.xxhash64("sigs").alias("set_a"), F.xxhash64(F.lit(1), "sigs").alias("set_b"))
+    sets = keyed.groupBy("set_a", "set_b", F.size("sigs").alias("n")).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    enough = F.ceil(F.col("n") * least - 1e-9)
+
+    # sets of which enough signatures are in other rows too; copies of a set count its signatures as often as they are
+    often = small_enough(keyed.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter("count > 1").select("sig"), MOST_SIGNATURES)
+    shared = keyed.select("set_a", "set_b", F.explode("sigs").alias("sig")).join(often, "sig", "left_semi").groupBy("set_a", "set_b").agg(F.count("*").alias("shared"))
+    found = durable(sets.join(shared, ["set_a", "set_b"], "left").filter((F.col("copies") > 1) | (F.col("shared") >= enough * F.col("copies"))).withColumn("id", F.monotonically_increasing_id()))
+    some = small_enough(found.select("set_a", "set_b", "id", "n"))
+    arrays = durable(keyed.join(some, ["set_a", "set_b"]).groupBy("id", "n").agg(F.first("sigs").alias("sigs")))
+
+    # their rarest signatures among themselves: of so many a partner can't miss all
+    one = arrays.select("id", "n", F.explode("sigs").alias("sig"))
+    counted = one.join(one.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1"), "sig").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("order"), F.count("*").alias("shared"))
+    rare = counted.filter(F.col("shared") >= enough).select("id", "n", "shared", F.explode(F.slice("order", 1, (F.col("shared") - enough + 1).cast("int"))).alias("s"))
+    cells = durable(rare.select("id", "n", "shared", "s.sig", length_class(F.col("n"), least).alias("cls")))
+
+    def fits(a: str, b: str) -> Column:
+        """Two sets can be so alike, by their sizes and the signatures that they share with any."""
+        most = F.least(F.col(f"{a}_shared"), F.col(f"{b}_shared"))
+        return (most >= least * (F.col(f"{a}_n") + F.col(f"{b}_n") - most) - 1e-9) & (F.col(f"{a}_id") != F.col(f"{b}_id"))
+
+    def named(df: DataFrame, side: str) -> DataFrame:
+        return df.select("sig", "cls", *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in ("sig", "cls")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are alike, as edges."""
+        own = lambda side: arrays.select(F.col("id").alias(f"{side}_id"), F.col("sigs").alias(f"{side}_sigs"))
+        both = pairs.select("a_id", "b_id").distinct().join(own("a"), "a_id").join(own("b"), "b_id")
+        return both.filter(likeness(F.col("a_sigs"), F.col("b_sigs"), least) >= least - 1e-9).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+    around = F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1))
+    centre = F.min_by(F.struct("id", "n", "shared"), F.struct(-F.col("shared") / F.col("n"), "id")).alias("row")
+    centres = cells.groupBy("sig", "cls").agg(centre).select("sig", around.alias("cls"), "row.*")
+    edges = durable(linked(named(cells, "a").join(named(centres, "b"), ["sig", "cls"]).filter(fits("a", "b"))))
+    roots = durable(components(edges))
+    labelled = cells.join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+    mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
+    left = durable(labelled.join(mixed, "sig", "left_semi"))
+    cross = named(left, "a").join(named(left.withColumn("cls", around), "b"), ["sig", "cls"]).filter("a_label <> b_label AND a_id < b_id").filter(fits("a", "b"))
+    roots = durable(components(edges.union(linked(cross))))
+
+    known = found.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    names = known.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("sets"), F.sum("copies").alias("rows")).filter("rows > 1").select("root", "class_id")
+    classes = small_enough(durable(known.select("set_a", "set_b", "root").join(names, "root").select("set_a", "set_b", "class_id", F.lit(True).alias("in_class"))))
+    rows = prints.withColumn("set_a", F.xxhash64("sigs")).withColumn("set_b", F.xxhash64(F.lit(1), "sigs"))
+    return rows.join(classes, ["set_a", "set_b"], "left").select(*prints.columns, F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def with_next(documents: DataFrame) -> DataFrame:
@@ -116,7 +162,8 @@ def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    texts = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("sigs").alias("own"), F.col("next_sigs").alias("next"))
-    sets = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", signatures(F.col("edited")).alias("changed"), "next")
-    own, changed, nxt = F.col("own"), F.col("changed"), F.col("next")
-    return sets.select("doc_id", "n_chars", "edited_sha256", fingerprint(own).alias("fingerprint"), fingerprint(changed).alias("edited_fingerprint"), likeness(own, changed).alias("near_edited"), likeness(own, nxt).alias("near_next"), F.size(own).alias("n_signatures"), length_class(F.size(own)).alias("length_class"))
+    texts = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sigs", "next_sigs")
+    sets = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", signatures(F.col("edited")).alias("edited_sigs"), "next_sigs")
+    own, changed = F.col("sigs"), F.col("edited_sigs")
+    prints = durable(sets.select("doc_id", "n_chars", "edited_sha256", "sigs", "edited_sigs", likeness(own, changed).alias("near_edited"), likeness(own, F.col("next_sigs")).alias("near_next")))
+    return near_classes(prints).select("doc_id", "n_chars", "edited_sha256", fingerprint(own).alias("fingerprint"), fingerprint(changed).alias("edited_fingerprint"), "near_edited", "near_next", F.size(own).alias("n_signatures"), length_class(F.size(own)).alias("length_class"), "class_id")

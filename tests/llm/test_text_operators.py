@@ -133,14 +133,42 @@ def test_spot_signatures(spark, docs_of, make):
     by = {r.doc_id: r for r in found}
     assert len(found) == len(texts) and all(by[i].next_text == (texts[after[i] // 3] or "") for i in ids)
     assert by[27].fp == by[30].fp != "" and by[33].fp != by[30].fp
-    near = docs_of([(1, texts[0], None, None), (2, texts[0] + " the end stop", None, None), (3, texts[1], None, None)])
-    pairs = spot_signatures.near_pairs(near, 0.6).collect()
-    assert [(r.a, r.b) for r in pairs] == [(1, 2)]
+    odd = docs_of([(None, "b", None, None), (None, "a", None, None), (4, "x", None, None), (4, "y", None, None), (4, "x", None, None)]).withColumn("range", F.lit(1)).withColumn("next", F.lit(2)).withColumn("sigs", F.lit(3))
+    assert Counter((r.doc_id, r.text, r.next_text) for r in spot_signatures.with_next(odd).collect()) == Counter([(4, "x", "x"), (4, "x", "y"), (4, "y", "a"), (None, "a", "b"), (None, "b", "x")])
     assert spot_signatures.with_next(docs.filter("false")).count() == 0
     one = spot_signatures.with_next(docs.filter("doc_id = 0")).first()
     assert one.next_text == one.text
 
 
+def brute_classes(rows, least=0.8):
+    """Class of each row (id, set of signatures) by all pairs, named by the least id."""
+    up = list(range(len(rows)))
+    for i, (_, a) in enumerate(rows):
+        for j in range(i):
+            b = rows[j][1]
+            if len(a & b) >= least * len(a | b) - 1e-9:
+                up = [up[j] if u == up[i] else u for u in up]
+    names = {u: min((i for (i, _), v in zip(rows, up, strict=True) if v == u and i is not None), default=None) for u in up}
+    return Counter((i, tuple(sorted(a)), names[u]) for (i, a), u in zip(rows, up, strict=True))
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_spot_classes_against_all_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(spot_signatures, "MOST_SIGNATURES", most)
+    r, rows = random.Random(8), []
+    common = list(range(900, 930))
+    for g in range(12):
+        base = r.sample(range(10000), r.choice([1, 3, 8, 20, 40])) + (common if g % 4 == 0 else [])
+        for k in range(r.choice([1, 2, 6])):
+            own = [x if r.random() > r.choice([0, 0.03, 0.08, 0.15]) else r.randrange(10000) for x in base]
+            rows.append((r.choice([None, g, 100 * g + k]), set(own) | ({20000} if r.random() < 0.3 else set())))
+    rows += [rows[0], rows[3], (None, {77777}), (5, {77777})]
+    df = spark.createDataFrame([(i, sorted(a), "x") for i, a in rows], "doc_id long, sigs array<long>, class_x string")
+    got = spot_signatures.near_classes(df)
+    assert Counter((x.doc_id, tuple(x.sigs), x.class_id) for x in got.collect()) == brute_classes(rows)
+    assert got.columns == [*df.columns, "class_id"] and spot_signatures.near_classes(df.filter("false")).count() == 0
+
+
 def test_spot_signature_query(spark):
     rows = {r.doc_id: r for r in spot_signatures.op3_spot_signatures(spark, SF).collect()}
     texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
@@ -153,6 +181,9 @@ def test_spot_signature_query(spark):
         assert 0 <= rows[i].near_next <= 1 and (rows[i].near_edited < 1 or rows[i].fingerprint == rows[i].edited_fingerprint)
         better += rows[i].near_edited > rows[i].near_next
     assert better > 0.95 * len(ids)
+    prints = [(i, {rows[i].fingerprint[k : k + 8] for k in range(0, len(rows[i].fingerprint), 8)}) for i in ids]
+    assert {(i, c) for i, _, c in brute_classes(prints)} == {(i, rows[i].class_id) for i in ids} and any(rows[i].class_id != i for i in ids)
+    assert all(rows[i].n_signatures == len(a) for i, a in prints)
 
 
 def test_quality(spark, docs_of):
