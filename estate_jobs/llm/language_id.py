@@ -5,8 +5,10 @@ of those; Viterbi with a penalty for switching labels every word, so a text beco
 language that covers most letters is the document's, its share of the letters the score.
 
 Edge cases: a null text or one without letters is `und` with score 0 and no span; letters of a script that no
-training text had keep the language around them, alone the most frequent one; null langs teach nothing; with no
-labelled row every document is `und`; ties go to the more frequent language, then by name; an empty table gives none.
+training text had keep the language around them, alone the most frequent one; a very long text is labelled whole, by
+chunks of rows that it fills alone; null langs teach nothing, null and repeated ids are documents like others; with no
+labelled row every document is `und`; ties go to the more frequent language, then by name; repeated rows are labelled
+alike; extra columns are not read by identify and are kept by keep; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -42,6 +43,13 @@ def test_language_spans_and_edges(spark, docs_of, make):
     assert language_id.identify(rows.filter("false"), model).count() == 0
 
 
+def test_language_query(spark):
+    docs = {r.doc_id: r for r in table(spark, SF, "documents").collect()}
+    found = {r.doc_id: r for r in language_id.op1_language_id(spark, SF).collect()}
+    assert found.keys() == docs.keys()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and (r.lang_pred == "und") == (not any(c.isalpha() for c in docs[i].text or "")) for i, r in found.items())
+
+
 def test_viterbi_against_all_labellings():
     rng = np.random.default_rng(1)
     score, prior = rng.normal(size=(5, 3)).astype(np.float32), np.log([0.5, 0.3, 0.2])
@@ -186,14 +194,47 @@ def test_spot_signature_query(spark):
     assert all(rows[i].n_signatures == len(a) for i, a in prints)
 
 
-def test_quality(spark, docs_of):
+def test_quality_of_held_out_documents(spark):
+    found = quality.op4_quality_classifier(spark, "/root/testdata/sf0.01")
+    assert found.count() == table(spark, "/root/testdata/sf0.01", "documents").count()
+    rows = found.join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").filter("held_out AND quality IS NOT NULL").collect()
+    assert sum(r.predicted == r.quality for r in rows) > 0.9 * len(rows) > 50 and all(r.predicted == (r.score >= 0.7) for r in rows)
+
+
+def test_quality_edges(spark, docs_of):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     trees = quality.learn(docs, labels)
-    found = quality.score(docs, trees).join(labels, "doc_id").collect()
-    assert sum((r.score >= 0.7) == (r.quality == 1) for r in found) > 0.9 * len(found)
-    odd = docs_of([(1, None, None, None), (None, "", None, None), (2, "x" * 300000, None, None), (2, "\n\n", None, None)]).withColumn("label", F.lit("z"))
+    odd = docs_of([(1, None, None, None), (None, "", None, None), (2, "x" * 300000, None, None), (2, "\n\n", None, None)]).withColumn("label", F.lit("z")).withColumn("score", F.lit("z"))
     assert all(0 <= r.score <= 1 for r in quality.score(odd, trees).collect())
     assert {r.score for r in quality.score(odd, quality.learn(odd, labels.filter("false"))).collect()} == {0.5}
+    assert quality.score(odd.filter("false"), trees).count() == 0
+    again = quality.learn(docs.union(docs).repartition(5), labels.union(labels).withColumn("extra", F.lit(1)))
+    assert all(np.array_equal(a, b) for a, b in zip(trees, again, strict=True))
+
+
+def test_document_statistics():
+    texts = ["The cat, the CAT!\nthe dog 12\n\nthe cat, the cat", "", "é|# x", "word " * 7]
+    x = quality.statistics(*tokens.buffers(pa.array(texts)))
+    for t, row in zip(texts, x, strict=True):
+        w, raw = lowered(t), t.encode()
+        lines = [tuple(v) for v in (lowered(p) for p in t.split("\n")) if v]
+        pairs = list(zip(w, w[1:], strict=False))
+        per = lambda a, b: a / max(1, b)
+        want = {"log_bytes": np.log1p(len(raw)), "log_words": np.log1p(len(w)), "lower": per(sum(97 <= c <= 122 for c in raw), len(raw)), "upper": per(sum(65 <= c <= 90 for c in raw), len(raw)), "digits": per(sum(48 <= c <= 57 for c in raw), len(raw)), "newlines": per(raw.count(b"\n"), len(raw)), "pipes": per(raw.count(b"|"), len(raw)), "beyond_ascii": per(sum(c > 127 for c in raw), len(raw)), "word_length": per(sum(len(v.encode()) for v in w), len(w)), "short_words": per(sum(len(v.encode()) <= 3 for v in w), len(w)), "distinct_words": per(len(set(w)), len(w)), "distinct_pairs": per(len(set(pairs)), len(w) - 1), "distinct_lines": per(len(set(lines)), len(lines)), "words_a_line": per(len(w), len(lines)), "top_word": per(max(Counter(w).values(), default=0), len(w))}
+        assert {k: row[quality.FEATURES.index(k)] for k in want} == pytest.approx(want, abs=1e-6)
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 30, (300, len(quality.FEATURES))).astype(np.float32)
+    y = (x[:, 4] * (1 + rng.random(300)) > 20).astype(float)
+    trees = quality.fit(x, y)
+    p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    g, h = p - y, np.full(300, p * (1 - p))
+    part = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality.RIDGE)
+    best = max((part(x[:, f] > c) + part(x[:, f] <= c), -f, -c) for f in range(x.shape[1]) for c in np.unique(x[:, f]) if min(h[x[:, f] > c].sum(), h[x[:, f] <= c].sum()) >= quality.MIN_CHILD / 4)
+    cut = trees.threshold[0, 0]
+    assert trees.feature[0, 0] == -best[1] and (x[:, 4] > cut).sum() == (x[:, 4] > -best[2]).sum()
 
 
 def test_flat_trees_match_a_plain_walk():
