@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents.
+
+Every stage judges rows, not ids: null and repeated doc_ids are documents like others. Rows with a null or empty text go
+with the first stage, as texts in no language; a very long text is one document in each stage; repeated rows are near
+duplicates of each other, so one is left; of ties within a group the least id, then the least hash of the text stays.
+Extra columns, whatever their names, are kept through all stages, but the last one's `copy` replaces a column of that
+name, and n_chars is that of the masked text. An empty table, or one that a stage empties, gives no rows.
 """
 
 from __future__ import annotations
