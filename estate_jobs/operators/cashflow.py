@@ -64,6 +64,7 @@ def score(listings: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     df = df.withColumns({"surplus_p": c("rent") - c("total_p"), "surplus_s": c("rent") - c("total_s"), "ratio_p": _ratio(c("rent"), c("total_p")), "ratio_s": _ratio(c("rent"), c("total_s"))})
     df = df.withColumn("saving", (c("surplus_s") - c("surplus_p")) * 12)
     df = df.withColumn("class", F.when(c("ratio_s") >= p.green, "GREEN").when(c("ratio_s") >= p.yellow, "YELLOW").otherwise("WHITE")).withColumn("months", F.when(c("saving") > 0, F.ceil(p.setup_cost / (c("saving") / 12)).cast("int")))
+    # The sentences of the recommendation.
     percent = F.format_string("%.1f", rnd(c("ratio_s") * 100, 1))
     lead = F.when(c("class") == "GREEN", F.concat(F.lit("🟢 GREEN — self-funding via s.r.o. (ratio "), percent, F.lit("%). Hold 20+ years."))).when(c("class") == "YELLOW", F.concat(F.lit("🟡 YELLOW — yield play (ratio "), percent, F.lit("%). Strong income asset."))).otherwise(F.concat(F.lit("⚪ WHITE — below threshold ("), percent, F.lit("%). Flip or pass.")))
     saves = F.when(c("saving") > 0, F.concat(F.lit("s.r.o. saves €"), F.format_number(F.round(c("saving").cast("decimal(28,10)"), 0), 0), F.lit("/yr vs personal. Setup cost recovered in "), c("months").cast("string"), F.lit(" months."))).otherwise("Personal ownership marginally better — low income band.")

@@ -218,7 +218,8 @@ def m5_insert_or_ignore(t: Tables) -> DataFrame:
 @query
 def m6_valid_rows(t: Tables) -> DataFrame:
     rows = t.observations.withColumn("source", F.when(F.col("seq") % 9 != 0, F.col("source")))
-    return merge.valid(rows).agg(F.count("*").alias("valid")).crossJoin(merge.invalid(rows).agg(F.count("*").alias("quarantined")))
+    both = merge.valid(rows).select(F.lit(True).alias("ok")).union(merge.invalid(rows).select(F.lit(False)))
+    return both.agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("quarantined"))
 
 
 # --- deeds
@@ -343,7 +344,8 @@ def q4_completeness(t: Tables) -> DataFrame:
 @query
 def q5_backlog_counts(t: Tables) -> DataFrame:
     waiting = cashflow.unscored(t.listings, _scored_ids(t))
-    return _ready(t).filter(HAS_SCORE).agg(F.count("*").alias("scored")).crossJoin(waiting.agg(F.count("*").alias("unscored")))
+    both = _ready(t).filter(HAS_SCORE).select(F.lit(True).alias("has")).union(waiting.select(F.lit(False)))
+    return both.agg(F.count_if("has").alias("scored"), F.count_if(~F.col("has")).alias("unscored"))
 
 
 @query
