@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from estate_jobs.sources.tables import durable, shared_folder
+
+__all__ = ["BROADCAST_ROWS", "durable", "free_name", "held_out", "shared_folder", "small_enough", "table"]
+
 #: A table of at most this many rows (of a few narrow columns) may be broadcast; it is counted first.
 BROADCAST_ROWS = 100_000
 
@@ -16,23 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the cluster's spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that lost executors cost nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """Fold of a document: true if crc32 of its id as text leaves 2 modulo 4. A null id counts as ''."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
