@@ -6,9 +6,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estate_jobs.sources.tables import durable
+from estate_jobs.sources.tables import durable, spread
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+#: Tables that queries do much with for each row.
+LARGE = ("orders", "documents", "pages", "events")
 _DISTRICTS = ("Bratislava I", "Bratislava II", "Bratislava III", "Bratislava IV", "Bratislava V", "Košice I", "Košice II", "Košice III", "Žilina", "Nitra", "Trnava", "Trenčín", "Prešov", "Banská Bystrica", "Martin", "Poprad", "Ružomberok", "Liptovský Mikuláš", " žilina ", "Nové Mesto nad Váhom", "Šurany", "Zvolen", "Košice IV", "Voderady", "")
 
 LISTINGS = f"""
@@ -108,7 +110,8 @@ class Tables:
         self.spark, self.sf_dir, self._stored = spark, sf_dir, {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in LARGE else df
 
     def sql(self, text: str) -> DataFrame:
         for name in BASE:
