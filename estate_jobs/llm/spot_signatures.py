@@ -12,8 +12,8 @@ well, so a window in each range finds it, and texts are shuffled once.
 Near copies: sets of likeness `least` or more are linked, and each document gets the class of all that are linked to it,
 directly or through others. A set whose partners could share too few of its signatures is dropped at once: those in
 no other text don't count. Of the rest, sets that share one of their rarest signatures and are in the same partition by
-size, or in neighbouring ones, are compared: first each with the set of its cell that has the fewest signatures of its
-own, in a group of near copies the text that the others were made from; then, where a signature still holds more than
+size, or in neighbouring ones, are compared: first each with the set of its cell whose signatures are in most others, in
+a group of near copies the text that the others were made from; then, where a signature still holds more than
 one class, those of different classes. So a large group of near copies is compared with its centre, not in all pairs.
 
 Edge cases: a null text is empty; the one signature of an empty text is that of no characters, so empty texts are
@@ -45,6 +45,8 @@ EVERY = 16
 RANGES = 4
 #: Signatures (32 bits each) that may be broadcast.
 MOST_SIGNATURES = 2_000_000
+#: Times that sets are compared with the centre of their cell before those still in different classes meet.
+ROUNDS = 1
 
 
 def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -94,7 +96,8 @@ def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
     enough = F.ceil(F.col("n") * least - 1e-9)
 
     # sets of which enough signatures are in other rows too; copies of a set count its signatures as often as they are
-    often = small_enough(keyed.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter("count > 1").select("sig"), MOST_SIGNATURES)
+    each = keyed.select("set_a", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high"))
+    often = small_enough(durable(each.filter("low <> high").select("sig")), MOST_SIGNATURES)
     shared = keyed.select("set_a", "set_b", F.explode("sigs").alias("sig")).join(often, "sig", "left_semi").groupBy("set_a", "set_b").agg(F.count("*").alias("shared"))
     found = durable(sets.join(shared, ["set_a", "set_b"], "left").filter((F.col("copies") > 1) | (F.col("shared") >= enough * F.col("copies"))).withColumn("id", F.monotonically_increasing_id()))
     some = small_enough(found.select("set_a", "set_b", "id", "n"))
@@ -102,9 +105,9 @@ def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
 
     # their rarest signatures among themselves: of so many a partner can't miss all
     one = arrays.select("id", "n", F.explode("sigs").alias("sig"))
-    counted = one.join(one.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1"), "sig").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("order"), F.count("*").alias("shared"))
-    rare = counted.filter(F.col("shared") >= enough).select("id", "n", "shared", F.explode(F.slice("order", 1, (F.col("shared") - enough + 1).cast("int"))).alias("s"))
-    cells = durable(rare.select("id", "n", "shared", "s.sig", length_class(F.col("n"), least).alias("cls")))
+    counted = one.join(one.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1"), "sig").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("order"), F.count("*").alias("shared"), (F.sum("df") / F.col("n")).alias("centrality"))
+    rare = counted.filter(F.col("shared") >= enough).select("id", "n", "shared", "centrality", F.explode(F.slice("order", 1, (F.col("shared") - enough + 1).cast("int"))).alias("s"))
+    cells = durable(rare.select("id", "n", "shared", "centrality", "s.sig", length_class(F.col("n"), least).alias("cls")))
 
     def fits(a: str, b: str) -> Column:
         """Two sets can be so alike, by their sizes and the signatures that they share with any."""
@@ -121,13 +124,16 @@ def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
         return both.filter(likeness(F.col("a_sigs"), F.col("b_sigs"), least) >= least - 1e-9).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
     around = F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1))
-    centre = F.min_by(F.struct("id", "n", "shared"), F.struct(-F.col("shared") / F.col("n"), "id")).alias("row")
-    centres = cells.groupBy("sig", "cls").agg(centre).select("sig", around.alias("cls"), "row.*")
-    edges = durable(linked(named(cells, "a").join(named(centres, "b"), ["sig", "cls"]).filter(fits("a", "b"))))
-    roots = durable(components(edges))
-    labelled = cells.join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
-    left = durable(labelled.join(mixed, "sig", "left_semi"))
+    edges, left = None, cells.withColumn("label", F.col("id"))
+    for _ in range(ROUNDS):
+        centre = F.min_by(F.struct("id", "n", "shared", "label"), F.struct(-F.col("centrality"), "id")).alias("row")
+        centres = left.groupBy("sig", "cls").agg(centre).select("sig", around.alias("cls"), "row.*")
+        new = linked(named(left, "a").join(named(centres, "b"), ["sig", "cls"]).filter("a_label <> b_label").filter(fits("a", "b")))
+        edges = durable(new if edges is None else edges.union(new))
+        roots = durable(components(edges))
+        labelled = cells.join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+        mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
+        left = durable(labelled.join(mixed, "sig", "left_semi"))
     cross = named(left, "a").join(named(left.withColumn("cls", around), "b"), ["sig", "cls"]).filter("a_label <> b_label AND a_id < b_id").filter(fits("a", "b"))
     roots = durable(components(edges.union(linked(cross))))
 
