@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estate_jobs.sources.tables import durable, shared_folder
 
-__all__ = ["BROADCAST_ROWS", "durable", "free_name", "held_out", "shared_folder", "small_enough", "table"]
+__all__ = ["BROADCAST_ROWS", "durable", "free_name", "held_out", "kept", "shared_folder", "small_enough", "table"]
 
 #: A table of at most this many rows (of a few narrow columns) may be broadcast; it is counted first.
 BROADCAST_ROWS = 100_000
@@ -17,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder as Parquet, which is smaller than a checkpoint, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """Fold of a document: true if crc32 of its id as text leaves 2 modulo 4. A null id counts as ''."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -23,7 +23,6 @@ alike; extra columns are not read; empty tables give none.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estate_jobs.llm.common import durable, shared_folder, small_enough, table
+from estate_jobs.llm.common import durable, kept, small_enough, table
 from estate_jobs.llm.tokens import buffers, chunks, words
 
 #: Groups of single words: 32 up to 2^18 distinct words, half the cube root of their number beyond; half as many of shared words.
@@ -51,13 +50,6 @@ BATCH, RATE, PART = 8192, 0.01, 8192
 REPEATS, BLOCK = 10_000, 4096
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/lm-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 class Shape(NamedTuple):
     """Classes of the network: groups * MEMBERS single words, then half as many shared groups, then padding."""
 
@@ -142,7 +134,7 @@ class Vocabulary:
     """The table of all words (hash, n), what tasks hold of it, and the words that they don't (None if they hold all)."""
 
     def __init__(self, texts: DataFrame, hot: int = HOT) -> None:
-        self.words = _kept(texts.mapInArrow(_count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+        self.words = kept(texts.mapInArrow(_count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
         # counts fall into some hundred classes of size; the hot words are those of the highest ones
         size = F.floor(F.log2("n") * 16).cast("int")
         bins = sorted(((r.size, r.kinds, r.total) for r in self.words.groupBy(size.alias("size")).agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).collect()), reverse=True)
@@ -394,7 +386,7 @@ def score(documents: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) ->
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = docs.mapInArrow(_score(weights, vocabulary.index, vocabulary.others is None), "row_id long, doc_id long, n_words long, log_prob double, others array<long>")
     if vocabulary.others is not None:
-        found = _kept(found)
+        found = kept(found)
         each = found.select("row_id", F.explode("others").alias("hash")).join(vocabulary.others, "hash", "left")
         sums = each.groupBy("row_id").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"))
         found = found.drop("others").join(sums, "row_id", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("rest", F.lit(0.0)))

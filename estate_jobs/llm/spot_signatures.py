@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from estate_jobs.llm.common import durable, small_enough, table
+from estate_jobs.llm.common import durable, kept, small_enough, table
 from estate_jobs.llm.near_duplicates import components
 
 # Anchors, common words of English, German, French and Spanish.
@@ -54,6 +54,11 @@ def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def _short(x: Column) -> Column:
+    """The low 32 bits of a hash as an int."""
+    return (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
+
+
 def signatures(text: Column) -> Column:
     """Sorted distinct signatures of a text."""
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")))
@@ -63,15 +68,15 @@ def signatures(text: Column) -> Column:
     def spots(words: Column) -> Column:
         def spot(word: Column, k: Column) -> Column:
             chain = F.xxhash64(word, F.substring_index(F.get(words, k + 1), "~", -1))
-            return F.when((F.length(word) > 0) & (F.contains(word, F.lit("~")) | (F.pmod(F.xxhash64(word), F.lit(EVERY)) == 0)), chain.bitwiseAND(F.lit(0xFFFFFFFF)))
+            return F.when((F.length(word) > 0) & (F.contains(word, F.lit("~")) | (F.pmod(F.xxhash64(word), F.lit(EVERY)) == 0)), _short(chain))
 
         return F.array_sort(F.array_distinct(F.array_compact(F.transform(words, spot))))
 
-    return _bind(_bind(tied, spots), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))))
+    return _bind(_bind(tied, spots), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(_short(F.xxhash64(text)))))
 
 
 def fingerprint(signatures: Column) -> Column:
-    return F.array_join(F.transform(signatures, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+    return F.array_join(F.transform(signatures, lambda x: F.lpad(F.hex(x + F.lit(1 << 31)), 8, "0")), "")
 
 
 def length_class(size: Column, least: float = 0.8) -> Column:
@@ -98,8 +103,9 @@ def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
     # sets of which enough signatures are in other rows too; copies of a set count its signatures as often as they are
     each = keyed.select("set_a", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high"))
     often = small_enough(durable(each.filter("low <> high").select("sig")), MOST_SIGNATURES)
-    shared = keyed.select("set_a", "set_b", F.explode("sigs").alias("sig")).join(often, "sig", "left_semi").groupBy("set_a", "set_b").agg(F.count("*").alias("shared"))
-    found = durable(sets.join(shared, ["set_a", "set_b"], "left").filter((F.col("copies") > 1) | (F.col("shared") >= enough * F.col("copies"))).withColumn("id", F.monotonically_increasing_id()))
+    # by half of a set's hash, which counts too much if two sets share it
+    shared = keyed.select("set_a", F.explode("sigs").alias("sig")).join(often, "sig", "left_semi").groupBy("set_a").agg(F.count("*").alias("shared"))
+    found = durable(sets.join(shared, "set_a", "left").filter((F.col("copies") > 1) | (F.col("shared") >= enough * F.col("copies"))).withColumn("id", F.monotonically_increasing_id()))
     some = small_enough(found.select("set_a", "set_b", "id", "n"))
     arrays = durable(keyed.join(some, ["set_a", "set_b"]).groupBy("id", "n").agg(F.first("sigs").alias("sigs")))
 
@@ -171,5 +177,5 @@ def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sigs", "next_sigs")
     sets = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", signatures(F.col("edited")).alias("edited_sigs"), "next_sigs")
     own, changed = F.col("sigs"), F.col("edited_sigs")
-    prints = durable(sets.select("doc_id", "n_chars", "edited_sha256", "sigs", "edited_sigs", likeness(own, changed).alias("near_edited"), likeness(own, F.col("next_sigs")).alias("near_next")))
+    prints = kept(sets.select("doc_id", "n_chars", "edited_sha256", "sigs", "edited_sigs", likeness(own, changed).alias("near_edited"), likeness(own, F.col("next_sigs")).alias("near_next")))
     return near_classes(prints).select("doc_id", "n_chars", "edited_sha256", fingerprint(own).alias("fingerprint"), fingerprint(changed).alias("edited_fingerprint"), "near_edited", "near_next", F.size(own).alias("n_signatures"), length_class(F.size(own)).alias("length_class"), "class_id")
