@@ -7,7 +7,8 @@ lie. The trees grow on 64-bin histograms with the logistic loss; fitted, they ar
 Edge cases: a null or empty text has all statistics 0 and is scored like any other; a very long text is described whole,
 alone; several labels of a document are averaged, 0.5 counts as 1; null labels and labels of null ids teach nothing; of
 equally good splits the first feature, then the lowest threshold is taken; with no labelled row every score is 0.5;
-repeated rows score alike; an id teaches once, by its least text; extra columns (label among them) are not read; an
+repeated rows score alike, and teach as
+often as they occur, which enlarges the sample; extra columns (label among them) are not read; an
 empty table gives no rows.
 """
 
@@ -143,9 +144,7 @@ def learn(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS)
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     n = max(1, known.count())
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * n < train_docs * (1 << 20))
-    sample = documents.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    # one text for each id, the least, so that ids which repeat don't enlarge the sample
-    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
+    sample = documents.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("text", "label")
     rows = sample.mapInArrow(_describe, "label double, x array<float>").toArrow()
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if rows.num_rows else np.zeros((0, len(FEATURES)), np.float32)
     y = rows.column("label").to_numpy()

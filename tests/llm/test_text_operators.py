@@ -208,7 +208,7 @@ def test_quality_edges(spark, docs_of):
     assert all(0 <= r.score <= 1 for r in quality.score(odd, trees).collect())
     assert {r.score for r in quality.score(odd, quality.learn(odd, labels.filter("false"))).collect()} == {0.5}
     assert quality.score(odd.filter("false"), trees).count() == 0
-    again = quality.learn(docs.union(docs).repartition(5), labels.union(labels).withColumn("extra", F.lit(1)))
+    again = quality.learn(docs.repartition(5), labels.union(labels).withColumn("extra", F.lit(1)))
     assert all(np.array_equal(a, b) for a, b in zip(trees, again, strict=True))
 
 
