@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from estate_jobs.llm.chat_format import OP2_SQL, op2_chat_format
 from estate_jobs.llm.decontaminate import OP10_SQL, op10_decontamination
+from estate_jobs.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
 from estate_jobs.llm.language_id import op1_language_id
 from estate_jobs.llm.lm_scoring import op8_lm_scoring
 from estate_jobs.llm.mixing import OP5_SQL, op5_mixing
@@ -15,8 +16,8 @@ from estate_jobs.llm.url_filter import op9_url_filter
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_chat_format, op3_spot_signatures, op4_quality_classifier, op5_mixing, op6_secret_scan, op7_near_duplicates, op8_lm_scoring, op9_url_filter, op10_decontamination)
+    for f in (op1_language_id, op2_chat_format, op3_spot_signatures, op4_quality_classifier, op5_mixing, op6_secret_scan, op7_near_duplicates, op8_lm_scoring, op9_url_filter, op10_decontamination, op11_fill_in_middle)
 }
 
 #: The other operators have no form in SQL; tests/llm holds them against brute force, round trips or held-out rows.
-ORACLES = {"op2_chat_format": OP2_SQL, "op5_mixing": OP5_SQL, "op6_secret_scan": OP6_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {"op2_chat_format": OP2_SQL, "op5_mixing": OP5_SQL, "op6_secret_scan": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
