@@ -188,7 +188,7 @@ def _alike_by_text(keys: list[str], least: list[int], n: int, percent: int):
 
 
 def joined(members: DataFrame, key: str, payload: DataFrame, compare: Callable[[list[str]], Callable]) -> DataFrame:
-    """Edges (a, b) that connect the ids of each key as all its pairs that are alike would.
+    """id, root of the ids that something is alike to: root is the least id of those joined, as all pairs of a key would.
 
     members: key, id, n_bytes (what an id weighs in a block); payload: id and what compare reads.
     """
@@ -204,12 +204,12 @@ def joined(members: DataFrame, key: str, payload: DataFrame, compare: Callable[[
     placed = members.join(sizes, key).withColumn("side", F.pmod(hashed, "n_blocks").cast("int"))
     own = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("side"))
     first = compared(placed.select(key, "id", "side", F.col("id").alias("label"), F.explode(own).alias("one")).withColumn("two", F.col("one")))
-    large = durable(sizes.filter("n_blocks > 1").select(key))
+    roots, large = durable(components(first)), durable(sizes.filter("n_blocks > 1").select(key))
     if large.isEmpty():
-        return first
+        return roots
 
     # what isn't in a key's largest component meets the other blocks
-    labelled = durable(members.join(large, key).join(components(first), "id", "left").select(key, "id", "n_bytes", F.coalesce("root", "id").alias("label")))
+    labelled = durable(members.join(large, key).join(roots, "id", "left").select(key, "id", "n_bytes", F.coalesce("root", "id").alias("label")))
     parts = labelled.groupBy(key, "label").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
     main = parts.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select(key, "main")
     halves = parts.join(main, key).groupBy(key, "main", (F.col("label") == F.col("main")).alias("is_main")).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select(key, "main", "is_main", blocks.alias("k"))
@@ -219,7 +219,14 @@ def joined(members: DataFrame, key: str, payload: DataFrame, compare: Callable[[
     others = F.sequence(F.lit(0), F.when(F.col("minor"), F.col("u") + F.col("m") - 1).otherwise(F.col("u") - 1))
     pair = F.explode(F.transform(others, lambda x: F.struct(F.least(x, F.col("side")).alias("one"), F.greatest(x, F.col("side")).alias("two"))))
     second = compared(rows.withColumn("pair", pair).select(key, "id", "side", "label", "pair.one", "pair.two"))
-    return first.union(second)
+    if second.isEmpty():
+        return roots
+    # components of components: what was joined above is one node here
+    named = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"{side}_root"))
+    between = second.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    above = durable(components(between))
+    old = roots.join(above.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    return durable(old.union(above.join(roots, "id", "left_anti").select("id", "root")))
 
 
 def near_dedup(documents: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, miss: float = MISS) -> DataFrame:
@@ -238,14 +245,13 @@ def near_dedup(documents: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     classes = kept(found.withColumn("id", F.monotonically_increasing_id()))
 
     bands = classes.select("id", "sig").mapInArrow(_bands, "bucket long, id long").withColumn("n_bytes", F.lit(0))
-    candidates = durable(components(joined(bands, "bucket", classes.select("id", "sig"), lambda k: _alike_by_signature(k, least))))
+    candidates = joined(bands, "bucket", classes.select("id", "sig"), lambda k: _alike_by_signature(k, least))
     some = durable(candidates.join(classes.select("id", "row", "n_bytes", "sig"), "id"))
     wanted = small_enough(some.select("row", "id"))
     texts = kept(docs.select("row", "text").join(wanted, "row").groupBy("id").agg(F.first("text").alias("text")).join(some.select("id", "sig", "n_bytes"), "id"))
     members = some.select(F.col("root").alias("grp"), "id", "n_bytes")
-    links = joined(members, "grp", texts, lambda k: _alike_by_text(k, least, shingle, percent))
+    roots = joined(members, "grp", texts, lambda k: _alike_by_text(k, least, shingle, percent))
 
-    roots = durable(components(links))
     names = roots.join(classes.select("id", "least_id"), "id").groupBy("root").agg(F.min("least_id").alias("component_id"))
     known = classes.select(*keys, "id", "least_id").join(roots.join(names, "root").select("id", "component_id", F.lit(True).alias("linked")), "id", "left").select(*keys, F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id"), F.lit(True).alias("known"))
     out = described.select("doc_id", *keys).join(known, keys, "left").select("doc_id", "n_shingles", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
