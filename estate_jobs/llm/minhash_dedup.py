@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estate_jobs.llm.common import durable, kept, small_enough, table
@@ -36,6 +36,8 @@ SHINGLE, PERCENT, MISS = 3, 85, 1e-6
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _VALUE = mix(LOWER.astype(np.uint64) + np.uint64(1))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: One bucket in so many is compared first; near copies share most of their 32.
+EARLY = 4
 #: Pairs of signatures that are compared at once.
 AT_ONCE = 1 << 15
 
@@ -127,8 +129,14 @@ def _signatures_of(t: pa.Table) -> np.ndarray:
 
 
 def _edges(t: pa.Table, forest: Forest) -> pa.RecordBatch:
-    ids = t.column("id").to_numpy()
-    e = np.unique(np.sort(ids[np.array(forest.edges, np.int64).reshape(-1, 2)], axis=1), axis=0)
+    """Each id that is joined with others, below the least of them."""
+    ids, linked = t.column("id").to_numpy(), np.unique(np.array(forest.edges, np.int64))
+    root = np.array([forest.root(k) for k in linked.tolist()], np.int64)
+    order = np.lexsort((ids[linked], root))
+    head = np.flatnonzero(np.diff(root[order], prepend=-1))
+    least = np.repeat(ids[linked][order][head], np.diff(np.append(head, len(order))))
+    e = np.unique(np.column_stack([least, ids[linked][order]]), axis=0)
+    e = e[e[:, 0] != e[:, 1]]
     return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
 
@@ -181,17 +189,20 @@ def _alike_by_text(keys: list[str], least: list[int], n: int, percent: int):
                 end = starts[hi] if hi < len(starts) else len(value)
                 part = Forest(hi - lo)
                 connect(part, i[own] - lo, j[own] - lo, match[own], value[starts[lo] : end], starts[lo:hi] - starts[lo], sizes[lo:hi], percent)
-                forest.edges += [(a + lo, b + lo) for a, b in part.edges]
+                for a, b in part.edges:
+                    forest.link(a + lo, b + lo)
             yield _edges(t, forest)
 
     return run
 
 
-def joined(members: DataFrame, key: str, payload: DataFrame, compare: Callable[[list[str]], Callable]) -> DataFrame:
+def joined(members: DataFrame, key: str, payload: DataFrame, compare: Callable[[list[str]], Callable], early: Column | None = None) -> DataFrame:
     """id, root of the ids that something is alike to: root is the least id of those joined, as all pairs of a key would.
 
-    members: key, id, n_bytes (what an id weighs in a block); payload: id and what compare reads.
+    members: key, id, n_bytes (what an id weighs in a block); payload: id and what compare reads. early: keys that are
+    compared first, where ids share many keys; of the others, only those that still hold ids apart are.
     """
+    early = F.lit(True) if early is None else early
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
     sizes = members.groupBy(key).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"), F.min("id").alias("hub")).filter("n > 1").select(key, "hub", blocks.alias("n_blocks"))
     hashed = F.xxhash64("id", F.lit(3))
@@ -200,18 +211,20 @@ def joined(members: DataFrame, key: str, payload: DataFrame, compare: Callable[[
         spread = rows.join(payload, "id").repartition(key, "one", "two").sortWithinPartitions(key, "one", "two")
         return durable(spread.mapInArrow(compare([key, "one", "two"]), "a long, b long"))
 
+    shared = kept(members.join(sizes, key))
     # each block within itself and with the hub, which all blocks of a key get
-    placed = members.join(sizes, key).withColumn("side", F.pmod(hashed, "n_blocks").cast("int"))
+    placed = shared.filter(early).withColumn("side", F.pmod(hashed, "n_blocks").cast("int"))
     own = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("side"))
     first = compared(placed.select(key, "id", "side", F.col("id").alias("label"), F.explode(own).alias("one")).withColumn("two", F.col("one")))
-    roots, large = durable(components(first)), durable(sizes.filter("n_blocks > 1").select(key))
-    if large.isEmpty():
-        return roots
+    roots = durable(components(first))
 
     # what isn't in a key's largest component meets the other blocks
-    labelled = durable(members.join(large, key).join(roots, "id", "left").select(key, "id", "n_bytes", F.coalesce("root", "id").alias("label")))
+    rest = shared.filter((F.col("n_blocks") > 1) | ~early)
+    labelled = rest.join(roots, "id", "left").select(key, "id", "n_bytes", F.coalesce("root", "id").alias("label"))
     parts = labelled.groupBy(key, "label").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
-    main = parts.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select(key, "main")
+    main = durable(parts.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select(key, "main"))
+    if main.isEmpty():
+        return roots
     halves = parts.join(main, key).groupBy(key, "main", (F.col("label") == F.col("main")).alias("is_main")).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select(key, "main", "is_main", blocks.alias("k"))
     cut = halves.groupBy(key, "main").agg(F.max(F.when(~F.col("is_main"), F.col("k"))).alias("u"), F.max(F.when(F.col("is_main"), F.col("k"))).alias("m"))
     rows = labelled.join(cut, key).withColumn("minor", F.col("label") != F.col("main"))
@@ -245,7 +258,7 @@ def near_dedup(documents: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     classes = kept(found.withColumn("id", F.monotonically_increasing_id()))
 
     bands = classes.select("id", "sig").mapInArrow(_bands, "bucket long, id long").withColumn("n_bytes", F.lit(0))
-    candidates = joined(bands, "bucket", classes.select("id", "sig"), lambda k: _alike_by_signature(k, least))
+    candidates = joined(bands, "bucket", classes.select("id", "sig"), lambda k: _alike_by_signature(k, least), F.pmod("bucket", F.lit(EARLY)) == 0)
     some = durable(candidates.join(classes.select("id", "row", "n_bytes", "sig"), "id"))
     wanted = small_enough(some.select("row", "id"))
     texts = kept(docs.select("row", "text").join(wanted, "row").groupBy("id").agg(F.first("text").alias("text")).join(some.select("id", "sig", "n_bytes"), "id"))
