@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estate_jobs.llm.common import durable, kept, small_enough, table
-from estate_jobs.llm.near_duplicates import BLOCK_BYTES, BLOCK_TEXTS, HASHES, STEP, Forest, _bands, _common, _dense, _groups, _pairs, components, least_matches, signatures
+from estate_jobs.llm.near_duplicates import BLOCK_BYTES, BLOCK_TEXTS, HASHES, STEP, Forest, _bands, _common, _dense, _groups, _pairs, least_matches, signatures
 from estate_jobs.llm.tokens import LOWER, buffers, chunks, grams, mix, whole
 
 SHINGLE, PERCENT, MISS = 3, 85, 1e-6
@@ -196,16 +196,39 @@ def _alike_by_text(keys: list[str], least: list[int], n: int, percent: int):
     return run
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """id, root of every node of the edges (a, b): root is the least id of its component.
+
+    Neighbours are hung below the least one, of the larger ones, then of the smaller ones, until all are stars.
+    """
+    pairs = edges.filter("a <> b")
+    while True:
+        both = pairs.union(pairs.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        down = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        pairs = durable(down.join(least, "a").filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
+        # stars: a child has one parent, and no parent is a child
+        nodes = pairs.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(pairs.select("b", F.lit(0), F.lit(1)))
+        if nodes.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty():
+            return stars(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """id, root of edges (root, id) that are stars already."""
+    roots = edges.select(F.col("a").alias("id")).distinct()
+    return edges.select(F.col("b").alias("id"), F.col("a").alias("root")).distinct().union(roots.select("id", F.col("id").alias("root")))
+
+
 def joined(members: DataFrame, key: str, payload: DataFrame, compare: Callable[[list[str]], Callable], early: Column | None = None) -> DataFrame:
     """id, root of the ids that something is alike to: root is the least id of those joined, as all pairs of a key would.
 
-    members: key, id, n_bytes (what an id weighs in a block); payload: id and what compare reads. early: keys that are
-    compared first, where ids share many keys; of the others, only those that still hold ids apart are.
+    members: key, id, n_bytes (what an id weighs in a block); payload: id and what compare reads. An id has one key, or,
+    with `early`, many: keys that fit `early` are compared first, of the others only those that still hold ids apart.
     """
-    early = F.lit(True) if early is None else early
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
     sizes = members.groupBy(key).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"), F.min("id").alias("hub")).filter("n > 1").select(key, "hub", blocks.alias("n_blocks"))
-    hashed = F.xxhash64("id", F.lit(3))
+    hashed, first_keys = F.xxhash64("id", F.lit(3)), F.lit(True) if early is None else early
 
     def compared(rows: DataFrame) -> DataFrame:
         spread = rows.join(payload, "id").repartition(key, "one", "two").sortWithinPartitions(key, "one", "two")
@@ -213,22 +236,22 @@ def joined(members: DataFrame, key: str, payload: DataFrame, compare: Callable[[
 
     shared = kept(members.join(sizes, key))
     # each block within itself and with the hub, which all blocks of a key get
-    placed = shared.filter(early).withColumn("side", F.pmod(hashed, "n_blocks").cast("int"))
+    placed = shared.filter(first_keys).withColumn("side", F.pmod(hashed, "n_blocks").cast("int"))
     own = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("side"))
     first = compared(placed.select(key, "id", "side", F.col("id").alias("label"), F.explode(own).alias("one")).withColumn("two", F.col("one")))
-    roots = durable(components(first))
+    # the hub is the least id of its key: where an id has one key, what is below it in all blocks is one star
+    roots = durable(stars(first) if early is None else components(first))
 
     # what isn't in a key's largest component meets the other blocks
-    rest = shared.filter((F.col("n_blocks") > 1) | ~early)
-    labelled = rest.join(roots, "id", "left").select(key, "id", "n_bytes", F.coalesce("root", "id").alias("label"))
-    parts = labelled.groupBy(key, "label").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
-    main = durable(parts.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select(key, "main"))
-    if main.isEmpty():
+    rest = shared.filter((F.col("n_blocks") > 1) | ~first_keys).join(roots, "id", "left").select(key, "id", "n_bytes", F.coalesce("root", "id").alias("label"))
+    parts = rest.groupBy(key, "label").agg(F.count("*").alias("n"))
+    main = parts.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select(key, "main")
+    apart = durable(rest.join(main, key).withColumn("minor", F.col("label") != F.col("main")))
+    if apart.isEmpty():
         return roots
-    halves = parts.join(main, key).groupBy(key, "main", (F.col("label") == F.col("main")).alias("is_main")).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select(key, "main", "is_main", blocks.alias("k"))
-    cut = halves.groupBy(key, "main").agg(F.max(F.when(~F.col("is_main"), F.col("k"))).alias("u"), F.max(F.when(F.col("is_main"), F.col("k"))).alias("m"))
-    rows = labelled.join(cut, key).withColumn("minor", F.col("label") != F.col("main"))
-    rows = rows.withColumn("side", F.when(F.col("minor"), F.pmod(hashed, "u")).otherwise(F.col("u") + F.pmod(hashed, "m")).cast("int"))
+    halves = apart.groupBy(key, "minor").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).select(key, "minor", blocks.alias("k"))
+    cut = halves.groupBy(key).agg(F.max(F.when(F.col("minor"), F.col("k"))).alias("u"), F.max(F.when(~F.col("minor"), F.col("k"))).alias("m"))
+    rows = apart.join(cut, key).withColumn("side", F.when(F.col("minor"), F.pmod(hashed, "u")).otherwise(F.col("u") + F.pmod(hashed, "m")).cast("int"))
     others = F.sequence(F.lit(0), F.when(F.col("minor"), F.col("u") + F.col("m") - 1).otherwise(F.col("u") - 1))
     pair = F.explode(F.transform(others, lambda x: F.struct(F.least(x, F.col("side")).alias("one"), F.greatest(x, F.col("side")).alias("two"))))
     second = compared(rows.withColumn("pair", pair).select(key, "id", "side", "label", "pair.one", "pair.two"))
@@ -237,7 +260,7 @@ def joined(members: DataFrame, key: str, payload: DataFrame, compare: Callable[[
     # components of components: what was joined above is one node here
     named = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"{side}_root"))
     between = second.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    above = durable(components(between))
+    above = components(durable(between.distinct()))
     old = roots.join(above.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
     return durable(old.union(above.join(roots, "id", "left_anti").select("id", "root")))
 
