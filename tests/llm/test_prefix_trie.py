@@ -125,7 +125,8 @@ def test_conversations(spark):
     r = random.Random(3)
     texts = ["hi", "é𝄞", "", None, "a:b", "long " * 2000]
     rows = [(c, t if t else None, r.choice(["user", "assistant", None]), r.choice(texts)) for c in [*range(-7, 60), None] for t in range(r.randint(1, 12))]
-    rows += rows[5:25] + [(70, 1, "user", "only"), (1001, 3, "x", "no base"), (1001, 3, "a", "tie"), (1001, 3, None, "tie")]
+    bare = next(c for c in range(2001, 2100) if c % 5 and zlib.crc32(str(c).encode()) % 9)  # its base is absent
+    rows += rows[5:25] + [(bare, 1, "user", "only"), (1001, 3, "x", "no base"), (1001, 3, "a", "tie"), (1001, 3, None, "tie")]
     r.shuffle(rows)
     df = spark.createDataFrame(rows, TURNS).withColumn("ids", F.lit("x")).withColumn("size", F.lit(1)).withColumn("key", F.lit("k"))
     want = [(c, s, [len(t.encode()) for _, t in s]) for c, s in rebuilt(rows).items()]
