@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estate_jobs.functions.columns import S, nz
+from estate_jobs.functions.markup import content_of, elements, values_of
 from estate_jobs.functions.params import ENERGY_CLASSES, EXCLUDED, LD_TYPES, META_FIRST_LABELS, SIZE_LABELS
 
 DETAIL = r"-r\d{6,8}\.html"
@@ -42,16 +43,18 @@ def resolve(base: Column, link: Column) -> Column:
 
 
 def hrefs(pages: DataFrame) -> DataFrame:
-    """page_id, url, base, href, position: a row for each distinct link of a page that leads somewhere.
+    """page_id, url, base, href, position: a row for each distinct link of a page's anchors that leads somewhere.
 
-    Links are relative to the page's <base href>, itself relative to its site, else to the root of the site.
+    Links are relative to the href of the page's first base element, itself relative to its site, else to the root of
+    the site.
     """
     root = F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.lit("/"))
-    own = nz(F.regexp_extract("html", r'<base[^>]+href="([^"]+)"', 1), "")
+    found = pages.select("page_id", "url", elements(F.col("html"), "a", "base").alias("found"))
+    read = found.select("page_id", "url", F.trim(F.get(values_of(F.col("found"), "base", "href"), F.lit(0))).alias("own"), F.transform(values_of(F.col("found"), "a", "href"), lambda x: F.trim(x)).alias("links"))
+    own = nz(F.col("own"), "")
     base = F.when(own.isNull(), root).otherwise(resolve(root, own))
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1)))
-    some = F.filter(links, lambda x: ~x.rlike("^(#|javascript:|mailto:|$)"))
-    return pages.select("page_id", "url", base.alias("base"), F.posexplode(some).alias("position", "href"))
+    some = F.filter(F.array_distinct("links"), lambda x: ~x.rlike("^(#|javascript:|mailto:|$)"))
+    return read.select("page_id", "url", base.alias("base"), F.posexplode(some).alias("position", "href"))
 
 
 def dom_links(pages: DataFrame, fits: str = "/detail/") -> DataFrame:
@@ -169,16 +172,22 @@ def ld_fields(objects: Column, first_price: bool = False) -> dict[str, Column]:
 
 
 def meta(html: Column, name: str) -> Column:
-    return nz(F.regexp_extract(html, f'<meta[^>]+property="{name}"[^>]+content="([^"]*)"', 1), "")
+    """Content of the first meta element with that property, in whatever order, case and quotes; null if there is none."""
+    return content_of(elements(html, "meta"), name)
+
+
+# Names that listing sites put after a title, behind a bar or a dash.
+SITE_NAMES = r"[Nn]ehnute|(?i:topreality)"
 
 
 def page_title(html: Column) -> Column:
-    """<title> without what follows the last bar, at most 200 characters."""
-    return F.substring(F.regexp_replace(nz(F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1), ""), r"\s*\|[^|]*$", ""), 1, 200)
+    """<title> without a site's name and what follows it, at most 200 characters."""
+    found = nz(F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title>", 1), "")
+    return F.substring(F.trim(F.regexp_replace(found, rf"\s*[|\-]\s*(?:{SITE_NAMES}).*$", "")), 1, 200)
 
 
-def title(html: Column, ld_title: Column) -> Column:
-    return F.coalesce(nz(ld_title, ""), meta(html, "og:title"), page_title(html), F.lit(""))
+def title(ld_title: Column, og_title: Column, html: Column) -> Column:
+    return F.coalesce(nz(ld_title, ""), og_title, page_title(html), F.lit(""))
 
 
 def visible_text(html: Column) -> Column:
@@ -249,13 +258,14 @@ def details(pages: DataFrame, meta_first: bool = False) -> DataFrame:
     have no rooms, and whose linked data is read with first_price.
     """
     html, text = F.col("html"), F.col("text")
-    df = pages.select("url", "html").withColumn("ld", linked_data(html)).withColumn("text", visible_text(html))
+    df = pages.select("url", "html").withColumn("ld", linked_data(html)).withColumn("text", visible_text(html)).withColumn("metas", elements(html, "meta"))
     df = df.withColumns(ld_fields(F.col("ld"), meta_first)).drop("ld")
+    og_title, og_image = content_of(F.col("metas"), "og:title"), content_of(F.col("metas"), "og:image")
     if meta_first:
-        names = {"title": F.substring(F.coalesce(nz(F.trim(meta(html, "og:title")), ""), nz(page_title(html), ""), "ld_title", F.lit("")), 1, 200), "image": F.coalesce(meta(html, "og:image"), F.lit(""))}
+        names = {"title": F.substring(F.coalesce(nz(F.trim(og_title), ""), nz(page_title(html), ""), "ld_title", F.lit("")), 1, 200), "image": F.coalesce(og_image, F.lit(""))}
     else:
-        names = {"title": title(html, F.col("ld_title")), "image": F.coalesce(nz(F.col("ld_image"), ""), meta(html, "og:image"), F.lit(""))}
-    df = df.withColumns(names).drop("html")
+        names = {"title": title(F.col("ld_title"), og_title, html), "image": F.coalesce(nz(F.col("ld_image"), ""), og_image, F.lit(""))}
+    df = df.withColumns(names).drop("html", "metas")
     size = size_from_text(text, labels=META_FIRST_LABELS) if meta_first else size_from_text(text, F.col("title"))
     df = df.withColumns({"price_eur": F.coalesce("ld_price", price_from_text(text)), "size_m2": F.coalesce("ld_size", size), "energy_class": energy_from_text(text), "address_raw": F.coalesce("ld_address", F.lit(""))})
     rooms = F.lit(None).cast("double") if meta_first else F.col("ld_rooms")

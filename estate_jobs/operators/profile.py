@@ -40,6 +40,10 @@ SCRIPTS_KEPT = ("nehnutel", "_next", "/static/", "/chunks/", "main", "app", "pag
 SCRIPTS_DENIED = ("googletag", "doubleclick", "facebook", "hotjar", "criteo", "google-analytics", "gtag", "smartad")
 # Parts of the names of keys that hold listings.
 LISTING_KEYS = ("advert", "listing", "result", "item", "data", "offer", "estate")
+#: White space of any alphabet: Java's \\s is that of ASCII.
+SPACE = r"[\s\p{Z}\x{0085}\x{001C}-\x{001F}]"
+# Words of links to further pages.
+PAGER_WORDS = ("strana", "page", "stran", "další", "ďalš", "next", "»")
 #: Page numbers of a site that are ordered together.
 RANGE = 1 << 14
 DENIED = r"\.(css|js|png|jpg|svg|woff)|google|facebook|analytics"
@@ -64,7 +68,8 @@ def candidates(pages: DataFrame) -> DataFrame:
 
 def pattern_counts(pages: DataFrame) -> DataFrame:
     """page_id, pattern, n: a row for each page and named pattern."""
-    counts = F.array(*(F.struct(F.lit(k).alias("pattern"), F.regexp_count("html", F.lit(r)).cast("long").alias("n")) for k, r in PATTERNS.items()))
+    # white space of any alphabet, as where the patterns come from
+    counts = F.array(*(F.struct(F.lit(k).alias("pattern"), F.regexp_count("html", F.lit(r.replace(r"\s", SPACE))).cast("long").alias("n")) for k, r in PATTERNS.items()))
     return pages.select("page_id", F.inline(counts))
 
 
@@ -96,7 +101,8 @@ def scripts(pages: DataFrame, kept: tuple[str, ...] = SCRIPTS_KEPT, denied: tupl
 
 
 def numeric_ids(pages: DataFrame, keys: str = "advertId|listingId|id", least: int = 6) -> DataFrame:
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit(rf"(?:{keys})[=:]\"?([0-9]{{{least},12}})"), F.lit(1)))
+    """numeric_id: distinct numbers given to a key, in JSON, scripts or attributes: quotes and blanks may stand around."""
+    found = F.array_distinct(F.regexp_extract_all("html", F.lit(rf"(?:{keys})[\"']?{SPACE}*[:=]{SPACE}*[\"']?([0-9]{{{least},12}})"), F.lit(1)))
     return pages.select(F.explode(found).alias("numeric_id")).distinct()
 
 
@@ -106,11 +112,12 @@ def snippets(pages: DataFrame, word: str, around: int = 30, k: int = 3) -> DataF
     return pages.select("page_id", F.slice(found, 1, k).alias("snippets"), F.slice(F.regexp_extract_all("html", F.lit(r'class="([^"]+)"'), F.lit(1)), 1, k).alias("classes"))
 
 
-def pagination(pages: DataFrame, words: str = "page|next|strana|dalsia") -> DataFrame:
-    """page_id, href, label of anchors that lead to further pages."""
-    anchor = r'<a [^>]*href="([^"]{1,199})"[^>]*>([^<]*)</a>'
+def pagination(pages: DataFrame, words: tuple[str, ...] = PAGER_WORDS) -> DataFrame:
+    """page_id, href, label of anchors that lead to further pages: a short label or its link has one of the words."""
+    anchor = r'<a[^>]+href="([^"#]+)"[^>]*>([^<]{1,30})</a>'
     both = F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("label"))
-    return pages.select("page_id", F.explode(both).alias("x")).select("page_id", "x.href", "x.label").filter(F.lower("href").rlike(words) | F.lower("label").rlike(words)).distinct()
+    found = pages.select("page_id", F.explode(both).alias("x")).select("page_id", "x.href", F.regexp_replace("x.label", f"^{SPACE}+|{SPACE}+$", "").alias("label"))
+    return found.filter(F.lower(F.concat("label", "href")).rlike("|".join(re.escape(w) for w in words)) & (F.length("href") < 200)).distinct()
 
 
 def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,7 +51,7 @@ _INT = lambda x: f"CAST(CAST(floor({x}) AS BIGINT) AS STRING)"
 
 #: Detail pages: marks and labels; two in three have linked data, with prices, sizes and rooms in several forms, some a second object, some an og:title.
 DETAIL_PAGES = f"""
-SELECT okey AS page_id, url, '<html><head><title>Byt ' || trim(district) || ' | Reality</title><meta property="og:image" content="//img.example/' || {_STR("okey")} || '.jpg">' ||
+SELECT okey AS page_id, url, '<html><head><title>Byt ' || trim(district) || CASE okey % 3 WHEN 0 THEN ' | Reality' WHEN 1 THEN ' | Nehnuteľnosti.sk' ELSE ' - topreality.sk' END || '</title><meta property="og:image" content="//img.example/' || {_STR("okey")} || '.jpg">' ||
  CASE WHEN okey % 10 = 0 THEN '<meta property="og:title" content="OG ' || {_STR("okey")} || '">' ELSE '' END || '</head><body>' ||
  CASE WHEN okey % 3 = 0 THEN '' ELSE '<script type="application/ld+json">{{"@type":' || CASE WHEN okey % 2 = 0 THEN '"Apartment"' ELSE '["Place","Thing"]' END || ',"name":"' || title || '","image":["/a.jpg"],"offers":' ||
   CASE okey % 8 WHEN 1 THEN '[{{"lowPrice":"' || {_INT("price_eur")} || '","highPrice":"9"}}]' WHEN 2 THEN '{{"price":"na","lowPrice":"","highPrice":' || {_INT("price_eur")} || '}}' WHEN 3 THEN '{{"price":0,"lowPrice":' || {_INT("price_eur")} || '}}' ELSE '{{"price":' || {_INT("price_eur")} || '}}' END ||
@@ -87,12 +87,21 @@ SELECT page_id, url, html || CASE page_id % 6 WHEN 0 THEN '<a href="/detail/' ||
  WHEN 1 THEN '<script>fetch("/api/v1/adverts/' || {_STR("page_id")} || '");var q=`/x/GraphQL/' || {_STR("page_id % 40")} || '`;</script>'
  WHEN 2 THEN '<script>window.__STATE' || {_STR("page_id % 9")} || '__ = {{"a":[1,2,3],"b":"c"}};advertId=' || {_STR("1000000 + page_id")} || ' listingId:"' || {_STR("2000000 + page_id % 77")} || '" var apiUrl = "https://api.example/v' || {_STR("page_id % 50")} || '";</script>'
  WHEN 3 THEN '<script src="https://googletag.example/main.js"></script><script async src="/_next/static/chunks/' || {_STR("page_id")} || '.js"></script><script>"/_next/static/pages/p.js"</script><a href="/inzerat/' || {_STR("page_id")} || '/">x</a>'
- WHEN 4 THEN '<script>var u="/search/byty/' || {_STR("page_id")} || '"; apolloState initialState __NUXT__</script><a href="/nehnutelnost/vysledky/1/detail">x</a> 123456 € 3-izbový Bratislava' ELSE '' END AS html
+ WHEN 4 THEN '<script>var u="/search/byty/' || {_STR("page_id")} || '"; apolloState initialState __NUXT__</script><a href="/nehnutelnost/vysledky/1/detail">x</a> 123456 € 98765  € 3-izbový Bratislava' ELSE '<nav><a class="p" href="/inzeraty?p=2"> Ďalšia </a><a href="/vypis/stranka-3">3</a><a href="/x#y">next</a><a href="/z">»</a></nav><script>{{"advertId": ' || {_STR("3000000 + page_id")} || ', "id" : "' || {_STR("4000000 + page_id % 50")} || '", listingId = ' || chr(39) || {_STR("5000000 + page_id")} || chr(39) || '}}</script>' END AS html
 FROM pages"""
 
-#: Pages with a base and links relative to it, some with the site's root for base.
+#: Pages with a base and links relative to it, some with the site's root for base; links in all quotes and cases, with
+#: entities, and in places where they aren't links.
 LINK_PAGES = f"""
-SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN '<base href="/subfolder/">' WHEN 1 THEN '<base href="https://www.example.com/base/">' ELSE '' END || '<a href="byty-' || {_STR("page_id")} || '.html?x=1">r</a>' || html AS html FROM pages"""
+SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN '<base href="/subfolder/">' WHEN 1 THEN '<BASE target=_top HREF=' || chr(39) || 'https://www.example.com/base/' || chr(39) || '>' ELSE '' END ||
+ '<A title="a > b" HREF="/Velke-' || {_STR("page_id")} || '?a=1&amp;b=2">v</A><a class=x href=/bare-' || {_STR("page_id % 40")} || '>b</a><a data-href="/nope-data" href=' || chr(39) || '/jednoduche&amp;' || {_STR("page_id % 60")} || chr(39) || '>j</a><!-- <a href="/skryte-komentar">x</a> --><script>var a = "<a href=/skryte-skript>";</script><link rel=next href="/linkelement/">' || '<a href="byty-' || {_STR("page_id")} || '.html?x=1">r</a>' || html AS html FROM pages"""
+
+#: Pages with a site's name after the title, or another one, and meta elements of all forms, one of them in a comment.
+HEAD_PAGES = f"""
+SELECT page_id, replace(html, '</title>', CASE page_id % 6 WHEN 0 THEN ' | Nehnuteľnosti.sk | byty' WHEN 1 THEN ' - TOPREALITY.sk' WHEN 2 THEN ' | Iné reality' WHEN 3 THEN '-nehnutelnosti' ELSE '' END || '</title>' ||
+ CASE page_id % 5 WHEN 0 THEN '<meta property="og:title" content="Byt &amp; dom ' || {_STR("page_id")} || '">' WHEN 1 THEN '<META content=' || chr(39) || 'Byt "pekný" > ' || {_STR("page_id")} || chr(39) || ' PROPERTY=' || chr(39) || 'og:title' || chr(39) || '>'
+ WHEN 2 THEN '<meta content=byt-' || {_STR("page_id")} || ' property=og:title />' WHEN 3 THEN '<!-- <meta property="og:title" content="skryté"> -->' ELSE '<meta name="x" data-content="nie" content = "Byt &lt; ' || {_STR("page_id")} || '" property = "og:title"><meta property="og:title" content="druhý">' END) AS html
+FROM pages"""
 
 #: Rows to seed a table with, in the order of seq: few ids and districts, so that they rule each other out.
 SEEDS = f"""
@@ -126,7 +135,7 @@ class Tables:
         return self._stored[name]
 
     def __getattr__(self, name: str) -> DataFrame:
-        adapters = {"listings": LISTINGS, "observations": OBSERVATIONS, "places": PLACES, "sites": SITES, "deeds": DEEDS, "detail_pages": DETAIL_PAGES, "bodies": BODIES, "card_pages": CARD_PAGES, "chunk_pages": CHUNK_PAGES, "site_pages": SITE_PAGES, "link_pages": LINK_PAGES, "seeds": SEEDS, "deals": DEALS}
+        adapters = {"listings": LISTINGS, "observations": OBSERVATIONS, "places": PLACES, "sites": SITES, "deeds": DEEDS, "detail_pages": DETAIL_PAGES, "bodies": BODIES, "card_pages": CARD_PAGES, "chunk_pages": CHUNK_PAGES, "site_pages": SITE_PAGES, "link_pages": LINK_PAGES, "head_pages": HEAD_PAGES, "seeds": SEEDS, "deals": DEALS}
         if name not in adapters:
             raise AttributeError(name)
         return self.sql(adapters[name])

@@ -122,7 +122,7 @@ def f_part(o: str, key: str) -> str:
 
 #: a and b: the page's first object and the one of its second script.
 DETAILS = f"""WITH p AS ({A.DETAIL_PAGES}), t AS (SELECT page_id, url, html, {TEXT} AS text, nullif(regexp_extract(html, '(?s)<script type="application/ld.json">(\\{{.*?)</script>', 1), '') AS a, json_extract(nullif(regexp_extract(html, '(?s)<script type="application/ld.json">(\\[.*?)</script>', 1), ''), '$[0]') AS b,
- regexp_extract(html, '<meta property="og:title" content="([^"]*)"', 1) AS og, regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\\s*\\|[^|]*$', '') AS head, regexp_extract(html, '<meta property="og:image" content="([^"]*)"', 1) AS image FROM p),
+ regexp_extract(html, '<meta property="og:title" content="([^"]*)"', 1) AS og, trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '(\\| [Nn]ehnute|- topreality).*', '')) AS head, regexp_extract(html, '<meta property="og:image" content="([^"]*)"', 1) AS image FROM p),
  u AS (SELECT *, nullif(coalesce(json_extract_string(a, '$.name'), json_extract_string(b, '$.name')), '') AS name, coalesce({_json_number("b", "$.floorSize.value")}, {_json_number("a", "$.floorSize.value")}) AS ld_size FROM t),
  d AS (SELECT page_id, md5(url) AS id, url, coalesce(name, nullif(og, ''), head) AS title, coalesce({_json_number("b", *_PRICES)}, {_json_number("a", *_PRICES)}, {PRICE}) AS price_eur, coalesce(ld_size, CAST({SIZE} AS DOUBLE)) AS size_m2, coalesce({_ROOMS("b")}, {_ROOMS("a")}) AS rooms, CASE WHEN {ENERGY} = '' THEN 'UNKNOWN' ELSE {ENERGY} END AS energy_class,
   coalesce(nullif({_ADDRESS("a", "streetAddress", "addressLocality", "addressRegion", "postalCode")}, ''), {_ADDRESS("b", "streetAddress")}, '') AS address_raw, CASE WHEN a IS NOT NULL THEN '/a.jpg' ELSE image END AS primary_image_url, text FROM u),
@@ -163,14 +163,17 @@ CHUNKS = rf"""WITH c AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+
 SQL = {
     "s1_raw_pages": "SELECT page_id, url, html FROM pages",
     "s2_listing_bodies": f"SELECT body_id, url FROM ({A.BODIES}) WHERE contains(content_type, 'json') AND regexp_matches(lower(url), 'advert|listing|search|inzerat|offer|estate')",
-    "x1_detail_links": rf"WITH h AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract(html, '<base href=\"([^\"]+)\"', 1) AS b, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS href FROM ({A.LINK_PAGES})), r AS (SELECT *, CASE WHEN b = '' THEN root || '/' WHEN b LIKE 'http%' THEN b ELSE root || b END AS base FROM h), f AS (SELECT page_id, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN href LIKE '/%' THEN regexp_extract(base, '^(https?://[^/?#]+)', 1) || href ELSE base || href END AS link FROM r WHERE NOT regexp_matches(href, '^(#|javascript:|mailto:|$)')) SELECT DISTINCT page_id, regexp_replace(link, '[?#].*$', '') AS link FROM f WHERE contains(regexp_extract(link, '^https?://([^/?#]+)', 1), 'example') AND regexp_matches(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1), '^/[A-Za-z]{{4,}}') AND NOT regexp_matches(lower(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1)), '{'|'.join(EXCLUDED)}')",
+    "x1_detail_links": rf"WITH q AS (SELECT page_id, url, regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g') AS seen FROM ({A.LINK_PAGES})), h AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract(seen, '(?i)<base[^>]* href=[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1) AS b, unnest(list_distinct(list_transform(regexp_extract_all(seen, '(?i)<a(?:\s+[a-z-]+=(?:\x22[^\x22]*\x22|[^\s\x22\x27>]+))*?\s+href=(\x22[^\x22]*\x22|\x27[^\x27]*\x27|[^\s>]+)', 1), lambda x: replace(regexp_replace(x, '[\x22\x27]', '', 'g'), '&amp;', '&')))) AS href FROM q), r AS (SELECT *, CASE WHEN b = '' THEN root || '/' WHEN b LIKE 'http%' THEN b ELSE root || b END AS base FROM h), f AS (SELECT page_id, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN href LIKE '/%' THEN regexp_extract(base, '^(https?://[^/?#]+)', 1) || href ELSE base || href END AS link FROM r WHERE NOT regexp_matches(href, '^(#|javascript:|mailto:|$)')) SELECT DISTINCT page_id, regexp_replace(link, '[?#].*$', '') AS link FROM f WHERE contains(regexp_extract(link, '^https?://([^/?#]+)', 1), 'example') AND regexp_matches(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1), '^/[A-Za-z]{{4,}}') AND NOT regexp_matches(lower(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1)), '{'|'.join(EXCLUDED)}')",
     "x3_chunk_urls": CHUNKS + " SELECT page_id, url, md5(url) AS uid, CAST(position AS INT) AS position FROM chunk",
     "x4_link_priority": CHUNKS + f""", dom AS (SELECT page_id, CASE WHEN href LIKE '/%' THEN root || href ELSE href END AS url, trim(regexp_replace(inner_html, '<[^>]*>', '', 'g')) AS text FROM (SELECT page_id, root, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS inner_html FROM c) WHERE contains(href, '/detail/')), api AS (SELECT body_id AS page_id FROM ({ITEMS} SELECT * FROM n) WHERE len(items) > 0), both_kinds AS (SELECT page_id, url, text, 0 AS pr FROM dom UNION ALL SELECT page_id, url, '', 1 FROM chunk), best AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pr, page_id) AS n FROM both_kinds WHERE page_id NOT IN (SELECT page_id FROM api)) SELECT page_id, url, text FROM best WHERE n = 1""",
     "x11_api_items": f"{ITEMS} SELECT body_id, CAST(len(items) AS BIGINT) AS n_items FROM n",
     "x12_api_listings": f"{ITEMS}, e AS (SELECT unnest(items) AS i FROM n WHERE contains(content_type, 'json') AND regexp_matches(lower(url), 'advert|listing|search|inzerat|offer|estate')), f AS (SELECT i, coalesce({_I('$.url', '$.seoUrl', '$.link')}, '/nehnutelnost/' || {_I('$.id', '$.advertId')} || '/') AS link FROM e), g AS (SELECT i, CASE WHEN link LIKE 'http%' THEN link WHEN link LIKE '/%' THEN 'https://reality.example' || link ELSE 'https://reality.example/' || link END AS url FROM f WHERE link IS NOT NULL) SELECT md5(url) AS id, url, substr(coalesce({_I('$.title', '$.name', '$.heading')}, ''), 1, 200) AS title, coalesce({_json_number('i', '$.price.value', '$.price.amount', '$.price', '$.priceInfo.value', '$.priceInfo.amount')}, 0) AS price_eur, coalesce({_json_number('i', '$.usableArea', '$.parameters.usableArea', '$.floorArea', '$.parameters.floorArea', '$.area', '$.parameters.area')}, 0) AS size_m2, coalesce({_I('$.location.city', '$.address.fullAddress')}, CASE WHEN json_type(i, '$.location') = 'VARCHAR' THEN json_extract_string(i, '$.location') END, '') AS address_raw, CASE WHEN upper({_I('$.energyRating', '$.energyClass')}) IN ('A0','A1','A','B','C','D','E','F','G') THEN upper({_I('$.energyRating', '$.energyClass')}) ELSE 'UNKNOWN' END AS energy_class, coalesce({_I('$.images[0].url', '$.photos[0]')}, '') AS primary_image_url FROM g",
     "x19_detail_rows": f"{DETAILS} SELECT * EXCLUDE (page_id, text), trim(split_part(address_raw, ',', -1)) AS district FROM d WHERE price_eur > 0 OR size_m2 > 0",
     "x19_meta_first_rows": f"{DETAILS} SELECT * EXCLUDE (page_id), trim(split_part(address_raw, ',', -1)) AS district FROM m WHERE price_eur > 0 OR size_m2 > 0",
-    "x8_page_titles": r"SELECT page_id, substr(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s*\|[^|]*$', ''), 1, 200) AS title FROM pages",
+    "x8_page_titles": rf"""WITH p AS (SELECT page_id, html, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS seen FROM ({A.HEAD_PAGES})), t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+      list_filter(regexp_extract_all(seen, '(?i)<meta(?:\s+[a-z-]+\s*=\s*(?:"[^"]*"|\x27[^\x27]*\x27|[^\s>]+))+\s*/?>'), lambda m: regexp_matches(m, '(?i)\sproperty\s*=\s*["\x27]?og:title["\x27 />]'))[1] AS og FROM p)
+      SELECT page_id, substr(trim(regexp_replace(title, '\s*[|-]\s*(?:[Nn]ehnute|[Tt][Oo][Pp][Rr][Ee][Aa][Ll][Ii][Tt][Yy]).*', '')), 1, 200) AS title,
+      nullif(replace(replace(regexp_replace(regexp_extract(og, '(?i)\scontent\s*=\s*("[^"]*"|\x27[^\x27]*\x27|[^\s>]+)', 1), '^["\x27]|["\x27]$', '', 'g'), '&lt;', '<'), '&amp;', '&'), '') AS og_title FROM t""",
     "x9_visible_text": f"SELECT page_id, md5({TEXT}) AS text_md5 FROM pages",
     "x10_text_prices": f"{DETAILS} SELECT page_id, {PRICE} AS price_eur FROM d",
     "x13_text_sizes": f"{DETAILS} SELECT page_id, CAST({SIZE} AS DOUBLE) AS size_m2 FROM d",
@@ -223,13 +226,13 @@ SQL = {
     "q10_contract_drafts": f"WITH sc AS ({scored()}), j AS (SELECT d.*, l.* EXCLUDE (id), sc.surplus_sro, sc.annual_sro_saving, sc.net_rental_yield, {rnd('agreed - deposit', 2)} AS remainder, coalesce(nullif(ico, ''), 'N/A — fyzická osoba') AS buyer_id FROM ({A.DEALS}) d JOIN ({A.LISTINGS}) l ON l.id = d.listing_id LEFT JOIN sc ON sc.listing_id = d.listing_id WHERE trim(buyer) <> '') SELECT listing_id, remainder, CASE WHEN escrow THEN 'Notárska úschova' ELSE 'Priamy prevod' END AS payment, buyer_id, structure, {_draft()} AS draft_text FROM j",
     "p1_path_prefixes": f"SELECT prefix, count(*) AS n FROM ({PREFIXES}) GROUP BY 1 ORDER BY n DESC, prefix LIMIT 20",
     "p2_candidates": f"SELECT DISTINCT href FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"#?]{{4,200}})\"', 1)) AS href FROM ({A.SITE_PAGES})) WHERE regexp_matches(href, '/[0-9]{{6,}}') OR regexp_matches(lower(href), 'detail|inzerat|advert') OR (contains(lower(href), '/byt') AND length(href) > 30)",
-    "p3_pattern_counts": " UNION ALL ".join(f"SELECT page_id, '{_Q(k)}' AS pattern, CAST(len(regexp_extract_all(html, '{_Q(r)}')) AS BIGINT) AS n FROM ({A.SITE_PAGES})" for k, r in PATTERNS.items()),
+    "p3_pattern_counts": " UNION ALL ".join(f"SELECT page_id, '{_Q(k)}' AS pattern, CAST(len(regexp_extract_all(translate(html, chr(160) || chr(8239), '  '), '{_Q(r)}')) AS BIGINT) AS n FROM ({A.SITE_PAGES})" for k, r in PATTERNS.items()),
     "p4_health": "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS pages, count(*) FILTER (regexp_matches(lower(html), 'loading|skeleton')) AS loading, count(*) FILTER (regexp_matches(lower(html), 'captcha|cloudflare|incapsula')) AS blocked, count(*) FILTER (regexp_matches(lower(html), 'inzerat|advert|detail|article')) AS listing FROM pages GROUP BY 1",
     "p5_mined_urls": "WITH u AS (" + " UNION ".join(f"SELECT '{k}' AS label, unnest(regexp_extract_all(html, '{_Q(r)}', 1)) AS url FROM ({A.SITE_PAGES})" for k, r in MINED.items()) + f"), f AS (SELECT DISTINCT label, url FROM u WHERE length(url) > 5 AND length(url) < 200 AND NOT regexp_matches(lower(url), '{DENIED}')), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY url) AS rn FROM f) SELECT label, url, CAST(rn AS INT) AS rn FROM r WHERE rn <= 30",
     "p6_scripts": f"""WITH s AS (SELECT page_id, list_concat(regexp_extract_all(html, '<script[^>]+src="([^"]+\\.js[^"]*)"', 1), regexp_extract_all(html, '/_next/static/[^\\s"'']+\\.js')) AS all_found FROM ({A.SITE_PAGES})), u AS (SELECT page_id, unnest(all_found) AS src, unnest(range(len(all_found))) AS k FROM s), f AS (SELECT page_id, src, min(k) AS k FROM u WHERE regexp_matches(src, '{"|".join(SCRIPTS_KEPT)}') AND NOT regexp_matches(src, '{"|".join(SCRIPTS_DENIED)}') GROUP BY ALL) SELECT page_id, coalesce(n, 0) AS n, coalesce(scripts, '') AS scripts FROM pages LEFT JOIN (SELECT page_id, count(*) AS n, string_agg(src, ',' ORDER BY k) AS scripts FROM f GROUP BY page_id) USING (page_id)""",
-    "p7_numeric_ids": f"SELECT DISTINCT unnest(regexp_extract_all(html, '(?:advertId|listingId|id)[=:]\"?([0-9]{{6,12}})', 1)) AS numeric_id FROM ({A.SITE_PAGES})",
+    "p7_numeric_ids": rf"SELECT DISTINCT regexp_extract(hit, '[0-9]+$') AS numeric_id FROM (SELECT unnest(regexp_extract_all(html, '(?:advertId|listingId|id)[\x22\x27]?[ \t\n]*(?:=|:)[ \t\n]*(?:\x22|\x27)?[0-9]{{6,12}}')) AS hit FROM ({A.SITE_PAGES}))",
     "p8_snippets": "SELECT page_id, array_to_string(list_slice(regexp_extract_all(html, '(?s)(.{0,10}<h1>.{0,10})', 1), 1, 3), '¦') AS snippets, array_to_string(list_slice(regexp_extract_all(html, 'class=\"([^\"]+)\"', 1), 1, 3), '¦') AS classes FROM pages",
-    "p9_pagination": "WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]{1,199})\"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]{1,199})\"[^>]*>([^<]*)</a>', 2)) AS label FROM pages) SELECT DISTINCT * FROM a WHERE regexp_matches(lower(href), 'in|th') OR regexp_matches(lower(label), 'in|th')",
+    "p9_pagination": f"WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]+href=\"[^\"#]+\"[^>]*>[^<]+</a>')) AS a FROM ({A.SITE_PAGES})), s AS (SELECT page_id, string_split(split_part(a, 'href=\"', 2), '\"')[1] AS href, regexp_extract(a, '>([^<]*)</a>$', 1) AS label FROM a) SELECT DISTINCT page_id, href, trim(label) AS label FROM s WHERE length(label) <= 30 AND length(href) < 200 AND (" + " OR ".join(f"contains(lower(label || href), '{w}')" for w in ("stran", "page", "další", "ďalš", "next", "»")) + ")",
     "p10_repeats": "WITH p AS (SELECT page_id, split_part(url, '/', 3) AS site, html, lag(html) OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) AS prev FROM pages) SELECT page_id, html = prev AS same, CAST(CASE WHEN html = prev THEN 0 ELSE (SELECT count(*) FROM (SELECT unnest(string_split(html, '')) AS x, unnest(range(1, length(html) + 1)) AS k) a JOIN (SELECT unnest(string_split(prev, '')) AS y, unnest(range(1, length(prev) + 1)) AS k) b USING (k) WHERE x <> y) END AS BIGINT) AS differing FROM p WHERE prev IS NOT NULL",
     "p11_body_shapes": f"""{ITEMS}, k AS (SELECT body_id, raw, body, json_type(body) AS kind, json_valid(raw) AS ok, list_filter(json_keys(body), lambda x: regexp_matches(lower(x), '{"|".join(LISTING_KEYS)}')) AS likes, json_keys(body) AS keys, json_extract(body, '$[0]') AS first_item FROM n), m AS (SELECT *, CASE WHEN len(likes) > 0 THEN likes[-1] END AS listing_key FROM k)
       SELECT body_id, CASE WHEN trim(raw) = '' THEN '(empty)' WHEN NOT ok THEN '(non-JSON)' WHEN kind = 'ARRAY' THEN 'array' ELSE 'object' END AS shape, CAST(CASE WHEN kind = 'ARRAY' THEN json_array_length(body) ELSE 0 END AS BIGINT) AS n,

@@ -95,7 +95,8 @@ def x4_link_priority(t: Tables) -> DataFrame:
 
 @query
 def x8_page_titles(t: Tables) -> DataFrame:
-    return t.table("pages").select("page_id", extract.page_title(F.col("html")).alias("title"))
+    html = F.col("html")
+    return t.head_pages.select("page_id", extract.page_title(html).alias("title"), extract.meta(html, "og:title").alias("og_title"))
 
 
 @query
@@ -427,7 +428,7 @@ def p8_snippets(t: Tables) -> DataFrame:
 
 @query
 def p9_pagination(t: Tables) -> DataFrame:
-    return profile.pagination(t.table("pages"), "in|th")
+    return profile.pagination(t.site_pages)
 
 
 @query

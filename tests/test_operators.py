@@ -1,5 +1,6 @@
 """Fixed cases, boundaries and equalities of the property-screening operators."""
 
+import html.parser
 import math
 
 import duckdb
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from estate_jobs.functions import markup
 from estate_jobs.functions.columns import haversine
 from estate_jobs.operators import cashflow, deeds, extract, location, merge, profile
 from estate_jobs.plans.oracle import SQL
@@ -365,3 +367,54 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(SQL) == set(QUERIES)
+
+
+class _Reader(html.parser.HTMLParser):
+    """Tags as the standard library reads them."""
+
+    def __init__(self):
+        super().__init__()
+        self.found = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("a", "meta", "base"):
+            self.found += [(tag, k, v or "") for k, v in attrs]
+
+    handle_startendtag = handle_starttag
+
+
+ODD_TAGS = [
+    '<a href="/x">1</a>', "<A HREF='/y?a=1&amp;b=2' class=k>2</A>", "<a href=/z/w.html>3</a>", '<a\n  title="a > b"\thref = "/v" data-href="/no">4</a>', '<meta content="c" property="og:title"/>', "<meta property=og:title content=c />", '<a href="&eacute;&#269;&#x17E;&nope;&copy=1">5</a>',
+    '<!-- <a href="/hidden"> -->', '<script>"<a href=/script>"</script>', "<style>a{}</style>", '<area href="/other">', "<a>6</a>", '<a href="">7</a>', "<a disabled href=\"/q'uote\">8</a>", '<base href="/b/">', '<abbr href="/n">', "text > < text", '<a href="1" href="2">9</a>', "&amp;",
+]
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ODD_TAGS), max_size=8), min_size=20, max_size=40))
+def test_attributes_as_the_standard_library_reads_them(spark, pages):
+    texts = ["".join(p) for p in pages]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, page string").select("k", markup.attributes(F.col("page"), "a", "meta", "base").alias("found")).collect()
+    for r in rows:
+        reader = _Reader()
+        # `&copy=1` is left alone by browsers, not by the library
+        reader.feed(texts[r.k].replace("&copy=1", "&amp;copy=1"))
+        reader.close()
+        assert [tuple(x) for x in r.found] == reader.found
+
+
+def test_links_and_titles_of_any_form(spark):
+    page = "<title lang=sk>Byt - 3 izby | Nehnuteľnosti.sk</title><meta content='Pekný \"byt\"' PROPERTY=\"og:title\"><link href='/css-r123456.html'>" + """<A HREF="/a-r123456.html">1</A><a class=x href='/b-r123456.html'>2</a><a href=/c-r123456.html>3</a><a data-href="/d-r123456.html">4</a><!-- <a href="/e-r123456.html"> -->"""
+    df = spark.createDataFrame([(1, "https://h.sk/x", page), (2, "https://h.sk/x", None), (3, "https://h.sk/x", "")], "page_id long, url string, html string")
+    assert {r.link for r in extract.detail_links(df, "h.sk").collect()} == {f"https://h.sk/{c}-r123456.html" for c in "abc"}
+    html_ = F.col("html")
+    assert [tuple(r) for r in df.orderBy("page_id").select(extract.meta(html_, "og:title"), extract.page_title(html_)).collect()] == [('Pekný "byt"', "Byt - 3 izby"), (None, None), (None, None)]
+    many = spark.createDataFrame([("<a " + "x=1 " * 2000 + 'href="/skipped"><a href="/kept">',)], "html string")
+    assert many.select(markup.values_of(markup.elements(html_, "a"), "a", "href")).first()[0] == ["/kept"]
+
+
+def test_ids_pagers_and_blanks(spark):
+    page = 'x {"advertId":1234567, "id": 7654321, \'listingId\' = \'2345678\'} id=12345 <a class="p" href="/b?p=2"> Ďalšia » </a><a href="/c">ďalší</a><a href="/d">iné</a> 123456 € 98765　€'
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    assert {r[0] for r in profile.numeric_ids(df).collect()} == {"1234567", "7654321", "2345678"}
+    assert {(r.href, r.label) for r in profile.pagination(df).collect()} == {("/b?p=2", "Ďalšia »"), ("/c", "ďalší")}
+    assert {r.pattern: r.n for r in profile.pattern_counts(df).collect()}["€ price patterns"] == 2
