@@ -3,58 +3,40 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from estate_jobs.operators import cashflow, deeds, location, merge, serve
+from estate_jobs.streaming.store import Store
 
 log = logging.getLogger(__name__)
 
 
-#: Parts that a store of listings is cut into by a hash of the id. A batch rewrites those that it touches; take some
-#: thousands where the store has billions of rows.
-BUCKETS = 64
-
-
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
-
-
-def _paths(spark: SparkSession, store: str, n: int, buckets: list[int] | None = None) -> list[str]:
-    """Where version n of a store keeps some buckets (None: all). There is a row for each bucket, not for each listing."""
-    at = spark.read.parquet(f"{store}/versions/{n}")
-    return [f"{store}/rows/v={r.v}/bucket={r.bucket}" for r in at.collect() if buckets is None or r.bucket in buckets]
+def merge_into_store(spark: SparkSession, rows: DataFrame, path: str, n: int, buckets: int | None = None) -> None:
+    """Version n of a store of listings: rows (with seq) merged into version n - 1.
 
+    Only the buckets that rows touch are read and written. Version n is made from n - 1 alone, so a repeated call changes
+    nothing. buckets: of a new store; a store with another number raises.
+    """
+    store = Store(spark, path)
+    old = store.start(str(n - 1) if n else None, buckets)
+    touched = store.touched(old, (rows, "id"))
+    before = store.read(old, "listings", only=touched)
+    merged = merge.fold(rows) if before is None else merge.merge_listings(before, rows)
+    store.commit(store.write(old, "listings", merged, "id", touched) if touched else old, str(n))
 
-def read_store(spark: SparkSession, store: str, n: int) -> DataFrame:
-    """The listings of version n."""
-    return spark.read.parquet(*_paths(spark, store, n))
 
+def read_store(spark: SparkSession, path: str, version: int | str, table: str = "listings") -> DataFrame | None:
+    """A table of a version; None if it has no rows."""
+    store = Store(spark, path)
+    return store.read(store.start(str(version)), table)
 
-def merge_into_store(spark: SparkSession, rows: DataFrame, store: str, n: int, buckets: int = BUCKETS) -> None:
-    """Version n of a store: rows (with seq) merged into version n - 1.
 
-    Only the buckets that rows touch are read and written; the versions table says which version holds each bucket's
-    rows. Version n is made from n - 1 alone, so a repeated call changes nothing.
-    """
-    keyed = rows.withColumn("bucket", _bucket(buckets))
-    touched = sorted(r.bucket for r in keyed.select("bucket").distinct().collect())
-    old = {r.bucket: r.v for r in spark.read.parquet(f"{store}/versions/{n - 1}").collect()} if n else {}
-    known = [b for b in touched if b in old]
-    if known:
-        before = spark.read.parquet(*(f"{store}/rows/v={old[b]}/bucket={b}" for b in known))
-        merged = merge.merge_listings(before, rows)
-    else:
-        merged = merge.fold(rows)
-    if touched:
-        merged.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/rows/v={n}")
-    spark.createDataFrame(sorted((old | dict.fromkeys(touched, n)).items()), "bucket int, v int").coalesce(1).write.mode("overwrite").parquet(f"{store}/versions/{n}")
-
-
-def merge_stream(spark: SparkSession, landed: str, store: str, checkpoint: str, files: int = 100, buckets: int = BUCKETS) -> StreamingQuery:
+def merge_stream(spark: SparkSession, landed: str, store: str, checkpoint: str, files: int = 100, buckets: int | None = None) -> StreamingQuery:
     """Merges landed observations into the listings at `store`, a version for each batch."""
     schema = spark.read.parquet(landed).schema
 
@@ -83,58 +65,84 @@ def run_steps(steps: list[tuple[str, Callable[[], None]]]) -> dict[str, str]:
     return out
 
 
-def run_day(spark: SparkSession, rows: DataFrame, store: str, day: str, before: str | None, documents: DataFrame, key: str, places: DataFrame, sites: DataFrame, noise: DataFrame) -> dict[str, str]:
+def run_day(spark: SparkSession, rows: DataFrame, path: str, day: str, before: str | None, documents: DataFrame, key: str, places: DataFrame, sites: DataFrame, noise: DataFrame, buckets: int | None = None) -> dict[str, str]:
     """New observations, deeds, cash flow, location, statistics: the outcome of each step.
 
-    Tables listings, scores, locations, rejections and stats of a day lie in {store}/{day}. All are made from those of
-    the day `before` and written anew, so a repeated day changes nothing. Steps write only what they find (merged
-    listings, verdicts, new scores, new places), the whole tables are written once, by `keep`. After a step that failed
+    Version `day` of the store at `path` has the tables listings, scores and locations, in the same buckets by listing.
+    It is made from version `before`, so a repeated day changes nothing. Steps write what they find (observations,
+    verdicts, new scores, new places); `keep` then rewrites the buckets that any of it touches, joins within these only,
+    and commits the version as a whole. Rejections and statistics of a day lie in {path}/{day}. After a step that failed
     the others go on without what it would have found. documents: `key` (a column of listings too) and raw.
     """
+    store, found = Store(spark, path), {}
+    old = store.start(before, buckets)
     none = spark.createDataFrame([], "listing_id string")
-    old: dict[str, DataFrame | None] = {t: spark.read.parquet(f"{store}/{before}/{t}") if before else None for t in ("listings", "scores", "locations")}
-    found: dict[str, DataFrame] = {}
+    parts = f"{path}/found/{day}/{uuid.uuid4()}"
 
     def put(part: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{store}/{day}/found/{part}")
-        found[part] = spark.read.parquet(f"{store}/{day}/found/{part}")
+        df.write.parquet(f"{parts}/{part}")
+        found[part] = spark.read.parquet(f"{parts}/{part}")
+
+    def updated(df: DataFrame | None) -> DataFrame | None:
+        """Listings before today, with what was seen and found of them by now."""
+        if "observed" in found:
+            df = merge.fold(found["observed"]) if df is None else merge.merge_listings(df, found["observed"])
+        if df is not None and "verdicts" in found:
+            df = merge.set_deed_status(df, found["verdicts"])[0]
+        return merge.write_back(df, found["scores"]) if df is not None and "scores" in found else df
 
     def listings() -> DataFrame:
-        """Today's listings, with the verdicts and classes that are there by now."""
-        df = found.get("observed", old["listings"])
-        if df is None:
+        """Today's listings. Buckets without new observations aren't grouped anew."""
+        seen = store.touched(old, (found["observed"], "id")) if "observed" in found else []
+        now, rest = updated(store.read(old, "listings", only=seen)), store.read(old, "listings", but=seen)
+        if rest is not None:
+            rest = merge.set_deed_status(rest, found["verdicts"])[0] if "verdicts" in found else rest
+            rest = merge.write_back(rest, found["scores"]) if "scores" in found else rest
+        if now is None and rest is None:
             raise ValueError("no listings yet")
-        if "verdicts" in found:
-            df = merge.set_deed_status(df, found["verdicts"])[0]
-        return merge.write_back(df, found["scores"]) if "scores" in found else df
+        return rest if now is None else now if rest is None else now.unionByName(rest, allowMissingColumns=True)
+
+    def scored(table: str) -> DataFrame:
+        return store.read(old, table) if old.tables.get(table) and old.tables[table].folders else none
 
-    def all_of(table: str) -> DataFrame:
-        before_today = none if old[table] is None else old[table]
-        return merge.replace(before_today, found[table]) if table in found else before_today
+    def all_scores(table: str) -> DataFrame:
+        return merge.replace(scored(table), found[table]) if table in found else scored(table)
 
     def observe() -> None:
         new = merge.valid(rows)
         for c in ("lv_status", "classification"):
             new = new if c in new.columns else new.withColumn(c, F.lit("PENDING"))
-        put("observed", merge.fold(new) if old["listings"] is None else merge.merge_listings(old["listings"], new))
+        put("observed", new)
 
     def check_deeds() -> None:
         put("verdicts", deeds.judge(deeds.pending(listings()), documents, key))
         rejected = found["verdicts"].filter("status = 'REJECTED'").select(F.col("id").alias("listing_id"), "reason", "detail", "module")
-        rejected.withColumn("day", F.lit(day)).write.mode("overwrite").parquet(f"{store}/{day}/rejections")
+        rejected.withColumn("day", F.lit(day)).write.mode("overwrite").parquet(f"{path}/{day}/rejections")
 
     def score() -> None:
-        put("scores", cashflow.run(listings(), all_of("scores")))
+        put("scores", cashflow.run(listings(), all_scores("scores")))
 
     def place() -> None:
-        put("locations", location.run(listings(), all_of("locations"), places, sites, noise))
+        put("locations", location.run(listings(), all_scores("locations"), places, sites, noise))
 
     def keep() -> None:
-        for table, df in (("listings", listings()), ("scores", all_of("scores")), ("locations", all_of("locations"))):
-            df.write.mode("overwrite").parquet(f"{store}/{day}/{table}")
+        new = old
+        changed = store.touched(old, *((found[p], k) for p, k in (("observed", "id"), ("verdicts", "id"), ("scores", "listing_id")) if p in found))
+        if changed:
+            own = found.get("observed")
+            base = store.read(old, "listings", only=changed)
+            if base is None and own is None:
+                raise ValueError("no listings yet")
+            new = store.write(new, "listings", updated(base), "id", changed)
+        for table in ("scores", "locations"):
+            if table in found:
+                touched = store.touched(old, (found[table], "listing_id"))
+                base = store.read(old, table, only=touched)
+                new = store.write(new, table, found[table] if base is None else merge.replace(base, found[table]), "listing_id", touched)
+        store.commit(new, day)
 
     def summarise() -> None:
-        serve.stats(spark.read.parquet(f"{store}/{day}/listings")).write.mode("overwrite").parquet(f"{store}/{day}/stats")
+        serve.stats(read_store(spark, path, day)).write.mode("overwrite").parquet(f"{path}/{day}/stats")
 
     return run_steps([("observe", observe), ("deeds", check_deeds), ("cashflow", score), ("location", place), ("keep", keep), ("stats", summarise)])
 

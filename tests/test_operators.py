@@ -16,6 +16,7 @@ from estate_jobs.plans.oracle import SQL
 from estate_jobs.plans.queries import QUERIES
 from estate_jobs.sources import tables
 from estate_jobs.streaming import daily
+from estate_jobs.streaming.store import Store
 from tests.conftest import SF
 
 # price, size, district, rent, total_sro, surplus_sro, ratio_sro, saving, months, class
@@ -114,7 +115,7 @@ def test_days_of_a_stream(spark, tmp_path):
     daily.daily_stream(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/cp", *side).awaitTermination()
     rows.filter("seq > 3").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     daily.daily_stream(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/cp", *side).awaitTermination()
-    at = lambda table, day="v1": spark.read.parquet(f"{tmp_path}/store/{day}/{table}")
+    at = lambda table, day="v1": daily.read_store(spark, f"{tmp_path}/store", day, table) if table in ("listings", "scores", "locations") else spark.read.parquet(f"{tmp_path}/store/{day}/{table}")
     assert {r.id: (r.title, r.lv_status, r.classification) for r in at("listings").collect()} == {"l0": ("t4", "PASS", "GREEN"), "l1": ("t5", "REJECTED", "PENDING"), "l2": ("t6", "PASS", "GREEN"), "l3": ("t7", "PASS", "GREEN")}
     assert {r.listing_id for r in at("scores").collect()} == {r.listing_id for r in at("locations").collect()} == {"l0", "l2", "l3"}
     assert [r.listing_id for r in at("rejections", "v0").collect()] == ["l1"] and at("rejections").count() == 0
@@ -290,7 +291,8 @@ def test_store_rewrites_touched_buckets(spark, tmp_path):
         daily.merge_into_store(spark, obs("a", "z"), store, 1, 4)
         got = {r.id: r.title for r in daily.read_store(spark, store, 1).collect()}
         assert got == {i: f"t{i}{k}" for k, i in enumerate("abcdefgh", 1)} | {"a": "ta1", "z": "tz2"}
-        assert 1 <= sum("/v=1/" in p for p in daily._paths(spark, store, 1)) <= 2
+        folders = [Store(spark, store).version(v).tables["listings"].folders for v in ("0", "1")]
+        assert 1 <= sum(folders[1][b] != folders[0].get(b) for b in folders[1]) <= 2
     daily.merge_into_store(spark, obs("a").filter("false"), store, 2, 4)
     assert daily.read_store(spark, store, 2).count() == 9
 
@@ -418,3 +420,54 @@ def test_ids_pagers_and_blanks(spark):
     assert {r[0] for r in profile.numeric_ids(df).collect()} == {"1234567", "7654321", "2345678"}
     assert {(r.href, r.label) for r in profile.pagination(df).collect()} == {("/b?p=2", "Ďalšia »"), ("/c", "ďalší")}
     assert {r.pattern: r.n for r in profile.pattern_counts(df).collect()}["€ price patterns"] == 2
+
+
+def test_another_number_of_buckets(spark, tmp_path):
+    rows = spark.range(200).selectExpr("CAST(id AS STRING) AS id", "id + 1 AS seq", "'s' AS source", "'t' AS title", "CAST(1 AS DOUBLE) AS price_eur", "'1' AS last_seen_at")
+    path = f"{tmp_path}/store"
+    daily.merge_into_store(spark, rows, path, 0, 8)
+    with pytest.raises(ValueError, match="8 buckets, not 16"):
+        daily.merge_into_store(spark, rows.limit(50), path, 1, 16)
+    Store(spark, path).rebucket("0", "1", 16)
+    daily.merge_into_store(spark, rows.limit(50).withColumn("title", F.lit("new")).withColumn("extra", F.lit(1)), path, 2)
+    got = daily.read_store(spark, path, 2).collect()
+    assert len(got) == len({r.id for r in got}) == 200 and sum(r.title == "new" for r in got) == 50 and "extra" in got[0]
+    assert Store(spark, path).version("2").buckets == 16 and Store(spark, path).version("7") is None
+    with pytest.raises(ValueError, match="no version 7"):
+        daily.read_store(spark, path, 7)
+
+
+def test_a_day_that_dies_between_its_writes(spark, tmp_path, monkeypatch):
+    """What a killed attempt wrote is in no version; the day run again gives the rows of an undisturbed one; buckets that nothing touches stay where they are."""
+    obs = [(f"l{k}", k + 1, "s", "u", f"t{k}", 46000.0 + k, 51.0, "Košice I", "A", "Ulica 1, Košice", f"c{k}", f"{k}", f"{k}") for k in range(40)]
+    rows = spark.createDataFrame(obs, LISTING)
+    documents = spark.createDataFrame([("c1", "konkurz"), ("c2", "konkurz, VÚB")], "cadastral_number string, raw string")
+    places = spark.createDataFrame([("transit_station", 48.7164, 21.2611)], "type string, lat double, lng double")
+    side = (documents, "cadastral_number", places, places.select("lat", "lng").filter("false"), places.select("lat", "lng").withColumn("db", F.lit(10.0)))
+    second = rows.filter("id IN ('l3', 'l5')").withColumn("title", F.lit("seen again")).withColumn("seq", F.col("seq") + 100)
+    contents = lambda path, table: sorted(map(repr, daily.read_store(spark, path, "d1", table).collect()))
+    tables_ = ("listings", "scores", "locations")
+    good, bad = f"{tmp_path}/good", f"{tmp_path}/bad"
+    for path in (good, bad):
+        assert set(daily.run_day(spark, rows, path, "d0", None, *side, buckets=8).values()) == {"ok"}
+    assert set(daily.run_day(spark, second, good, "d1", "d0", *side).values()) == {"ok"}
+    write, calls = Store.write, []
+
+    def dying(self, version, table, df, key, touched):
+        calls.append(table)
+        done = write(self, version, table, df, key, touched)
+        if table == "scores":
+            raise RuntimeError("killed")
+        return done
+
+    monkeypatch.setattr(Store, "write", dying)
+    outcome = daily.run_day(spark, second, bad, "d1", "d0", *side)
+    assert outcome["keep"] == "failed: killed" and calls == ["listings", "scores"] and Store(spark, bad).version("d1") is None
+    monkeypatch.setattr(Store, "write", write)
+    for _ in range(2):
+        assert set(daily.run_day(spark, second, bad, "d1", "d0", *side).values()) == {"ok"}
+        assert all(contents(bad, t) == contents(good, t) for t in tables_)
+    before, after = (Store(spark, bad).version(v).tables["listings"].folders for v in ("d0", "d1"))
+    moved = {b for b in after if after[b] != before.get(b)}
+    assert 1 <= len(moved) <= 2 < len(after)
+    assert Store(spark, bad).version("d1").tables["locations"].folders == Store(spark, bad).version("d0").tables["locations"].folders
