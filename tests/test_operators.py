@@ -14,7 +14,7 @@ from estate_jobs.functions.columns import haversine
 from estate_jobs.operators import cashflow, deeds, extract, location, merge, profile
 from estate_jobs.plans.oracle import SQL
 from estate_jobs.plans.queries import QUERIES
-from estate_jobs.sources import tables
+from estate_jobs.sources import relational, tables
 from estate_jobs.streaming import daily
 from estate_jobs.streaming.store import Store
 from tests.conftest import SF
@@ -471,3 +471,35 @@ def test_a_day_that_dies_between_its_writes(spark, tmp_path, monkeypatch):
     moved = {b for b in after if after[b] != before.get(b)}
     assert 1 <= len(moved) <= 2 < len(after)
     assert Store(spark, bad).version("d1").tables["locations"].folders == Store(spark, bad).version("d0").tables["locations"].folders
+
+
+STORED = "id VARCHAR(40) NOT NULL PRIMARY KEY, source VARCHAR(40), title VARCHAR(200), price_eur DOUBLE, rooms DOUBLE, energy_class VARCHAR(20), last_seen_at VARCHAR(40), classification VARCHAR(20), is_active INT"
+
+
+def test_upsert_is_a_merge(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db"
+    relational.execute(spark, f"{url};create=true", f"CREATE TABLE listings ({STORED})", "CREATE TABLE cashflow_scores (listing_id VARCHAR(40) NOT NULL PRIMARY KEY, surplus_sro DOUBLE, classification VARCHAR(20))")
+    cases = [(f"k{n % 23}", n + 1, f"s{n % 2}", ("", "t1", "t2")[n % 3], float(n % 4), None if n % 5 else float(n), ("UNKNOWN", "", "B", "C")[n % 4], f"{n:03}") for n in range(120)]
+    first, second = spark.createDataFrame(cases[:40], OBS), spark.createDataFrame(cases[40:], OBS)
+    relational.upsert_listings(first, url)
+    want = merge.merge_listings(merge.fold(first), second)
+    read = lambda: sorted(tuple(r[c] for c in ("id", "source", "title", "price_eur", "rooms", "energy_class", "last_seen_at", "is_active")) for r in spark.read.jdbc(url, "listings").toDF("id", "source", "title", "price_eur", "rooms", "energy_class", "last_seen_at", "classification", "is_active").collect())
+    expected = sorted(tuple(r[c] for c in ("id", "source", "title", "price_eur", "rooms", "energy_class", "last_seen_at", "is_active")) for r in want.collect())
+    for _ in range(2):  # a repeated batch changes nothing
+        relational.upsert_listings(second, url, parts=3)
+        assert read() == expected
+    # rows that a retried task left twice, after a batch that was killed with its staging table in place
+    relational.execute(spark, url, "CREATE TABLE listings_staging (x INT)")
+    folded = merge.fold(second)
+    relational.upsert(folded.union(folded), url, "listings", "id", relational.listing_rule)
+    assert read() == expected and not relational._exists(spark, url, "listings_staging")
+    with pytest.raises(Exception, match="MERGE|merge|unique|duplicate"):
+        relational.upsert(folded.union(folded.withColumn("title", F.lit("other"))).filter("id = 'k1'").withColumn("id", F.lit("new")), url, "listings", "id")
+    assert read() == expected
+
+    scores = spark.createDataFrame([("k1", 5.0, "GREEN"), ("gone", 1.0, "WHITE")], "listing_id string, surplus_sro double, classification string")
+    relational.upsert_scores(scores, url)
+    relational.upsert_scores(scores.withColumn("surplus_sro", F.col("surplus_sro") + 1), url)
+    assert {tuple(r) for r in spark.read.jdbc(url, "cashflow_scores").collect()} == {("k1", 6.0, "GREEN"), ("gone", 2.0, "WHITE")}
+    classes = {r.ID: r.CLASSIFICATION for r in spark.read.jdbc(url, "listings").collect()}
+    assert classes["k1"] == "GREEN" and len(classes) == 23 and "gone" not in classes and read() == expected
