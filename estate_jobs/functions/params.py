@@ -56,6 +56,8 @@ class Params:
     amenity_radius: float = 800.0
     construction_radius: float = 300.0
     noise_limit: float = 65.0
+    #: Metres within which the nearest reading of noise counts.
+    noise_reach: float = 500.0
 
 
 DEFAULTS = Params()

@@ -1,4 +1,4 @@
-"""Location score: distance-bounded joins to points of interest over a grid."""
+"""Location score: joins to points of interest over grids, each kind within its own reach, and nearest places by rings."""
 
 from __future__ import annotations
 
@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from estate_jobs.functions.columns import haversine, rnd, zone
 from estate_jobs.functions.params import CITIES, DEFAULTS, Params
+from estate_jobs.sources.tables import durable
 
 AMENITIES = ("grocery_or_supermarket", "pharmacy", "school")
 #: Degrees of the grid that noise readings stand for.
 CELL_LAT, CELL_LNG = 0.02, 0.03
 #: Metres of a degree of latitude on the sphere of `haversine`; 0.1 % less, to be on the safe side.
 DEGREE = 111_080.0
+#: Metres of the first ring of a search for the nearest place; each further one is twice as wide.
+FIRST_RING = 250.0
+#: Parts that a crowded cell's spots are dealt to.
+SPLIT = 4
 
 
 def unscored(listings: DataFrame, scores: DataFrame) -> DataFrame:
@@ -35,41 +40,74 @@ def located(listings: DataFrame) -> DataFrame:
     return listings.withColumns({"lat": lat, "lng": lng}).filter("lat IS NOT NULL AND lng IS NOT NULL")
 
 
-def _row(lat: Column, radius: float) -> Column:
-    return F.floor(lat / (radius / DEGREE)).cast("long")
+def _row(lat: Column, reach: Column) -> Column:
+    return F.floor(lat / (reach / DEGREE)).cast("long")
 
 
-def _column(row: Column, lng: Column, radius: float) -> Column:
-    """Cell of a longitude in a row of cells: at the latitudes of the row and its neighbours `radius` spans less than one cell."""
-    high = F.least((F.abs(row) + 2) * (radius / DEGREE), F.lit(89.0))
-    return F.floor(lng / (radius / DEGREE) * F.cos(F.radians(high))).cast("long")
+def _column(row: Column, lng: Column, reach: Column) -> Column:
+    """Cell of a longitude in a row of cells: at the latitudes of the row and its neighbours `reach` spans less than one cell."""
+    high = F.least((F.abs(row) + 2) * (reach / DEGREE), F.lit(89.0))
+    return F.floor(lng / (reach / DEGREE) * F.cos(F.radians(high))).cast("long")
+
+
+def within_reach(points: DataFrame, places: DataFrame, *reaches: float) -> DataFrame:
+    """points (lat, lng, others) and places (place_lat, place_lng, reach, others) at most `reach` metres apart, with distance.
+
+    reaches: the values that reach has. Each has a grid of its own, with cells as large as it asks for at their latitude,
+    up to 88 degrees; pairs across the 180th meridian aren't found. A place is sent to the nine cells around it, so the
+    join is an equi-join by cell. It gives many rows for few bytes, so its partitions are as many as shuffles have, and
+    the spots of a cell are dealt to some of them.
+    """
+    near, reach = F.array(F.lit(-1), F.lit(0), F.lit(1)), F.col("reach")
+    parts, keys = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["reach", "cy", "cx", "part"]
+    rows = places.withColumn("cy", F.explode(F.transform(near, lambda d: _row(F.col("place_lat"), reach) + d)))
+    sent = rows.withColumn("cx", F.explode(F.transform(near, lambda d: _column(F.col("cy"), F.col("place_lng"), reach) + d))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+    seen = points.withColumn("reach", F.explode(F.array(*map(F.lit, reaches)))).withColumn("cy", _row(F.col("lat"), reach)).withColumn("cx", _column(F.col("cy"), F.col("lng"), reach)).withColumn("part", F.pmod(F.hash("lat", "lng"), F.lit(SPLIT)))
+    joined = seen.repartition(parts, *keys).join(sent.repartition(parts, *keys), keys)
+    distance = haversine(F.col("lat"), F.col("lng"), F.col("place_lat"), F.col("place_lng"))
+    return joined.withColumn("distance", distance).filter(F.col("distance") <= reach).drop(*keys)
 
 
 def within(points: DataFrame, places: DataFrame, radius: float) -> DataFrame:
-    """points (lat, lng, others) and places (place_lat, place_lng, others) at most `radius` metres apart, with distance.
+    """points and places at most `radius` metres apart, with distance."""
+    return within_reach(points, places.withColumn("reach", F.lit(float(radius))), float(radius))
+
 
-    Cells are as large as the radius asks for at their latitude, up to 88 degrees; pairs across the 180th meridian
-    aren't found. Each place is sent to the nine cells around it, so the join is an equi-join by cell; AQE splits
-    crowded ones.
+def nearest(spots: DataFrame, places: DataFrame, limit: float, first: float = FIRST_RING, tie: Column | None = None) -> DataFrame:
+    """spots (lat, lng, distinct) with `nearest`, a struct of distance and place of the nearest place, null if none is within limit.
+
+    A ring that finds a place finds the nearest one, since it covers all that is closer; only spots that it finds none
+    for go on to the next ring, twice as wide. Of places at the same distance the one with the greatest `tie` is taken.
     """
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    rows = places.withColumn("cy", F.explode(F.transform(near, lambda d: _row(F.col("place_lat"), radius) + d)))
-    sent = rows.withColumn("cx", F.explode(F.transform(near, lambda d: _column(F.col("cy"), F.col("place_lng"), radius) + d)))
-    joined = points.withColumn("cy", _row(F.col("lat"), radius)).withColumn("cx", _column(F.col("cy"), F.col("lng"), radius)).join(sent, ["cy", "cx"]).drop("cy", "cx")
-    return joined.withColumn("distance", haversine(F.col("lat"), F.col("lng"), F.col("place_lat"), F.col("place_lng"))).filter(F.col("distance") <= radius)
+    others = [c for c in places.columns if c not in ("place_lat", "place_lng")]
+    rank = F.struct((-F.col("distance")).alias("near"), (F.lit(0) if tie is None else tie).alias("tie"))
+    left, found, ring = spots.select("lat", "lng"), None, min(first, limit)
+    while True:
+        best = within(left, places, ring).groupBy("lat", "lng").agg(F.max_by(F.struct("distance", *others), rank).alias("nearest"))
+        done = durable(left.join(best, ["lat", "lng"], "left"))
+        here = done if ring >= limit else done.filter("nearest IS NOT NULL")
+        found = here if found is None else found.union(here)
+        left = done.filter("nearest IS NULL").select("lat", "lng")
+        if ring >= limit or left.isEmpty():
+            return found
+        ring = min(2 * ring, limit)
 
 
 def _place(df: DataFrame, kind: Column) -> DataFrame:
     return df.select(kind.alias("type"), F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng"))
 
 
-def _measured(points: DataFrame, places: DataFrame, p: Params) -> DataFrame:
-    """lat, lng of each distinct spot with places around it, transit, a count for each amenity, risk. places: type, place_lat, place_lng; type site: construction."""
-    near = within(points.select("lat", "lng").distinct(), places, max(p.transit_search, p.amenity_radius, p.construction_radius))
-    counts = [F.count_if((F.col("type") == t) & (F.col("distance") <= p.amenity_radius)).alias(t) for t in AMENITIES]
-    transit = F.min(F.when((F.col("type") == "transit_station") & (F.col("distance") <= p.transit_search), F.col("distance"))).alias("transit")
-    risk = F.max(F.when((F.col("type") == "site") & (F.col("distance") <= p.construction_radius), 1).otherwise(0)).alias("risk")
-    return near.groupBy("lat", "lng").agg(transit, *counts, risk)
+def _counted(spots: DataFrame, places: DataFrame, p: Params) -> DataFrame:
+    """lat, lng of spots with places in reach, a count for each amenity, risk. places: type, place_lat, place_lng; type site: construction."""
+    amenities, sites = float(p.amenity_radius), float(p.construction_radius)
+    known = places.filter(F.col("type").isin("site", *AMENITIES)).withColumn("reach", F.when(F.col("type") == "site", sites).otherwise(amenities))
+    counts = [F.count_if(F.col("type") == t).alias(t) for t in AMENITIES]
+    return within_reach(spots, known, *sorted({amenities, sites})).groupBy("lat", "lng").agg(*counts, F.max(F.when(F.col("type") == "site", 1).otherwise(0)).alias("risk"))
+
+
+def _transit(spots: DataFrame, places: DataFrame, p: Params) -> DataFrame:
+    stops = places.filter("type = 'transit_station'").select("place_lat", "place_lng")
+    return nearest(spots, stops, p.transit_search).select("lat", "lng", F.col("nearest.distance").alias("transit"))
 
 
 def _with_surroundings(joined: DataFrame, p: Params) -> DataFrame:
@@ -82,23 +120,30 @@ def surroundings(points: DataFrame, places: DataFrame, p: Params = DEFAULTS) ->
 
     Listings at the same coordinates are looked up once.
     """
-    found = _measured(points, _place(places, F.col("type")), p).drop("risk")
-    return _with_surroundings(points.join(found, ["lat", "lng"], "left").select(*points.columns, "transit", *AMENITIES), p)
+    spots, known = durable(points.select("lat", "lng").distinct()), _place(places, F.col("type"))
+    found = spots.join(_counted(spots, known, p).drop("risk"), ["lat", "lng"], "left").join(_transit(spots, known, p), ["lat", "lng"], "left")
+    return _with_surroundings(points.join(found, ["lat", "lng"]).select(*points.columns, "transit", *AMENITIES), p)
 
 
-def _with_noise(points: DataFrame, noise: DataFrame, p: Params) -> DataFrame:
-    """points with noise_flag: 1 where a reading in its cell of the grid is over the limit."""
+def _noise(spots: DataFrame, noise: DataFrame, p: Params) -> DataFrame:
+    """lat, lng, noise_flag of spots: 1 if the nearest reading is over the limit, the loudest of those at one distance.
+
+    Where no reading is within noise_reach, any reading of the spot's cell of the grid counts.
+    """
+    readings = noise.select(F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng"), "db")
+    close = nearest(spots, readings, p.noise_reach, tie=F.col("db"))
     cell = lambda c, size: F.floor(F.col(c) / size).cast("long")
     loud = noise.filter(F.col("db") > p.noise_limit).select(cell("lat", CELL_LAT).alias("cy"), cell("lng", CELL_LNG).alias("cx")).distinct().withColumn("loud", F.lit(1))
-    joined = points.withColumn("cy", cell("lat", CELL_LAT)).withColumn("cx", cell("lng", CELL_LNG)).join(loud, ["cy", "cx"], "left")
-    return joined.select(*points.columns, F.coalesce("loud", F.lit(0)).alias("noise_flag"))
+    joined = close.withColumn("cy", cell("lat", CELL_LAT)).withColumn("cx", cell("lng", CELL_LNG)).join(loud, ["cy", "cx"], "left")
+    flag = F.when(F.col("nearest").isNull(), F.coalesce("loud", F.lit(0))).otherwise(F.when(F.col("nearest.db") > p.noise_limit, 1).otherwise(0))
+    return joined.select("lat", "lng", flag.alias("noise_flag"))
 
 
 def hazards(points: DataFrame, sites: DataFrame, noise: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """id, construction_risk, noise_flag. sites: lat, lng; noise: lat, lng, db, a reading for its cell of the grid."""
-    found = _measured(points, _place(sites, F.lit("site")), p).select("lat", "lng", "risk")
-    joined = _with_noise(points, noise, p).join(found, ["lat", "lng"], "left")
-    return joined.select("id", F.coalesce("risk", F.lit(0)).alias("construction_risk"), "noise_flag")
+    """id, construction_risk, noise_flag. sites: lat, lng; noise: lat, lng, db."""
+    spots = durable(points.select("lat", "lng").distinct())
+    found = spots.join(_counted(spots, _place(sites, F.lit("site")), p).select("lat", "lng", "risk"), ["lat", "lng"], "left").join(_noise(spots, noise, p), ["lat", "lng"])
+    return points.join(found, ["lat", "lng"]).select("id", F.coalesce("risk", F.lit(0)).alias("construction_risk"), "noise_flag")
 
 
 def score(transit: Column, amenities: Column, construction: Column, noise: Column, energy: Column, p: Params = DEFAULTS) -> tuple[Column, Column]:
@@ -109,11 +154,11 @@ def score(transit: Column, amenities: Column, construction: Column, noise: Colum
 
 
 def run(listings: DataFrame, scores: DataFrame, places: DataFrame, sites: DataFrame, noise: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """New location scores of the listings that can be located. One range join serves all kinds of places, by distinct coordinates."""
+    """New location scores of the listings that can be located, each distinct spot looked up once."""
     todo = located(unscored(listings, scores)).select("id", "lat", "lng", "district", "energy_class")
-    found = _measured(todo, _place(places, F.col("type")).union(_place(sites, F.lit("site"))), p)
-    spots = _with_noise(todo.select("lat", "lng").distinct(), noise, p).join(found, ["lat", "lng"], "left")
-    around = _with_surroundings(spots.withColumn("construction_risk", F.coalesce("risk", F.lit(0))), p)
+    spots, known = durable(todo.select("lat", "lng").distinct()), _place(places, F.col("type"))
+    found = spots.join(_counted(spots, known.union(_place(sites, F.lit("site"))), p), ["lat", "lng"], "left").join(_transit(spots, known, p), ["lat", "lng"]).join(_noise(spots, noise, p), ["lat", "lng"])
+    around = _with_surroundings(found.withColumn("construction_risk", F.coalesce("risk", F.lit(0))).drop("risk"), p)
     df = todo.join(around, ["lat", "lng"])
     points, tier = score(F.col("nearest_transit_m"), F.col("amenity_count"), F.col("construction_risk"), F.col("noise_flag"), F.col("energy_class"), p)
     return df.select(F.col("id").alias("listing_id"), "lat", "lng", "nearest_transit_m", *AMENITIES, "amenity_count", "construction_risk", "noise_flag", zone(F.col("district")).alias("industrial_zone"), points.cast("int").alias("location_score"), tier.alias("location_tier"), points.cast("int").alias("walkability_score"), F.lit(0).alias("flood_zone"))

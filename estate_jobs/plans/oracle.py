@@ -81,7 +81,8 @@ found AS (SELECT id, min(CASE WHEN type = 'transit_station' THEN distance END) A
 around AS (SELECT pts.*, {rnd("coalesce(transit, 9999.0::DOUBLE)", 1)} AS nearest_transit_m, coalesce(grocery_or_supermarket, 0) AS grocery_or_supermarket, coalesce(pharmacy, 0) AS pharmacy, coalesce(school, 0) AS school, coalesce(grocery_or_supermarket, 0) + coalesce(pharmacy, 0) + coalesce(school, 0) AS amenity_count FROM pts LEFT JOIN found USING (id)),
 s AS ({A.SITES}), risky AS (SELECT DISTINCT id FROM (SELECT pts.id, {_h("pts", "s")} AS h FROM pts JOIN s ON abs(pts.lat - s.lat) < 0.02::DOUBLE AND abs(pts.lng - s.lng) < 0.03::DOUBLE) WHERE {HAV} <= 300),
 loud AS (SELECT DISTINCT floor(lat / 0.02::DOUBLE) AS cy, floor(lng / 0.03::DOUBLE) AS cx FROM s WHERE db > 65),
-hazards AS (SELECT pts.id, CAST(risky.id IS NOT NULL AS INT) AS construction_risk, CAST(loud.cy IS NOT NULL AS INT) AS noise_flag FROM pts LEFT JOIN risky USING (id) LEFT JOIN loud ON floor(pts.lat / 0.02::DOUBLE) = loud.cy AND floor(pts.lng / 0.03::DOUBLE) = loud.cx),
+heard AS (SELECT id, arg_max(db, (-distance, db)) AS db FROM (SELECT id, db, {HAV} AS distance FROM (SELECT pts.id, s.db, {_h("pts", "s")} AS h FROM pts JOIN s ON abs(pts.lat - s.lat) < 0.02::DOUBLE AND abs(pts.lng - s.lng) < 0.03::DOUBLE)) WHERE distance <= 500 GROUP BY id),
+hazards AS (SELECT pts.id, CAST(risky.id IS NOT NULL AS INT) AS construction_risk, CAST(CASE WHEN heard.id IS NULL THEN loud.cy IS NOT NULL ELSE heard.db > 65 END AS INT) AS noise_flag FROM pts LEFT JOIN risky USING (id) LEFT JOIN heard USING (id) LEFT JOIN loud ON floor(pts.lat / 0.02::DOUBLE) = loud.cy AND floor(pts.lng / 0.03::DOUBLE) = loud.cx),
 pointed AS (SELECT a.*, construction_risk, noise_flag, CAST(30 * CAST(nearest_transit_m <= 560 AS INT) + 20 * CAST(amenity_count >= 3 AS INT) + 20 * (1 - construction_risk) + 20 * (1 - noise_flag) + 10 * CAST(energy_class IN ('A0','A1','A') AS INT) AS INT) AS pts FROM around a JOIN hazards USING (id)),
 location AS (SELECT id AS listing_id, lat, lng, nearest_transit_m, grocery_or_supermarket, pharmacy, school, amenity_count, construction_risk, noise_flag, {ZONE} AS industrial_zone, pts AS location_score, CASE WHEN noise_flag <> 0 THEN 'POOR' WHEN pts >= 75 THEN 'PRIME' WHEN pts >= 45 THEN 'SOLID' ELSE 'STANDARD' END AS location_tier, pts AS walkability_score, 0 AS flood_zone FROM pointed)"""
 

@@ -503,3 +503,31 @@ def test_upsert_is_a_merge(spark, tmp_path):
     assert {tuple(r) for r in spark.read.jdbc(url, "cashflow_scores").collect()} == {("k1", 6.0, "GREEN"), ("gone", 2.0, "WHITE")}
     classes = {r.ID: r.CLASSIFICATION for r in spark.read.jdbc(url, "listings").collect()}
     assert classes["k1"] == "GREEN" and len(classes) == 23 and "gone" not in classes and read() == expected
+
+
+def test_nearest_by_rings(spark, monkeypatch):
+    """The nearest place of every spot, by brute force; fewer pairs are looked at than within the whole limit."""
+    spots = spark.range(300).select((48.1 + F.col("id") * 37 % 300 / 3000).alias("lat"), (17.05 + F.col("id") * 117 % 300 / 2500).alias("lng")).union(spark.createDataFrame([(10.0, 10.0)], "lat double, lng double"))
+    places = spark.range(400).select((48.1 + F.col("id") * 71 % 400 / 5000).alias("place_lat"), (17.05 + F.col("id") * 119 % 400 / 4000).alias("place_lng"), F.col("id").alias("place"))
+    places = places.union(places.filter("place < 20").withColumn("place", F.col("place") + 1000))
+    at, looked = [(p.place_lat, p.place_lng, p.place) for p in places.collect()], []
+    inner = location.within
+    monkeypatch.setattr(location, "within", lambda *a: looked.append(inner(*a).count()) or inner(*a))
+    got = {(r.lat, r.lng): r.nearest for r in location.nearest(spots, places, 2000.0, tie=F.col("place")).collect()}
+    assert len(got) == 301 and got[10.0, 10.0] is None
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 6371000.0 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    for (lat, lng), found in got.items():
+        least, place = min((metres(lat, lng, a, b), -k) for a, b, k in at)
+        assert (found is None) == (least > 2000) and (found is None or (abs(found.distance - least) < 1e-6 and found.place == -place))
+    assert len(looked) > 1 and sum(looked) < 0.3 * inner(spots, places, 2000.0).count()
+
+
+def test_noise_is_that_of_the_nearest_reading(spark):
+    points = spark.createDataFrame([("near", 48.1001, 17.0001), ("cell", 48.1150, 17.0010), ("far", 49.0, 18.0), ("tie", 48.5, 17.5)], "id string, lat double, lng double")
+    noise = spark.createDataFrame([(48.1001, 17.0002, 50.0), (48.1003, 17.0001, 90.0), (48.5, 17.5, 60.0), (48.5, 17.5, 70.0)], "lat double, lng double, db double")
+    got = {r.id: r.noise_flag for r in location.hazards(points, noise.select("lat", "lng").filter("false"), noise).collect()}
+    assert got == {"near": 0, "cell": 1, "far": 0, "tie": 1}
