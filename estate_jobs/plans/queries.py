@@ -411,6 +411,11 @@ def p5_mined_urls(t: Tables) -> DataFrame:
     return profile.mined_urls(t.site_pages)
 
 
+@query
+def p5_mined_bundles(t: Tables) -> DataFrame:
+    return profile.mined_bundles(t.site_pages, t.bundles)
+
+
 @query
 def p6_scripts(t: Tables) -> DataFrame:
     return profile.scripts(t.site_pages).select("page_id", F.size("scripts").cast("long").alias("n"), F.array_join("scripts", ",").alias("scripts"))
@@ -442,6 +447,11 @@ def p11_body_shapes(t: Tables) -> DataFrame:
     return profile.body_shapes(t.bodies)
 
 
+@query
+def p11_schema_profile(t: Tables) -> DataFrame:
+    return profile.schema_profile(t.bodies)
+
+
 @query
 def p12_state_blobs(t: Tables) -> DataFrame:
     """State of listings in pages of which every seventh has none, every second a list more."""
