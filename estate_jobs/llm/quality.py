@@ -7,9 +7,8 @@ lie. The trees grow on 64-bin histograms with the logistic loss; fitted, they ar
 Edge cases: a null or empty text has all statistics 0 and is scored like any other; a very long text is described whole,
 alone; several labels of a document are averaged, 0.5 counts as 1; null labels and labels of null ids teach nothing; of
 equally good splits the first feature, then the lowest threshold is taken; with no labelled row every score is 0.5;
-repeated rows score alike, and teach as
-often as they occur, which enlarges the sample; extra columns (label among them) are not read; an
-empty table gives no rows.
+repeated rows score alike, and rows of one id teach once; extra columns (label among them) are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -85,7 +84,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = buffers(batch.column("text"))
         for a, b in chunks(offsets):
             x = statistics(data, offsets[a : b + 1])
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["doc_id", "label", "x"])
 
 
 class Trees(NamedTuple):
@@ -140,12 +139,17 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def learn(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Trees:
-    """Trees from labelled documents, about train_docs of them or all if there are fewer."""
+    """Trees from labelled documents, about train_docs of them or all if there are fewer.
+
+    An id teaches once, by the row whose statistics have the least hash: of repeated ids no more rows reach the driver
+    than there are ids. Only statistics are shuffled, after each task has kept one row an id.
+    """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     n = max(1, known.count())
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * n < train_docs * (1 << 20))
-    sample = documents.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("text", "label")
-    rows = sample.mapInArrow(_describe, "label double, x array<float>").toArrow()
+    sample = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").select("doc_id", "text", "label")
+    described = sample.mapInArrow(_describe, "doc_id long, label double, x array<float>")
+    rows = described.groupBy("doc_id").agg(F.min_by(F.struct("label", "x"), F.struct(F.xxhash64("x"), F.col("x"))).alias("row")).select("row.label", "row.x").toArrow()
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if rows.num_rows else np.zeros((0, len(FEATURES)), np.float32)
     y = rows.column("label").to_numpy()
     order = np.lexsort((*x.T, y))  # the same trees whatever the order of the rows
