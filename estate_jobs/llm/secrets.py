@@ -55,6 +55,8 @@ RULES = (
 BASE = 3
 #: Runs of literals that classes may spread into; a class that gives more ends the run.
 MOST_RUNS = 64
+#: Matches whose lengths are added up together.
+RUN = 256
 #: Candidates (an id and some kinds each, about 100 bytes) that may be broadcast.
 MOST_CANDIDATES = 500_000
 
@@ -119,20 +121,31 @@ def candidates(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
 def matches(text: Column, rule: Rule) -> Column:
     """kind, start, end of the rule's matches, leftmost and not overlapping, without those that are too short.
 
-    The lengths of what is between the matches and of the matches give the places.
+    The lengths of what is between the matches and of the matches give the places: they are added up in runs of RUN
+    matches, and the runs' sums move their spans. Appending to one array would copy it for each match of a text.
     """
-    found, counted = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
-    rows = F.arrays_zip(found.alias("m"), counted.alias("g"), F.split(text, rule.regex, -1).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,size:int>>").alias("spans"))
+    sizes = lambda x: F.transform(x, lambda v: F.length(v))
+    found, counted = (sizes(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(k))) for k in (0, rule.group))
+    measured = F.arrays_zip(sizes(F.split(text, rule.regex, -1)).alias("gap"), found.alias("size"), counted.alias("counted"))
+    spans_of = lambda x: F.array(x) if x is not None else F.array().cast("array<struct<start:int,end:int>>")
+    start = F.struct(F.lit(0).alias("at"), spans_of(None).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"), F.coalesce(F.length(x["g"]), F.lit(0)).alias("size"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNotNull() & (F.length(x["g"]) >= rule.least), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        begin = acc["at"] + x["gap"]
+        end = begin + F.coalesce(x["size"], F.lit(0))
+        kept = F.concat(acc["spans"], spans_of(F.struct(begin.alias("start"), end.alias("end"))))
+        return F.struct(end.alias("at"), F.when(x["size"].isNotNull() & (x["counted"] >= rule.least), kept).otherwise(acc["spans"]).alias("spans"))
 
-    spans = F.aggregate(rows, start, step)["spans"]
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rule.kind).alias("kind"), s["end"].alias("end")))
+    def placed(rows: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(rows, k * RUN + 1, RUN), start, step))
+
+    def moved(runs: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(runs, first, lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))["starts"]
+        return F.flatten(F.zip_with(runs, starts, lambda r, at: F.transform(r["spans"], lambda s: F.struct((at + s["start"]).alias("start"), F.lit(rule.kind).alias("kind"), (at + s["end"]).alias("end")))))
+
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  value is worked out once
+    return once(once(measured, placed), moved)
 
 
 def _quick(rule: Rule) -> str:
