@@ -47,11 +47,30 @@ def merge_stream(spark: SparkSession, landed: str, store: str, checkpoint: str,
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Keeps a stream's state on the executors' disks and in the checkpoint, instead of in their memory.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def first_seen_stream(links: DataFrame, horizon: str | None = None) -> DataFrame:
     """Links of a stream, each once: for ever, or within a horizon of event time (column seen_at)."""
     return links.dropDuplicates(["link"]) if horizon is None else links.withWatermark("seen_at", horizon).dropDuplicatesWithinWatermark(["link"])
 
 
+def first_seen_links(spark: SparkSession, landed: str, found: str, checkpoint: str, horizon: str | None = None, files: int = 100) -> StreamingQuery:
+    """Appends the links of landed files that weren't seen before to the files at `found`; a stopped run goes on where it was.
+
+    The state, a row for each link within the horizon, lies in RocksDB. Its changes go to the checkpoint with each batch,
+    so memory doesn't grow with the links, and with a horizon neither does the checkpoint.
+    """
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    stream = spark.readStream.schema(spark.read.parquet(landed).schema).option("maxFilesPerTrigger", files).parquet(landed)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:  # a query keeps the provider that is set when it starts
+        return first_seen_stream(stream, horizon).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(found, format="parquet")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
 def run_steps(steps: list[tuple[str, Callable[[], None]]]) -> dict[str, str]:
     """Runs the steps of a day in turn; one that fails is logged and the next still runs."""
     out = {}

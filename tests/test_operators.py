@@ -567,3 +567,29 @@ def test_schema_profile_holds_every_key(spark):
     rows = {r["shape"]: (r.n, r["schema"]) for r in QUERIES["p11_schema_profile"](spark, SF).collect()}
     named = {shape: set(re.findall(r"(\w+): ", schema or "")) for shape, (_, schema) in rows.items()}
     assert rows.keys() == {"object", "array", "none"} and named["object"] | named["array"] == want and {"items", "data", "results", "adverts"} <= named["object"] and not named["none"]
+
+
+@pytest.mark.parametrize("horizon", [None, "10 minutes"])
+def test_first_seen_links_after_a_restart(spark, tmp_path, horizon):
+    """Runs over what has landed, stopped in between: together they give what X23 gives over all of it, and state that is over its horizon goes."""
+    links = spark.createDataFrame([(f"u{(k * 7) % 13 + k // 30}", k) for k in range(60)], "link string, t long").withColumn("seen_at", F.timestamp_seconds(F.col("t")))
+    landed, found, checkpoint = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp"
+    for k in range(4):
+        links.filter(f"t div 15 = {k}").coalesce(1).write.mode("append").parquet(landed)
+        before = spark.read.parquet(found).select("link") if k else links.select("link").filter("false")
+        new = extract.unseen(links.filter(f"t div 15 = {k}"), before).select("link").distinct()
+        want = {r.link for r in before.union(new).collect()}
+        query = daily.first_seen_links(spark, landed, found, checkpoint, horizon, files=1)
+        query.awaitTermination()
+        got = [r.link for r in spark.read.parquet(found).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        custom = query.lastProgress["stateOperators"][0]["customMetrics"]
+        assert any("rocksdb" in name.lower() for name in custom)
+    # hours later: with a horizon the old state goes, and an old link counts as new
+    for n, t in enumerate((50_000, 50_001, 50_002)):
+        spark.createDataFrame([("late", t) if n == 0 else ("u3", t)], "link string, t long").withColumn("seen_at", F.timestamp_seconds(F.col("t"))).coalesce(1).write.mode("append").parquet(landed)
+        query = daily.first_seen_links(spark, landed, found, checkpoint, horizon, files=1)
+        query.awaitTermination()
+    left = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    again = [r.link for r in spark.read.parquet(found).collect()].count("u3")
+    assert (left == 2 and again == 2) if horizon else (left == len(want) + 1 and again == 1)
