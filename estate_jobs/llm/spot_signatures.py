@@ -10,11 +10,11 @@ The edited texts need each document's successor. Ids are cut into ranges whose e
 well, so a window in each range finds it, and texts are shuffled once.
 
 Near copies: sets of likeness `least` or more are linked, and each document gets the class of all that are linked to it,
-directly or through others. A set whose partners could share too few of its signatures is dropped at once: those in
-no other text don't count. Of the rest, sets that share one of their rarest signatures and are in the same partition by
-size, or in neighbouring ones, are compared: first each with the set of its cell whose signatures are in most others, in
-a group of near copies the text that the others were made from; then, where a signature still holds more than
-one class, those of different classes. So a large group of near copies is compared with its centre, not in all pairs.
+directly or through others. Equal sets are one. Partitions by size bound how many signatures two like sets can differ in;
+so many places and one more hold their signatures, and the contents of at least one place are equal: sets with equal
+contents of a place are in one cell. Each set is compared with that of its cell which is in the largest cells, in a
+group of near copies the text that the others were made from; then, where a cell still holds more than one class, those
+of different classes. So a large group of near copies is compared with its centre, not in all pairs.
 
 Edge cases: a null text is empty; the one signature of an empty text is that of no characters, so empty texts are
 alike; a very long text is read whole by native expressions; rows with equal ids follow by text, null ids come last in
@@ -43,10 +43,8 @@ ANCHORS = (
 EVERY = 16
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
-#: Signatures (32 bits each) that may be broadcast.
-MOST_SIGNATURES = 2_000_000
-#: Times that sets are compared with the centre of their cell before those still in different classes meet.
-ROUNDS = 1
+#: Places whose contents are compared, of each deal.
+PLACES = 40
 
 
 def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -81,7 +79,7 @@ def fingerprint(signatures: Column) -> Column:
 
 def length_class(size: Column, least: float = 0.8) -> Column:
     """Partition of a set by its size: sets of likeness `least` or more are in the same or in neighbouring ones."""
-    return F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / least))).cast("int")
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / least)) + 1e-9).cast("int")
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -91,68 +89,103 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when((small > 0) & (small >= least * large), shared / (F.size(a) + F.size(b) - shared)).otherwise(0.0)
 
 
+def set_keys(sigs: Column, least: float = 0.8) -> Column:
+    """Keys of a set: two sets of likeness `least` or more share one.
+
+    Sets of two neighbouring partitions by size, s and s + 1, of which the smaller one is in s, differ in fewer than
+    m = (1 - least) / least ** (s + 2) signatures, rounded up. Signatures are dealt by hash to m places; two such sets
+    have a place with equal contents, which is a key. Several deals of a few places, or the first PLACES of many, leave
+    a chance under 1e-6 that no such place is among those used or that all are empty, and that only for the least
+    alike. A set has keys as the smaller one, for s its own partition, and as the larger one, for s the partition below.
+    """
+
+    def contents(s: Column, m: Column, deal: Column) -> Column:
+        place = lambda x: F.pmod(F.xxhash64(deal, x), m)
+        # place and signature in one number, so that sorting brings the contents of a place together
+        used = F.filter(F.transform(sigs, lambda x: F.shiftleft(place(x), 32) + x.bitwiseAND(F.lit(0xFFFFFFFF))), lambda v: F.shiftright(v, 32) < PLACES)
+
+        def cut(sorted_: Column) -> Column:
+            mark = lambda v, k: F.when(F.shiftright(v, 32) == F.shiftright(F.get(sorted_, k - 1), 32), F.lit(",")).otherwise(F.lit(";"))
+            return F.split(F.array_join(F.transform(sorted_, lambda v, k: F.concat(mark(v, k), F.hex(v))), ""), ";")
+
+        return F.transform(F.filter(_bind(F.array_sort(used), cut), lambda x: F.length(x) > 0), lambda x: F.xxhash64(s, deal, x))
+
+    def of_partition(s: Column) -> Column:
+        m = (F.floor(F.lit(1 - least) * F.pow(F.lit(1 / least), s + 2) + 1e-9) + 1).cast("long")
+
+        def all_deals(m: Column) -> Column:
+            deals = F.when(m == 2, 5).when(m < 5, 4).when(m < 8, 3).when(m < 20, 2).otherwise(1)
+            return F.flatten(F.transform(F.sequence(F.lit(1), deals), lambda deal: contents(s, m, deal)))
+
+        # sets that may not differ at all are equal
+        return F.when(m > 1, _bind(m, all_deals)).otherwise(F.array().cast("array<bigint>"))
+
+    return _bind(length_class(F.size(sigs), least), lambda s: F.array_distinct(F.concat(of_partition(s), of_partition(s - 1))))
+
+
+def set_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """set_a, set_b (hashes of a set) and class_id of the sets that more than one row of prints (doc_id, sigs) is like."""
+    sets = kept(prints.groupBy("sigs").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()))
+    arrays = sets.select("id", "sigs")
+
+    # cells: sets of one key
+    keyed = arrays.select("id", F.explode(set_keys(F.col("sigs"), least)).alias("key"))
+    cells = kept(keyed.withColumn("size", F.count("*").over(W.partitionBy("key"))).filter("size > 1"))
+    central = cells.groupBy("id").agg(F.sum("size").alias("centrality"))
+    centre = F.max_by("id", F.struct("centrality", "id")).alias("b")
+    centres = cells.join(small_enough(central), "id").groupBy("key").agg(centre)
+    first = cells.select("key", F.col("id").alias("a")).join(centres, "key").filter("a <> b").select("a", "b").distinct()
+    own = lambda side: arrays.select(F.col("id").alias(side), F.col("sigs").alias(f"{side}_sigs"))
+    alike = likeness(F.col("a_sigs"), F.col("b_sigs"), least) >= least - 1e-9
+    edges = durable(first.join(own("a"), "a").join(own("b"), "b").filter(alike).select("a", "b"))
+    roots = durable(components(edges))
+
+    # in cells that hold several classes still, sets of different ones are compared as they meet, so only links come out
+    labelled = cells.join(small_enough(roots), "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    left = kept(labelled.join(mixed, "key", "left_semi").join(arrays, "id"))
+    side = lambda x: left.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "label", "sigs")))
+    pair = (F.col("l.key") == F.col("r.key")) & F.expr("a_label <> b_label AND a_id < b_id") & alike
+    cross = side("a").alias("l").join(side("b").alias("r"), pair).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    roots = durable(components(edges.union(cross)))
+
+    known = sets.select(F.xxhash64("sigs").alias("set_a"), F.xxhash64(F.lit(1), "sigs").alias("set_b"), "least", "copies", "id").join(small_enough(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    names = known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("rows")).filter("rows > 1").select("root", "class_id")
+    return durable(known.join(names, "root").select("set_a", "set_b", "class_id"))
+
+
+def _with_hashes(prints: DataFrame) -> DataFrame:
+    return prints.withColumn("set_a", F.xxhash64("sigs")).withColumn("set_b", F.xxhash64(F.lit(1), "sigs"))
+
+
 def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """prints (doc_id, sigs and others) with class_id, the least doc_id of its class.
 
-    prints is read several times; pass a durable table.
+    prints is read twice.
+    """
+    classes = small_enough(set_classes(prints.select("doc_id", "sigs"), least).withColumn("in_class", F.lit(True)))
+    rows = _with_hashes(prints).join(classes, ["set_a", "set_b"], "left")
+    return rows.select(*prints.columns, F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+def _docs(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def classes_of(documents: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, set_a, class_id of the documents that aren't named by their own id; several rows for repeated ones."""
+    prints = _docs(documents).select("doc_id", signatures(F.col("text")).alias("sigs"))
+    classes = small_enough(set_classes(prints, least))
+    return durable(_with_hashes(prints).select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "set_a", "class_id").distinct())
+
+
+def with_next(documents: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """doc_id, text, sigs and next_text, next_sigs of the next document by descending id; the first one's for the last.
+
+    With `classes` (doc_id, set_a, class_id, as classes_of gives them) also class_id. Its rows go to the ranges of their
+    ids, so texts are shuffled once.
     """
-    keyed = prints.select("doc_id", "sigs", F.xxhash64("sigs").alias("set_a"), F.xxhash64(F.lit(1), "sigs").alias("set_b"))
-    sets = keyed.groupBy("set_a", "set_b", F.size("sigs").alias("n")).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    enough = F.ceil(F.col("n") * least - 1e-9)
-
-    # sets of which enough signatures are in other rows too; copies of a set count its signatures as often as they are
-    each = keyed.select("set_a", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high"))
-    often = small_enough(durable(each.filter("low <> high").select("sig")), MOST_SIGNATURES)
-    # by half of a set's hash, which counts too much if two sets share it
-    shared = keyed.select("set_a", F.explode("sigs").alias("sig")).join(often, "sig", "left_semi").groupBy("set_a").agg(F.count("*").alias("shared"))
-    found = durable(sets.join(shared, "set_a", "left").filter((F.col("copies") > 1) | (F.col("shared") >= enough * F.col("copies"))).withColumn("id", F.monotonically_increasing_id()))
-    some = small_enough(found.select("set_a", "set_b", "id", "n"))
-    arrays = durable(keyed.join(some, ["set_a", "set_b"]).groupBy("id", "n").agg(F.first("sigs").alias("sigs")))
-
-    # their rarest signatures among themselves: of so many a partner can't miss all
-    one = arrays.select("id", "n", F.explode("sigs").alias("sig"))
-    counted = one.join(one.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1"), "sig").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("order"), F.count("*").alias("shared"), (F.sum("df") / F.col("n")).alias("centrality"))
-    rare = counted.filter(F.col("shared") >= enough).select("id", "n", "shared", "centrality", F.explode(F.slice("order", 1, (F.col("shared") - enough + 1).cast("int"))).alias("s"))
-    cells = durable(rare.select("id", "n", "shared", "centrality", "s.sig", length_class(F.col("n"), least).alias("cls")))
-
-    def fits(a: str, b: str) -> Column:
-        """Two sets can be so alike, by their sizes and the signatures that they share with any."""
-        most = F.least(F.col(f"{a}_shared"), F.col(f"{b}_shared"))
-        return (most >= least * (F.col(f"{a}_n") + F.col(f"{b}_n") - most) - 1e-9) & (F.col(f"{a}_id") != F.col(f"{b}_id"))
-
-    def named(df: DataFrame, side: str) -> DataFrame:
-        return df.select("sig", "cls", *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in ("sig", "cls")))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are alike, as edges."""
-        own = lambda side: arrays.select(F.col("id").alias(f"{side}_id"), F.col("sigs").alias(f"{side}_sigs"))
-        both = pairs.select("a_id", "b_id").distinct().join(own("a"), "a_id").join(own("b"), "b_id")
-        return both.filter(likeness(F.col("a_sigs"), F.col("b_sigs"), least) >= least - 1e-9).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-
-    around = F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1))
-    edges, left = None, cells.withColumn("label", F.col("id"))
-    for _ in range(ROUNDS):
-        centre = F.min_by(F.struct("id", "n", "shared", "label"), F.struct(-F.col("centrality"), "id")).alias("row")
-        centres = left.groupBy("sig", "cls").agg(centre).select("sig", around.alias("cls"), "row.*")
-        new = linked(named(left, "a").join(named(centres, "b"), ["sig", "cls"]).filter("a_label <> b_label").filter(fits("a", "b")))
-        edges = durable(new if edges is None else edges.union(new))
-        roots = durable(components(edges))
-        labelled = cells.join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
-        mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
-        left = durable(labelled.join(mixed, "sig", "left_semi"))
-    cross = named(left, "a").join(named(left.withColumn("cls", around), "b"), ["sig", "cls"]).filter("a_label <> b_label AND a_id < b_id").filter(fits("a", "b"))
-    roots = durable(components(edges.union(linked(cross))))
-
-    known = found.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    names = known.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("sets"), F.sum("copies").alias("rows")).filter("rows > 1").select("root", "class_id")
-    classes = small_enough(durable(known.select("set_a", "set_b", "root").join(names, "root").select("set_a", "set_b", "class_id", F.lit(True).alias("in_class"))))
-    rows = prints.withColumn("set_a", F.xxhash64("sigs")).withColumn("set_b", F.xxhash64(F.lit(1), "sigs"))
-    return rows.join(classes, ["set_a", "set_b"], "left").select(*prints.columns, F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
-
-
-def with_next(documents: DataFrame) -> DataFrame:
-    """doc_id, text, sigs and next_text, next_sigs of the next document by descending id; the first one's for the last."""
-    docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = _docs(documents)
     session = documents.sparkSession
     ranges = max(1, RANGES * int(session.conf.get("spark.sql.shuffle.partitions")))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges).alias("cuts"), F.max("doc_id").alias("most")).first()
@@ -163,19 +196,27 @@ def with_next(documents: DataFrame) -> DataFrame:
     own = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, ends)), lambda x: x < F.col("doc_id"))))
     guest = F.when(F.element_at(F.array(*map(F.lit, ends)), F.col("own") + 1) == F.col("doc_id"), (F.col("own") + 1) % len(ends))
     sent = docs.withColumn("own", own).withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("own").alias("range"), F.lit(0).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("range"), F.lit(1).alias("guest")))))))
-    rows = sent.select("doc_id", "text", "to.range", "to.guest").repartition("range").withColumn("sigs", signatures(F.col("text")))
+    rows = sent.select("doc_id", "text", "to.range", "to.guest")
+    if classes is not None:
+        told = classes.select("doc_id", F.lit(None).cast("string").alias("text"), own.alias("range"), F.lit(2).alias("guest"), "set_a", F.struct("class_id").alias("told"))
+        rows = rows.unionByName(told, allowMissingColumns=True)
+    rows = rows.repartition("range").withColumn("sigs", F.when(F.col("text").isNotNull(), signatures(F.col("text"))))
+    if classes is not None:
+        same = W.partitionBy("range", "doc_id", "set_a").orderBy(F.desc("guest"))
+        rows = rows.withColumn("set_a", F.coalesce("set_a", F.xxhash64("sigs"))).withColumn("told", F.first("told").over(same)).filter("guest < 2").withColumn("class_id", F.when(F.col("told").isNotNull(), F.col("told.class_id")).otherwise(F.col("doc_id")))
     order = W.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
     nxt = rows.withColumn("next", F.lead(F.struct("text", "sigs")).over(order)).filter("guest = 0")
-    return nxt.select("doc_id", "text", "sigs", F.coalesce("next.text", "text").alias("next_text"), F.coalesce("next.sigs", "sigs").alias("next_sigs"))
+    return nxt.select("doc_id", "text", "sigs", F.coalesce("next.text", "text").alias("next_text"), F.coalesce("next.sigs", "sigs").alias("next_sigs"), *([] if classes is None else ["class_id"]))
 
 
 def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_next(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
+    docs = with_next(documents, classes_of(documents))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    texts = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sigs", "next_sigs")
-    sets = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", signatures(F.col("edited")).alias("edited_sigs"), "next_sigs")
+    texts = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sigs", "next_sigs", "class_id")
+    sets = texts.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", signatures(F.col("edited")).alias("edited_sigs"), "next_sigs", "class_id")
     own, changed = F.col("sigs"), F.col("edited_sigs")
-    prints = kept(sets.select("doc_id", "n_chars", "edited_sha256", "sigs", "edited_sigs", likeness(own, changed).alias("near_edited"), likeness(own, F.col("next_sigs")).alias("near_next")))
-    return near_classes(prints).select("doc_id", "n_chars", "edited_sha256", fingerprint(own).alias("fingerprint"), fingerprint(changed).alias("edited_fingerprint"), "near_edited", "near_next", F.size(own).alias("n_signatures"), length_class(F.size(own)).alias("length_class"), "class_id")
+    near = [likeness(own, changed).alias("near_edited"), likeness(own, F.col("next_sigs")).alias("near_next")]
+    return sets.select("doc_id", "n_chars", "edited_sha256", fingerprint(own).alias("fingerprint"), fingerprint(changed).alias("edited_fingerprint"), *near, F.size(own).alias("n_signatures"), length_class(F.size(own)).alias("length_class"), "class_id")
