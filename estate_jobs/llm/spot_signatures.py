@@ -14,7 +14,8 @@ directly or through others. Equal sets are one. Partitions by size bound how man
 so many places and one more hold their signatures, and the contents of at least one place are equal: sets with equal
 contents of a place are in one cell. Each set is compared with that of its cell which is in the largest cells, in a
 group of near copies the text that the others were made from; then, where a cell still holds more than one class, those
-of different classes. So a large group of near copies is compared with its centre, not in all pairs.
+of different classes whose parities leave room for a link (sets differ in at least as many signatures as bits of their
+parities). So a large group of near copies is compared with its centre, not in all pairs.
 
 Edge cases: a null text is empty; the one signature of an empty text is that of no characters, so empty texts are
 alike; a very long text is read whole by native expressions; rows with equal ids follow by text, null ids come last in
@@ -25,6 +26,7 @@ null if it has none; one document succeeds itself; extra columns are not read; a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -45,6 +47,8 @@ EVERY = 16
 RANGES = 4
 #: Places whose contents are compared, of each deal.
 PLACES = 40
+#: 64-bit words of a set's parities.
+WORDS = 8
 
 
 def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -123,6 +127,16 @@ def set_keys(sigs: Column, least: float = 0.8) -> Column:
     return _bind(length_class(F.size(sigs), least), lambda s: F.array_distinct(F.concat(of_partition(s), of_partition(s - 1))))
 
 
+def parities(sigs: Column) -> list[Column]:
+    """w0, w1 and so on: for each of 64 * WORDS bits, whether an odd number of signatures falls on it.
+
+    Two sets differ in at least as many signatures as bits.
+    """
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    word = lambda k: F.filter(sigs, lambda x: F.pmod(F.xxhash64(x), F.lit(WORDS)) == k)
+    return [F.aggregate(word(k), F.lit(0).cast("long"), lambda sofar, x: sofar.bitwiseXOR(bit(x))).alias(f"w{k}") for k in range(WORDS)]
+
+
 def set_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """set_a, set_b (hashes of a set) and class_id of the sets that more than one row of prints (doc_id, sigs) is like."""
     sets = kept(prints.groupBy("sigs").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()))
@@ -140,14 +154,17 @@ def set_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
     edges = durable(first.join(own("a"), "a").join(own("b"), "b").filter(alike).select("a", "b"))
     roots = durable(components(edges))
 
-    # in cells that hold several classes still, sets of different ones are compared as they meet, so only links come out
+    # in cells that hold several classes still, sets of different ones meet if their parities allow for a link
     labelled = cells.join(small_enough(roots), "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    left = kept(labelled.join(mixed, "key", "left_semi").join(arrays, "id"))
-    side = lambda x: left.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "label", "sigs")))
-    pair = (F.col("l.key") == F.col("r.key")) & F.expr("a_label <> b_label AND a_id < b_id") & alike
-    cross = side("a").alias("l").join(side("b").alias("r"), pair).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
-    roots = durable(components(edges.union(cross)))
+    wanted = durable(labelled.join(small_enough(mixed), "key", "left_semi"))
+    sketches = small_enough(arrays.join(small_enough(wanted.select("id").distinct()), "id", "left_semi").select("id", F.size("sigs").alias("n"), *parities(F.col("sigs"))))
+    left = kept(wanted.join(sketches, "id"))
+    side = lambda x: left.select(*(F.col(c).alias(f"{x}_{c}") for c in left.columns))
+    odd = reduce(Column.__add__, (F.bit_count(F.col(f"a_w{k}").bitwiseXOR(F.col(f"b_w{k}"))) for k in range(WORDS)))
+    pair = (F.col("a_key") == F.col("b_key")) & F.expr("a_label <> b_label AND a_id < b_id") & (odd <= (1 - least) / (1 + least) * (F.col("a_n") + F.col("b_n")) + 1e-9)
+    cross = side("a").join(side("b"), pair).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    roots = durable(components(edges.union(cross.join(own("a"), "a").join(own("b"), "b").filter(alike).select("a", "b"))))
 
     known = sets.select(F.xxhash64("sigs").alias("set_a"), F.xxhash64(F.lit(1), "sigs").alias("set_b"), "least", "copies", "id").join(small_enough(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
     names = known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("rows")).filter("rows > 1").select("root", "class_id")

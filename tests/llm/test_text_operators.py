@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from estate_jobs.llm import chat_format, decontaminate, language_id, lm_scoring, mixing, near_duplicates, quality, secrets, spot_signatures, tokens, url_filter
@@ -176,6 +177,34 @@ def test_spot_classes_against_all_pairs(spark, seed):
     assert got.columns == [*df.columns, "class_id"] and spot_signatures.near_classes(df.filter("false")).count() == 0
 
 
+def plain_signatures(text):
+    """Signatures of a text, worked out word by word."""
+    words, items, tied = [w for w in re.split(r"[\W_]+", text.lower()) if w], [], []
+    for k, w in enumerate(words):
+        tied.append(w)
+        if w not in spot_signatures.ANCHORS or k == len(words) - 1:
+            items.append(tied)
+            tied = []
+    digest = lambda x, seed=42: xxhash.xxh64_intdigest(x.encode(), seed)
+    found = set()
+    for k, item in enumerate(items):
+        whole = "~".join(item)
+        if len(item) > 1 or digest(whole) % spot_signatures.EVERY == 0:
+            found.add((digest(items[k + 1][-1], digest(whole)) if k + 1 < len(items) else digest(whole)) & 0xFFFFFFFF)
+    return found or {digest(text) & 0xFFFFFFFF}
+
+
+def test_parities_bound_the_difference(spark):
+    r = random.Random(4)
+    base = [r.randrange(-(1 << 31), 1 << 31) for _ in range(60)]
+    sets = [sorted({*base[r.randrange(40) :], *(r.randrange(-(1 << 31), 1 << 31) for _ in range(r.randrange(9)))}) for _ in range(20)] + [base, []]
+    got = spark.createDataFrame([(x,) for x in sets], "sigs array<int>").select("sigs", *spot_signatures.parities(F.col("sigs"))).collect()
+    for a in got:
+        for b in got:
+            bits = sum(((a[k] ^ b[k]) & (1 << 64) - 1).bit_count() for k in range(1, 1 + spot_signatures.WORDS))
+            assert bits <= len(set(a.sigs) ^ set(b.sigs)) and (bits > 0 or a.sigs == b.sigs)
+
+
 def test_spot_signature_query(spark):
     rows = {r.doc_id: r for r in spot_signatures.op3_spot_signatures(spark, SF).collect()}
     texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
@@ -185,6 +214,9 @@ def test_spot_signature_query(spark):
         third = len(texts[i]) // 3
         edited = texts[i][: len(texts[i]) - third] + texts[n][:third]
         assert rows[i].n_chars == len(texts[i]) and rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        own, changed, other = (plain_signatures(x) for x in (texts[i], edited, texts[n]))
+        assert rows[i].fingerprint == "".join(f"{x:08X}" for x in sorted(own)) and rows[i].edited_fingerprint == "".join(f"{x:08X}" for x in sorted(changed))
+        assert rows[i].near_edited == pytest.approx(len(own & changed) / len(own | changed)) and rows[i].near_next == pytest.approx(len(own & other) / len(own | other))
         assert 0 <= rows[i].near_next <= 1 and (rows[i].near_edited < 1 or rows[i].fingerprint == rows[i].edited_fingerprint)
         better += rows[i].near_edited > rows[i].near_next
     assert better > 0.95 * len(ids)
