@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from estate_jobs.operators.extract import resolve
+from estate_jobs.sources.tables import running
 
 # Named patterns whose matches are counted.
 PATTERNS = {
@@ -27,7 +28,7 @@ PATTERNS = {
     "'apolloState'": r"apolloState",
     "'initialState'": r"initialState",
 }
-# Labelled patterns of addresses in pages (group 1 is mined), and how many of each are reported.
+# Labelled patterns of addresses in pages (group 1 is mined).
 MINED = {
     "URLs containing /api/": r"""["'`]((?:https?://[^"'`\s]{0,30})?/api/[^"'`\s]{5,120})["'`]""",
     "fetch() URLs": r"""fetch\(["'`]([^"'`\s)]{10,120})["'`]""",
@@ -36,7 +37,6 @@ MINED = {
     "window.* assignments": r"""(window\.\w+)\s*=\s*\{.{10,200}""",
     "API base URL config vars": r"""(?i)(?:API_URL|apiUrl|baseURL|BASE_URL|endpoint|ENDPOINT)\s*[=:]\s*["'`]([^"'`\s]{8,100})["'`]""",
 }
-MINED_TOP = {"URLs containing /api/": 30, "fetch() URLs": 20, "GraphQL endpoints": 10, "Listing/advert/search-pattern URLs": 30, "window.* assignments": 5, "API base URL config vars": 10}
 # Labelled patterns of addresses in script bundles (group 1 is mined), and parts of those that are left out.
 BUNDLE_MINED = {
     "nehnutelnosti URL": r"""["'`]((?:https?:)?//[^"'`\s]*nehnutelnosti\.sk/[^"'`\s]{5,150})["'`]""",
@@ -105,11 +105,10 @@ def _mined(rows: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     return rows.select(F.explode(pairs).alias("x")).select("x.label", "x.url").filter((F.length("url") > 5) & (F.length("url") < 200)).distinct()
 
 
-def mined_urls(pages: DataFrame, top: dict[str, int] = MINED_TOP) -> DataFrame:
-    """label, url, rn: for each label the first distinct URLs, in order, that aren't denied; how many differs by label."""
+def mined_urls(pages: DataFrame) -> DataFrame:
+    """label, url, rn: all distinct URLs that aren't denied, numbered in order for each label."""
     found = _mined(pages, "html", MINED).filter(~F.lower("url").rlike(DENIED))
-    most = F.coalesce(*(F.when(F.col("label") == k, n) for k, n in top.items()))
-    return found.withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy("url"))).filter(F.col("rn") <= most)
+    return running(found, ["label"], ["url"], {"rn": F.lit(1)}).withColumn("rn", F.col("rn").cast("int"))
 
 
 def mined_bundles(pages: DataFrame, bundles: DataFrame, top: int = 25) -> DataFrame:

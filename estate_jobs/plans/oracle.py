@@ -229,7 +229,7 @@ SQL = {
     "p2_candidates": f"SELECT DISTINCT href FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"#?]{{4,200}})\"', 1)) AS href FROM ({A.SITE_PAGES})) WHERE regexp_matches(href, '/[0-9]{{6,}}') OR regexp_matches(lower(href), 'detail|inzerat|advert') OR (contains(lower(href), '/byt') AND length(href) > 30)",
     "p3_pattern_counts": " UNION ALL ".join(f"SELECT page_id, '{_Q(k)}' AS pattern, CAST(len(regexp_extract_all(translate(html, chr(160) || chr(8239), '  '), '{_Q(r)}')) AS BIGINT) AS n FROM ({A.SITE_PAGES})" for k, r in PATTERNS.items()),
     "p4_health": "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS pages, count(*) FILTER (regexp_matches(lower(html), 'loading|skeleton')) AS loading, count(*) FILTER (regexp_matches(lower(html), 'captcha|cloudflare|incapsula')) AS blocked, count(*) FILTER (regexp_matches(lower(html), 'inzerat|advert|detail|article')) AS listing FROM pages GROUP BY 1",
-    "p5_mined_urls": "WITH u AS (" + " UNION ".join(f"SELECT '{k}' AS label, unnest(regexp_extract_all(html, '{_Q(r)}', 1)) AS url FROM ({A.SITE_PAGES})" for k, r in MINED.items()) + f"), f AS (SELECT DISTINCT label, url FROM u WHERE length(url) > 5 AND length(url) < 200 AND NOT regexp_matches(lower(url), '{DENIED}')), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY url) AS rn FROM f) SELECT label, url, CAST(rn AS INT) AS rn FROM r WHERE rn <= CASE WHEN label LIKE 'fetch%' THEN 20 WHEN label LIKE 'GraphQL%' OR label LIKE 'API base%' THEN 10 WHEN label LIKE 'window%' THEN 5 ELSE 30 END",
+    "p5_mined_urls": "WITH u AS (" + " UNION ".join(f"SELECT '{k}' AS label, unnest(regexp_extract_all(html, '{_Q(r)}', 1)) AS url FROM ({A.SITE_PAGES})" for k, r in MINED.items()) + f"), f AS (SELECT DISTINCT label, url FROM u WHERE length(url) > 5 AND length(url) < 200 AND NOT regexp_matches(lower(url), '{DENIED}')), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY url) AS rn FROM f) SELECT label, url, CAST(rn AS INT) AS rn FROM r",
     "p5_mined_bundles": f"WITH b AS ({A.BUNDLES}), w AS (SELECT DISTINCT split_part(url, '/', 1) || '//' || split_part(url, '/', 3) || unnest(regexp_extract_all(html, '/_next/static/[^\\s\"]+[.]js')) AS url FROM ({A.SITE_PAGES})), j AS (SELECT js FROM b WHERE status = 200 AND url IN (SELECT url FROM w)), u AS (" + " UNION ".join(f"SELECT '{k}' AS label, unnest(regexp_extract_all(js, '{_Q(r)}', 1)) AS url FROM j" for k, r in BUNDLE_MINED.items()) + "), f AS (SELECT DISTINCT label, url FROM u WHERE length(url) BETWEEN 6 AND 199 AND NOT regexp_matches(url, '[.](jpg|png|svg|css|woff)|facebook[.]com|google|doubleclick|/static/|/_next/image')), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY url) AS rn FROM f) SELECT label, url, CAST(rn AS INT) AS rn FROM r WHERE rn <= 25",
     "p6_scripts": f"""WITH s AS (SELECT page_id, list_concat(regexp_extract_all(html, '<script[^>]+src="([^"]+\\.js[^"]*)"', 1), regexp_extract_all(html, '/_next/static/[^\\s"'']+\\.js')) AS all_found FROM ({A.SITE_PAGES})), u AS (SELECT page_id, unnest(all_found) AS src, unnest(range(len(all_found))) AS k FROM s), f AS (SELECT page_id, src, min(k) AS k FROM u WHERE regexp_matches(src, '{"|".join(SCRIPTS_KEPT)}') AND NOT regexp_matches(src, '{"|".join(SCRIPTS_DENIED)}') GROUP BY ALL) SELECT page_id, coalesce(n, 0) AS n, coalesce(scripts, '') AS scripts FROM pages LEFT JOIN (SELECT page_id, count(*) AS n, string_agg(src, ',' ORDER BY k) AS scripts FROM f GROUP BY page_id) USING (page_id)""",
     "p7_numeric_ids": rf"SELECT DISTINCT regexp_extract(hit, '[0-9]+$') AS numeric_id FROM (SELECT unnest(regexp_extract_all(html, '(?:advertId|listingId|id)[\x22\x27]?[ \t\n]*(?:=|:)[ \t\n]*(?:\x22|\x27)?[0-9]{{6,12}}')) AS hit FROM ({A.SITE_PAGES}))",

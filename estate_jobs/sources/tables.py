@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -33,6 +34,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """rows with running sums along order, for each combination of by; no two rows of one may be equal in order.
+
+    Rows are dealt out in ranges, whose totals are carried to the next ones, so a group isn't one task's work.
+    """
+    ranged = durable(rows.repartitionByRange(*by, *order).withColumn("range", F.spark_partition_id()))
+    totals = ranged.groupBy("range", *by).agg(*(F.sum(x).alias(f"{k}_total") for k, x in sums.items()))
+    before = W.partitionBy(*by).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    carried = totals.select("range", *by, *(F.coalesce(F.sum(f"{k}_total").over(before), F.lit(0)).alias(f"{k}_before") for k in sums))
+    along = W.partitionBy("range", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    joined = ranged.join(F.broadcast(carried), ["range", *by])
+    return joined.select(*rows.columns, *((F.sum(x).over(along) + F.col(f"{k}_before")).alias(k) for k, x in sums.items()))
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int) -> DataFrame:
     """A table of a relational store, read in ranges of a key."""
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts)

@@ -533,6 +533,25 @@ def test_noise_is_that_of_the_nearest_reading(spark):
     assert got == {"near": 0, "cell": 1, "far": 0, "tie": 1}
 
 
+def test_all_mined_urls_are_numbered(spark):
+    """Every address of a label, however many, and a page's own ones once; each label is numbered by itself."""
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.concat(F.lit("'/graphql/"), F.lpad(F.col("id") % 45, 3, "0"), F.lit("' fetch('/items/list/"), F.lpad("id", 3, "0"), F.lit("')")).alias("html")).repartition(5)
+    got = {k: sorted((r.rn, r.url) for r in profile.mined_urls(pages).collect() if r.label == k) for k in ("GraphQL endpoints", "fetch() URLs")}
+    assert got["GraphQL endpoints"] == [(k + 1, f"/graphql/{k:03}") for k in range(45)]
+    assert got["fetch() URLs"] == [(k + 1, f"/items/list/{k:03}") for k in range(60)]
+    assert profile.mined_urls(pages.filter("false")).count() == 0
+
+
+def test_running_sums_over_ranges(spark):
+    rows = spark.range(2000).select((F.col("id") % 3).alias("g"), F.reverse(F.col("id").cast("string")).alias("x"), F.col("id").alias("v")).repartition(7)
+    got = tables.running(rows, ["g"], ["x"], {"n": F.lit(1), "total": F.col("v")}).collect()
+    for g in range(3):
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.x)
+        assert [r.n for r in mine] == list(range(1, len(mine) + 1)) and [r.total for r in mine] == [sum(s.v for s in mine[: k + 1]) for k in range(len(mine))]
+    assert len(got) == 2000
+    assert [(r.x, r.n) for r in tables.running(rows.filter("g = 0").limit(2), [], ["x"], {"n": F.lit(1)}).sort("x").collect()] == [(r.x, k + 1) for k, r in enumerate(rows.filter("g = 0").limit(2).sort("x").collect())]
+
+
 def test_bundles_are_searched_once_and_whole(spark):
     pages = spark.createDataFrame([(1, "https://h.sk/a/b", '<script src="/static/app.js?v=1"></script><script src="main.js"></script><script src="https://cdn.sk/googletag/main.js"></script>'), (2, "https://h.sk/c", '<script async src="/static/app.js?v=1"></script>'), (3, "https://h.sk/d", None)], "page_id long, url string, html string")
     js = "x" * 300_000 + 'fetch("/api/one");axios.put(`/v2/three`);k="/api/img.png";m="short";n="/api/' + "y" * 300 + '"'
