@@ -636,6 +636,29 @@ def test_a_repeated_url_is_one_of_the_sample(spark, monkeypatch):
     assert difference("http://h5.com/7") > 0
 
 
+def test_every_ruled_url_teaches(spark):
+    """More URLs of a verdict than the 30,000 that were once drawn: each is counted, or calibrates."""
+    urls = spark.range(90000).selectExpr("concat(if(id % 2 = 0, 'http://x.net/es/', 'http://h.com/'), id) AS url", "if(id % 2 = 0, 'block', 'allow') AS verdict")
+    model, cut = url_filter.learn(urls)
+    left = urls.filter(F.pmod(F.xxhash64("url", F.lit("calibrate")), F.lit(url_filter.SEED_SHARE)) != 0)
+    for v, verdict in enumerate(("allow", "block")):
+        mine = left.filter(F.col("verdict") == verdict)
+        assert model.seen[v, 0].sum() == mine.agg(F.sum(F.length("url"))).first()[0]
+        assert model.next[v, 0].max() >= mine.count()  # a character that every URL of the verdict has
+    difference = lambda u: model.differences(*tokens.buffers(pa.array([u])))[0]
+    assert difference("http://x.net/es/7") < cut < difference("http://h.com/7")
+
+
+def test_url_threshold_by_running_sums(spark):
+    rng = np.random.default_rng(8)
+    for n, kinds in ((400, 2), (400, 40), (300, 300), (5, 3)):
+        d, allowed, often = rng.integers(0, kinds, n) / 7 - 1, rng.random(n) < 0.5, rng.integers(1, 4, n)
+        for verdicts in (allowed, ~np.isin(np.arange(n), np.argsort(-d)[: n // 3]), d < d.mean(), allowed | True):
+            rows = spark.createDataFrame([("allow" if a else "block", int(k), float(x)) for a, k, x in zip(verdicts, often, d, strict=True)], "verdict string, often long, difference double").repartition(3)
+            assert url_filter.calibrated(rows, cuts=0) == url_filter.calibrated(rows) == url_filter.threshold(d, verdicts, often)
+    assert url_filter.calibrated(rows.filter("false"), cuts=0) == url_filter.calibrated(rows.filter("false")) == 0.0
+
+
 def test_url_query(spark):
     pages = table(spark, SF, "pages").select("page_id", "url").collect()
     out = url_filter.op9_url_filter(spark, SF).collect()
