@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estate_jobs.llm.common import durable, small_enough, table
-from estate_jobs.llm.tokens import Words, buffers, chunks, grams, mix, whole, words
+from estate_jobs.llm.tokens import PART, Words, buffers, chunks, grams, mix, whole, words
 
 SPAN, GRAM = 10, 5
 #: Benchmark bytes that each task may hold as an index; a larger benchmark is joined by shuffling fingerprints.
@@ -118,7 +118,7 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 def _found(index: Index, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[list[str]]]]:
     """First and last row (exclusive), words, hit words and items of the texts, part by part."""
     data, offsets = buffers(column)
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, PART):
         w = words(data, offsets[a : b + 1])
         hit, items = np.zeros(len(w.hash), bool), [set() for _ in range(b - a)]
         for i, n, names in index.hits(w):
@@ -151,7 +151,7 @@ def _prints(key: str, lengths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, PART):
                 w = words(data, offsets[a : b + 1])
                 at, value = kept(w.hash, w.row)
                 size = np.bincount(w.row, minlength=b - a)
@@ -176,7 +176,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of items."""
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, PART):
             w = words(data, offsets[a : b + 1])
             for n, places in windows(w).items():
                 yield _span_rows(["item_id", "start", "n", "span_a", "span_b"], batch.column("item_id").slice(a, b - a), w, places, n)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estate_jobs.llm.common import held_out, small_enough, table
-from estate_jobs.llm.tokens import buffers, chunks
+from estate_jobs.llm.tokens import PART, buffers, chunks
 
 #: Labelled documents to learn from, for each language: about this many, chosen by a hash of the id.
 TRAIN_DOCS = 4_000
@@ -96,7 +96,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lang = np.array(batch.column("lang").to_pylist(), object)
         data, offsets = buffers(batch.column("text"))
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, PART):
             x = letters(data, offsets[a : b + 1])
             size = np.diff(np.append(x.first, len(x.bucket)))
             of_letter = np.repeat(x.row, size)
@@ -177,7 +177,7 @@ def _labels(model: Model, switch: float, column: pa.Array) -> Iterator[tuple[int
     data, offsets = buffers(column)
     for a, b in chunks(offsets, GROUP):
         parts, scores = [], []
-        for c, d in chunks(offsets[a : b + 1]):
+        for c, d in chunks(offsets[a : b + 1], PART):
             x = letters(data, offsets[a + c : a + d + 1])
             s = np.zeros((len(x.first), n_langs), np.float32)
             if len(x.first) and n_langs:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estate_jobs.llm.common import durable, small_enough, table
-from estate_jobs.llm.tokens import buffers, chunks, grams, mix, whole, words
+from estate_jobs.llm.tokens import PART, buffers, chunks, grams, mix, whole, words
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 32, 5
@@ -56,6 +56,16 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return value[new], row[new]
 
 
+def shingles_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a column, part by part: words take some hundred bytes of arrays for each ten bytes of text."""
+    data, offsets = buffers(texts)
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for a, b in chunks(offsets, PART):
+        value, row = shingles(data, offsets[a : b + 1])
+        parts.append((value, row + a))
+    return np.concatenate([v for v, _ in parts]), np.concatenate([r for _, r in parts])
+
+
 def signatures(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """160 MinHash values of each set, 16 bits each; sets begin at starts and none is empty."""
     out = np.empty((len(starts), HASHES), np.uint16)
@@ -76,7 +86,7 @@ def signatures(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, PART):
             value, row = shingles(data, offsets[a : b + 1])
             full, starts, n = np.unique(row, return_index=True, return_counts=True)
             key = np.zeros((b - a, 2), np.int64)
@@ -232,7 +242,7 @@ def _links(threshold: float, least: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["grp", "one", "two"]
         for t in _groups(batches, keys, "n_bytes"):
-            value, row = shingles(*buffers(t.column("text")))
+            value, row = shingles_of(t.column("text"))
             _, starts, sizes = np.unique(row, return_index=True, return_counts=True)
             i, j = _survivors(signatures(value, starts), *_pairs(t, keys), least)
             group = np.cumsum(np.append(0, np.any([(c := t.column(k).to_numpy())[1:] != c[:-1] for k in keys], axis=0)))

@@ -18,6 +18,8 @@ IS_WORD = ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x41) & (_BYTES <=
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 #: Bytes of text that are turned into arrays at once; a longer text is taken alone.
 CHUNK = 1 << 21
+#: The same where many arrays over the characters or words of a chunk are held at a time, some of 8 bytes each.
+PART = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

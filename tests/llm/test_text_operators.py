@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -659,6 +660,31 @@ def test_url_threshold_by_running_sums(spark):
     assert url_filter.calibrated(rows.filter("false"), cuts=0) == url_filter.calibrated(rows.filter("false")) == 0.0
 
 
+def test_memory_of_a_batch_of_texts(make):
+    """Arrays over characters and words are held for a part of a batch: less than 8 bytes for each byte of the batch, and the same results."""
+    texts = pa.array([make(("en", "de")[k % 2], 400, k) for k in range(3000)], pa.string())
+    size = sum(len(t.as_py().encode()) for t in texts)
+    assert size > 6e6
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"] * 1000), texts], ["lang", "text"])
+    data, offsets = tokens.buffers(texts)
+
+    def peak(f):
+        tracemalloc.start()
+        out, most = f(), tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    counts, most = peak(lambda: list(language_id._count(iter([batch]))))
+    assert most < 8 * size
+    x = language_id.letters(data, offsets)
+    assert sum(sum(c.column("n").to_pylist()) for c in counts) == 2 * len(x.bucket)
+    (value, row), most = peak(lambda: near_duplicates.shingles_of(pa.chunked_array([texts])))
+    whole = near_duplicates.shingles(data, offsets)
+    assert (value == whole[0]).all() and (row == whole[1]).all() and most < 8 * size
+    hits, most = peak(lambda: list(decontaminate._found(decontaminate.Index([("i", texts[5].as_py())]), texts)))
+    assert most < 8 * size and [k for a, b, n, n_hit, _ in hits for k in range(a, b) if n_hit[k - a] == n[k - a]] == [5]
+
+
 def test_url_query(spark):
     pages = table(spark, SF, "pages").select("page_id", "url").collect()
     out = url_filter.op9_url_filter(spark, SF).collect()
