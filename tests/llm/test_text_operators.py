@@ -685,6 +685,16 @@ def test_memory_of_a_batch_of_texts(make):
     assert most < 8 * size and [k for a, b, n, n_hit, _ in hits for k in range(a, b) if n_hit[k - a] == n[k - a]] == [5]
 
 
+def test_places_of_hashes():
+    """Hashes are found by their first bits as by bisection, also where all begin alike or none is known."""
+    rng = np.random.default_rng(3)
+    spread = np.unique(rng.integers(0, 1 << 64, 3000, np.uint64))
+    for known in (spread, spread >> np.uint64(40), spread[:1], spread[:0], np.array([0, (1 << 64) - 1], np.uint64)):
+        asked = np.concatenate([known, known + np.uint64(1), rng.integers(0, 1 << 64, 500, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        at, there = lm_scoring.Places(known).find(asked)
+        assert (there == np.isin(asked, known)).all() and (known[at[there]] == asked[there]).all()
+
+
 def test_url_query(spark):
     pages = table(spark, SF, "pages").select("page_id", "url").collect()
     out = url_filter.op9_url_filter(spark, SF).collect()
