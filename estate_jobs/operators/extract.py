@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.parser
+import re
 import urllib.parse
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -276,11 +277,28 @@ def details(pages: DataFrame, meta_first: bool = False) -> DataFrame:
 
 # --- API bodies
 
+#: Of from_json, so that it reads what get_json_object reads.
+_LENIENT = {"allowUnquotedControlChars": "true"}
+#: What an item holds of which a text may look like an object or a list.
+_QUOTED = r"""["'][{\[]|\\\\u00[57]"""
+
+
+def _members(text: Column) -> Column:
+    """The members of a JSON object by name, as texts; null if text is none. The object is read once, whatever is taken from it."""
+    return F.from_json(F.when(text.rlike(r"^\s*\{"), text), "map<string,string>", _LENIENT)
+
+
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x); x is worked out once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def item_list(body: Column) -> Column:
     """The body's items as JSON texts: the body itself if it is a list, else the first list that isn't empty, at the top or in data."""
-    as_list = lambda j: F.when(F.json_array_length(j) > 0, F.from_json(j, "array<string>"))
-    inner = [as_list(F.get_json_object(body, f"$.data.{k}")) for k in ITEM_LISTS if k not in ("data", "offers")]
-    return F.coalesce(as_list(body), *(as_list(F.get_json_object(body, f"$.{k}")) for k in ITEM_LISTS), *inner, F.array().cast("array<string>"))
+    as_list = lambda j: _if(F.from_json(F.when(j.rlike(r"^\s*\["), j), "array<string>"), lambda x: F.size(x) > 0)
+    of = lambda members, keys: (as_list(F.try_element_at(members, F.lit(k))) for k in keys)
+    inner = _let(_members(F.get_json_object(body, "$.data")), lambda m: F.coalesce(*of(m, (k for k in ITEM_LISTS if k not in ("data", "offers")))))
+    return F.coalesce(as_list(body), _let(_members(body), lambda m: F.coalesce(*of(m, ITEM_LISTS), inner)), F.array().cast("array<string>"))
 
 
 def listing_bodies(bodies: DataFrame) -> DataFrame:
@@ -290,21 +308,36 @@ def listing_bodies(bodies: DataFrame) -> DataFrame:
 
 def api_listings(bodies: DataFrame, base: str) -> DataFrame:
     """Listing rows of the items of bodies (body); items without an url or an id are dropped."""
-    o = F.col("item")
-    number = lambda *paths: F.coalesce(*(nz(F.get_json_object(o, p).try_cast("double"), 0.0) for p in paths), F.lit(0.0))
-    text = lambda *paths: _json(o, *paths)
+    item, of = F.col("item"), lambda members, k: F.try_element_at(members, F.lit(k))
+    within = {k: F.when(of("top", k).startswith("{"), F.when(F.col("quoted"), F.from_json(item, f"{k} map<string,string>", _LENIENT)[k]).otherwise(_members(of("top", k)))) for k in ("price", "priceInfo", "parameters", "location", "address")}
+
+    def at(path: str) -> Column:
+        _, *parents, k = path.split(".")
+        return of(parents[0] if parents else "top", k)
+
+    def first(k: str) -> Column:
+        """Address of the first of a list of images: texts, or objects with url or src."""
+        paths = F.filter(F.array(*(F.get_json_object(item, f"$.{k}[0]{x}") for x in (".url", ".src", ""))), lambda x: ~x.isin("", "null"))
+        read = _let(F.get(F.from_json(of("top", k), "array<string>"), F.lit(0)), lambda x: F.when(x.startswith("{"), _let(_members(x), lambda m: F.coalesce(nz(of(m, "url"), ""), nz(of(m, "src"), ""), x))).otherwise(nz(x, "")))
+        return F.when(of("top", k).startswith("["), F.when(F.col("quoted"), F.get(paths, F.lit(0))).otherwise(read))
+
+    number = lambda *paths: F.coalesce(*(nz(at(p).try_cast("double"), 0.0) for p in paths), F.lit(0.0))
+    text = lambda *paths: F.coalesce(*(nz(at(p), "") for p in paths))
     link = F.coalesce(text("$.url", "$.seoUrl", "$.link"), F.concat(F.lit("/nehnutelnost/"), nz(text("$.id", "$.advertId"), "0"), F.lit("/")))
-    url = F.when(link.startswith("http"), link).otherwise(F.concat(F.lit(base), F.when(link.startswith("/"), "").otherwise("/"), link))
+    url = F.when(F.col("link").startswith("http"), F.col("link")).otherwise(F.concat(F.lit(base), F.when(F.col("link").startswith("/"), "").otherwise("/"), "link"))
     sizes = [f"{p}.{k}" for k in ("usableArea", "floorArea", "area", "size") for p in ("$", "$.parameters")]
     address = text("$.location.fullAddress", "$.location.address", "$.location.city", "$.address.fullAddress", "$.address.address", "$.address.city")
     plain = F.coalesce(*(F.when(~v.startswith("{"), v) for v in (text("$.location"), text("$.address"))))
-    energy = F.upper(text("$.energyRating", "$.energyClass"))
-    df = bodies.select(F.explode(item_list(F.col("body"))).alias("item")).filter(link.isNotNull())
-    return df.select(
-        F.md5(url.cast("binary")).alias("id"), url.alias("url"), F.substring(F.coalesce(text("$.title", "$.name", "$.heading"), F.lit("")), 1, 200).alias("title"),
+    energy = F.col("energy")
+    df = bodies.select(F.explode(item_list(F.col("body"))).alias("item")).withColumns({"top": _members(item), "quoted": item.rlike(_QUOTED)}).withColumns(within)
+    df = df.withColumns({"link": link, "energy": F.upper(text("$.energyRating", "$.energyClass"))}).withColumn("url", url)
+    row = F.struct(
+        F.md5(F.col("url").cast("binary")).alias("id"), "url", F.substring(F.coalesce(text("$.title", "$.name", "$.heading"), F.lit("")), 1, 200).alias("title"),
         number("$.price.value", "$.price.amount", "$.price", "$.priceInfo.value", "$.priceInfo.amount", "$.priceInfo").alias("price_eur"), number(*sizes).alias("size_m2"), F.coalesce(address, plain, F.lit("")).alias("address_raw"),
-        F.when(energy.isin(*ENERGY_CLASSES), energy).otherwise("UNKNOWN").alias("energy_class"), F.coalesce(text("$.images[0].url", "$.images[0].src", "$.images[0]", "$.photos[0].url", "$.photos[0].src", "$.photos[0]"), F.lit("")).alias("primary_image_url"),
+        F.when(energy.isin(*ENERGY_CLASSES), energy).otherwise("UNKNOWN").alias("energy_class"), F.coalesce(first("images"), first("photos"), F.lit("")).alias("primary_image_url"),
     )
+    # As in details: a filter over plain columns would be pushed down and read every item twice.
+    return df.select(F.inline(F.array(row))).filter("url IS NOT NULL")
 
 
 # --- cards: the one place where a page's structure needs a parser
