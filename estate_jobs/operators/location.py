@@ -1,7 +1,12 @@
-"""Location score: joins to points of interest over grids, each kind within its own reach, and nearest places by rings."""
+"""Location score: points of interest around spots, in tiles; joins over grids and nearest places by rings."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,12 @@ DEGREE = 111_080.0
 FIRST_RING = 250.0
 #: Parts that a crowded cell's spots are dealt to.
 SPLIT = 4
+#: Most spots and places of a tile that are one group, spots that are looked at together, places that pairs are made with at once.
+TILE_SPOTS, TILE_PLACES, BLOCK, PAIRS = 16_384, 1_000_000, 128, 8_192
+#: Metres of the sphere of `haversine`, and a chord (of a sphere of 1) of some micrometres on it.
+RADIUS, TINY = 6_371_000.0, 1e-12
+#: Columns of what a tile finds.
+FOUND = ["lat", "lng", *AMENITIES, "sites", "stop_lat", "stop_lng", "noise_lat", "noise_lng", "db"]
 
 
 def unscored(listings: DataFrame, scores: DataFrame) -> DataFrame:
@@ -93,21 +104,134 @@ def nearest(spots: DataFrame, places: DataFrame, limit: float, first: float = FI
         ring = min(2 * ring, limit)
 
 
-def _place(df: DataFrame, kind: Column) -> DataFrame:
-    return df.select(kind.alias("type"), F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng"))
-
-
-def _counted(spots: DataFrame, places: DataFrame, p: Params) -> DataFrame:
-    """lat, lng of spots with places in reach, a count for each amenity, risk. places: type, place_lat, place_lng; type site: construction."""
-    amenities, sites = float(p.amenity_radius), float(p.construction_radius)
-    known = places.filter(F.col("type").isin("site", *AMENITIES)).withColumn("reach", F.when(F.col("type") == "site", sites).otherwise(amenities))
-    counts = [F.count_if(F.col("type") == t).alias(t) for t in AMENITIES]
-    return within_reach(spots, known, *sorted({amenities, sites})).groupBy("lat", "lng").agg(*counts, F.max(F.when(F.col("type") == "site", 1).otherwise(0)).alias("risk"))
-
-
-def _transit(spots: DataFrame, places: DataFrame, p: Params) -> DataFrame:
-    stops = places.filter("type = 'transit_station'").select("place_lat", "place_lng")
-    return nearest(spots, stops, p.transit_search).select("lat", "lng", F.col("nearest.distance").alias("transit"))
+def _place(df: DataFrame, kind: Column, db: Column | None = None) -> DataFrame:
+    return df.select(kind.alias("type"), F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng"), (F.lit(None) if db is None else db).cast("double").alias("db"))
+
+
+def _vectors(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
+    lat, lng = np.radians(lat), np.radians(lng)
+    return np.stack([np.cos(lat) * np.cos(lng), np.cos(lat) * np.sin(lng), np.sin(lat)], 1)
+
+
+def _metres(lat1: np.ndarray, lng1: np.ndarray, lat2: np.ndarray, lng2: np.ndarray) -> np.ndarray:
+    """As `haversine`."""
+    a = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lng2 - lng1) / 2) ** 2
+    return RADIUS * 2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+
+
+class _Kind:
+    """Places of one kind, by latitude."""
+
+    def __init__(self, lat: np.ndarray, lng: np.ndarray, rank: np.ndarray, row: np.ndarray) -> None:
+        order = np.argsort(lat, kind="stable")
+        self.lat, self.lng, self.rank, self.row = lat[order], lng[order], rank[order], row[order]
+        self.at = _vectors(self.lat, self.lng)
+
+    def around(self, lat: np.ndarray, centre: np.ndarray, reach: float) -> tuple[int, np.ndarray]:
+        """First of the places by latitude that can be within reach of the spots, and the chords from the centre to these."""
+        k, n = np.searchsorted(self.lat, [lat.min() - reach / DEGREE, lat.max() + reach / DEGREE])
+        return k, np.sqrt(((self.at[k:n] - centre) ** 2).sum(1))
+
+    def count(self, lat: np.ndarray, lng: np.ndarray, at: np.ndarray, centre: np.ndarray, wide: float, reach: float) -> np.ndarray:
+        """How many are within reach of each spot. All spots are within the chord `wide` of the centre.
+
+        What is so near to the centre that it is near all spots, or so far that it is near none, needs no pairs. Pairs
+        are compared by chords; those at the limit, but for rounding, by `_metres`.
+        """
+        first, chords = self.around(lat, centre, reach)
+        limit = 2 * math.sin(reach / RADIUS / 2)
+        all_near = chords < limit - wide - TINY
+        some = first + np.flatnonzero(~all_near & (chords <= limit + wide + TINY))
+        found = np.full(len(lat), all_near.sum())
+        here = at - centre
+        for k in range(0, len(some), PAIRS):
+            x = some[k : k + PAIRS]
+            there = self.at[x] - centre
+            square = (here**2).sum(1)[:, None] + (there**2).sum(1) - 2 * here @ there.T
+            close = limit**2 * 1e-7
+            found += (square < limit**2 - close).sum(1)
+            i, j = np.nonzero(np.abs(square - limit**2) <= close)
+            found += np.bincount(i[_metres(lat[i], lng[i], self.lat[x[j]], self.lng[x[j]]) <= reach], minlength=len(lat))
+        return found
+
+    def nearest(self, lat: np.ndarray, lng: np.ndarray, centre: np.ndarray, wide: float, reach: float) -> np.ndarray:
+        """Row of the nearest one to each spot, the one with the greatest rank of those at one distance; -1 if none is within reach."""
+        best, rank, row = np.full(len(lat), reach * (1 + 1e-9)), np.full(len(lat), -np.inf), np.full(len(lat), -1)
+        first, chords = self.around(lat, centre, reach)
+        some = first + np.flatnonzero(chords <= chords.min(initial=np.inf) + 2 * wide + TINY)
+        for k in range(0, len(some), PAIRS):
+            x = some[k : k + PAIRS]
+            metres = _metres(lat[:, None], lng[:, None], self.lat[x], self.lng[x])
+            least = metres.min(1)
+            j = np.where(metres == least[:, None], self.rank[x], -np.inf).argmax(1)
+            better = (least < best) | (least == best) & (self.rank[x[j]] > rank)
+            best[better], rank[better], row[better] = least[better], self.rank[x[j]][better], self.row[x[j]][better]
+        return row
+
+
+def _blocks(at: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in blocks of spots that are near each other: halves along the longest side, again and again."""
+    if len(rows) <= BLOCK:
+        yield rows
+        return
+    side = np.ptp(at[rows], axis=0).argmax()
+    rows, half = rows[np.argsort(at[rows, side], kind="stable")], len(rows) // 2
+    yield from _blocks(at, rows[:half])
+    yield from _blocks(at, rows[half:])
+
+
+def _look(spots: pa.Table, places: pa.Table, amenities: float, sites: float, stops: float, noise: float) -> pa.Table:
+    """Counts and nearest places of a tile's spots, among the places sent to it. The numbers: how far each kind is looked for."""
+    lat, lng = spots["lat"].to_numpy(), spots["lng"].to_numpy()
+    place_lat, place_lng, types = places["place_lat"].to_numpy(), places["place_lng"].to_numpy(), places["type"].to_numpy()
+    db = places["db"].to_numpy()
+    # an unknown reading comes before none at all, NaN last, as in Spark's order
+    rank = np.where(places["db"].is_null().to_numpy(), np.finfo(float).min, np.where(np.isnan(db), np.inf, db))
+    kinds = {t: _Kind(place_lat[k], place_lng[k], rank[k], k) for t in (*AMENITIES, "site", "transit_station", "noise") if len(k := np.flatnonzero(types == t))}
+    at = _vectors(lat, lng)
+    counts = {t: np.zeros(len(lat), np.int64) for t in (*AMENITIES, "site")}
+    rows = {t: np.full(len(lat), -1) for t in ("transit_station", "noise")}
+    for b in _blocks(at, np.arange(len(lat))):
+        centre = at[b].mean(0)
+        wide = np.sqrt(((at[b] - centre) ** 2).sum(1)).max()
+        for t, kind in kinds.items():
+            if t in counts:
+                counts[t][b] = kind.count(lat[b], lng[b], at[b], centre, wide, sites if t == "site" else amenities)
+            else:
+                rows[t][b] = kind.nearest(lat[b], lng[b], centre, wide, noise if t == "noise" else stops)
+    taken = {t: pa.array(r, mask=r < 0) for t, r in rows.items()}
+    stop, reading = places.take(taken["transit_station"]), places.take(taken["noise"])
+    return pa.table([spots["lat"], spots["lng"], *map(pa.array, counts.values()), stop["place_lat"], stop["place_lng"], reading["place_lat"], reading["place_lng"], reading["db"]], FOUND)
+
+
+def _surveyed(spots: DataFrame, places: DataFrame, p: Params) -> DataFrame:
+    """lat, lng of spots (distinct), a count for each amenity, risk, transit, nearest (distance and db of a reading); no rows for spots far from all.
+
+    places: type, place_lat, place_lng, db; type site: construction, noise: readings. Spots and places meet in tiles as
+    wide as the farthest reach, a place being sent to nine of them. A tile of many spots or places is cut into parts,
+    every one of spots with every one of places; what the parts find is merged.
+    """
+    amenities, sites, stops, noise = map(float, (p.amenity_radius, p.construction_radius, p.transit_search, p.noise_reach))
+    reach, near = F.lit(max(amenities, sites, stops, noise)), F.array(F.lit(-1), F.lit(0), F.lit(1))
+    rows = places.filter(F.col("type").isin(*AMENITIES, "site", "transit_station", "noise") & F.col("place_lat").isNotNull() & F.col("place_lng").isNotNull()).withColumn("cy", F.explode(F.transform(near, lambda d: _row(F.col("place_lat"), reach) + d)))
+    sent = rows.withColumn("cx", F.explode(F.transform(near, lambda d: _column(F.col("cy"), F.col("place_lng"), reach) + d)))
+    seen = spots.select("lat", "lng").withColumn("cy", _row(F.col("lat"), reach)).withColumn("cx", _column(F.col("cy"), F.col("lng"), reach))
+    parts = lambda df, most, name: df.groupBy("cy", "cx").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    tiles = durable(parts(seen, TILE_SPOTS, "spot_parts").join(parts(sent, TILE_PLACES, "place_parts"), ["cy", "cx"]))
+    # without hints what is sent could be taken for small, since sizes are guessed by those of files
+    tiles = F.broadcast(tiles) if tiles.count() <= 200_000 else tiles.hint("merge")
+    keys = ["cy", "cx", "spot_part", "place_part"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    left = seen.join(tiles, ["cy", "cx"]).withColumn("spot_part", dealt("spot_parts", "lat", "lng")).withColumn("place_part", every("place_parts")).select("lat", "lng", *keys)
+    right = sent.join(tiles, ["cy", "cx"]).withColumn("place_part", dealt("place_parts", "place_lat", "place_lng")).withColumn("spot_part", every("spot_parts")).select("type", "place_lat", "place_lng", "db", *keys)
+    kinds = dict.fromkeys(FOUND, "double") | dict.fromkeys((*AMENITIES, "sites"), "long")
+    look = lambda a, b: _look(a, b, amenities, sites, stops, noise)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(look, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    apart = lambda x, most: F.when((d := haversine(F.col("lat"), F.col("lng"), F.col(f"{x}_lat"), F.col(f"{x}_lng"))) <= most * (1 + 1e-12), d)
+    found = found.withColumns({"stop_m": apart("stop", stops), "noise_m": apart("noise", noise)})
+    nearest = F.max_by(F.when(F.col("noise_m").isNotNull(), F.struct(F.col("noise_m").alias("distance"), "db")), F.when(F.col("noise_m").isNotNull(), F.struct((-F.col("noise_m")).alias("near"), "db")))
+    return found.groupBy("lat", "lng").agg(*(F.sum(t).alias(t) for t in AMENITIES), (F.sum("sites") > 0).cast("int").alias("risk"), F.min("stop_m").alias("transit"), nearest.alias("nearest"))
 
 
 def _with_surroundings(joined: DataFrame, p: Params) -> DataFrame:
@@ -120,29 +244,31 @@ def surroundings(points: DataFrame, places: DataFrame, p: Params = DEFAULTS) ->
 
     Listings at the same coordinates are looked up once.
     """
-    spots, known = durable(points.select("lat", "lng").distinct()), _place(places, F.col("type"))
-    found = spots.join(_counted(spots, known, p).drop("risk"), ["lat", "lng"], "left").join(_transit(spots, known, p), ["lat", "lng"], "left")
+    spots = durable(points.select("lat", "lng").distinct())
+    found = spots.join(_surveyed(spots, _place(places, F.col("type")).filter(F.col("type").isin("transit_station", *AMENITIES)), p), ["lat", "lng"], "left")
     return _with_surroundings(points.join(found, ["lat", "lng"]).select(*points.columns, "transit", *AMENITIES), p)
 
 
-def _noise(spots: DataFrame, noise: DataFrame, p: Params) -> DataFrame:
-    """lat, lng, noise_flag of spots: 1 if the nearest reading is over the limit, the loudest of those at one distance.
+def _noise(found: DataFrame, noise: DataFrame, p: Params) -> DataFrame:
+    """found with noise_flag for `nearest`: 1 if the nearest reading is over the limit, the loudest of those at one distance.
 
     Where no reading is within noise_reach, any reading of the spot's cell of the grid counts.
     """
-    readings = noise.select(F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng"), "db")
-    close = nearest(spots, readings, p.noise_reach, tie=F.col("db"))
     cell = lambda c, size: F.floor(F.col(c) / size).cast("long")
     loud = noise.filter(F.col("db") > p.noise_limit).select(cell("lat", CELL_LAT).alias("cy"), cell("lng", CELL_LNG).alias("cx")).distinct().withColumn("loud", F.lit(1))
-    joined = close.withColumn("cy", cell("lat", CELL_LAT)).withColumn("cx", cell("lng", CELL_LNG)).join(loud, ["cy", "cx"], "left")
+    joined = found.withColumn("cy", cell("lat", CELL_LAT)).withColumn("cx", cell("lng", CELL_LNG)).join(loud, ["cy", "cx"], "left")
     flag = F.when(F.col("nearest").isNull(), F.coalesce("loud", F.lit(0))).otherwise(F.when(F.col("nearest.db") > p.noise_limit, 1).otherwise(0))
-    return joined.select("lat", "lng", flag.alias("noise_flag"))
+    return joined.withColumn("noise_flag", flag).drop("cy", "cx", "loud", "nearest")
+
+
+def _hazards(sites: DataFrame, noise: DataFrame) -> DataFrame:
+    return _place(sites, F.lit("site")).union(_place(noise, F.lit("noise"), F.col("db")))
 
 
 def hazards(points: DataFrame, sites: DataFrame, noise: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """id, construction_risk, noise_flag. sites: lat, lng; noise: lat, lng, db."""
     spots = durable(points.select("lat", "lng").distinct())
-    found = spots.join(_counted(spots, _place(sites, F.lit("site")), p).select("lat", "lng", "risk"), ["lat", "lng"], "left").join(_noise(spots, noise, p), ["lat", "lng"])
+    found = _noise(spots.join(_surveyed(spots, _hazards(sites, noise), p), ["lat", "lng"], "left").select("lat", "lng", "risk", "nearest"), noise, p)
     return points.join(found, ["lat", "lng"]).select("id", F.coalesce("risk", F.lit(0)).alias("construction_risk"), "noise_flag")
 
 
@@ -156,8 +282,8 @@ def score(transit: Column, amenities: Column, construction: Column, noise: Colum
 def run(listings: DataFrame, scores: DataFrame, places: DataFrame, sites: DataFrame, noise: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """New location scores of the listings that can be located, each distinct spot looked up once."""
     todo = located(unscored(listings, scores)).select("id", "lat", "lng", "district", "energy_class")
-    spots, known = durable(todo.select("lat", "lng").distinct()), _place(places, F.col("type"))
-    found = spots.join(_counted(spots, known.union(_place(sites, F.lit("site"))), p), ["lat", "lng"], "left").join(_transit(spots, known, p), ["lat", "lng"]).join(_noise(spots, noise, p), ["lat", "lng"])
+    spots, known = durable(todo.select("lat", "lng").distinct()), _place(places, F.col("type")).filter(F.col("type").isin("transit_station", *AMENITIES))
+    found = _noise(spots.join(_surveyed(spots, known.union(_hazards(sites, noise)), p), ["lat", "lng"], "left"), noise, p)
     around = _with_surroundings(found.withColumn("construction_risk", F.coalesce("risk", F.lit(0))).drop("risk"), p)
     df = todo.join(around, ["lat", "lng"])
     points, tier = score(F.col("nearest_transit_m"), F.col("amenity_count"), F.col("construction_risk"), F.col("noise_flag"), F.col("energy_class"), p)
